@@ -1,0 +1,39 @@
+"""Connected components of an edge table by minimum labels and pointer jumping, on long ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltwork.session import cut_lineage
+
+MOST_ROUNDS = 60
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) -> (id, label) for all ids in them; label is the least id of the component.
+
+    Each round keeps, for every id that isn't a root, an edge to the least label known for it, and moves all its other
+    edges there (large-star, then small-star); the minima are taken with partial aggregation and joined back, so that a
+    hub with many edges is spread over tasks. It ends when all edges point to roots.
+    """
+    e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    for _ in range(MOST_ROUNDS):
+        # large star: neighbours above u move to the least neighbour of u
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        big = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        roots = low.filter("m < u").select("u", F.col("m").alias("v"))
+        e2 = big.union(roots).filter("u > v").distinct()
+        # small star: neighbours below u, and u, move to the least of them
+        least = e2.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = e2.join(least.filter("n > 1"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e3 = cut_lineage(least.select("u", F.col("m").alias("v")).union(moved).distinct())
+        # done when each id has one edge and no root has one
+        open_ = e3.groupBy("u").count().filter("count > 1").select("u").union(e3.select("v").distinct().join(e3.select(F.col("u").alias("v")), "v", "left_semi").select(F.col("v").alias("u")))
+        e = e3
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())

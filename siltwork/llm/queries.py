@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltwork.llm import decontaminate, mixing, secrets
+from siltwork.llm import balltree, decontaminate, html_text, langid, lshforest, mixing, pii, quality, secrets
 from siltwork.session import read_table
 
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.mark(docs, items))
@@ -36,6 +40,46 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.join(read_table(spark, sf_dir, "documents")).drop("h")
+
+
+OP3_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD_RE}') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda a: array_to_string(w[a:a + least(len(w), 5) - 1], ' '))) AS g
+      FROM d WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT a, b, c = na.n AND c = nb.n AS same FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+k AS (SELECT a AS r, min(doc_id) AS class_id FROM reach JOIN d ON d.r = reach.b GROUP BY a),
+e AS (SELECT d.r, least(d.doc_id, coalesce(min(x.doc_id), d.doc_id)) AS copy_id FROM d LEFT JOIN l ON l.a = d.r AND l.same LEFT JOIN d x ON x.r = l.b GROUP BY d.r, d.doc_id)
+SELECT d.doc_id, class_id, copy_id, (SELECT count(*) FROM l WHERE l.a = d.r) AS n_links FROM d JOIN k USING (r) JOIN e USING (r)
+"""
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.digest(langid.identify(docs, langid.train(docs)))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return balltree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, x AS qx FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, cast(list_sum(list_transform(range(1, len(x) + 1), lambda k: qx[k] * x[k])) AS BIGINT) AS score
+      FROM q JOIN v ON vec_id <> query_id AND len(x) = len(qx)),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("source", "key")
 
@@ -63,14 +107,35 @@ FROM q
 """
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.train(docs)))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
+    "op3_ngram_join": op3_ngram_join,
+    "op5_language": op5_language,
+    "op6_top_k": op6_top_k,
     "op7_mix_sources": op7_mix_sources,
+    "op8_personal_data": op8_personal_data,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
+}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
+    "op3_ngram_join": OP3_SQL,
+    "op6_top_k": OP6_SQL,
+    "op7_mix_sources": OP7_SQL,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": OP2_SQL, "op7_mix_sources": OP7_SQL}
