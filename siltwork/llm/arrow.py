@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +40,10 @@ def map_texts(
 def once_per_batch(f: Callable[[str | None], str | None]):
     """A column function that Spark evaluates once only, even where it is filtered on."""
 
-    def run(texts):
-        import pandas as pd
-
+    def run(texts: pd.Series) -> pd.Series:
         return pd.Series([f(t) for t in texts], dtype=object)
 
-    run.__annotations__ = {}
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR).asNondeterministic()
+    return F.pandas_udf(run, "string").asNondeterministic()
 
 
 def replace_text(docs: DataFrame, new: Column) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Every document gets a 64-bit hash of its id and text. Per source, sizes are summed by the leading byte of the hash, the
 byte in which the budget runs out is found by a running sum over at most 256 sums, and only the documents of that one
-bucket are summed again by their next byte. After eight such steps the threshold is an exact hash value, and taking
-documents is a filter: below it a document is taken once more than above it. No document is ever sorted.
+bucket are summed again by their next byte, until it holds one document, or hashes that are equal as a whole. Taking
+documents is then a filter: below this threshold a document is taken once more than above it, and the one at it gives
+the words still missing. No document is ever sorted.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ranked last; documents with equal id and
 text have equal hashes, and if the budget runs out among them they share what is left by size; an empty table gives no
@@ -20,6 +21,7 @@ from siltwork.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LEVELS = 8
+BROADCAST_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -44,11 +46,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     s = (
         s.withColumn("spent", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("left_weight", F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
+        .withColumn("place", F.row_number().over(order))
         .withColumn("total", F.sum("source_size").over(everything).cast("double"))
     )
     level = (F.col("total") - F.col("spent")) / F.col("left_weight")
     # the first source that stays below its cap fixes the level for all that follow
-    s = s.withColumn("level", F.min(F.when(level * F.col("weight") <= F.col("cap"), level)).over(everything))
+    open_ = F.when(level * F.col("weight") <= F.col("cap"), F.struct(F.col("place"), level.alias("level")))
+    s = s.withColumn("level", F.min(open_).over(everything)["level"])
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
     return s.select("source", "source_size", "weight", target.alias("target"))
 
@@ -63,49 +67,74 @@ def _byte(level: int) -> Column:
     return F.shiftrightunsigned(F.col("h"), 8 * (7 - level)).bitwiseAND(F.lit(255).cast("long"))
 
 
-def _above(level: int) -> Column:
-    """The leading bytes of the hash before this level, as one number."""
-    return F.lit(0).cast("long") if level == 0 else F.shiftrightunsigned(F.col("h"), 8 * (8 - level))
+def _lead(n: int) -> Column:
+    """The n leading bytes of the hash, as one number."""
+    return F.lit(0).cast("long") if n == 0 else F.shiftrightunsigned(F.col("h"), 8 * (8 - n))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken, key (hash of id and text)."""
-    base = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), _hash(F.col("doc_id"), F.col("text"), seed).alias("h")
-    )
-    base = cut_lineage(base)
+def thresholds(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
+    """Per source: how often each document is taken, and up to which hash once more. One row per source."""
+    base = cut_lineage(_sized(docs.select("doc_id", "text", "source"), seed).select("source", "size", "h"))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
     # whole rounds of the source, then a rest below one round
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - whole * F.col("source_size")).cast("long")
     targets = cut_lineage(targets.select("source", "source_size", "target", whole.alias("rounds"), rest.alias("rest")))
+    small = targets.count() <= BROADCAST_SOURCES
     bound = targets.select(F.col("source").alias("of"), F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("need"))
     for level in range(LEVELS):
-        inside = base.join(bound, F.col("source").eqNullSafe(F.col("of")) & (_above(level) == F.col("prefix")))
-        sums = inside.groupBy("source", "prefix", "need", _byte(level).alias("b")).agg(F.sum("size").alias("n"))
+        inside = base.join(_small(bound, small), F.col("source").eqNullSafe(F.col("of")) & (_lead(level) == F.col("prefix")))
+        sums = inside.groupBy("source", "prefix", "need", _byte(level).alias("b")).agg(F.sum("size").alias("n"), F.count("*").alias("docs"))
         run = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
         sums = sums.withColumn("upto", F.sum("n").over(run))
         bound = sums.filter((F.col("upto") > F.col("need")) & (F.col("upto") - F.col("n") <= F.col("need"))).select(
             F.col("source").alias("of"),
             F.shiftleft(F.col("prefix"), 8).bitwiseOR(F.col("b")).alias("prefix"),
             (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"),
-            F.col("n").alias("at_cut"),
+            F.col("n").alias("at_cut"), "docs",
         )
-        if level < LEVELS - 1:
-            bound = bound.drop("at_cut")
-    cut = bound.select(F.col("of").alias("cut_source"), F.col("prefix").alias("cut"), "need", "at_cut")
-    t = targets.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source").withColumnRenamed("source", "t_source")
+        bound = cut_lineage(bound)
+        if bound.filter("docs > 1").isEmpty():
+            break
+    cut = bound.select(F.col("of").alias("cut_source"), F.col("prefix").alias("cut"), "need", "at_cut", F.lit(level + 1).alias("bytes"))
+    t = targets.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+    return _small(cut_lineage(t.withColumnRenamed("source", "t_source")), small)
+
+
+def _small(df: DataFrame, small: bool) -> DataFrame:
+    """A table with a row per source goes to all tasks where their number is bounded, else Spark's skew join deals with it."""
+    return F.broadcast(df) if small else df
+
+
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.withColumn("size", word_count(F.col("text"))).withColumn("h", _hash(F.col("doc_id"), F.col("text"), seed))
+
+
+def _taken() -> Column:
     flip = F.lit(-(2**63))  # orders the hashes as unsigned numbers
-    below = F.col("cut").isNull() | (F.col("h").bitwiseXOR(flip) < F.col("cut").bitwiseXOR(flip))
+    lead = F.expr("shiftrightunsigned(h, cast(64 - 8 * bytes AS int))")
+    below = F.col("cut").isNull() | (lead.bitwiseXOR(flip) < F.col("cut").bitwiseXOR(flip))
     extra = (
         F.when(F.col("rest") <= 0, F.lit(0).cast("long"))
         .when(below, F.col("size"))
-        .when(F.col("h") == F.col("cut"), F.expr("size * need div greatest(at_cut, 1)"))
+        .when(lead == F.col("cut"), F.expr("size * need div greatest(at_cut, 1)"))
         .otherwise(F.lit(0).cast("long"))
     )
-    out = base.join(t, base["source"].eqNullSafe(F.col("t_source")))
-    return out.select(
-        "doc_id", base["source"], "size", "source_size", "target",
-        (F.col("rounds") * F.col("size") + extra).cast("long").alias("taken"), F.col("h").alias("key"),
-    )
+    return (F.col("rounds") * F.col("size") + extra).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken: words taken, repeats counted."""
+    t = thresholds(docs, weights, most, seed)
+    base = _sized(docs.select("doc_id", "text", "source"), seed).drop("text")
+    return base.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select("doc_id", "source", "size", "source_size", "target", _taken().alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
+    """The documents of the mix with all their columns, and mix_words: words to take from each, repeats counted."""
+    t = thresholds(docs, weights, most, seed)
+    columns = [F.col(f"d.`{c}`") for c in docs.columns if c != "mix_words"]
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), "doc_id", "text", "source")
+    out = _sized(told, seed).join(t, F.col("source").eqNullSafe(F.col("t_source")))
+    return out.withColumn("mix_words", _taken()).filter("mix_words > 0").select(*columns, "mix_words")

@@ -81,7 +81,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("source", "key")
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("source")
 
 
 OP7_SQL = r"""
@@ -92,8 +92,9 @@ s AS (SELECT source, cast(sum(size) AS BIGINT) AS source_size,
 c AS (SELECT *, source_size * 3.0::DOUBLE AS cap,
              coalesce(sum(source_size * 3.0::DOUBLE) OVER (ORDER BY source_size * 3.0::DOUBLE / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
              sum(weight) OVER (ORDER BY source_size * 3.0::DOUBLE / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight,
+             row_number() OVER (ORDER BY source_size * 3.0::DOUBLE / weight, encode(source) NULLS LAST) AS place,
              sum(source_size) OVER ()::DOUBLE AS total FROM s),
-l AS (SELECT *, min(CASE WHEN (total - spent) / left_weight * weight <= cap THEN (total - spent) / left_weight END) OVER () AS level FROM c),
+l AS (SELECT *, (SELECT arg_min((total - spent) / left_weight, place) FROM c WHERE (total - spent) / left_weight * weight <= cap) AS level FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM l),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS BIGINT) ELSE 0 END AS rounds
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
