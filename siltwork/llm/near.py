@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,11 +70,16 @@ def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.field(k).type) for k in range(len(kinds))], schema=kinds)
 
 
-def row_key() -> F.Column:
+def row_key() -> Column:
     """Together with doc_id, tells rows of docs apart by their text."""
     return F.xxhash64("text")
 
 
+def place() -> Column:
+    """Orders units: by id, those without one last, then by place in the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part", "h")
+
+
 def units_of(docs: DataFrame, near: Near) -> DataFrame:
     """docs (doc_id, text) -> a row for each unit with words enough: doc_id, h, part, k1, k2, n, keys."""
 
@@ -182,14 +187,12 @@ def near_classes(docs: DataFrame, near: Near, units: DataFrame | None = None) ->
     the number of units of other classes that are linked, others the number of those classes."""
     docs = docs.select("doc_id", "text")
     units = cut_lineage(units_of(docs, near)) if units is None else units
-    rep = F.struct("doc_id", "part", "h")
-    classes = units.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(rep).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = cut_lineage(classes)
-    placed = classes.select("k1", F.explode("keys").alias("key"))
+    classes = cut_lineage(units.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(place()).alias("rep"), F.first("n").alias("n")))
+    placed = units.select("k1", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a <> z").select("key", "a")
     ties = placed.join(shared, "key").filter("k1 <> a").select("a", F.col("k1").alias("b")).distinct()
     label = components(ties)
-    inside = cut_lineage(classes.drop("keys").join(label, classes["k1"] == label["id"]).drop("id"))
+    inside = cut_lineage(classes.join(label, classes["k1"] == label["id"]).drop("id"))
     total = inside.groupBy("label").agg(F.sum("n").alias("all"))
     few, large = F.ceil(F.col("all") / SMALL_BLOCK), F.ceil(F.col("all") / LARGE_BLOCK)
     total = total.select("label", F.greatest(F.least(few, F.lit(MOST_BLOCKS)), large).cast("int").alias("blocks"))
@@ -227,7 +230,7 @@ def near_classes(docs: DataFrame, near: Near, units: DataFrame | None = None) ->
     groups = components(linked.filter("k1 <> tie").select(F.col("k1").alias("a"), F.col("tie").alias("b")))
     counts = linked.groupBy("k1").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
     out = (
-        classes.drop("keys").join(counts, "k1", "left").join(groups.withColumnRenamed("id", "k1"), "k1", "left")
+        classes.join(counts, "k1", "left").join(groups.withColumnRenamed("id", "k1"), "k1", "left")
         .select("k1", "k2", "copies", "rep", F.coalesce("label", "k1").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("others"))
     )
     return units, out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltwork.llm import balltree, decontaminate, html_text, langid, lshforest, mixing, pii, quality, secrets
+from siltwork.llm import balltree, decontaminate, html_text, langid, lshforest, mixing, paragraphs, pii, quality, secrets
 from siltwork.session import read_table
 
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -59,6 +59,10 @@ SELECT d.doc_id, class_id, copy_id, (SELECT count(*) FROM l WHERE l.a = d.r) AS
 """
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.digest(langid.identify(docs, langid.train(docs)))
@@ -127,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
     "op3_ngram_join": op3_ngram_join,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_language": op5_language,
     "op6_top_k": op6_top_k,
     "op7_mix_sources": op7_mix_sources,
