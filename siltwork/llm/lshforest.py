@@ -9,8 +9,8 @@ Result: one row per row of the documents with the class (least doc_id among docu
 the set of copies (least doc_id with the same words in a row) and the number of documents whose five-word sets have a
 Jaccard similarity of 0.8 or more with its own, copies included.
 
-Defined cases: documents without a word (null, empty) have class and copies of their own and no links, and so have
-documents with a null id (class null); fewer than five words make one shorter shingle; repeated rows are copies of each
+Defined cases: documents without a word (null, empty) have class and copies of their own and no links; documents with a
+null id take the class of their copies and are never left out; fewer than five words make one shorter shingle; repeated rows are copies of each
 other; an empty table gives no rows; columns beyond doc_id and text are not read.
 """
 
@@ -59,10 +59,13 @@ def wordless(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class, that with the least id; documents without words or id all stay."""
-    told = join(docs, **options)
+    told = cut_lineage(join(docs, **options))
     lost = told.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
     # rows that repeat both id and text
-    again = told.filter((F.col("doc_id") == F.col("class_id")) & (F.col("n_links") > 0)).groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    first = told.filter((F.col("doc_id") == F.col("class_id")) & (F.col("n_links") > 0))
+    again = first.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     key = (F.col("doc_id").cast("long") == F.col("__id")) & (row_key() == F.col("__h"))
+    if again.isEmpty():
+        return docs.join(lost, key, "left_anti")
     once = docs.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(lost.union(again), key, "left_anti").unionByName(once)
