@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltwork.llm.components import components
-from siltwork.llm.text import MinHash, fold, prefix_keys, set_key, shingle_set, word_hashes
+from siltwork.llm.text import MinHash, fold, many_prefix_keys, many_set_keys, many_shingles, shingle_set, word_hashes
 from siltwork.session import cut_lineage
 
 #: shingles in a block; with more than MOST_BLOCKS of that size, blocks grow up to LARGE_BLOCK
 SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK = 1 << 13, 40, 1 << 20
+#: bytes of text that are hashed at once, and shingles of small components that are compared in one group of rows
+PIECE, BUNDLE = 1 << 17, 1 << 15
 _U = np.uint64
 
 
@@ -64,8 +67,6 @@ UNIT = T.StructType(
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     kinds = to_arrow_schema(schema)
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.field(k).type) for k in range(len(kinds))], schema=kinds)
 
@@ -80,24 +81,38 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "part", "h")
 
 
+def _signed(held: list[tuple], near: Near, sign: MinHash) -> pa.RecordBatch:
+    """(doc_id, h, part, folded text) of some units as rows of UNIT, all worked out at once."""
+    s, starts, which = many_shingles([x[3] for x in held], near.width, near.least_words)
+    if not len(which):
+        return _batch([], UNIT)
+    k1, k2 = many_set_keys(s, starts)
+    keys = many_prefix_keys(sign, s, starts, near.groups, near.depth)
+    n = np.diff(np.append(starts, len(s)))
+    offsets = pa.array(np.arange(0, keys.size + 1, near.groups), pa.int32())
+    chosen = [held[k] for k in which.tolist()]
+    kinds = to_arrow_schema(UNIT)
+    lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
+    columns = [*(pa.array([x[k] for x in chosen], kinds.field(k).type) for k in range(3)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int64)), lists.cast(kinds.field(6).type)]
+    return pa.RecordBatch.from_arrays(columns, schema=kinds)
+
+
 def units_of(docs: DataFrame, near: Near) -> DataFrame:
     """docs (doc_id, text) -> a row for each unit with words enough: doc_id, h, part, k1, k2, n, keys."""
 
     def run(batches):
         sign = MinHash(near.groups * near.depth, near.seed)
         for b in batches:
-            rows = []
+            held, size = [], 0
             for i, t, h in zip(*(b.column(k).to_pylist() for k in range(3))):
                 for part, text in near.units(t):
-                    s = near.shingles(text)
-                    if len(s):
-                        k1, k2 = set_key(s)
-                        rows.append((i, h, part, k1, k2, len(s), prefix_keys(sign(s), near.groups, near.depth).tolist()))
-                        if len(rows) >= 4096:
-                            yield _batch(rows, UNIT)
-                            rows = []
-            if rows:
-                yield _batch(rows, UNIT)
+                    held.append((i, h, part, fold(text)))
+                    size += len(held[-1][3])
+                    if size >= PIECE:
+                        yield _signed(held, near, sign)
+                        held, size = [], 0
+            if held:
+                yield _signed(held, near, sign)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("h")).mapInArrow(run, UNIT)
 
@@ -152,36 +167,58 @@ LINKS = T.StructType([T.StructField("k1", T.LongType()), T.StructField("tie", T.
 
 def _cell(near: Near):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "k1"], kind="stable").drop_duplicates(["block", "k1"])
-        ids, copies, blocks = pdf["k1"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        sets = [np.frombuffer(s, _U) for s in pdf["s"]]
-        sizes = np.array([len(s) for s in sets])
-        one = blocks.min() == blocks.max()
-        if one and not bool(pdf["alone"].iloc[0]):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in LINKS.names})
-        left = np.flatnonzero(blocks == blocks.min())
-        right = left if one else np.flatnonzero(blocks == blocks.max())
-        i, j = _links(sets, sizes, left, right, near.threshold)
-        a, b = left[i], right[j]
-        if not one:
-            a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        links, others = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        np.add.at(links, a, copies[b])
-        np.add.at(others, a, 1)
-        # local components by minimum labels
-        tie = ids.copy()
-        while len(a):
-            new = tie.copy()
-            np.minimum.at(new, a, tie[b])
-            if (new == tie).all():
-                break
-            tie = new
-        k = others > 0
-        return pd.DataFrame({"k1": ids[k], "tie": tie[k], "links": links[k], "others": others[k]})
+        label, block, ids, copies = (pdf[c].to_numpy() for c in ("label", "block", "k1", "copies"))
+        order = np.lexsort((ids, block, label))
+        label, block, ids, copies = label[order], block[order], ids[order], copies[order]
+        new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (block[1:] != block[:-1]) | (label[1:] != label[:-1])])
+        order, label, block, ids, copies = order[new], label[new], block[new], ids[new], copies[new]
+        raw, alone = pdf["s"].to_numpy(), pdf["alone"].to_numpy()
+        out = []
+        edges = np.append(np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])), len(label))
+        for a, z in zip(edges[:-1], edges[1:]):
+            sets = [np.frombuffer(raw[k], _U) for k in order[a:z]]
+            found = _component(sets, ids[a:z], copies[a:z], block[a:z], bool(alone[order[a]]), near.threshold)
+            if found is not None:
+                out.append(found)
+        made = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+        return pd.DataFrame(dict(zip(LINKS.names, made)))
 
     return run
 
 
+def _component(sets: list[np.ndarray], ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, alone: bool, threshold: float) -> np.ndarray | None:
+    """Rows k1, tie, links, others for the classes with links among those of one or two blocks of a component."""
+    one = blocks[0] == blocks[-1]
+    if len(sets) < 2 or one and not alone:
+        return None
+    if len(sets) == 2:
+        if one or blocks[0] != blocks[1]:
+            n = len(np.intersect1d(*sets, assume_unique=True))
+            if n < threshold * (len(sets[0]) + len(sets[1]) - n) - 1e-9:
+                return None
+            return np.array([ids, [ids.min()] * 2, copies[::-1], [1, 1]], np.int64)
+        return None
+    sizes = np.array([len(s) for s in sets])
+    left = np.flatnonzero(blocks == blocks[0])
+    right = left if one else np.flatnonzero(blocks == blocks[-1])
+    i, j = _links(sets, sizes, left, right, threshold)
+    a, b = left[i], right[j]
+    if not one:
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    links, others = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    np.add.at(links, a, copies[b])
+    np.add.at(others, a, 1)
+    tie = ids.copy()  # local components by minimum labels
+    while len(a):
+        new = tie.copy()
+        np.minimum.at(new, a, tie[b])
+        if (new == tie).all():
+            break
+        tie = new
+    k = others > 0
+    return np.array([ids[k], tie[k], links[k], others[k]], np.int64) if k.any() else None
+
+
 def near_classes(docs: DataFrame, near: Near, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(units, classes): classes (k1, k2, copies, rep, label, links, others) with label the least k1 of the group, links
     the number of units of other classes that are linked, others the number of those classes."""
@@ -225,7 +262,10 @@ def near_classes(docs: DataFrame, near: Near, units: DataFrame | None = None) ->
     # a block meets itself once, and each other block once
     cells = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("alone", F.col("lo") == F.col("hi"))
-    linked = cells.groupBy("label", "lo", "hi").applyInPandas(_cell(near), LINKS)
+    # components of one block are bundled, so that a group of rows is worth its cost
+    bundles = max(1, (inside.agg(F.sum("n")).first()[0] or 0) // BUNDLE)
+    cells = cells.withColumn("bundle", F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bundles))))
+    linked = cells.groupBy("blocks", "bundle", "lo", "hi").applyInPandas(_cell(near), LINKS)
     linked = cut_lineage(linked)
     groups = components(linked.filter("k1 <> tie").select(F.col("k1").alias("a"), F.col("tie").alias("b")))
     counts = linked.groupBy("k1").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))

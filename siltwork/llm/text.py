@@ -85,10 +85,8 @@ def shingle_set(hashes: np.ndarray, k: int = 5) -> np.ndarray:
 
 def set_key(shingles: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set of shingles, as two signed numbers."""
-    a = mixed(shingles * _U(0xD6E8FEB86659FD93)).sum(dtype=_U)
-    b = mixed(shingles ^ _U(0xA0761D6478BD642F)).sum(dtype=_U)
-    both = mixed(np.array([a, b], _U) + _U(len(shingles))).view(np.int64)
-    return int(both[0]), int(both[1])
+    a, b = many_set_keys(shingles, np.zeros(1, np.int64))
+    return int(a[0]), int(b[0])
 
 
 class MinHash:
@@ -116,3 +114,62 @@ def prefix_keys(minima: np.ndarray, groups: int, depth: int) -> np.ndarray:
     for j in range(depth):
         total = mixed(total + m[:, j])
     return total.view(np.int64)
+
+
+def _runs(a: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers start."""
+    return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+
+
+def many_shingles(texts: list[bytes], width: int, least_words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingle sets of many folded texts at once: (shingles, starts, which), where those of text which[k] begin at
+    starts[k] and are sorted and distinct. Texts with fewer words than least_words, or none, are left out."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    folded = b" ".join(texts)
+    hashes = word_hashes(folded, max(1 << 20, len(folded)))
+    unit = np.searchsorted(begin, word_spans(folded)[0], side="right") - 1
+    count = np.bincount(unit, minlength=len(texts)) if len(unit) else np.zeros(len(texts), np.int64)
+    use = (count >= max(1, least_words))
+    found, owner = [], []
+    # a text of fewer words than the width is one shorter shingle
+    for n in [*np.unique(count[use & (count < width)]).tolist(), width]:
+        ok = use[unit] & ((count[unit] >= width) if n == width else (count[unit] == n))
+        h, u = hashes[ok], unit[ok]
+        m = len(h) - n + 1
+        if m <= 0:
+            continue
+        total = np.zeros(m, _U)
+        for j in range(n):
+            total += h[j : j + m] * _U((_BASE * (2 * j + 3) * (2 * j + 3) | 1) & _MASK)
+        whole = u[:m] == u[n - 1 : n - 1 + m]
+        found.append(mixed(total[whole] + _U(n)))
+        owner.append(u[:m][whole])
+    if not found:
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    s, u = np.concatenate(found), np.concatenate(owner)
+    order = np.lexsort((s, u))
+    s, u = s[order], u[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (u[1:] != u[:-1])])
+    s, u = s[new], u[new]
+    starts = _runs(u)
+    return s, starts, u[starts]
+
+
+def many_set_keys(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """set_key of each of many sets that lie one after the other."""
+    n = np.diff(np.append(starts, len(shingles))).astype(_U)
+    a = np.add.reduceat(mixed(shingles * _U(0xD6E8FEB86659FD93)), starts)
+    b = np.add.reduceat(mixed(shingles ^ _U(0xA0761D6478BD642F)), starts)
+    return mixed(mixed(a) + n).view(np.int64), mixed(mixed(b) + n).view(np.int64)
+
+
+def many_prefix_keys(sign: MinHash, shingles: np.ndarray, starts: np.ndarray, groups: int, depth: int) -> np.ndarray:
+    """prefix_keys of each of many sets: a row per set."""
+    total = np.repeat((np.arange(1, groups + 1, dtype=_U) * _U(_BASE))[None], len(starts), axis=0)
+    for g in range(groups):
+        for j in range(depth):
+            k = g * depth + j
+            low = np.minimum.reduceat((shingles ^ sign.xor[k]) * sign.mul[k], starts)
+            total[:, g] = mixed(total[:, g] + low)
+    return total.view(np.int64)
