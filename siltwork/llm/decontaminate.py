@@ -207,7 +207,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words
         found = map_texts(docs, docs.columns, MARKS, make)
         docs = found.select(
             *docs.columns, F.col("spans").alias(f"spans_{k}"), F.col("items").alias(f"items_{k}"),
-            *(["n_words"] if k == 0 else []),
+            *(["n_words"] if k == len(parts) - 1 else []),
         )
     every = range(len(parts))
     spans = F.array_sort(F.flatten(F.array(*[F.col(f"spans_{k}") for k in every])))

@@ -20,9 +20,11 @@ labels of both kinds nothing is rejected and all scores are 0.5; repeated rows a
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltwork.llm.arrow import bounded_sample, map_texts
 
@@ -211,31 +213,40 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
 SCORES = [T.StructField(x, T.DoubleType()) for x in ("text_score", "meta_score", "score")] + [T.StructField("rejected", T.BooleanType())]
 
 
-def score(docs: DataFrame, model: CoTrained, keep: list[str] | None = None) -> DataFrame:
-    """docs -> the columns keep, probabilities of bad quality by view and joint, and whether the document is rejected."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _judged(m: CoTrained, batch: pa.RecordBatch, first: int) -> list[tuple]:
+    """Scores and verdict for each row of a batch that has text, lang and source from column `first` on."""
+    rows = []
+    for t, lang, source in zip(*(batch.column(first + k).to_pylist() for k in range(3))):
+        cols, vals, figures = features(t)
+        p = m.score(np.frombuffer(cols, np.int32), np.frombuffer(vals, np.float32), np.array(figures), lang, source)
+        rows.append((*p, m.ready and p[2] > m.threshold))
+    return rows
 
+
+def score(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """docs -> doc_id, probabilities of bad quality by view and joint, and whether the document is rejected."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keep = ["doc_id"] if keep is None else keep
-    schema = T.StructType([docs.schema[c] for c in keep] + SCORES)
+    schema = T.StructType([docs.schema["doc_id"], *SCORES])
     kinds = to_arrow_schema(schema)
-    n = len(keep)
 
     def run(batches):
-        m = held.value
         for b in batches:
-            rows = []
-            for t, lang, source in zip(*(b.column(n + k).to_pylist() for k in range(3))):
-                cols, vals, figures = features(t)
-                p = m.score(np.frombuffer(cols, np.int32), np.frombuffer(vals, np.float32), np.array(figures), lang, source)
-                rows.append((*p, m.ready and p[2] > m.threshold))
-            made = [pa.array([r[k] for r in rows], kinds.field(n + k).type) for k in range(len(SCORES))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(kinds.field(k).type) for k in range(n)), *made], schema=kinds)
+            rows = _judged(held.value, b, 1)
+            made = [pa.array([r[k] for r in rows], kinds.field(1 + k).type) for k in range(len(SCORES))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(kinds.field(0).type), *made], schema=kinds)
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], "text", "lang", "source").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """docs without those the model rejects; columns stay."""
-    return score(docs, model, docs.columns).filter(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without those the model rejects; columns stay, whatever their names."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    n = len(docs.columns)
+
+    def run(batches):
+        for b in batches:
+            keep = pa.array([not r[3] for r in _judged(held.value, b, n)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(n)], names=b.schema.names[:n]).filter(keep)
+
+    read = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(f"__{c}") for c in ("text", "lang", "source")])
+    return read.mapInArrow(run, docs.schema)

@@ -30,6 +30,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 SAMPLE_ROWS = 4000
+#: words that names in programs are made of; ordinary identifiers are joined from these and from words of the sample
+NAMES = (
+    "get set put add remove delete update insert create make build find load save read write open close start stop run call send receive parse format "
+    "check test validate convert copy move merge split join sort filter map reduce count sum max min average total first last next previous current old new "
+    "user account customer order item product price amount value number index key name title label text string list array table row column field record "
+    "file path folder directory image video audio page document paragraph sentence word token model layer weight bias batch size length width height depth "
+    "time date day month year hour minute second start end begin range interval timeout retry limit offset buffer cache queue stack tree node edge graph "
+    "config option setting parameter argument default version release build debug info warning error message log trace report summary result status state "
+    "server client request response header body session connection socket host port address network message event handler listener callback thread process "
+    "international national public private local global internal external temporary permanent maximum minimum quick brown fox house garden water music"
+).split()
 MASK = "[SECRET]"
 
 
@@ -103,7 +114,10 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Ma
         if len(plain) < 60_000:
             plain.update(re.findall(r"[A-Za-z]{2,}", text, re.A)[:4000])
     secrets = [x for s in sorted(found) if (x := "".join(c for c in s if c in _ALPHABET)) and len(x) >= 16]
-    words = sorted(plain) or ["get", "value", "item", "index", "user", "name", "data", "list", "count", "page", "time", "file"]
+    words, half = sorted(plain), list(NAMES)
+    while words and len(half) < len(words):
+        half += NAMES
+    words += half
     rng = np.random.default_rng(seed)
     made = []
     for k in range(20_000):
