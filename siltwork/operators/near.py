@@ -20,16 +20,22 @@ WIDTH, HASHES, BANDS = 3, 64, 16
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
     """Distinct runs of lower-case words; a shorter text is one run."""
-    w = F.transform(X.words(text), F.lower)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
-    return F.when(F.size(w) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    return X.bound(F.transform(X.words(text), F.lower), runs)
 
 
 def minhash(sets: Column, hashes: int = HASHES) -> Column:
     """Minima of the set under so many hash functions; empty for an empty set."""
-    hashed = F.transform(sets, lambda s: F.xxhash64(s))
-    mins = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, i))))
-    return F.when(F.size(sets) > 0, mins).otherwise(F.array().cast("array<bigint>"))
+
+    def mins(hashed: Column) -> Column:
+        low = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, i))))
+        return F.when(F.size(hashed) > 0, low).otherwise(F.array().cast("array<bigint>"))
+
+    return X.bound(F.transform(sets, lambda s: F.xxhash64(s)), mins)
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -39,7 +45,12 @@ def signature_similarity(a: Column, b: Column) -> Column:
 
 def band_keys(signature: Column, bands: int = BANDS, hashes: int = HASHES) -> Column:
     rows = hashes // bands
-    return F.when(F.size(signature) > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(signature, b * rows + 1, rows)))).otherwise(F.array().cast("array<bigint>"))
+
+    def keys(sig: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(sig, b * rows + 1, rows)))
+        return F.when(F.size(sig) > 0, made).otherwise(F.array().cast("array<bigint>"))
+
+    return X.bound(signature, keys)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -43,7 +43,8 @@ def standardize_null_tokens(df, columns):
     return each(df, [c for c in columns if is_text(df, c)], lambda c: F.when(~V.is_missing(c), c))
 
 
-@op("table text", "mask_injection_text", "lossy", "sentences that try to steer a reader are masked", needs_columns=True)
+@op("table", "mask_injection_text", "lossy", "sentences that try to steer a reader are masked", needs_columns=True)
+@op("text", "mask_injection_text", "lossy", "sentences that try to steer a reader are masked")
 def mask_injection_text(df, columns):
     return each(df, columns or ["text"], X.mask_injection)
 

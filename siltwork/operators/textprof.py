@@ -95,7 +95,7 @@ def document_terms(df: DataFrame, k: int = 15, bigrams: bool = False, stop: froz
     w = _tokens(F.col("text"))
     w = F.filter(w, lambda x: (F.length(x) >= 3) & ~x.isin(*stop)) if stop else w
     if bigrams:
-        w = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1))))
+        w = X.bound(w, lambda v: F.when(F.size(v) > 1, F.transform(F.slice(v, F.lit(1), F.size(v) - 1), lambda x, i: F.concat_ws(" ", x, F.element_at(v, i + 2)))))
     terms = df.select(F.explode(F.array_distinct(w)).alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "term").limit(k)
 

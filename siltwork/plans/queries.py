@@ -414,11 +414,11 @@ def event_gaps(spark, d):
     return timeline.gaps(read_table(spark, d, "events"), "ts", "event_id", **GAPS)
 
 
-@query("""WITH e AS (SELECT cast(floor(epoch_us(ts) / 1e6 / 3600) * 3600 AS BIGINT) AS at, cast(user_id AS VARCHAR) AS source FROM events WHERE ts IS NOT NULL AND event_type = 'error'),
+@query("""WITH e AS (SELECT cast(floor(epoch_us(ts) / 1e6 / 3600) * 3600 AS BIGINT) AS slot, cast(user_id AS VARCHAR) AS source FROM events WHERE ts IS NOT NULL AND event_type = 'error'),
 z AS (SELECT count(*) AS n, greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 3600, 1.0) AS b, count(*) FILTER (event_type = 'error') AS k FROM events),
-h AS (SELECT at, count(*) AS c FROM e GROUP BY 1), hot AS (SELECT at FROM h, z WHERE c >= greatest(3.0, 1.5 * k / b) AND n >= 10),
-i AS (SELECT at, sum(f) OVER (ORDER BY at) AS island FROM (SELECT at, CASE WHEN at - lag(at) OVER (ORDER BY at) <= 7200 THEN 0 ELSE 1 END AS f FROM hot)),
-s AS (SELECT island, min(at) AS a, max(at) + 3600 AS b FROM i GROUP BY 1), x AS (SELECT a, b, source, count(*) AS c FROM s JOIN e ON at >= a AND at < b GROUP BY ALL)
+h AS (SELECT slot, count(*) AS c FROM e GROUP BY 1), hot AS (SELECT slot FROM h, z WHERE c >= greatest(3.0, 1.5 * k / b) AND n >= 10),
+i AS (SELECT slot, sum(f) OVER (ORDER BY slot) AS island FROM (SELECT slot, CASE WHEN slot - lag(slot) OVER (ORDER BY slot) <= 7200 THEN 0 ELSE 1 END AS f FROM hot)),
+s AS (SELECT island, min(slot) AS a, max(slot) + 3600 AS b FROM i GROUP BY 1), x AS (SELECT a, b, source, count(*) AS c FROM s JOIN e ON slot >= a AND slot < b GROUP BY ALL)
 SELECT make_timestamp(a * 1000000) AS start, make_timestamp(b * 1000000) AS "end", cast(sum(c) AS BIGINT) AS errors, round(100.0 * max(c) / sum(c), 4) AS top_share FROM x GROUP BY a, b ORDER BY errors DESC, start LIMIT 3""")
 def event_error_bursts(spark, d):
     return timeline.bursts(read_table(spark, d, "events"), "ts", F.col("event_type") == "error", "user_id", 3600, 3, 1.5, 7200)
@@ -485,11 +485,11 @@ def image_ops(spark, d):
     return df.select("rid")
 
 
-@query("""SELECT min(p_partkey) AS rid FROM part WHERE p_size / 50.0 < 0.97 AND p_size / 20.0 >= 0.3 AND p_size / 40000.0 <= 0.001 AND p_retailprice / 100 >= 10 GROUP BY p_type, p_size""")
+@query("""SELECT min(p_partkey) AS rid FROM part WHERE p_size / 50.0 < 0.97 AND p_size / 20.0 >= 0.3 AND p_size / 40000.0 <= 0.001 AND p_retailprice / 50 >= 10 GROUP BY p_type, p_size""")
 def audio_ops(spark, d):
     p = read_table(spark, d, "part")
     df = p.select(F.col("p_partkey").alias("rid"), F.col("p_name").alias("path"), F.md5(F.concat_ws("|", "p_type", "p_size")).alias("sha256"), F.lit(False).alias("corrupt"), (F.col("p_size") / 50.0).alias("silence_ratio"),
-                  (F.col("p_size") / 20.0).alias("duration"), (F.col("p_size") / 40000.0).alias("clipping"), (F.col("p_retailprice") / 100).alias("snr_db"))
+                  (F.col("p_size") / 20.0).alias("duration"), (F.col("p_size") / 40000.0).alias("clipping"), (F.col("p_retailprice") / 50).alias("snr_db"))
     for name in ("remove_corrupt", "drop_silent", "drop_too_short", "drop_clipped", "drop_noisy", "drop_exact_duplicates", "to_mono", "trim_silence", "convert_to_wav", "resample", "normalize_loudness"):
         df = apply_op(df, "audio", name)
     return df.select("rid")
@@ -505,11 +505,13 @@ def video_ops(spark, d):
     return df.select("rid")
 
 
-@query("""WITH h AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda k: CASE WHEN embedding[k + 1] > 0 THEN (1::BIGINT << (k - 1)) ELSE 0 END))::BIGINT AS h FROM embeddings)
+@query("""WITH v AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda k: CASE WHEN embedding[k + 1] > 0 THEN (1::BIGINT << (k - 1)) ELSE 0 END))::BIGINT AS h FROM embeddings), h AS (SELECT * FROM v UNION ALL SELECT vec_id + 1000000000, xor(h, 5) FROM v)
 SELECT x.vec_id AS a, y.vec_id AS b FROM h x JOIN h y ON x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= 3""")
 def hamming_pairs_embeddings(spark, d):
     bits = F.aggregate(F.sequence(F.lit(1), F.lit(63)), F.lit(0).cast("long"), lambda s, k: s + F.when(F.element_at("embedding", k + 1) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), k - 1)).otherwise(F.lit(0).cast("long")))
-    return near.hamming_pairs(read_table(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), bits.alias("h")), "h", 3)
+    v = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), bits.alias("h"))
+    twins = v.select((F.col("rid") + 1_000_000_000).alias("rid"), F.col("h").bitwiseXOR(F.lit(5).cast("long")).alias("h"))
+    return near.hamming_pairs(v.union(twins), "h", 3)
 
 
 @query("SELECT 'mean' AS claim_id, round(avg(o_totalprice), 2) AS value FROM orders UNION ALL SELECT 'parts', count(*)::DOUBLE FROM orders")

@@ -11,6 +11,7 @@ import zipfile
 from collections import Counter
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,8 +116,6 @@ _FOUND = T.StructType([T.StructField("modality", T.StringType()), T.StructField(
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """An entry per file below a folder: path, size, modality, format, detail, class (first folder); a distributed scan."""
-    import pandas as pd
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
     @F.pandas_udf(_FOUND)

@@ -14,9 +14,10 @@ def errors_per_bucket(events: DataFrame, ts: str, error: Column, bucket: str = "
     return events.withWatermark(ts, late).filter(error).groupBy(F.window(ts, bucket)).agg(F.count("*").alias("errors")).select("window.start", "window.end", "errors")
 
 
-def error_sessions(events: DataFrame, ts: str, error: Column, gap: str = "2 minutes", late: str = "10 minutes", least: int = 3) -> DataFrame:
-    out = events.withWatermark(ts, late).filter(error).groupBy(F.session_window(ts, gap)).agg(F.count("*").alias("errors"))
-    return out.select("session_window.start", "session_window.end", "errors").filter(F.col("errors") >= least)
+def error_sessions(events: DataFrame, ts: str, error: Column, source: str, gap: str = "2 minutes", late: str = "10 minutes", least: int = 3) -> DataFrame:
+    """Bursts per source: runs of errors with no more than a gap between them."""
+    out = events.withWatermark(ts, late).filter(error).groupBy(F.session_window(ts, gap), F.col(source)).agg(F.count("*").alias("errors"))
+    return out.select(F.col(source).alias("source"), "session_window.start", "session_window.end", "errors").filter(F.col("errors") >= least)
 
 
 def silences(events: DataFrame, ts: str, source: str, min_seconds: float = 300) -> DataFrame:
