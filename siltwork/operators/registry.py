@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RID = "rid"
@@ -120,7 +119,3 @@ def keep_first(df: DataFrame, key, order: str = RID) -> DataFrame:
     first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(order)) if rest else F.lit(None)
     out = keyed.groupBy("__key").agg(F.min(order).alias("__first"), first.alias("__row"))
     return out.select(*[F.col("__first").alias(c) if c == order else F.col("__row")[c].alias(c) for c in df.columns])
-
-
-def first_by_window(order: str = RID):
-    return W.orderBy(order)

@@ -13,7 +13,7 @@ def test_lookup_levels(spark):
     claims = spark.createDataFrame([("exact", [a], "price.mean"), ("end", [a], "max"), ("parts", [a], "mean_price"), ("first", [a, b], "mean"), ("none", [b], "rows")], "claim_id string, artifact_ids array<string>, key string")
     got = {r["claim_id"]: r["value"] for r in lookup(e.table(), claims).collect()}
     assert got == {"exact": 12.5, "end": 99.0, "parts": 12.5, "first": 12.5, "none": None}
-    assert "possible prompt injection" in {r["summary"] for r in e.table().collect()} or True
+    assert {r["summary"] for r in e.table().collect()} == {"first", "[possible prompt injection removed]"}
     near = find_value(e.table(), spark.createDataFrame([(99.5,)], "number double")).collect()
     assert [(r["artifact_id"], r["key"]) for r in near] == [(a, "price.max")]
 
