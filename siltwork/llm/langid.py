@@ -3,8 +3,8 @@
 Subwords are the runs of 3, 4 and 5 UTF-8 bytes of the lower-cased text that lie within a word and the spaces next to
 it; everything but letters counts as space. Each is hashed to a row of an embedding table; a text is the mean of its
 rows, and a linear layer with softmax gives the languages. Both layers are trained by stochastic gradient descent in
-numpy on a bounded sample of labelled texts: `sample_rows` at most, shared evenly between the languages, half of them
-also as a short piece, so that short texts are met. On a part held back, a temperature makes the scores probabilities,
+numpy on a bounded sample of labelled texts: about `sample_rows`, shared evenly between the MOST_LANGUAGES most frequent
+labels; each gives a random kilobyte of itself, and a few words in a row, so that short texts are met. On a part held back, a temperature makes the scores probabilities,
 and the score below which a prediction is marked as rejected is set so that accepted ones are right to `accuracy`.
 
 As mean and layer are both linear, predicting sums one small vector of scores per subword.

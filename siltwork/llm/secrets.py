@@ -112,7 +112,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Ma
             value = text[start:end]
             found.add(ASSIGN.match(value)[2] if kind == 0 else value)
         if len(plain) < 60_000:
-            plain.update(re.findall(r"[A-Za-z]{2,}", text, re.A)[:4000])
+            plain.update(re.findall(r"[A-Za-z]{2,}", text, re.A))
     secrets = [x for s in sorted(found) if (x := "".join(c for c in s if c in _ALPHABET)) and len(x) >= 16]
     words, half = sorted(plain), list(NAMES)
     while words and len(half) < len(words):
