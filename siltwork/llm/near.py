@@ -87,9 +87,12 @@ def _signed(held: list[tuple], near: Near, sign: MinHash) -> pa.RecordBatch:
     if not len(which):
         return _batch([], UNIT)
     k1, k2 = many_set_keys(s, starts)
-    keys = many_prefix_keys(sign, s, starts, near.groups, near.depth)
     n = np.diff(np.append(starts, len(s)))
-    offsets = pa.array(np.arange(0, keys.size + 1, near.groups), pa.int32())
+    # a set so small that one shingle more or less already takes it below the threshold has copies only, and needs no keys
+    keyed = n >= near.threshold * (n + 1) - 1e-9
+    large = s[np.repeat(keyed, n)]
+    keys = many_prefix_keys(sign, large, np.concatenate([[0], np.cumsum(n[keyed])[:-1]]), near.groups, near.depth) if len(large) else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(keyed, near.groups, 0))]), pa.int32())
     chosen = [held[k] for k in which.tolist()]
     kinds = to_arrow_schema(UNIT)
     lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))

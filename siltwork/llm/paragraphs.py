@@ -1,12 +1,13 @@
 """Substring dedup: near-duplicate paragraphs by MinHash banding, exact Jaccard verification and components.
 
-Paragraphs are the lines of a text. Those with `least_words` words or more get a signature, cut into bands of rows; the
+Paragraphs are the lines of a text. All that hold a word take part (`least_words` can ask for more); fewer than five words
+make one shorter shingle, so that such lines go as exact copies. A signature is cut into bands of rows; the
 numbers of bands and rows are tuned: of all settings that find a pair at the threshold with the target recall, the one
 with the fewest bands that still keeps pairs of similarity 0.3 apart often enough. Paragraphs that share a band are
 compared exactly (five-word sets, Jaccard 0.8 or more), and of each connected component of similar paragraphs only the
 first one stays, by doc_id, then place in the text. All others are cut out of their texts.
 
-Defined cases: null texts stay null, empty ones empty; paragraphs with fewer words stay; rows that repeat both id and
+Defined cases: null texts stay null, empty ones empty; paragraphs without a word stay; rows that repeat both id and
 text keep the same paragraphs; documents with a null id come last; an empty table gives
 no rows; columns beyond doc_id and text are not read.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from siltwork.llm.near import Near, near_classes, place, row_key
 
-LEAST_WORDS, RECALL, FALSE = 10, 0.995, 0.25
+LEAST_WORDS, RECALL, FALSE = 1, 0.995, 0.25
 
 
 def lines_of(text: str) -> list[tuple[int, int]]:

@@ -107,3 +107,14 @@ def test_paragraphs_agree_with_all_pairs(spark):
         assert got[k].text == "\n".join(left)
         assert got[k].n_removed == len(t.split("\n")) - len(left)
         assert set(got[k].kept_in) == {root[(k, j)][0] for j in got[k].removed}
+
+
+def test_short_paragraphs_take_part(spark):
+    nine, five = "one two three four five six seven eight nine", "a b c d e"
+    rows = [(1, f"{nine}\n{five}\nyes\n\n!!"), (2, f"{five.upper()}\nnew\nYes.\n\n!!"), (3, f"zero {nine}\n{nine} ten eleven\n{nine}"), (4, "a b c d e f")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in paragraphs.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # five of six shingles are shared with the line of ten words, five of seven with that of eleven
+    assert got == {1: (rows[0][1], 0), 2: ("new\n\n!!", 2), 3: (f"{nine} ten eleven", 2), 4: ("a b c d e f", 0)}
+    passage = "\n".join(f"passage line {k} of eight words in all" for k in range(9))
+    twice = paragraphs.dedup(spark.createDataFrame([(1, passage), (2, "own words\n" + passage)], SCHEMA)).collect()
+    assert {r.doc_id: r.text for r in twice} == {1: passage, 2: "own words"}
