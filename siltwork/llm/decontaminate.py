@@ -6,7 +6,9 @@ hit; an item shorter than the window is one window as a whole. Spans of hit word
 more than a limit is hit are dropped.
 
 The automaton lives in each Python worker. Its size follows the test items, not the corpus, and is bounded by parts of
-at most `part_words` item words: larger benchmarks are split into parts, one pass over the (marked) documents each.
+at most `part_words` item words: larger benchmarks are split into parts, one pass over the (marked) documents each. The
+spans of all parts are put together before the limit is applied and anything is cut, and texts that were cut are scanned
+for all parts again, so that results do not depend on the number of parts.
 
 Defined cases: null or wordless texts have no words and are never contaminated; null or wordless items match nothing; a
 null item_id counts as an item whose id is the empty string; repeated documents each get their own row; an empty
@@ -16,13 +18,17 @@ benchmark leaves all documents clean; columns of other names are carried along o
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltwork.llm.arrow import map_texts, once_per_batch, replace_text
 from siltwork.llm.text import fold, word_spans, words
+from siltwork.session import cut_lineage
 
 WINDOW = 10
 PART_WORDS = 250_000
@@ -176,7 +182,7 @@ SPANS = T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))
 MARKS = [T.StructField("n_words", T.LongType()), SPANS, T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def _merged(a: list[list[int]]) -> list[list[int]]:
+def _joined(a: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for s, e in sorted(a):
         if out and s <= out[-1][1]:
@@ -226,6 +232,20 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast(SPANS.dataType), add)
 
 
+def _cut(text: str, spans: list[list[int]], s: np.ndarray, e: np.ndarray) -> str:
+    """The text without the words of the spans; words stand at the byte offsets [s, e)."""
+    raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
+    for a, b in spans:
+        out.append(raw[at : s[a]])
+        at = int(e[b - 1])
+    out.append(raw[at:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
+
+
+def _covered(spans: list[list[int]], n_words: int, max_coverage: float) -> bool:
+    return sum(b - a for a, b in spans) > max_coverage * n_words
+
+
 def strip_text(text: str | None, auto: SuffixAutomaton, max_coverage: float) -> str | None:
     """The text without its hit spans, until none is left; null if more than max_coverage of its words is hit."""
     first = True
@@ -235,30 +255,66 @@ def strip_text(text: str | None, auto: SuffixAutomaton, max_coverage: float) ->
         if not spans:
             return text
         s, e = word_spans(folded)
-        if first and sum(b - a for a, b in spans) > max_coverage * len(s):
+        if first and _covered(spans, len(s), max_coverage):
             return None
         first = False
-        raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
-        for a, b in spans:
-            out.append(raw[at : s[a]])
-            at = int(e[b - 1])
-        out.append(raw[at:])
-        text = b"".join(out).decode("utf-8", "surrogatepass")
+        text = _cut(text, spans, s, e)
     return text
 
 
+def _with_spans(part: _Part, window: int):
+    """A column function of texts and spans found so far, as pairs of 32-bit numbers, that adds those of a part."""
+
+    def run(texts: pd.Series, held: pd.Series) -> pd.Series:
+        auto = _automaton(part, window)[0]
+        return pd.Series([bytes(b) + np.array(auto.scan(words(t))[0], np.int32).tobytes() for t, b in zip(texts, held)], dtype=object)
+
+    return F.pandas_udf(run, "binary").asNondeterministic()
+
+
+def _without_spans(max_coverage: float | None):
+    """A column function that cuts the spans of all parts out of texts; null where they cover more than max_coverage."""
+
+    def run(texts: pd.Series, held: pd.Series) -> pd.Series:
+        out = []
+        for text, pairs in zip(texts, held):
+            spans = _joined(np.frombuffer(pairs, np.int32).reshape(-1, 2).tolist())
+            s, e = word_spans(fold(text))
+            over = max_coverage is not None and _covered(spans, len(s), max_coverage)
+            out.append(None if over else _cut(text, spans, s, e))
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "string").asNondeterministic()
+
+
+def _strip_in_parts(docs: DataFrame, parts: list[_Part], window: int, max_coverage: float) -> DataFrame:
+    """What strip_text gives with one automaton of all parts: a round for each time a text is cut, of those texts only."""
+    done, rest, limit = [], docs, max_coverage
+    while True:
+        rest = rest.withColumn("__spans", F.lit(b""))
+        for part in parts:
+            rest = rest.withColumn("__spans", _with_spans(part, window)(F.col("text"), F.col("__spans")))
+        marked = cut_lineage(rest)
+        done.append(marked.filter(F.length("__spans") == 0).drop("__spans"))
+        hit = marked.filter(F.length("__spans") > 0)
+        if hit.isEmpty():
+            return reduce(DataFrame.union, done)
+        rest, limit = replace_text(hit, _without_spans(limit)(F.col("text"), F.col("__spans"))).drop("__spans"), None
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, part_words: int = PART_WORDS) -> DataFrame:
     """docs without the passages they share with test items, and without documents made of them for the most part.
 
     Columns stay as they are, but that n_chars, where there is one, follows a changed text. Null texts stay.
     """
-    for part in item_parts(benchmark, part_words):
+    parts = item_parts(benchmark, part_words)
+    if len(parts) > 1:
+        return _strip_in_parts(docs, parts, window, max_coverage)
 
-        def clean(text: str | None, part=part) -> str | None:
-            return strip_text(text, _automaton(part, window)[0], max_coverage)
+    def clean(text: str | None, part=parts[0]) -> str | None:
+        return strip_text(text, _automaton(part, window)[0], max_coverage)
 
-        docs = replace_text(docs, once_per_batch(clean)(F.col("text")))
-    return docs
+    return replace_text(docs, once_per_batch(clean)(F.col("text")))
 
 
 def digest(marked: DataFrame) -> DataFrame:

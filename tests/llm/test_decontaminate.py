@@ -44,3 +44,21 @@ def test_empty(spark):
     assert D.digest(D.mark(d.limit(0), i)).count() == 0
     extra = d.selectExpr("*", "7 AS n_chars", "'s' AS spans")
     assert [tuple(r) for r in D.decontaminate(extra, i).collect()] == [(1, "a b", 7, "s")]
+
+
+def test_parts_change_nothing(spark):
+    items = [(str(k), " ".join(f"i{k}w{j}" for j in range(20))) for k in range(8)]
+    own = " ".join(f"o{j}" for j in range(10))
+    docs = [(k, f"{items[k][1]} {own} {items[(k + 1) % 8][1]}") for k in range(8)]  # 80% hit, 40% by each of two items
+    for k in range(8):  # cutting one item joins the halves of another
+        a, b = items[k][1].split(), items[(k + 1) % 8][1]
+        docs.append((8 + k, f"{' '.join(a[:9])} {b} {' '.join(a[9:18])} {' '.join([own] * 6)}"))
+    extra, more = cases(5)
+    docs += [(100 + (k or 0), t) for k, t in extra]
+    d = spark.createDataFrame([(k, t, len(t or "")) for k, t in docs], f"{SCHEMA}, n_chars int")
+    i = spark.createDataFrame(items + more, "item_id string, text string")
+    for limit in (0.5, 1.0):
+        one, many = ([tuple(r) for r in D.decontaminate(d, i, max_coverage=limit, part_words=p).collect()] for p in (D.PART_WORDS, 60))
+        assert len(D.item_parts(i, 60)) > 1
+        assert sorted(one, key=str) == sorted(many, key=str)
+        assert limit == 1.0 or not any(r[0] < 8 for r in many)
