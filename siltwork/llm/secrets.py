@@ -5,8 +5,8 @@ random strings, one of ordinary identifiers and words. A run of 16 or more key c
 secret if the log-likelihood ratio of the two models, per character, is above a threshold set on samples held out.
 
 The models learn from labelled samples: secrets that the patterns find in a bounded sample of documents and strings
-drawn at random from the usual alphabets (positive), other runs of that sample and identifiers joined from its words
-(negative). `sample_rows` documents at most, with the smallest hashes, are read for it.
+drawn at random from the usual alphabets (positive), words of that sample, long words, identifiers joined from words, and
+rules and repeats of few characters (negative). Whether a run holds digits does not matter. `sample_rows` documents at most, with the smallest hashes, are read for it.
 
 Defined cases: a null text is empty; empty texts have no spans; repeated rows give equal rows; an empty table gives none,
 and the models then learn from the drawn strings alone; further columns are not read.
@@ -41,6 +41,16 @@ NAMES = (
     "server client request response header body session connection socket host port address network message event handler listener callback thread process "
     "international national public private local global internal external temporary permanent maximum minimum quick brown fox house garden water music"
 ).split()
+#: long words of the four languages
+LONG_WORDS = (
+    "characteristically counterrevolutionary disproportionately electromagnetically incomprehensibility internationalization interdisciplinary misunderstanding "
+    "notwithstanding oversimplification psychophysiological responsibilities straightforwardness telecommunications uncharacteristically unconstitutional "
+    "arbeitsunfaehigkeitsbescheinigung aufenthaltsgenehmigung bezirksschornsteinfegermeister durchschnittsgeschwindigkeit freundschaftsbeziehungen "
+    "gesellschaftsordnung krankenversicherung lebensversicherungsgesellschaft rechtsschutzversicherung schifffahrtskapitaen verantwortungsbewusstsein wissenschaftler "
+    "administrativement constitutionnellement convenablement disproportionnellement extraordinairement gouvernementalement industrialisation intergouvernemental "
+    "professionnellement respectueusement responsabilisation successivement administrativamente caracteristicamente constitucionalidad desafortunadamente "
+    "electrocardiograma extraordinariamente internacionalizacion interdisciplinariedad otorrinolaringologo particularmente responsabilidades sustancialmente"
+).split()
 MASK = "[SECRET]"
 
 
@@ -101,6 +111,15 @@ def drawn_strings(n: int, seed: int = 11) -> list[str]:
     return ["".join(rng.choice(list((hexes, upper, b64, b64)[k % 4]), int(rng.integers(16, 48)))) for k in range(n)]
 
 
+def rules_and_repeats() -> list[str]:
+    """Lines drawn with signs, borders of tables, and one or two letters over and over."""
+    signs, letters = "+/_=-", _ALPHABET[:52]
+    units = [*signs, *letters, *(a + b for a in signs for b in signs if a != b), *(a + b for a in letters[:26] for b in letters[:26] if a != b)]
+    out = [(u * 48)[:n] for u in units for n in (16, 17, 24, 40)]
+    out += [("+" + c * w) * k + "+" for c in "-=" for w in range(2, 20) for k in range(1, 9)]
+    return [s for s in out if len(s) >= 16]
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> MarkovPair:
     """Models from at most sample_rows documents; whole texts of the sample are read, one after the other."""
     texts = bounded_sample(docs.select("doc_id", "text"), sample_rows, seed).filter("text is not null").select("text")
@@ -114,19 +133,22 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Ma
         if len(plain) < 60_000:
             plain.update(re.findall(r"[A-Za-z]{2,}", text, re.A))
     secrets = [x for s in sorted(found) if (x := "".join(c for c in s if c in _ALPHABET)) and len(x) >= 16]
-    words, half = sorted(plain), list(NAMES)
+    words, half = sorted(plain), [*NAMES, *LONG_WORDS]
     while words and len(half) < len(words):
-        half += NAMES
+        half += [*NAMES, *LONG_WORDS]
     words += half
     rng = np.random.default_rng(seed)
     made = []
-    for k in range(20_000):
+    for k in range(32_000):
         parts = [words[j] for j in rng.integers(0, len(words), int(rng.integers(2, 5)))]
-        style = k % 5
+        style = k % 8
         s = "_".join(parts).lower() if style == 0 else "".join(p.capitalize() for p in parts) if style == 1 else "-".join(parts)
         s = "_".join(parts).upper() if style == 3 else "/".join(parts).lower() + str(int(rng.integers(0, 100))) if style == 4 else s
+        if style >= 5:
+            first = parts[0].lower() if style == 5 else parts[0].upper() if style == 6 else parts[0].capitalize()
+            s = first + "".join(p.lower() if style == 7 else p.capitalize() for p in parts[1:])
         made.append(s)
-    ordinary = [*words, *made]
+    ordinary = [*words, *made, *rules_and_repeats()]
     random = [*drawn_strings(6000, seed), *secrets]
     model = MarkovPair(random[::2], ordinary[::2])
     model.calibrate([s for s in random[1::2]], [s for s in ordinary[1::2] if len(s) >= 16])
@@ -149,7 +171,7 @@ def all_spans(text: str, model: MarkovPair) -> tuple[list[tuple[int, int, int]],
             k += 1
         if k < len(taken) and taken[k][0] < b:
             continue
-        if any(c.isdigit() for c in m[0]) and model.score(m[0]) > model.threshold:
+        if model.score(m[0]) > model.threshold:
             more.append((a, 3, b))
     return base, sorted(base + more)
 

@@ -56,3 +56,14 @@ def test_redact(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert S.scan(none, S.train(none)).count() == 0
+
+
+def test_keys_without_digits(spark):
+    keys = ["GhTqLmZxRvBnKwPsDfYc", "qZkxLwVbRtJpNsXyHmGd", "XKQZJVWPLMNBTRGHFDSC"]
+    plain = ["-" * 20, "=" * 30, "_" * 16, "+-----+-----+-----+", "xxxxxxxxxxxxxxxxxxxx", "incomprehensibilities", "getElementByIdAndName", "Geschwindigkeitsbegrenzung", "desproporcionadamente"]
+    docs = spark.createDataFrame([(k, f"before {x} after") for k, x in enumerate(keys + plain)], "doc_id long, text string")
+    model = S.train(docs.limit(0))
+    got = {r.doc_id: (r.n_markov, r.spans) for r in S.digest(S.scan(docs, model)).collect()}
+    assert got == {k: (1, f"markov:7:{7 + len(x)}") if k < len(keys) else (0, "") for k, x in enumerate(keys + plain)}
+    masked = {r.doc_id: r.text for r in S.redact(docs, model).collect()}
+    assert masked == {k: f"before {S.MASK if k < len(keys) else x} after" for k, x in enumerate(keys + plain)}
