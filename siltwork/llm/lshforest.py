@@ -1,9 +1,9 @@
-"""N-gram Jaccard join of documents with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join of documents with MinHash banding and exact verification.
 
-Each of `trees` prefix tries holds the documents under a signature of `deepest` minima. Two documents that agree on a
-prefix of some tree are candidates. Prefixes are shortened from the full depth until a pair at the threshold is found
-with at least the target recall, 1 - (1 - s^depth)^trees; as nodes of the tries are sorted runs of equal prefixes, a trie
-cut at this depth is the hash of the prefix. Candidates are verified exactly, see near.
+Fixed banding stands in for the prefix tries of a forest: one depth, the longest with which a pair at the threshold is
+found with at least the target recall, 1 - (1 - s^depth)^trees, is worked out from constants, each of `trees` bands is
+the hash of that many minima, and documents with equal hashes are candidates. Nothing is shortened by what was matched.
+Candidates are verified exactly, see near.
 
 Result: one row per row of the documents with the class (least doc_id among documents linked directly or over others),
 the set of copies (least doc_id with the same words in a row) and the number of documents whose five-word sets have a
