@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.session import cut_lineage
+from siltwork.session import cut_lineage, free
 
 MOST_ROUNDS = 60
 
@@ -13,23 +13,24 @@ MOST_ROUNDS = 60
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, label) for all ids in them; label is the least id of the component.
 
-    Each round moves, for every id, its edges to larger neighbours onto its least neighbour, then its edges to smaller
-    ones onto the least of these. The minima come from partial aggregation and are joined back, so that a hub with many
-    edges is spread over tasks. It ends when every id has one edge, to a root.
+    An edge is held once, as (u, v) with u > v. A round moves v to the least neighbour of v (large star), then all
+    smaller neighbours of u, and u, onto the least of them (small star). The minima come from partial aggregation into a
+    table of their own, so that the joins with them are plain ones: small tables are broadcast, and the many edges of a
+    hub are split among tasks. It ends with a round that changes nothing; then each id has one edge, to a root.
     """
     e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(MOST_ROUNDS):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        up = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        own = low.filter("m < u").select("u", F.col("m").alias("v"))
-        large = up.union(own).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        moved = large.join(least.filter("n > 1"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(least.select("u", F.col("m").alias("v")).union(moved).distinct())
-        twice = e.groupBy("u").count().filter("count > 1").select("u")
-        between = e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi")
-        if twice.union(between).isEmpty():
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
+        moved = e.select("u", "v").join(low, "v").groupBy("u", "m").agg(F.max(F.col("m") < F.col("v")).alias("moved"))
+        star = cut_lineage(moved.select("u", F.col("m").alias("v"), "moved"))
+        free(e, low)
+        least = cut_lineage(star.groupBy("u").agg(F.min("v").alias("m"), F.max("moved").alias("moved")))
+        moved = star.join(least.select("u", "m"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
+        kept = least.select("u", F.col("m").alias("v"), "moved")
+        e = cut_lineage(kept.union(moved).groupBy("u", "v").agg(F.max("moved").alias("moved")))
+        free(star, least)
+        if not e.agg(F.max("moved")).first()[0]:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -1,12 +1,18 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults, and tables written to the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes the shuffle files of a write once it is done
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -23,19 +29,45 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; set one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "siltwork-checkpoints"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only on one machine may it be unset, and is one set here."""
+    conf = spark.sparkContext.getConf()
+    named = spark.sparkContext.getCheckpointDir() or conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "siltwork-checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a Parquet table in the shared folder and read it from there.
+
+    Lost executors then cost no recomputing, columns that aren't asked for aren't read again, and the planner knows the
+    table's size. The shuffle files of the write go at its end. `free` deletes the table; one that a result still reads
+    stays, as checkpoint files do.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/siltwork-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that cut_lineage has written; nothing may read them later."""
+    for df in tables:
+        path = _written.pop(df, None)
+        if path is not None:
+            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
