@@ -1,71 +1,75 @@
-"""N-gram Jaccard join of documents with MinHash banding and exact verification.
+"""N-gram Jaccard join of documents with a MinHash LSH forest and exact verification.
 
-Fixed banding stands in for the prefix tries of a forest: one depth, the longest with which a pair at the threshold is
-found with at least the target recall, 1 - (1 - s^depth)^trees, is worked out from constants, each of `trees` bands is
-the hash of that many minima, and documents with equal hashes are candidates. Nothing is shortened by what was matched.
-Candidates are verified exactly, see near.
+Each of `trees` prefix tries holds the signatures of all documents, as labels of `deepest` minima that sort in the order
+of the trie. Documents that share a prefix in a trie are candidates; prefixes start at full length and are shortened,
+minimum by minimum, until the recall estimated from the verified links reaches the target, or the length with which a
+pair at the threshold itself is found with that chance, see near. All candidates are verified exactly.
 
 Result: one row per row of the documents with the class (least doc_id among documents linked directly or over others),
 the set of copies (least doc_id with the same words in a row) and the number of documents whose five-word sets have a
 Jaccard similarity of 0.8 or more with its own, copies included.
 
 Defined cases: documents without a word (null, empty) have class and copies of their own and no links; documents with a
-null id take the class of their copies and are never left out; fewer than five words make one shorter shingle; repeated rows are copies of each
-other; an empty table gives no rows; columns beyond doc_id and text are not read.
+null id take the class of their copies, and a class of such documents only has a null class_id; fewer than five words
+make one shorter shingle; repeated rows are copies of each other; very long texts are hashed whole, in pieces; ties of
+ids are told apart by the hash of the text; an empty table gives no rows; columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltwork.llm.near import Near, near_classes, row_key, units_of
-from siltwork.session import cut_lineage
+from siltwork.llm.near import Near, near_classes, recall_at, row_key
+from siltwork.session import cut_lineage, free
 
 TREES, DEEPEST, RECALL = 24, 8, 0.9999
 
 
-def recall_at(similarity: float, trees: int, depth: int) -> float:
-    return 1 - (1 - similarity**depth) ** trees
+def shortest(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = RECALL) -> int:
+    """The longest prefix with which the target recall is reached at the threshold."""
+    return next((d for d in range(deepest, 1, -1) if recall_at(threshold, trees, d) >= target), 1)
 
 
-def shortened(threshold: float, trees: int = TREES, deepest: int = DEEPEST, target: float = RECALL) -> int:
-    """The longest prefix with which the target recall is reached at the threshold."""
-    depth = deepest
-    while depth > 1 and recall_at(threshold, trees, depth) < target:
-        depth -= 1
-    return depth
+def forest(threshold: float = 0.8, width: int = 5, trees: int = TREES, deepest: int = DEEPEST, target: float = RECALL) -> Near:
+    return Near(groups=trees, deepest=deepest, shortest=shortest(threshold, trees, deepest, target), bytes_each=2, width=width, threshold=threshold, target=target)
 
 
-def join(docs: DataFrame, threshold: float = 0.8, width: int = 5, trees: int = TREES, deepest: int = DEEPEST, target: float = RECALL) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, h, class_id, copy_id, n_links; h tells rows with one id apart."""
-    near = Near(groups=trees, depth=shortened(threshold, trees, deepest, target), width=width, threshold=threshold)
+def join_with_report(docs: DataFrame, near: Near | None = None) -> tuple[DataFrame, dict]:
+    """docs (doc_id, text) -> (doc_id, h, class_id, copy_id, n_links, stays) and the forest's report; h tells rows with one
+    id apart, stays marks one (doc_id, h) of each class: the least id, nulls last, then the least h."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    units, classes = near_classes(docs, near)
-    classes = cut_lineage(classes)
-    heads = classes.groupBy("label").agg(F.min("rep.doc_id").alias("class_id"))
+    units, classes, report = near_classes(docs, near or forest())
+    heads = classes.groupBy("label").agg(F.min("rep").alias("first"), F.min("rep.doc_id").alias("class_id"))
     per_class = classes.join(heads, "label").select(
-        "k1", "k2", "class_id", F.col("rep.doc_id").alias("copy_id"), (F.col("links") + F.col("copies") - 1).alias("n_links")
+        "k1", "k2", "class_id", F.col("rep.doc_id").alias("copy_id"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "first"
     )
-    found = units.select("doc_id", "h", "k1", "k2").join(per_class, ["k1", "k2"]).drop("k1", "k2")
-    rest = wordless(docs)
-    return found.union(rest.select("doc_id", "h", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links")))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    found = units.select("doc_id", "h", "k1", "k2").join(per_class, ["k1", "k2"]).select("doc_id", "h", "class_id", "copy_id", "n_links", stays.alias("stays"))
+    own = F.col("doc_id")
+    rest = docs.filter(~has_word()).select("doc_id", row_key().alias("h"), own.alias("class_id"), own.alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    return found.union(rest), report
+
+
+def join(docs: DataFrame, near: Near | None = None) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, h, class_id, copy_id, n_links."""
+    return join_with_report(docs, near)[0].drop("stays")
 
 
-def wordless(docs: DataFrame) -> DataFrame:
-    """The rows without a word."""
-    return docs.filter(~F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))).select("doc_id", row_key().alias("h"))
+def has_word() -> Column:
+    return F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class, that with the least id; documents without words or id all stay."""
-    told = cut_lineage(join(docs, **options))
-    lost = told.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
-    # rows that repeat both id and text
-    first = told.filter((F.col("doc_id") == F.col("class_id")) & (F.col("n_links") > 0))
-    again = first.groupBy("doc_id", "h").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    key = (F.col("doc_id").cast("long") == F.col("__id")) & (row_key() == F.col("__h"))
+def keep_one(docs: DataFrame, near: Near | None = None) -> DataFrame:
+    """docs with one document of each class: that with the least id, those without an id last, then the least hash of
+    its text. Documents without a word all stay; of rows that repeat id and text of the one that stays, one does."""
+    told = cut_lineage(join_with_report(docs, near)[0])
+    lost = told.filter(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    again = told.filter(F.col("stays") & (F.col("n_links") > 0)).groupBy("doc_id", "h").count().filter("count > 1")
+    again = cut_lineage(again.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (row_key() == F.col("__h"))
     if again.isEmpty():
+        free(again)
         return docs.join(lost, key, "left_anti")
     once = docs.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(lost.union(again), key, "left_anti").unionByName(once)

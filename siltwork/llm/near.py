@@ -1,13 +1,19 @@
-"""Near-duplicate units (documents, paragraphs): candidates by MinHash keys, exact Jaccard links, classes.
-
-A unit is a text, or a part of it; its set is that of the hashes of five words in a row. Units with equal sets are
-copies and stand together as one class from the start, so that groups of copies cost no pairs. Classes that share one
-of several keys (prefixes of signatures, see lshforest, or bands, see paragraphs) are candidates: each is tied to the
-least class of the key, and the connected components of these ties hold every pair that shares a key. Within a
-component all pairs are compared exactly, in cells of two blocks of classes, each of bounded size; cells give links
-counted per class and ties to one member, never lists of pairs. Components of the linked classes are the groups.
-
-Only classes in a component are compared, and only their texts are read a second time.
+"""Near-duplicate units (documents, paragraphs): candidates by MinHash prefixes, exact Jaccard links, classes.
+
+A unit is a text, or a part of it; its set is that of the hashes of five words in a row. Units with equal sets (128
+bits) are copies and stand together as one class from the start, so that groups of copies cost no pairs; classes are
+numbered when they are written. The signature of a class is `groups` labels of `deepest` minima each. Classes whose
+labels begin alike in one group share a prefix; each is tied to the least class of the prefix, and the connected
+components of these ties hold every pair that shares one. Within a component all pairs are compared exactly, in cells of
+two blocks of classes, each of bounded size; cells give links counted per class and ties to one member, never lists of
+pairs. Components of the linked classes are the groups.
+
+Prefixes start at their longest and are shortened adaptively: the similarity of each link found tells how likely such a
+link is found with prefixes of that length, so that the links found estimate those missed. While the estimated recall is
+below the target, prefixes lose a minimum, and only components that grow by it are compared again. The shortest length
+is the one that reaches the target at the threshold itself. With one length (banding) there is a single round.
+
+Only classes that share a prefix of the shortest length are read a second time, for their sets.
 """
 
 from __future__ import annotations
@@ -24,25 +30,32 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltwork.operators.graph import components
-from siltwork.llm.text import MinHash, fold, many_prefix_keys, many_set_keys, many_shingles, shingle_set, word_hashes
-from siltwork.session import cut_lineage
+from siltwork.llm.text import MinHash, fold, many_set_keys, many_shingles, shingle_set, word_hashes
+from siltwork.session import cut_lineage, free
 
 #: shingles in a block; with more than MOST_BLOCKS of that size, blocks grow up to LARGE_BLOCK
-SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK = 1 << 13, 40, 1 << 20
+SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK = 1 << 17, 16, 1 << 20
 #: bytes of text that are hashed at once, and shingles of small components that are compared in one group of rows
 PIECE, BUNDLE = 1 << 17, 1 << 15
 _U = np.uint64
 
 
+def recall_at(similarity, groups: int, depth: int):
+    """The chance that two sets of that similarity share a prefix of depth minima in one of the groups."""
+    return 1 - (1 - similarity**depth) ** groups
+
+
 @dataclass(frozen=True)
 class Near:
-    """groups keys of depth minima each; width words in a shingle; links from a Jaccard similarity of threshold on."""
+    """groups labels of deepest minima each, shortened to shortest at most; links from a Jaccard similarity of threshold on."""
 
     groups: int
-    depth: int
+    deepest: int
+    shortest: int
+    bytes_each: int  # of a minimum that a label keeps
     width: int = 5
     threshold: float = 0.8
-    least_words: int = 1
+    target: float = 1.0
     seed: int = 1
     split: Callable[[str], list[tuple[int, int]]] | None = None  # parts of a text as [from, to); none: the text is the unit
 
@@ -53,20 +66,24 @@ class Near:
             return [(0, text)]
         return [(k, text[a:b]) for k, (a, b) in enumerate(self.split(text))]
 
-    def shingles(self, text: str) -> np.ndarray:
-        h = word_hashes(fold(text))
-        return shingle_set(h, self.width) if len(h) >= self.least_words else h[:0]
+    def depths(self) -> range:
+        return range(self.deepest, self.shortest - 1, -1)
+
+    def prefix(self, group: Column, depth: int) -> Column:
+        """One number for the first depth minima of a group's label."""
+        at = group * (self.deepest * self.bytes_each) + 1
+        return F.xxhash64(group, F.substring(F.col("sig"), at, F.lit(depth * self.bytes_each)))
 
 
 UNIT = T.StructType(
     [
         T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("part", T.IntegerType()),
-        T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()),
     ]
 )
 
 
-def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+def as_batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
     kinds = to_arrow_schema(schema)
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds.field(k).type) for k in range(len(kinds))], schema=kinds)
 
@@ -83,28 +100,29 @@ def place() -> Column:
 
 def _signed(held: list[tuple], near: Near, sign: MinHash) -> pa.RecordBatch:
     """(doc_id, h, part, folded text) of some units as rows of UNIT, all worked out at once."""
-    s, starts, which = many_shingles([x[3] for x in held], near.width, near.least_words)
+    s, starts, which = many_shingles([x[3] for x in held], near.width)
     if not len(which):
-        return _batch([], UNIT)
+        return as_batch([], UNIT)
     k1, k2 = many_set_keys(s, starts)
     n = np.diff(np.append(starts, len(s)))
-    # a set so small that one shingle more or less already takes it below the threshold has copies only, and needs no keys
+    # a set so small that one shingle more or less already takes it below the threshold has copies only, and needs no signature
     keyed = n >= near.threshold * (n + 1) - 1e-9
     large = s[np.repeat(keyed, n)]
-    keys = many_prefix_keys(sign, large, np.concatenate([[0], np.cumsum(n[keyed])[:-1]]), near.groups, near.depth) if len(large) else np.zeros(0, np.int64)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(keyed, near.groups, 0))]), pa.int32())
+    sigs = iter(sign.labels(large, np.concatenate([[0], np.cumsum(n[keyed])[:-1]]), near.bytes_each) if len(large) else [])
     chosen = [held[k] for k in which.tolist()]
     kinds = to_arrow_schema(UNIT)
-    lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
-    columns = [*(pa.array([x[k] for x in chosen], kinds.field(k).type) for k in range(3)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int64)), lists.cast(kinds.field(6).type)]
+    columns = [
+        *(pa.array([x[k] for x in chosen], kinds.field(k).type) for k in range(3)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int64)),
+        pa.array([next(sigs) if x else None for x in keyed.tolist()], kinds.field(6).type),
+    ]
     return pa.RecordBatch.from_arrays(columns, schema=kinds)
 
 
 def units_of(docs: DataFrame, near: Near) -> DataFrame:
-    """docs (doc_id, text) -> a row for each unit with words enough: doc_id, h, part, k1, k2, n, keys."""
+    """docs (doc_id, text) -> a row for each unit with a word: doc_id, h, part, k1, k2, n, sig."""
 
     def run(batches):
-        sign = MinHash(near.groups * near.depth, near.seed)
+        sign = MinHash(near.groups * near.deepest, near.seed)
         for b in batches:
             held, size = [], 0
             for i, t, h in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -120,8 +138,8 @@ def units_of(docs: DataFrame, near: Near) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("h")).mapInArrow(run, UNIT)
 
 
-def _links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of left, j of right) whose sets have at least the Jaccard similarity threshold."""
+def _links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs (i of left, j of right) whose sets have at least the Jaccard similarity threshold, and that similarity."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
@@ -162,55 +180,63 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: n
     n_l, n_r = sizes[left][:, None], sizes[right][None, :]
     i, j = np.nonzero(same >= threshold * (n_l + n_r - same) - 1e-9)
     keep = left[i] != right[j]
-    return i[keep], j[keep]
+    i, j = i[keep], j[keep]
+    shared = same[i, j]
+    return i, j, shared / (sizes[left[i]] + sizes[right[j]] - shared)
 
 
-LINKS = T.StructType([T.StructField("k1", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("links", T.LongType()), T.StructField("others", T.LongType())])
+LINKS = T.StructType(
+    [T.StructField(c, T.LongType()) for c in ("cid", "tie", "links", "others")] + [T.StructField("weights", T.ArrayType(T.DoubleType()))]
+)
 
 
 def _cell(near: Near):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label, block, ids, copies = (pdf[c].to_numpy() for c in ("label", "block", "k1", "copies"))
+        label, block, ids, copies = (pdf[c].to_numpy() for c in ("label", "block", "cid", "copies"))
         order = np.lexsort((ids, block, label))
         label, block, ids, copies = label[order], block[order], ids[order], copies[order]
+        # rows that repeat id and text give a class more than once
         new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (block[1:] != block[:-1]) | (label[1:] != label[:-1])])
         order, label, block, ids, copies = order[new], label[new], block[new], ids[new], copies[new]
         raw, alone = pdf["s"].to_numpy(), pdf["alone"].to_numpy()
-        out = []
+        out, weights = [], []
         edges = np.append(np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])), len(label))
         for a, z in zip(edges[:-1], edges[1:]):
             sets = [np.frombuffer(raw[k], _U) for k in order[a:z]]
-            found = _component(sets, ids[a:z], copies[a:z], block[a:z], bool(alone[order[a]]), near.threshold)
+            found = compare(sets, ids[a:z], copies[a:z], block[a:z], bool(alone[order[a]]), near)
             if found is not None:
-                out.append(found)
+                out.append(found[0])
+                weights.extend(found[1].tolist())
         made = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-        return pd.DataFrame(dict(zip(LINKS.names, made)))
+        return pd.DataFrame(dict(zip(LINKS.names, made))).assign(weights=pd.Series(weights, dtype=object))
 
     return run
 
 
-def _component(sets: list[np.ndarray], ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, alone: bool, threshold: float) -> np.ndarray | None:
-    """Rows k1, tie, links, others for the classes with links among those of one or two blocks of a component."""
+def compare(sets: list[np.ndarray], ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, alone: bool, near: Near) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows cid, tie, links, others, and weights, for the classes with links among those of one or two blocks of a component.
+
+    weights: for each prefix length, the links of a class, each divided by the chance that such a link is found with it."""
     one = blocks[0] == blocks[-1]
     if len(sets) < 2 or one and not alone:
         return None
-    if len(sets) == 2:
-        if one or blocks[0] != blocks[1]:
-            n = len(np.intersect1d(*sets, assume_unique=True))
-            if n < threshold * (len(sets[0]) + len(sets[1]) - n) - 1e-9:
-                return None
-            return np.array([ids, [ids.min()] * 2, copies[::-1], [1, 1]], np.int64)
-        return None
     sizes = np.array([len(s) for s in sets])
     left = np.flatnonzero(blocks == blocks[0])
     right = left if one else np.flatnonzero(blocks == blocks[-1])
-    i, j = _links(sets, sizes, left, right, threshold)
-    a, b = left[i], right[j]
-    if not one:
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    if len(sets) == 2:
+        n = len(np.intersect1d(*sets, assume_unique=True))
+        if n < near.threshold * (sizes.sum() - n) - 1e-9:
+            return None
+        a, b, alike = np.array([0, 1]), np.array([1, 0]), np.repeat(n / (sizes.sum() - n), 2)
+    else:
+        i, j, alike = _links(sets, sizes, left, right, near.threshold)
+        a, b = left[i], right[j]
+        if not one:
+            a, b, alike = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([alike, alike])
     links, others = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     np.add.at(links, a, copies[b])
     np.add.at(others, a, 1)
+    weights = np.array([np.bincount(a, 1 / recall_at(alike, near.groups, d), len(ids)) for d in near.depths()]).T
     tie = ids.copy()  # local components by minimum labels
     while len(a):
         new = tie.copy()
@@ -219,61 +245,96 @@ def _component(sets: list[np.ndarray], ids: np.ndarray, copies: np.ndarray, bloc
             break
         tie = new
     k = others > 0
-    return np.array([ids[k], tie[k], links[k], others[k]], np.int64) if k.any() else None
+    return (np.array([ids[k], tie[k], links[k], others[k]], np.int64), weights[k]) if k.any() else None
 
 
-def near_classes(docs: DataFrame, near: Near, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(units, classes): classes (k1, k2, copies, rep, label, links, others) with label the least k1 of the group, links
-    the number of units of other classes that are linked, others the number of those classes."""
-    docs = docs.select("doc_id", "text")
-    units = cut_lineage(units_of(docs, near)) if units is None else units
-    classes = cut_lineage(units.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(place()).alias("rep"), F.first("n").alias("n")))
-    placed = units.select("k1", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).filter("a <> z").select("key", "a")
-    ties = placed.join(shared, "key").filter("k1 <> a").select("a", F.col("k1").alias("b")).distinct()
-    label = components(ties)
-    inside = cut_lineage(classes.join(label, classes["k1"] == label["id"]).drop("id"))
-    total = inside.groupBy("label").agg(F.sum("n").alias("all"))
-    few, large = F.ceil(F.col("all") / SMALL_BLOCK), F.ceil(F.col("all") / LARGE_BLOCK)
-    total = total.select("label", F.greatest(F.least(few, F.lit(MOST_BLOCKS)), large).cast("int").alias("blocks"))
-    members = inside.join(total, "label").select(
-        "k1", "copies", "label", "blocks", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int").alias("block"),
-        F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.col("rep.part").alias("part"),
-    )
-    # the texts of the members, once more
-    per_doc = members.groupBy("doc_id", "h").agg(F.collect_list(F.struct("part", "k1", "copies", "label", "blocks", "block")).alias("m"))
+def _sets_of(docs: DataFrame, near: Near, members: DataFrame) -> DataFrame:
+    """members (cid, rep) -> cid, s: the set of each class, from the text that holds its first unit."""
+    per_doc = members.groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")).agg(F.collect_list(F.struct(F.col("rep.part").alias("part"), "cid")).alias("m"))
     texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), "text", row_key().alias("t_h"))
     held = texts.join(per_doc, texts["t_id"].eqNullSafe(per_doc["doc_id"]) & (texts["t_h"] == per_doc["h"])).select("text", "m")
-    row = T.StructType(
-        [T.StructField(c, T.LongType()) for c in ("k1", "copies", "label")] + [T.StructField(c, T.IntegerType()) for c in ("blocks", "block")] + [T.StructField("s", T.BinaryType())]
-    )
+    row = T.StructType([T.StructField("cid", T.LongType()), T.StructField("s", T.BinaryType())])
 
-    def sets(batches):
+    def run(batches):
         for b in batches:
             rows = []
             for t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 parts = dict(near.units(t))
                 for x in m:
-                    rows.append((x["k1"], x["copies"], x["label"], x["blocks"], x["block"], near.shingles(parts[x["part"]]).tobytes()))
+                    rows.append((x["cid"], shingle_set(word_hashes(fold(parts[x["part"]])), near.width).tobytes()))
                     if len(rows) >= 2048:
-                        yield _batch(rows, row)
+                        yield as_batch(rows, row)
                         rows = []
             if rows:
-                yield _batch(rows, row)
+                yield as_batch(rows, row)
+
+    return held.mapInArrow(run, row)
+
+
+def _ties(classes: DataFrame, near: Near, depth: int) -> DataFrame:
+    """(a, b): each class that shares a prefix with a lesser one, and the least of that prefix."""
+    placed = classes.filter("sig IS NOT NULL").select("cid", "sig", F.explode(F.sequence(F.lit(0), F.lit(near.groups - 1))).alias("g"))
+    placed = placed.select("cid", near.prefix(F.col("g"), depth).alias("key"))
+    shared = placed.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("m")).filter("m > 1").select("key", "a")
+    return placed.join(shared, "key").filter("cid <> a").select("a", F.col("cid").alias("b")).distinct()
+
 
-    found = held.mapInArrow(sets, row)
+def _compared(inside: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """inside (cid, label, n, copies), whole components -> rows of LINKS."""
+    total = inside.groupBy("label").agg(F.sum("n").alias("all"))
+    few, large = F.ceil(F.col("all") / SMALL_BLOCK), F.ceil(F.col("all") / LARGE_BLOCK)
+    total = total.select("label", F.greatest(F.least(few, F.lit(MOST_BLOCKS)), large).cast("int").alias("blocks"))
+    members = inside.join(total, "label").select("cid", "copies", "label", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
+    found = sets.join(members, "cid")
     # a block meets itself once, and each other block once
     cells = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).withColumn("alone", F.col("lo") == F.col("hi"))
     # components of one block are bundled, so that a group of rows is worth its cost
     bundles = max(1, (inside.agg(F.sum("n")).first()[0] or 0) // BUNDLE)
     cells = cells.withColumn("bundle", F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(bundles))))
-    linked = cells.groupBy("blocks", "bundle", "lo", "hi").applyInPandas(_cell(near), LINKS)
-    linked = cut_lineage(linked)
-    groups = components(linked.filter("k1 <> tie").select(F.col("k1").alias("a"), F.col("tie").alias("b")))
-    counts = linked.groupBy("k1").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+    return cells.groupBy("blocks", "bundle", "lo", "hi").applyInPandas(_cell(near), LINKS)
+
+
+def near_classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, dict]:
+    """(units, classes, report): classes (cid, k1, k2, copies, rep, label, links, others) with label the least cid of the
+    group, links the number of units of other classes that are linked, others the number of those classes. report: the
+    length of prefixes that was reached, links between classes that were found, and the recall estimated from them."""
+    docs = docs.select("doc_id", "text")
+    units = cut_lineage(units_of(docs, near))
+    classes = units.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(place()).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
+    ties = cut_lineage(_ties(classes, near, near.shortest))
+    members = ties.select(F.col("a").alias("cid")).union(ties.select(F.col("b").alias("cid"))).distinct()
+    sets = cut_lineage(_sets_of(docs, near, classes.select("cid", "rep").join(members, "cid")))
+    inside = linked = None
+    report = {}
+    for k, depth in enumerate(near.depths()):
+        own = ties if depth == near.shortest else cut_lineage(_ties(classes, near, depth))
+        label = components(own)
+        now = cut_lineage(classes.select("cid", "n", "copies").join(label.withColumnRenamed("id", "cid"), "cid"))
+        if inside is None:
+            made = cut_lineage(_compared(now, sets, near))
+        else:  # components that are as they were keep their links
+            was = now.join(inside.select("cid", F.col("label").alias("was")), "cid", "left")
+            grown = was.groupBy("label").agg(F.min("was").alias("x"), F.max("was").alias("y"), F.count_if(F.col("was").isNull()).alias("new")).filter("new > 0 OR x <> y")
+            again = cut_lineage(now.join(grown.select("label"), "label", "left_semi"))
+            made = _compared(again, sets, near).union(linked.join(again.select("cid"), "cid", "left_anti"))
+            old, made = linked, cut_lineage(made)
+            free(inside, old, again)
+        if own is not ties:
+            free(own)
+        inside, linked = now, made
+        found, expected = linked.agg(F.sum("others"), F.sum(F.col("weights")[k])).first()
+        report = {"depth": depth, "links": (found or 0) // 2, "recall": float(found / expected) if found else 1.0}
+        if report["recall"] >= near.target:
+            break
+    free(ties, sets, inside)
+    groups = components(linked.filter("cid <> tie").select(F.col("cid").alias("a"), F.col("tie").alias("b")))
+    counts = linked.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
     out = (
-        classes.join(counts, "k1", "left").join(groups.withColumnRenamed("id", "k1"), "k1", "left")
-        .select("k1", "k2", "copies", "rep", F.coalesce("label", "k1").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("others"))
+        classes.select("cid", "k1", "k2", "copies", "rep").join(counts, "cid", "left").join(groups.withColumnRenamed("id", "cid"), "cid", "left")
+        .select("cid", "k1", "k2", "copies", "rep", F.coalesce("label", "cid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("others"))
     )
-    return units, out
+    whole = cut_lineage(out)
+    free(classes, linked)
+    return units, whole, report

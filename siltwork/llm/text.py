@@ -83,37 +83,29 @@ def shingle_set(hashes: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(mixed(total + _U(width)))
 
 
-def set_key(shingles: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set of shingles, as two signed numbers."""
-    a, b = many_set_keys(shingles, np.zeros(1, np.int64))
-    return int(a[0]), int(b[0])
-
-
 class MinHash:
-    """The minima of a set under n hash functions."""
+    """The minima of sets under n hash functions, on the upper halves of their shingles."""
 
     def __init__(self, n: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.xor = rng.integers(0, 1 << 64, n, dtype=_U)[:, None]
-        self.mul = (rng.integers(0, 1 << 64, n, dtype=_U) | _U(1))[:, None]
-
-    def __call__(self, shingles: np.ndarray, piece: int = 2048) -> np.ndarray:
-        low = None
-        for at in range(0, len(shingles), piece):
-            part = shingles[None, at : at + piece] ^ self.xor
-            part *= self.mul
-            found = part.min(axis=1)
-            low = found if low is None else np.minimum(low, found)
-        return low
-
-
-def prefix_keys(minima: np.ndarray, groups: int, depth: int) -> np.ndarray:
-    """One signed 64-bit key for each group (tree or band): its number and its first depth minima."""
-    m = minima.reshape(groups, -1)[:, :depth]
-    total = np.arange(1, groups + 1, dtype=_U) * _U(_BASE)
-    for j in range(depth):
-        total = mixed(total + m[:, j])
-    return total.view(np.int64)
+        self.xor = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        self.mul = rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
+
+    def __call__(self, shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A row of minima for each of many sets that lie one after the other."""
+        high = (shingles >> _U(32)).astype(np.uint32)
+        out = np.empty((len(starts), len(self.xor)), np.uint32)
+        for k in range(len(self.xor)):
+            out[:, k] = np.minimum.reduceat((high ^ self.xor[k]) * self.mul[k], starts)
+        return out
+
+    def labels(self, shingles: np.ndarray, starts: np.ndarray, bytes_each: int) -> list[bytes]:
+        """The minima of each set one after the other, bytes_each of each, so that labels sort as tries do."""
+        low = self(shingles, starts) * np.uint32(0x9E3779B1)
+        low ^= low >> np.uint32(15)
+        low *= np.uint32(0x85EBCA6B)
+        wide = np.ascontiguousarray(low.astype(">u4").view(np.uint8).reshape(*low.shape, 4)[:, :, :bytes_each])
+        return [x.tobytes() for x in wide]
 
 
 def _runs(a: np.ndarray) -> np.ndarray:
@@ -121,16 +113,16 @@ def _runs(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
 
 
-def many_shingles(texts: list[bytes], width: int, least_words: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def many_shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The shingle sets of many folded texts at once: (shingles, starts, which), where those of text which[k] begin at
-    starts[k] and are sorted and distinct. Texts with fewer words than least_words, or none, are left out."""
+    starts[k] and are sorted and distinct. Texts without a word are left out."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)])
     folded = b" ".join(texts)
     hashes = word_hashes(folded, max(1 << 20, len(folded)))
     unit = np.searchsorted(begin, word_spans(folded)[0], side="right") - 1
     count = np.bincount(unit, minlength=len(texts)) if len(unit) else np.zeros(len(texts), np.int64)
-    use = (count >= max(1, least_words))
+    use = count > 0
     found, owner = [], []
     # a text of fewer words than the width is one shorter shingle
     for n in [*np.unique(count[use & (count < width)]).tolist(), width]:
@@ -157,19 +149,8 @@ def many_shingles(texts: list[bytes], width: int, least_words: int = 1) -> tuple
 
 
 def many_set_keys(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """set_key of each of many sets that lie one after the other."""
+    """128 bits that stand for each of many sets that lie one after the other, as two signed numbers."""
     n = np.diff(np.append(starts, len(shingles))).astype(_U)
     a = np.add.reduceat(mixed(shingles * _U(0xD6E8FEB86659FD93)), starts)
     b = np.add.reduceat(mixed(shingles ^ _U(0xA0761D6478BD642F)), starts)
     return mixed(mixed(a) + n).view(np.int64), mixed(mixed(b) + n).view(np.int64)
-
-
-def many_prefix_keys(sign: MinHash, shingles: np.ndarray, starts: np.ndarray, groups: int, depth: int) -> np.ndarray:
-    """prefix_keys of each of many sets: a row per set."""
-    total = np.repeat((np.arange(1, groups + 1, dtype=_U) * _U(_BASE))[None], len(starts), axis=0)
-    for g in range(groups):
-        for j in range(depth):
-            k = g * depth + j
-            low = np.minimum.reduceat((shingles ^ sign.xor[k]) * sign.mul[k], starts)
-            total[:, g] = mixed(total[:, g] + low)
-    return total.view(np.int64)
