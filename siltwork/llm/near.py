@@ -33,8 +33,8 @@ from siltwork.operators.graph import components
 from siltwork.llm.text import MinHash, fold, many_set_keys, many_shingles, shingle_set, word_hashes
 from siltwork.session import cut_lineage, free
 
-#: shingles in a block; with more than MOST_BLOCKS of that size, blocks grow up to LARGE_BLOCK
-SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK = 1 << 17, 16, 1 << 20
+#: shingles in a block; with more than MOST_BLOCKS of that size, blocks grow up to LARGE_BLOCK; classes in a block
+SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK, BLOCK_CLASSES = 1 << 17, 16, 1 << 20, 1 << 11
 #: bytes of text that are hashed at once, and shingles of small components that are compared in one group of rows
 PIECE, BUNDLE = 1 << 17, 1 << 15
 _U = np.uint64
@@ -281,9 +281,9 @@ def _ties(classes: DataFrame, near: Near, depth: int) -> DataFrame:
 
 def _compared(inside: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """inside (cid, label, n, copies), whole components -> rows of LINKS."""
-    total = inside.groupBy("label").agg(F.sum("n").alias("all"))
-    few, large = F.ceil(F.col("all") / SMALL_BLOCK), F.ceil(F.col("all") / LARGE_BLOCK)
-    total = total.select("label", F.greatest(F.least(few, F.lit(MOST_BLOCKS)), large).cast("int").alias("blocks"))
+    total = inside.groupBy("label").agg(F.sum("n").alias("all"), F.count("*").alias("m"))
+    few, large, wide = F.ceil(F.col("all") / SMALL_BLOCK), F.ceil(F.col("all") / LARGE_BLOCK), F.ceil(F.col("m") / BLOCK_CLASSES)
+    total = total.select("label", F.greatest(F.least(few, F.lit(MOST_BLOCKS)), large, wide).cast("int").alias("blocks"))
     members = inside.join(total, "label").select("cid", "copies", "label", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
     found = sets.join(members, "cid")
     # a block meets itself once, and each other block once
