@@ -8,28 +8,40 @@ from pyspark.sql import functions as F
 from siltwork.session import cut_lineage, free
 
 MOST_ROUNDS = 60
+#: with so many edges or fewer, tables of minima (a row of two numbers per id) are broadcast
+FEW_EDGES = 1 << 19
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """edges (a, b) -> (id, label) for all ids in them; label is the least id of the component.
 
     An edge is held once, as (u, v) with u > v. A round moves v to the least neighbour of v (large star), then all
-    smaller neighbours of u, and u, onto the least of them (small star). The minima come from partial aggregation into a
-    table of their own, so that the joins with them are plain ones: small tables are broadcast, and the many edges of a
+    smaller neighbours of u, and u, onto the least of them (small star). The minima come from partial aggregation; they
+    are broadcast while edges are few, else written, so that the joins with them are plain ones and the many edges of a
     hub are split among tasks. It ends with a round that changes nothing; then each id has one edge, to a root.
     """
     e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    written: list[DataFrame] = []
+
+    def minima(df: DataFrame) -> DataFrame:
+        if small:
+            return F.broadcast(df)
+        written.append(cut_lineage(df))
+        return written[-1]
+
+    small = e.count() <= few
     for _ in range(MOST_ROUNDS):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
+        low = minima(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
         moved = e.select("u", "v").join(low, "v").groupBy("u", "m").agg(F.max(F.col("m") < F.col("v")).alias("moved"))
         star = cut_lineage(moved.select("u", F.col("m").alias("v"), "moved"))
-        free(e, low)
-        least = cut_lineage(star.groupBy("u").agg(F.min("v").alias("m"), F.max("moved").alias("moved")))
-        moved = star.join(least.select("u", "m"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("moved"))
-        kept = least.select("u", F.col("m").alias("v"), "moved")
-        e = cut_lineage(kept.union(moved).groupBy("u", "v").agg(F.max("moved").alias("moved")))
-        free(star, least)
+        least = minima(star.groupBy("u").agg(F.min("v").alias("m")))
+        # an edge that is the least of its id stays, any other joins its smaller end to the least
+        moved = star.join(least, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), "m", (F.col("moved") | (F.col("v") > F.col("m"))).alias("moved"))
+        after = cut_lineage(moved.groupBy("u", F.col("m").alias("v")).agg(F.max("moved").alias("moved")))
+        free(e, star, *written)
+        written.clear()
+        e = after
         if not e.agg(F.max("moved")).first()[0]:
             break
     else:
