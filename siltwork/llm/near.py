@@ -8,10 +8,11 @@ components of these ties hold every pair that shares one. Within a component all
 two blocks of classes, each of bounded size; cells give links counted per class and ties to one member, never lists of
 pairs. Components of the linked classes are the groups.
 
-Prefixes start at their longest and are shortened adaptively: the similarity of each link found tells how likely such a
-link is found with prefixes of that length, so that the links found estimate those missed. While the estimated recall is
-below the target, prefixes lose a minimum, and only components that grow by it are compared again. The shortest length
-is the one that reaches the target at the threshold itself. With one length (banding) there is a single round.
+Prefixes start at their longest and are shortened adaptively: the similarities of the links found tell how likely such
+links are found with prefixes of that length, so that the links found estimate those missed. While the estimated recall
+is below the target, prefixes are shortened to the length that these links ask for, and only components that grow by it
+are compared again. The shortest length is the one that reaches the target at the threshold itself. With one length
+(banding) there is a single round.
 
 Only classes that share a prefix of the shortest length are read a second time, for their sets.
 """
@@ -34,7 +35,7 @@ from siltwork.llm.text import MinHash, fold, many_set_keys, many_shingles, shing
 from siltwork.session import cut_lineage, free
 
 #: shingles in a block; with more than MOST_BLOCKS of that size, blocks grow up to LARGE_BLOCK; classes in a block
-SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK, BLOCK_CLASSES = 1 << 17, 16, 1 << 20, 1 << 11
+SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK, BLOCK_CLASSES = 1 << 16, 24, 1 << 20, 1 << 11
 #: bytes of text that are hashed at once, and shingles of small components that are compared in one group of rows
 PIECE, BUNDLE = 1 << 17, 1 << 15
 _U = np.uint64
@@ -66,9 +67,6 @@ class Near:
             return [(0, text)]
         return [(k, text[a:b]) for k, (a, b) in enumerate(self.split(text))]
 
-    def depths(self) -> range:
-        return range(self.deepest, self.shortest - 1, -1)
-
     def prefix(self, group: Column, depth: int) -> Column:
         """One number for the first depth minima of a group's label."""
         at = group * (self.deepest * self.bytes_each) + 1
@@ -186,8 +184,10 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: n
 
 
 LINKS = T.StructType(
-    [T.StructField(c, T.LongType()) for c in ("cid", "tie", "links", "others")] + [T.StructField("weights", T.ArrayType(T.DoubleType()))]
+    [T.StructField(c, T.LongType()) for c in ("cid", "tie", "links", "others")] + [T.StructField("alike", T.ArrayType(T.LongType()))]
 )
+#: bins of the similarities of links, from the threshold to 1
+ALIKE = 20
 
 
 def _cell(near: Near):
@@ -199,24 +199,23 @@ def _cell(near: Near):
         new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (block[1:] != block[:-1]) | (label[1:] != label[:-1])])
         order, label, block, ids, copies = order[new], label[new], block[new], ids[new], copies[new]
         raw, alone = pdf["s"].to_numpy(), pdf["alone"].to_numpy()
-        out, weights = [], []
+        out, alike = [], []
         edges = np.append(np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])), len(label))
         for a, z in zip(edges[:-1], edges[1:]):
             sets = [np.frombuffer(raw[k], _U) for k in order[a:z]]
             found = compare(sets, ids[a:z], copies[a:z], block[a:z], bool(alone[order[a]]), near)
             if found is not None:
                 out.append(found[0])
-                weights.extend(found[1].tolist())
+                alike.extend(found[1].tolist())
         made = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-        return pd.DataFrame(dict(zip(LINKS.names, made))).assign(weights=pd.Series(weights, dtype=object))
+        return pd.DataFrame(dict(zip(LINKS.names, made))).assign(alike=pd.Series(alike, dtype=object))
 
     return run
 
 
 def compare(sets: list[np.ndarray], ids: np.ndarray, copies: np.ndarray, blocks: np.ndarray, alone: bool, near: Near) -> tuple[np.ndarray, np.ndarray] | None:
-    """Rows cid, tie, links, others, and weights, for the classes with links among those of one or two blocks of a component.
-
-    weights: for each prefix length, the links of a class, each divided by the chance that such a link is found with it."""
+    """Rows cid, tie, links, others, and alike (numbers of links by similarity), for the classes with links among those of
+    one or two blocks of a component."""
     one = blocks[0] == blocks[-1]
     if len(sets) < 2 or one and not alone:
         return None
@@ -236,7 +235,8 @@ def compare(sets: list[np.ndarray], ids: np.ndarray, copies: np.ndarray, blocks:
     links, others = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     np.add.at(links, a, copies[b])
     np.add.at(others, a, 1)
-    weights = np.array([np.bincount(a, 1 / recall_at(alike, near.groups, d), len(ids)) for d in near.depths()]).T
+    bins = np.minimum(((alike - near.threshold + 1e-9) / max(1e-9, 1 - near.threshold) * ALIKE).astype(np.int64), ALIKE - 1)
+    seen = np.bincount(a * ALIKE + bins, minlength=len(ids) * ALIKE).reshape(len(ids), ALIKE)
     tie = ids.copy()  # local components by minimum labels
     while len(a):
         new = tie.copy()
@@ -245,7 +245,7 @@ def compare(sets: list[np.ndarray], ids: np.ndarray, copies: np.ndarray, blocks:
             break
         tie = new
     k = others > 0
-    return (np.array([ids[k], tie[k], links[k], others[k]], np.int64), weights[k]) if k.any() else None
+    return (np.array([ids[k], tie[k], links[k], others[k]], np.int64), seen[k]) if k.any() else None
 
 
 def _sets_of(docs: DataFrame, near: Near, members: DataFrame) -> DataFrame:
@@ -295,6 +295,15 @@ def _compared(inside: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return cells.groupBy("blocks", "bundle", "lo", "hi").applyInPandas(_cell(near), LINKS)
 
 
+def expected_recall(links: np.ndarray, near: Near, found_with: int, depth: int) -> float:
+    """The share of all links that prefixes of a length find, from those found with another length, counted by similarity.
+
+    Bins count as their lower ends, so that the estimate is on the safe side."""
+    low = near.threshold + (1 - near.threshold) / ALIKE * np.arange(ALIKE)
+    every = links / recall_at(low, near.groups, found_with)
+    return float((every * recall_at(low, near.groups, depth)).sum() / every.sum()) if every.sum() else 1.0
+
+
 def near_classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, dict]:
     """(units, classes, report): classes (cid, k1, k2, copies, rep, label, links, others) with label the least cid of the
     group, links the number of units of other classes that are linked, others the number of those classes. report: the
@@ -307,8 +316,8 @@ def near_classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, dic
     members = ties.select(F.col("a").alias("cid")).union(ties.select(F.col("b").alias("cid"))).distinct()
     sets = cut_lineage(_sets_of(docs, near, classes.select("cid", "rep").join(members, "cid")))
     inside = linked = None
-    report = {}
-    for k, depth in enumerate(near.depths()):
+    depth, report = near.deepest, {}
+    while True:
         own = ties if depth == near.shortest else cut_lineage(_ties(classes, near, depth))
         label = components(own)
         now = cut_lineage(classes.select("cid", "n", "copies").join(label.withColumnRenamed("id", "cid"), "cid"))
@@ -324,10 +333,13 @@ def near_classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, dic
         if own is not ties:
             free(own)
         inside, linked = now, made
-        found, expected = linked.agg(F.sum("others"), F.sum(F.col("weights")[k])).first()
-        report = {"depth": depth, "links": (found or 0) // 2, "recall": float(found / expected) if found else 1.0}
-        if report["recall"] >= near.target:
+        seen = np.array(linked.agg(F.array(*[F.sum(F.col("alike")[k]) for k in range(ALIKE)])).first()[0], dtype=float)
+        links = np.nan_to_num(seen)
+        report = {"depth": depth, "links": int(links.sum()) // 2, "recall": expected_recall(links, near, depth, depth)}
+        if report["recall"] >= near.target or depth == near.shortest:
             break
+        # as long as the links found so far let it reach the target
+        depth = next((d for d in range(depth - 1, near.shortest, -1) if expected_recall(links, near, depth, d) >= near.target), near.shortest)
     free(ties, sets, inside)
     groups = components(linked.filter("cid <> tie").select(F.col("cid").alias("a"), F.col("tie").alias("b")))
     counts = linked.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
