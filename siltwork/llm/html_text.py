@@ -5,18 +5,25 @@ menus, headers, footers, sidebars, notices, adverts, forms and reader comments a
 they keep their place, so that they part what stands around them. Over this list the summed text length of a sliding
 window of lines is taken. Where it rises above a threshold a surge begins, and the text runs on until the sum dives to
 zero; the text between is main text. The surge with the longest text tells where the article is: if it lies in an
-article or main element, the element as a whole is taken, with its short first and last lines, else all runs between
-surge and dive are.
+article or main element, and the surges hold most of the element's text, the element as a whole is taken, with its short
+first and last lines, else all runs between surge and dive are.
+
+Parts are told by their element, or by a whole name in class, id or role that says what they are: "sidebar", "site-footer"
+and "ad-slot" do, "has-sidebar", "header-fixed" and "entry-header" don't. If nothing surges outside the parts told by a
+name or by being a form, and no article or main element stands there, the one of these with the longest text is taken
+back if its text is far longer than what is outside, and so on: no page loses its body by a name.
 
 Defined cases: null, empty or textless pages give an empty text; tags that aren't closed end with their parent or the
-page; a page without any surge gives its longest run; white space is what Unicode counts as such; pages are handled one
-by one, whole, so that repeated rows give equal rows and an empty table none.
+page; a page without any surge gives its longest run, the first of equal ones; white space is what Unicode counts as
+such; very long pages are read whole, in time proportional to them however deep elements nest; pages are handled one by
+one, so that repeated rows give equal rows and an empty table none; columns beyond page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,114 +38,171 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul caption".split()
 )
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
-DROPPED = frozenset("head nav footer aside form button select svg canvas object audio video math dialog menu".split())
+DROPPED = frozenset("head nav footer aside button select svg canvas object audio video math dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-#: words in class, id or role that mark an element as no part of the article
-AWAY = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|nav\w*|menu\w*|"
-    r"breadcrumbs?|sidebar|side-bar|aside|footer|header|masthead|comments?|respond|replies|disqus|share|sharing|social|related|"
-    r"recommend\w*|subscribe|newsletter|signup|login|search|pagination|pager|widget|toolbar|skip-link|complementary|navigation|contentinfo|alert)(?:$|[^a-z])"
+#: names that tell a part of the page that is no article: by themselves, as first word, as last word of a class or id
+ALONE = frozenset("header aside related search notice consent alert respond replies share banner respond toolbar pager login signup subscribe".split())
+FIRST = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored sponsors promo promos promotion cookie cookies gdpr popup modal nav navbar navigation menu "
+    "breadcrumb breadcrumbs sidebar footer masthead comment comments disqus sharing social recommended recommendations newsletter pagination "
+    "complementary contentinfo".split()
+)
+LAST = FIRST | frozenset("banner notice consent alert widget toolbar".split())
+#: pairs that tell a part, and first words that turn a name into a statement about something else
+PAIRS = frozenset(
+    "side-bar skip-link site-header page-header global-header top-header main-header search-form search-box search-bar related-posts related-articles related-links "
+    "related-stories related-content related-news related-items share-buttons share-bar share-links login-form signup-form subscribe-form subscribe-box "
+    "reader-comments comment-list comment-form user-comments".split()
 )
+STATES = frozenset("has have no not with without is are hide hides show shows if when".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)", re.S
 )
 ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_RAW_ENDS = {name: re.compile(rf"</{name}\s*[^>]*>", re.I) for name in RAW}
 WINDOW = 3
 SURGE = 40
+#: parts that are taken back one after the other, at most; deeper ones hold less text than those around them
+MOST_BACK = 20
+#: times the text outside that a part's text must have for it
+FAR_LONGER = 10
 
 
-def _is_away(name: str, attrs: str, in_main: bool) -> bool:
-    if name in DROPPED:
-        return True
-    if name == "header":
-        return not in_main
-    if not attrs or "=" not in attrs and "hidden" not in attrs:
+def tells_part(name: str) -> bool:
+    """Whether one name in class, id or role says that its element is no part of the article."""
+    words = [x for x in re.split(r"[-_]+", name.lower()) if x]
+    if not words or words[0] in STATES:
         return False
-    for key, value in ATTR.findall(attrs):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" and value != "until-found" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role") and name not in ("body", "html", *MAIN) and AWAY.search(value.replace("_", "-")):
-            return True
-    return False
-
-
-def page_lines(page: str) -> list[tuple[str, int]]:
-    """(text, number of the outermost article or main element around it, 0 if none) for each block; "" where text is left out."""
-    lines: list[tuple[str, int]] = []
-    buf: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # name, left out, main element
-    away, main, mains, at, n = False, 0, 0, 0, len(page)
-
-    def flush() -> None:
-        if buf:
-            text = " ".join(html.unescape("".join(buf)).split())
-            buf.clear()
-            if text:
-                lines.append(("" if away else text, main))
-
-    while at < n:
-        j = page.find("<", at)
-        if j < 0:
-            buf.append(page[at:])
-            break
-        if j > at:
-            buf.append(page[at:j])
-        m = TOKEN.match(page, j)
-        if m is None:  # a sign, no tag
-            buf.append("<")
-            at = j + 1
-            continue
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        name, closing, attrs = name.lower(), (m[1] or m[4]) == "/", m[3] or ""
-        if name in RAW and not closing:
-            end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name == "br":
-            buf.append("\n")
-            continue
-        if name in VOID:
-            if name == "hr":
-                flush()
-            continue
-        block = name in BLOCKS or name in DROPPED
-        if closing:
-            if not any(x[0] == name for x in stack):
+    if len(words) == 1:
+        return words[0] in ALONE or words[0] in LAST
+    return words[0] in FIRST and words[-1] not in ("layout", "open", "closed", "enabled", "disabled") or words[-1] in LAST or "-".join(words[-2:]) in PAIRS or "-".join(words[:2]) in PAIRS
+
+
+def _away(name: str, attrs: str, in_main: bool) -> int:
+    """2 for a part that is left out in any case, 1 for one told by a name or by being a form, else 0."""
+    if name in DROPPED or name == "header" and not in_main:
+        return 2
+    told = int(name == "form")
+    if attrs and ("=" in attrs or "hidden" in attrs):
+        for key, value in ATTR.findall(attrs):
+            key, value = key.lower(), value.strip("\"'").lower()
+            if key == "hidden" and value != "until-found" or key == "style" and re.search(r"display\s*:\s*none", value):
+                return 2
+            if key in ("class", "id", "role") and name not in ("body", "html", *MAIN) and any(map(tells_part, value.split())):
+                told = 1
+    return told
+
+
+class PageLines:
+    """The lines of a page: texts, numbers of the outermost article or main element around each (0: none), and numbers of
+    the innermost part around each (0: none); parents and kinds of the parts."""
+
+    def __init__(self, page: str):
+        self.texts: list[str] = []
+        self.mains: list[int] = []
+        self.inside: list[int] = []
+        self.parents, self.kinds = [0], [0]
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        buf: list[str] = []
+        stack: list[tuple[str, int, int]] = []  # name, part, main element
+        opened: Counter[str] = Counter()
+        part, main, mains, at, n = 0, 0, 0, 0, len(page)
+
+        def flush() -> None:
+            if buf:
+                text = " ".join(html.unescape("".join(buf)).split())
+                buf.clear()
+                if text:
+                    self.texts.append(text)
+                    self.mains.append(main)
+                    self.inside.append(part)
+
+        def pop() -> str:
+            name = stack.pop()[0]
+            opened[name] -= 1
+            return name
+
+        while at < n:
+            j = page.find("<", at)
+            if j < 0:
+                buf.append(page[at:])
+                break
+            if j > at:
+                buf.append(page[at:j])
+            m = TOKEN.match(page, j)
+            if m is None:  # a sign, no tag
+                buf.append("<")
+                at = j + 1
+                continue
+            at = m.end()
+            name = m[2] or m[5]
+            if not name:
+                continue
+            name, closing, attrs = name.lower(), (m[1] or m[4]) == "/", m[3] or ""
+            if name in RAW and not closing:
+                end = _RAW_ENDS[name].search(page, at)
+                at = end.end() if end else n
+                continue
+            if name == "br":
+                buf.append("\n")
+                continue
+            if name in VOID:
+                if name == "hr":
+                    flush()
+                continue
+            block = name in BLOCKS or name in DROPPED
+            if closing:
                 if block:
                     flush()
+                if opened[name]:
+                    while pop() != name:
+                        pass
+                    _, part, main = stack[-1] if stack else ("", 0, 0)
                 continue
-            if block:
+            kind = _away(name, attrs, main > 0)
+            if block or kind:
                 flush()
-            while stack:
-                x = stack.pop()
-                if x[0] == name:
-                    break
-            away, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            continue
-        out = _is_away(name, attrs, main > 0)
-        if block or out:
-            flush()
-        if name == "p" or name in BLOCKS and stack and stack[-1][0] == "p":
-            while stack and any(x[0] == "p" for x in stack) and stack[-1][0] not in BLOCKS - {"p"}:
-                if stack.pop()[0] == "p":
-                    break
-            away, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out = out or away
-        if name in MAIN and not main and not away:
-            mains += 1
-            main = mains
-        away = away or out
-        if not attrs.endswith("/"):
-            stack.append((name, away, main))
-        else:
-            away, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-    flush()
-    return lines
+            if opened["p"] and (name == "p" or name in BLOCKS and stack[-1][0] == "p"):
+                while stack and opened["p"] and stack[-1][0] not in BLOCKS - {"p"}:
+                    if pop() == "p":
+                        break
+                _, part, main = stack[-1] if stack else ("", 0, 0)
+            if attrs.endswith("/"):
+                continue
+            if name in MAIN and not main and not part and not kind:
+                mains += 1
+                main = mains
+            if kind:
+                self.parents.append(part)
+                self.kinds.append(kind)
+                part = len(self.kinds) - 1
+            stack.append((name, part, main))
+            opened[name] += 1
+        flush()
+
+    def lengths(self, back: set[int]) -> np.ndarray:
+        """Lengths of the lines; 0 for those in parts, but the ones taken back."""
+        out = np.zeros(len(self.kinds), bool)
+        for k in range(1, len(self.kinds)):
+            out[k] = out[self.parents[k]] or k not in back
+        return np.array([0 if out[k] else len(t) for t, k in zip(self.texts, self.inside)], np.int64)
+
+    def longest(self, back: set[int]) -> tuple[int, int]:
+        """The part told by a name that has the longest text without being in one that is left out, and that length."""
+        own = np.zeros(len(self.kinds), np.int64)
+        np.add.at(own, self.inside, [len(t) for t in self.texts])
+        for k in range(len(own) - 1, 0, -1):
+            if self.kinds[k] < 2:
+                own[self.parents[k]] += own[k]
+        shut = np.zeros(len(own), bool)
+        for k in range(1, len(own)):
+            shut[k] = shut[self.parents[k]] or k not in back
+        free = [k for k in range(1, len(own)) if k not in back and self.kinds[k] == 1 and not shut[self.parents[k]] and own[k]]
+        best = max(free, key=lambda k: (own[k], -k), default=0)
+        return best, int(own[best]) if best else 0
 
 
 def runs_between(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -161,23 +225,36 @@ def runs_between(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE)
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    lines = page_lines(page or "")
-    lengths = np.array([len(t) for t, _ in lines], np.int64)
-    if not lengths.any():
+    lines = PageLines(page or "")
+    texts, mains = lines.texts, lines.mains
+    back: set[int] = set()
+    lengths = lines.lengths(back)
+    runs = runs_between(lengths, window, surge)
+    while not runs and len(back) < MOST_BACK and not any(m and n for m, n in zip(mains, lengths)):
+        part, size = lines.longest(back)
+        if size < FAR_LONGER * max(1, int(lengths.sum())):
+            break
+        back.add(part)
+        lengths = lines.lengths(back)
+        runs = runs_between(lengths, window, surge)
+    runs = runs or runs_between(lengths, window, 1)
+    if not runs:
         return ""
-    runs = runs_between(lengths, window, surge) or runs_between(lengths, window, 1)
     best = max(runs, key=lambda r: (int(lengths[r[0] : r[1]].sum()), -r[0]))
-    weight: dict[int, int] = {}
+    in_best, in_runs, in_all = (Counter() for _ in range(3))
     for k in range(*best):
-        weight[lines[k][1]] = weight.get(lines[k][1], 0) + int(lengths[k])
-    home = max(weight, key=lambda x: (weight[x], -x))
-    if home or any(m for _, m in lines):
-        chosen = {m for t, m in lines if m and t} if not home else {home}
+        in_best[mains[k]] += int(lengths[k])
+    for a, b in runs:
+        for k in range(a, b):
+            in_runs[mains[k]] += int(lengths[k])
+    for m, n in zip(mains, lengths.tolist()):
+        in_all[m] += n
+    home = max(in_best, key=lambda m: (in_best[m], -m))
+    if home and 2 * in_runs[home] >= in_all[home]:
         # an article next to the best one belongs to the text if it surges by itself
-        for a, b in runs:
-            chosen |= {lines[k][1] for k in range(a, b) if lines[k][1] and lengths[k] >= surge}
-        return "\n".join(t for t, m in lines if m in chosen and t)
-    return "\n".join(t for a, b in runs for t, _ in lines[a:b] if t)
+        chosen = {home, *(mains[k] for a, b in runs for k in range(a, b) if mains[k] and lengths[k] >= surge)}
+        return "\n".join(t for t, m, n in zip(texts, mains, lengths) if m in chosen and n)
+    return "\n".join(t for a, b in runs for t, n in zip(texts[a:b], lengths[a:b]) if n)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
