@@ -3,15 +3,17 @@
 Subwords are the runs of 3, 4 and 5 UTF-8 bytes of the lower-cased text that lie within a word and the spaces next to
 it; everything but letters counts as space. Each is hashed to a row of an embedding table; a text is the mean of its
 rows, and a linear layer with softmax gives the languages. Both layers are trained by stochastic gradient descent in
-numpy on a bounded sample of labelled texts: about `sample_rows`, shared evenly between the MOST_LANGUAGES most frequent
-labels; each gives a random kilobyte of itself, and a few words in a row, so that short texts are met. On a part held back, a temperature makes the scores probabilities,
-and the score below which a prediction is marked as rejected is set so that accepted ones are right to `accuracy`.
+numpy on a bounded sample of labelled texts: about `sample_rows`, shared evenly between all labels, one each at least;
+each counts as a whole, and once more as a few words in a row, so that short texts are met. On a part held back, a
+temperature makes the scores probabilities, and the score below which a prediction is marked as rejected is set so that
+accepted ones are right to `accuracy`.
 
 As mean and layer are both linear, predicting sums one small vector of scores per subword.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; labels that are null are not
-learned from; with nothing to learn from all texts are `und`; rows are handled one by one, so that repeats agree; only
-the text is an input of a prediction.
+learned from; with nothing to learn from all texts are `und`; of languages with equal scores the first by name is
+predicted; very long texts count whole, in pieces; rows are handled one by one, so that repeats agree; an empty table
+gives no rows; columns beyond doc_id, text and (for training) lang are not read.
 """
 
 from __future__ import annotations
@@ -20,17 +22,17 @@ import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltwork.llm.arrow import map_texts
+from siltwork.llm.arrow import map_texts, share_of
 from siltwork.llm.text import mixed
 
 BITS = 15
 SIZES = (3, 4, 5)
 UND = "und"
 SAMPLE_ROWS = 3000
-MOST_LANGUAGES = 300
 LETTER = re.compile(r"[^\W\d_]")
 _ONLY = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _U = np.uint64
@@ -79,33 +81,34 @@ class LanguageModel:
         self.temperature, self.least = 1.0, 0.0
         self.table: np.ndarray | None = None
 
-    def fit(self, samples: list[tuple[str, np.ndarray]], epochs: int = 8, rate: float = 1.0, accuracy: float = 0.995) -> LanguageModel:
-        """samples: language and subwords of each text. A tenth is held back for calibration."""
+    def fit(self, samples: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 1.0, accuracy: float = 0.995, batch: int = 16) -> LanguageModel:
+        """samples: language, and the distinct subwords of each text with their shares. A tenth is held back for calibration."""
         order = self.rng.permutation(len(samples))
         held = order[: len(order) // 10]
         train = order[len(order) // 10 :] if len(order) >= 20 else order
         index = {x: k for k, x in enumerate(self.languages)}
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
-            for part in np.array_split(self.rng.permutation(train), max(1, len(train) // 16)):
-                ids = [samples[k][1] for k in part]
+            for part in np.array_split(self.rng.permutation(train), max(1, len(train) // batch)):
                 y = np.array([index[samples[k][0]] for k in part])
-                sizes = np.array([len(x) for x in ids])
-                flat = np.concatenate(ids)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                mean = np.add.reduceat(self.rows[flat], starts) / sizes[:, None]
+                own = np.unique(np.concatenate([samples[k][1] for k in part]))
+                shares = np.zeros((len(part), len(own)), np.float32)
+                for row, k in enumerate(part):
+                    shares[row, np.searchsorted(own, samples[k][1])] = samples[k][2]
+                rows = self.rows[own]
+                mean = shares @ rows
                 logits = mean @ self.out + self.bias
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(y)), y] -= 1
-                grad = (p @ self.out.T / sizes[:, None]).astype(np.float32)
+                grad = (p @ self.out.T).astype(np.float32)
                 self.out -= step / len(y) * 8 * (mean.T @ p)
                 self.bias -= step / len(y) * p.sum(axis=0)
-                np.add.at(self.rows, flat, -step * np.repeat(grad, sizes, axis=0))
+                self.rows[own] = rows - step * (shares.T @ grad)
         self.table = (self.rows @ self.out).astype(np.float32)
         z, y = [], []
         for k in held:
-            z.append(self.table[samples[k][1]].mean(axis=0) + self.bias)
+            z.append(samples[k][2] @ self.table[samples[k][1]] + self.bias)
             y.append(index[samples[k][0]])
         if z:
             self._calibrate(np.array(z), np.array(y), accuracy)
@@ -143,28 +146,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct subwords of a text and their shares."""
+    counts = np.zeros(1 << BITS, np.int64)
+    for piece in pieces(text):
+        counts += np.bincount(subwords(piece), minlength=1 << BITS)
+    ids = np.flatnonzero(counts)
+    return ids, (counts[ids] / max(1, counts.sum())).astype(np.float32)
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 3) -> LanguageModel:
-    """From documents (text, lang) that are not held out; at most sample_rows of them."""
+    """From documents (text, lang) that are not held out; about sample_rows of them, those with the least hashes."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel([])
     quota = max(1, sample_rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, quota / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    shares = known.sparkSession.createDataFrame([(r["lang"], (quota + 6 * quota**0.5 + 10) / r["count"]) for r in counts], "lang string, most double")
+    drawn = known.join(F.broadcast(shares) if len(counts) < 100_000 else shares, "lang").withColumn("draw", share_of(seed, "doc_id", "text")).filter("draw < most")
+    ranked = drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "text"))).filter(F.col("rank") <= quota)
     rng = np.random.default_rng(seed)
     samples = []
-    for r in known.filter(draw < F.try_element_at(share, F.col("lang"))).select("text", "lang").limit(2 * sample_rows).toLocalIterator():
-        whole = list(pieces(r["text"], 1 << 10))
-        ids = subwords(whole[int(rng.integers(len(whole)))]) if whole else np.zeros(0, np.int64)
-        if len(ids):
-            samples.append((r["lang"], ids))
-            ws = r["text"].split()
-            a, n = int(rng.integers(max(1, len(ws) - 3))), int(rng.integers(3, 25))
-            short = [subwords(p) for p in pieces(" ".join(ws[a : a + n]))]
-            if short and len(short[0]):
-                samples.append((r["lang"], short[0]))
-    return LanguageModel(sorted({x for x, _ in samples}), seed=seed).fit(samples) if samples else LanguageModel([])
+    for r in ranked.orderBy("draw", "lang", "doc_id", "text").select("text", "lang").toLocalIterator():
+        words = r["text"].split()
+        a, n = int(rng.integers(max(1, len(words) - 3))), int(rng.integers(3, 25))
+        for text in (r["text"], " ".join(words[a : a + n])):
+            ids, share = bag(text)
+            if len(ids):
+                samples.append((r["lang"], ids, share))
+    return LanguageModel(sorted({x for x, _, _ in samples}), seed=seed).fit(samples) if samples else LanguageModel([])
 
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]

@@ -3,15 +3,16 @@
 Four patterns give the base spans (email, ip, card, phone). The field labels the tokens that hold a digit or an @; all
 other tokens are clamped to "none" and only serve as context. Its potentials are: a linear model of each token's shape
 and neighbours; a potential between tokens that follow each other; and a potential between distant tokens that repeat
-each other or hold the same digits (skip edges). Each repetition is linked to the one before it only, so that the edges
-grow in proportion to the tokens. Loopy belief propagation over the document's graph carries a label from where it is
+each other or are similar: the same letters and digits in another form, or the same seven digits at the end or the start
+(skip edges). Each repetition is linked to the one before it only, so that the edges grow in proportion to the tokens. Loopy belief propagation over the document's graph carries a label from where it is
 certain to where the same number or address stands in another form, and makes the labels of one string consistent.
 
 The weights are learned piecewise in numpy, from the labels that the patterns give on a bounded sample (`sample_rows`
 documents that hold a digit or an @): the unary model by gradient descent, both edge potentials as log ratios of label
 pairs counted on the edges. Tokens whose marginal for one kind is at least `least` give further spans; base ones stay.
 
-Defined cases: a null text is empty and has no spans; repeated rows give equal rows; with no sample nothing is added; an
+Defined cases: a null text is empty and has no spans; very long texts are labelled whole; of kinds with equal marginals
+the first one listed counts; repeated rows give equal rows; with no sample nothing is added; an
 empty table gives none; further columns are not read.
 """
 
@@ -96,7 +97,7 @@ def _tokens(text: str) -> list[tuple[int, int]]:
 
 
 def _shape(s: str) -> str:
-    out = re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}" if len(m[0]) < 5 else "9+", s[:80])
+    out = re.sub(r"[0-9]+", lambda m: f"9{len(m[0])}" if len(m[0]) < 5 else "9+", s)
     return re.sub(r"[^\W\d_]+", "a", out)
 
 
@@ -116,17 +117,20 @@ def _features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _edges(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbours, and pairs of a token and the last one before it that repeats it or holds its digits."""
+    """Pairs of neighbours, and pairs of a token and the last one before it that repeats it or is like it: the same letters
+    and digits whatever stands between them, the same last or first seven digits."""
     chain, skip, last = [], [], {}
     for k, (a, b) in enumerate(spans):
         if k and a - spans[k - 1][1] <= 3:
             chain.append((k - 1, k))
         s = text[a:b].lower()
         d = re.sub(r"[^0-9]", "", s)
-        for key in {s, f"#{d[-7:]}" if len(d) >= 7 and "@" not in s else s}:
-            if len(key) >= 4 and key in last and (not skip or skip[-1] != (last[key], k)):
-                skip.append((last[key], k))
-            last[key] = k
+        keys = {s, "=" + re.sub(r"[\W_]", "", s)}
+        if len(d) >= 7 and "@" not in s:
+            keys |= {f"#{d[-7:]}", f"^{d[:7]}"}
+        found = {last[key] for key in keys if len(key) >= 4 and key in last}
+        skip += [(j, k) for j in sorted(found)]
+        last.update(dict.fromkeys(keys, k))
     return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
 

@@ -1,24 +1,30 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 The text view sees what is written: shares of runs of three character classes (letters by case, digits, each sign as
-itself) and shares of repeated words. The metadata view sees the record around it: length, numbers of words and lines,
-mean lengths, shares of kinds of characters, variety of words, language and source, each cut into bins at quantiles.
+itself) and of words, hashed into columns, and figures of repetition. The metadata view sees the record: language,
+source, n_chars and the layout of the page (lines, their mean and greatest length, blank ones), cut into bins at
+quantiles; names are hashed into columns. No figure belongs to both.
 
-Both views start from the labelled documents. In each round each one labels the unlabelled documents it is surest of,
-good and bad in the proportion of the labels, and hands them to the other one. In the end both are calibrated on
-labelled documents held back (Platt scaling), their calibrated log-odds are added up with weights fitted there, and the
-documents whose probability of bad quality is above a threshold are rejected. The threshold is set so that at most
-`false_rejects` of the good documents held back go, and lies between 0.5 and 0.9.
+Both views start from the labelled documents. In each round each view scores all unlabelled documents and hands those it
+is surest of, good and bad in the proportion of the labels, `exchanged` in all, to the other one. In the end both are
+calibrated on labelled documents held back (Platt scaling), their calibrated log-odds are added up with weights fitted
+there, and the documents whose probability of bad quality is above a threshold are rejected. The threshold is set so that
+at most `false_rejects` of the good documents held back go, and lies between 0.5 and 0.9.
 
-Fitted on bounded samples: `labelled_rows` labelled documents and `unlabelled_rows` others; all documents are scored.
+Fitted on a bounded sample of labelled documents, `labelled_rows` with the least hashes; pseudo-labels are searched for
+among all documents, and all are scored.
 
 Defined cases: a null text counts as empty; null source, language or n_chars are values of their own; documents labelled
 more than once count by the mean of their labels; null labels and labels of unknown documents are left out; without
-labels of both kinds nothing is rejected and all scores are 0.5; repeated rows agree; extra columns are carried along.
+labels of both kinds nothing is rejected and all scores are 0.5; documents that a view is equally sure of are taken by
+the hash of their id; very long texts are read whole; repeated rows agree; an empty table gives no rows; extra columns
+are carried along.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,43 +32,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siltwork.llm.arrow import bounded_sample, map_texts
+from siltwork.llm.arrow import share_of
+from siltwork.llm.text import fold, mixed, word_hashes
+from siltwork.session import cut_lineage, free
 
 LABELLED_ROWS = 6000
-UNLABELLED_ROWS = 6000
-ROUNDS = 4
-COLUMNS = 1500
+EXCHANGED = 600
+ROUNDS = 2
 BINS = 12
+#: columns that runs of classes, words and names are hashed into
+RUNS, WORDS, NAMES = 512, 384, 128
 
 # classes of bytes: letters by case, digits, everything else as itself; bytes beyond ASCII count as small letters
 _CLASS = np.array([1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 if b == 32 else 5 if b == 10 else 0 for b in range(256)], np.int64)
 _SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
 _CLASS[_SIGNS] = np.arange(6, 6 + len(_SIGNS))
 _N = 6 + len(_SIGNS)
-_REPEATS = 8
-
-
-def features(text: str | None) -> tuple[bytes, bytes, list[float]]:
-    """Column numbers and values of the text view; figures of the metadata view."""
-    text = text or ""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    c = _CLASS[raw]
-    words = text.split()
-    n = len(words)
-    distinct = len(set(words))
-    again = sum(a == b for a, b in zip(words, words[1:])) / n if n else 0.0
-    seen = np.bincount(c[:-2] * (_N * _N) + c[1:-1] * _N + c[2:], minlength=1) if len(c) > 2 else np.zeros(1)
-    cols = np.flatnonzero(seen)
-    values = np.sqrt(seen[cols] / max(1, len(c)))
-    extra = np.array([min(_REPEATS - 1, int(again * _REPEATS))]) + _N**3
-    cols, values = np.concatenate([cols, extra]).astype(np.int32), np.concatenate([values, [1.0]]).astype(np.float32)
-    kinds = np.bincount(c, minlength=_N) / max(1, len(c))
-    lines = text.count("\n") + 1
-    figures = [
-        np.log1p(len(text)), np.log1p(n), np.log1p(lines), np.log1p(len(text) / lines), len(text) / max(1, n), float(kinds[2]), float(kinds[3]),
-        float(kinds[6:].sum()), float(kinds[4] + kinds[5]), float(kinds[0]), distinct / max(1.0, n) * np.log1p(n), again, text.count("|") / max(1, n),
-    ]
-    return cols.tobytes(), values.tobytes(), [float(x) for x in figures]
+_RUN = (mixed(np.arange(_N**3, dtype=np.uint64)) % np.uint64(RUNS)).astype(np.int64)
+_STEPS = 8
+TEXT_COLUMNS = RUNS + WORDS + 2 * _STEPS
+
+
+def text_view(text: str) -> np.ndarray:
+    """One row of the text view."""
+    c = _CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    h = word_hashes(fold(text))
+    n = len(h)
+    seen = np.bincount(_RUN[c[:-2] * (_N * _N) + c[1:-1] * _N + c[2:]], minlength=RUNS) if len(c) > 2 else np.zeros(RUNS)
+    words = np.bincount((h % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
+    figures = np.zeros((2, _STEPS))
+    again = float((h[1:] == h[:-1]).mean()) if n > 1 else 0.0
+    variety = len(np.unique(h)) / n if n else 0.0
+    figures[0, min(_STEPS - 1, int(again * _STEPS))] = figures[1, min(_STEPS - 1, int(variety * _STEPS))] = 1
+    return np.concatenate([np.sqrt(seen / max(1, len(c))), np.sqrt(words / max(1, n)), figures.ravel()]).astype(np.float32)
+
+
+def record_figures(text: str, n_chars: int | None) -> list[float]:
+    """Figures of the metadata view: what the record says of its length, and the layout."""
+    lengths = [len(x) for x in text.split("\n")]
+    return [np.log1p(max(0, len(text) if n_chars is None else n_chars)), np.log1p(len(lengths)), np.log1p(sum(lengths) / len(lengths)), np.log1p(max(lengths)), float(np.mean([x == 0 for x in lengths]))]
+
+
+def record_names(lang: str | None, source: str | None) -> np.ndarray:
+    out = np.zeros(2 * NAMES, np.float32)
+    for k, x in enumerate((lang, source)):
+        out[k * NAMES + zlib.crc32(repr(x).encode("utf-8", "surrogatepass")) % NAMES] = 1
+    return out
 
 
 class Logistic:
@@ -95,132 +110,155 @@ class Logistic:
 
 
 class CoTrained:
-    """Two views of a document; bad quality is class 1."""
+    """Two views of a document; bad quality is class 1. Rows: (text view, figures, names)."""
 
     def __init__(self):
         self.ready = False
         self.threshold = 0.5
         self.accuracy: dict[str, float] = {}
 
-    # text view
-    def _text(self, cols: np.ndarray, values: np.ndarray) -> np.ndarray:
-        row = np.zeros(len(self.keep), np.float32)
-        at = np.searchsorted(self.keep, cols)
-        ok = (at < len(self.keep)) & (self.keep[np.minimum(at, len(self.keep) - 1)] == cols)
-        row[at[ok]] = values[ok]
-        return row
-
-    # metadata view
-    def _meta(self, figures: np.ndarray, lang: str | None, source: str | None) -> np.ndarray:
+    def _meta(self, figures: list[float], names: np.ndarray) -> np.ndarray:
         row = np.zeros((len(self.cuts), BINS), np.float32)
         for k, cut in enumerate(self.cuts):
             row[k, np.searchsorted(cut, figures[k], side="right")] = 1
-        names = np.zeros(len(self.names), np.float32)
-        for x in (f"l{lang}", f"s{source}"):
-            if x in self.names:
-                names[self.names[x]] = 1
         return np.concatenate([row.ravel(), names])
 
-    def fit(self, labelled: list[tuple], unlabelled: list[tuple], rounds: int = ROUNDS, false_rejects: float = 0.005, seed: int = 9) -> CoTrained:
-        """Rows: (cols, values, figures, lang, source, bad); bad isn't read in the unlabelled ones."""
-        y = np.array([float(r[5]) for r in labelled])
-        if len(set(y)) < 2:
+    def start(self, labelled: list[tuple], bad: list[float], seed: int = 9) -> CoTrained:
+        """First fit, on three quarters of the labelled documents; the others are held back."""
+        y = np.array(bad)
+        if len(set(bad)) < 2:
             return self
-        rows = [*labelled, *unlabelled]
-        used: dict[int, int] = {}
-        for r in rows:
-            for c in r[0].tolist():
-                used[c] = used.get(c, 0) + 1
-        self.keep = np.array(sorted(sorted(used, key=lambda c: (-used[c], c))[:COLUMNS]))
-        figures = np.array([r[2] for r in rows])
+        figures = np.array([r[1] for r in labelled])
         self.cuts = [np.unique(np.quantile(figures[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(figures.shape[1])]
-        common: dict[str, int] = {}
-        for r in rows:
-            for x in (f"l{r[3]}", f"s{r[4]}"):
-                common[x] = common.get(x, 0) + 1
-        self.names = {x: k for k, x in enumerate(sorted(sorted(common, key=lambda x: (-common[x], x))[:200]))}
-        a = np.array([self._text(r[0], r[1]) for r in rows])
-        b = np.array([self._meta(np.array(r[2]), r[3], r[4]) for r in rows])
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(y))
+        views = self._views(labelled)
+        order = np.random.default_rng(seed).permutation(len(y))
         held, train = order[: max(1, len(y) // 4)], order[max(1, len(y) // 4) :]
         if len(set(y[train])) < 2 or len(set(y[held])) < 2:
             held = train = order
-        free = np.arange(len(y), len(rows))
-        known = [{int(k): float(y[k]) for k in train}, {int(k): float(y[k]) for k in train}]
-        views, models = (a, b), [Logistic(0.3), Logistic(0.3)]
-        each = max(1, len(free) // (4 * max(1, rounds)))
-        share = float(y[train].mean())
-        for turn in range(rounds + 1):
-            for v in (0, 1):
-                ks = np.array(sorted(known[v]))
-                models[v].fit(views[v][ks], np.array([known[v][k] for k in ks.tolist()]), np.where(ks < len(y), 1.0, 0.5))
-            if turn == rounds or not len(free):
-                break
-            for v in (0, 1):
-                z = models[v].logit(views[v][free])
-                low, high = np.argsort(z)[: max(1, round(each * (1 - share)))], np.argsort(-z)[: max(1, round(each * share))]
-                for ks, label in ((low, 0.0), (high, 1.0)):
-                    for k in ks:
-                        if (z[k] > 1.5) if label else (z[k] < -1.5):
-                            known[1 - v].setdefault(int(free[k]), label)
-        self.models = models
-        z = np.stack([models[v].logit(views[v][held]) for v in (0, 1)], axis=1)
-        self.platt = [Logistic(0.01).fit(z[:, [v]], y[held]) for v in (0, 1)]
+        self.held = ([v[held] for v in views], y[held])
+        self.known = [(v[train], y[train], np.ones(len(train))) for v in views]
+        self.bad_share = float(y[train].mean())
+        self.ready = True
+        self._fit()
+        return self
+
+    def _views(self, rows: list[tuple]) -> list[np.ndarray]:
+        return [np.array([r[0] for r in rows]), np.array([self._meta(r[1], r[2]) for r in rows])]
+
+    def _fit(self) -> None:
+        self.models = [Logistic(p).fit(*k) for p, k in zip((0.3, 0.3), self.known)]
+
+    def exchange(self, rows: list[tuple], told: list[dict[int, float]]) -> None:
+        """Learn from pseudo-labels: told[v] maps places in rows to the label that view v gives for the other view."""
+        views = self._views(rows) if rows else []
+        for v in (0, 1):
+            ks = sorted(told[1 - v])
+            if ks:
+                x, y, w = self.known[v]
+                self.known[v] = (np.concatenate([x, views[v][ks]]), np.concatenate([y, [told[1 - v][k] for k in ks]]), np.concatenate([w, np.full(len(ks), 0.5)]))
+        self._fit()
+
+    def finish(self, false_rejects: float = 0.005) -> CoTrained:
+        """Calibrate both views and their sum on what was held back."""
+        views, y = self.held
+        z = np.stack([self.models[v].logit(views[v]) for v in (0, 1)], axis=1)
+        self.platt = [Logistic(0.01).fit(z[:, [v]], y) for v in (0, 1)]
         both = np.stack([self.platt[v].logit(z[:, [v]]) for v in (0, 1)], axis=1)
-        self.joint = Logistic(0.01).fit(both, y[held])
+        self.joint = Logistic(0.01).fit(both, y)
         p = 1 / (1 + np.exp(-np.clip(self.joint.logit(both), -30, 30)))
-        self.threshold = float(np.clip(np.quantile(p[y[held] == 0], 1 - false_rejects), 0.5, 0.9))
-        self.accuracy = {"text": float(((z[:, 0] > 0) == y[held]).mean()), "metadata": float(((z[:, 1] > 0) == y[held]).mean()), "joint": float(((p > self.threshold) == y[held]).mean())}
-        self.ready = True
+        self.threshold = float(np.clip(np.quantile(p[y == 0], 1 - false_rejects), 0.5, 0.9))
+        self.accuracy = {"text": float(((z[:, 0] > 0) == y).mean()), "metadata": float(((z[:, 1] > 0) == y).mean()), "joint": float(((p > self.threshold) == y).mean())}
+        del self.held, self.known
         return self
 
-    def score(self, cols: np.ndarray, values: np.ndarray, figures: np.ndarray, lang: str | None, source: str | None) -> tuple[float, float, float]:
+    def logits(self, row: tuple) -> tuple[float, float]:
+        return float(self.models[0].logit(row[0])), float(self.models[1].logit(self._meta(row[1], row[2])))
+
+    def score(self, row: tuple) -> tuple[float, float, float]:
         """Probability of bad quality by the text view, the metadata view and both."""
         if not self.ready:
             return 0.5, 0.5, 0.5
-        z = [self.models[0].logit(self._text(cols, values)), self.models[1].logit(self._meta(figures, lang, source))]
+        z = self.logits(row)
         both = np.array([self.platt[v].logit(np.array([z[v]])) for v in (0, 1)])
         p = 1 / (1 + np.exp(-np.clip(np.append(both, self.joint.logit(both)), -30, 30)))
         return float(p[0]), float(p[1]), float(p[2])
 
 
-_RAW = [T.StructField("cols", T.BinaryType()), T.StructField("vals", T.BinaryType()), T.StructField("figures", T.ArrayType(T.DoubleType()))]
+def _rows(batch: pa.RecordBatch, first: int):
+    """A row of both views for each document of a batch that has text, lang, source and n_chars from column `first` on."""
+    for t, lang, source, n in zip(*(batch.column(first + k).to_pylist() for k in range(4))):
+        t = t or ""
+        yield text_view(t), record_figures(t, n), record_names(lang, source)
+
 
+_RAW = T.StructType([T.StructField("id", T.LongType()), T.StructField("view", T.BinaryType()), T.StructField("figures", T.ArrayType(T.DoubleType())), T.StructField("names", T.BinaryType())])
 
-def _rows(sample: DataFrame, columns: list[str]) -> list[tuple]:
-    found = map_texts(sample, columns, _RAW, lambda: features)
-    return [
-        (np.frombuffer(r["cols"], np.int32), np.frombuffer(r["vals"], np.float32), r["figures"], r["lang"], r["source"], r["bad"])
-        for r in found.toLocalIterator()
-    ]
 
+def _read(docs: DataFrame) -> DataFrame:
+    """doc_id as a long, and what both views read; n_chars is null where there is no such column."""
+    n = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source", n.alias("n_chars"))
 
-def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, unlabelled_rows: int = UNLABELLED_ROWS, seed: int = 9) -> CoTrained:
-    """docs (doc_id, text, lang, source) and labels (doc_id, quality: 0 is bad)."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
-    # a bounded sample of the labels first, so that few texts move
-    n = known.count()
-    take = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, labelled_rows / max(1, n)) * (1 << 30))
-    cols = docs.select("doc_id", "text", "lang", "source")
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(min(1.0, labelled_rows / max(1, n)) * (1 << 30))
-    labelled = cols.filter(hashed).join(known.filter(take), "doc_id").limit(labelled_rows)
-    rest = bounded_sample(cols, unlabelled_rows, seed + 1).join(known.filter(take).select("doc_id"), "doc_id", "left_anti").withColumn("bad", F.lit(False))
-    named = ["lang", "source", "bad"]
-    return CoTrained().fit(_rows(labelled, named), _rows(rest, named), seed=seed)
+
+def _viewed(docs: DataFrame) -> dict[int, tuple]:
+    """The rows of a bounded table by id, in the order of the ids; of several with one id, one."""
+    kinds = to_arrow_schema(_RAW)
+
+    def run(batches):
+        for b in batches:
+            rows = [(x.tobytes(), [float(f) for f in y], z.tobytes()) for x, y, z in _rows(b, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kinds.field(1 + k).type) for k in range(3))], schema=kinds)
+
+    found = sorted(((r["id"], r["view"], r["figures"], r["names"]) for r in docs.mapInArrow(run, _RAW).toLocalIterator()), key=lambda r: (r[0], bytes(r[1]), bytes(r[3])))
+    return {i: (np.frombuffer(v, np.float32), f, np.frombuffer(n, np.float32)) for i, v, f, n in reversed(found)}
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, exchanged: int = EXCHANGED, rounds: int = ROUNDS, seed: int = 9, sure: float = 1.5
+) -> CoTrained:
+    """docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality: 0 is bad)."""
+    own = _read(docs).filter("id IS NOT NULL")
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") < 0.5).cast("double").alias("bad"))
+    taken = known.orderBy(share_of(seed, "id"), "id").limit(labelled_rows).toPandas()
+    bad = dict(zip(taken["id"].tolist(), taken["bad"].tolist()))
+    spark = docs.sparkSession
+
+    def rows_of(ids: list[int]) -> dict[int, tuple]:
+        return _viewed(own.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "id long")), "id")) if ids else {}
+
+    rows = rows_of(sorted(bad))
+    model = CoTrained().start(list(rows.values()), [bad[i] for i in rows], seed)
+    schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(f"z{v}", T.DoubleType()) for v in (0, 1))])
+    for _ in range(rounds if model.ready else 0):
+        held = spark.sparkContext.broadcast(model)
+
+        def run(batches, held=held):
+            for b in batches:
+                z = [held.value.logits(r) for r in _rows(b, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[v] for x in z], pa.float64()) for v in (0, 1))], schema=to_arrow_schema(schema))
+
+        scored = cut_lineage(own.mapInArrow(run, schema).join(known.select("id"), "id", "left_anti").dropDuplicates(["id"]))
+        few = max(1, round(exchanged * model.bad_share))
+        told: list[dict[int, float]] = [{}, {}]
+        for v in (0, 1):
+            z = F.col(f"z{v}")
+            for label, order, ok, most in ((1.0, z.desc(), z > sure, few), (0.0, z.asc(), z < -sure, max(1, exchanged - few))):
+                for r in scored.filter(ok).orderBy(order, share_of(seed, "id"), "id").limit(most).select("id").collect():
+                    told[v][r["id"]] = label
+        free(scored)
+        held.unpersist()
+        new = rows_of(sorted({*told[0], *told[1]}))
+        places = {i: k for k, i in enumerate(new)}
+        model.exchange(list(new.values()), [{places[i]: y for i, y in t.items() if i in places} for t in told])
+    return model.finish() if model.ready else model
 
 
 SCORES = [T.StructField(x, T.DoubleType()) for x in ("text_score", "meta_score", "score")] + [T.StructField("rejected", T.BooleanType())]
 
 
 def _judged(m: CoTrained, batch: pa.RecordBatch, first: int) -> list[tuple]:
-    """Scores and verdict for each row of a batch that has text, lang and source from column `first` on."""
-    rows = []
-    for t, lang, source in zip(*(batch.column(first + k).to_pylist() for k in range(3))):
-        cols, vals, figures = features(t)
-        p = m.score(np.frombuffer(cols, np.int32), np.frombuffer(vals, np.float32), np.array(figures), lang, source)
-        rows.append((*p, m.ready and p[2] > m.threshold))
-    return rows
+    """Scores and verdict for each row of a batch, see _rows."""
+    return [(*p, m.ready and p[2] > m.threshold) for p in map(m.score, _rows(batch, first))]
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -235,7 +273,8 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
             made = [pa.array([r[k] for r in rows], kinds.field(1 + k).type) for k in range(len(SCORES))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(kinds.field(0).type), *made], schema=kinds)
 
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, schema)
+    n = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return docs.select("doc_id", "text", "lang", "source", n.alias("n_chars")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -248,5 +287,6 @@ def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
             keep = pa.array([not r[3] for r in _judged(held.value, b, n)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(n)], names=b.schema.names[:n]).filter(keep)
 
-    read = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(f"__{c}") for c in ("text", "lang", "source")])
+    chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    read = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(f"__{c}") for c in ("text", "lang", "source")], chars.alias("__n_chars"))
     return read.mapInArrow(run, docs.schema)

@@ -8,7 +8,8 @@ The models learn from labelled samples: secrets that the patterns find in a boun
 drawn at random from the usual alphabets (positive), words of that sample, long words, identifiers joined from words, and
 rules and repeats of few characters (negative). Whether a run holds digits does not matter. `sample_rows` documents at most, with the smallest hashes, are read for it.
 
-Defined cases: a null text is empty; empty texts have no spans; repeated rows give equal rows; an empty table gives none,
+Defined cases: a null text is empty; empty texts have no spans; very long texts are scanned whole, in time proportional
+to them; spans that start at one place are ordered by kind; repeated rows give equal rows; an empty table gives none,
 and the models then learn from the drawn strings alone; further columns are not read.
 """
 
@@ -130,8 +131,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Ma
         for start, kind, end in spans:
             value = text[start:end]
             found.add(ASSIGN.match(value)[2] if kind == 0 else value)
-        if len(plain) < 60_000:
-            plain.update(re.findall(r"[A-Za-z]{2,}", text, re.A))
+        plain.update(re.findall(r"[A-Za-z]{2,}", text, re.A))
     secrets = [x for s in sorted(found) if (x := "".join(c for c in s if c in _ALPHABET)) and len(x) >= 16]
     words, half = sorted(plain), [*NAMES, *LONG_WORDS]
     while words and len(half) < len(words):
