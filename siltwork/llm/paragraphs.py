@@ -167,11 +167,11 @@ def cut_text(text: str | None, marks: list[dict] | None, least_words: int) -> tu
     if text is None:
         return None, 0, 0, 0, 0, 0, "", []
     folded = fold(text)
+    lines = text.count("\n") + 1
+    if not marks:
+        return text, lines, len(folded.split()), 0, 0, 0, "", []
     begin, end = word_spans(folded)
     n = len(begin)
-    lines = text.count("\n") + 1
-    if not marks or not n:
-        return text, lines, n, 0, 0, 0, "", []
     raw = text.encode("utf-8", "surrogatepass")
     breaks = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1, [len(raw) + 1]])
     of_line = np.searchsorted(begin, breaks)
