@@ -81,26 +81,45 @@ def class_loss(before: DataFrame, after: DataFrame, label: str = "class", share:
     return both.filter((F.col("before") >= least) & (F.col("before") - F.col("after") > share * F.col("before")))
 
 
-def quotas(counts: dict[str, int], total: int, least: int = 5) -> dict[str, int]:
-    """How many of each group to sample: in proportion, by largest remainder, no fewer than `least` where there are."""
-    n = sum(counts.values())
-    if n <= total:
-        return dict(counts)
-    exact = {g: total * c / n for g, c in counts.items()}
-    out = {g: min(c, max(min(least, c), int(exact[g]))) for g, c in counts.items()}
-    order = sorted(counts, key=lambda g: (-(exact[g] - int(exact[g])), g))
-    while sum(out.values()) < total:
-        grown = [g for g in order if out[g] < counts[g]]
-        for g in grown[: total - sum(out.values())]:
-            out[g] += 1
-    while sum(out.values()) > total and any(v > least for v in out.values()):
-        out[max(out, key=lambda g: (out[g], g))] -= 1
-    return out
-
-
-def stratified_sample(df: DataFrame, group: str, total: int, key: str = "path", seed: int = 42) -> DataFrame:
+def quotas(counts: DataFrame, total: int, least: int = 5) -> DataFrame:
+    """counts (g, n) -> (g, quota): how many of each group to sample, `total` in all, or all where there are fewer.
+
+    Each group has a floor of `least`, or its size. Where the floors fit, the rest is shared in proportion to what groups
+    have beyond their floors, whole shares first, then one each by the largest remainder; where they don't, the largest
+    groups have theirs first. Groups are few (folders, classes), so that their running sums are those of one small table.
+    """
+    g = counts.withColumn("floor", F.least("n", F.lit(least)))
+    every = W.partitionBy()
+    g = g.withColumns({"all": F.sum("n").over(every), "left": F.lit(total) - F.sum("floor").over(every), "spare": F.col("n") - F.col("floor")})
+    exact = F.col("left") * F.col("spare") / F.nullif(F.sum("spare").over(every), F.lit(0))
+    g = g.withColumn("exact", F.coalesce(exact, F.lit(0.0))).withColumn("whole", F.floor("exact"))
+    g = g.withColumn("over", F.col("left") - F.sum("whole").over(every))
+    by_size = W.orderBy(F.desc("n"), "g").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = F.sum("floor").over(by_size) - F.col("floor")
+    first = F.row_number().over(W.orderBy(F.desc(F.col("exact") - F.col("whole")), "g")) <= F.col("over")
+    shared = F.col("floor") + F.col("whole") + first.cast("int")
+    scarce = F.greatest(F.lit(0), F.least(F.col("floor"), F.lit(total) - before))
+    quota = F.when(F.col("all") <= total, F.col("n")).when(F.col("left") <= 0, scarce).otherwise(shared)
+    return g.select("g", quota.cast("long").alias("quota"))
+
+
+def stratified_sample(df: DataFrame, group: str, total: int, key: str = "path", seed: int = 42, least: int = 5) -> DataFrame:
     """Rows of each group by its quota, in the order of a hash."""
-    counts = {r["g"]: r["n"] for r in df.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n")).collect()}
-    q = df.sparkSession.createDataFrame(list(quotas(counts, total).items()), f"g {df.schema[group].dataType.simpleString()}, quota int")
-    rank = F.row_number().over(W.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key))
-    return df.withColumn("__rank", rank).join(F.broadcast(q), F.col(group).eqNullSafe(F.col("g"))).filter("__rank <= quota").drop("__rank", "g", "quota")
+    q = quotas(df.groupBy(F.col(f"`{group}`").alias("g")).agg(F.count("*").alias("n")), total, least)
+    rank = F.row_number().over(W.partitionBy(f"`{group}`").orderBy(F.xxhash64(F.lit(seed), key), key))
+    # no group gives more than the total, so that each task keeps no more of it
+    ranked = df.withColumn("__rank", rank).filter(F.col("__rank") <= total)
+    return ranked.join(q, F.col(f"`{group}`").eqNullSafe(F.col("g"))).filter("__rank <= quota").drop("__rank", "g", "quota")
+
+
+def evenly_spaced(df: DataFrame, most: int, key: str = "rid") -> DataFrame:
+    """At most so many rows at even distances in the order of the key, the first and the last among them."""
+    from siltwork.operators.profile import numbered
+
+    placed = numbered(df, key, "__place")
+    n = placed.agg(F.max("__place")).first()[0]
+    if n is None or n + 1 <= most:
+        return placed.drop("__place")
+    step = F.lit(float(n) / (most - 1)) if most > 1 else F.lit(float(n + 1))
+    at = F.round(F.col("__place") / step)
+    return placed.filter((F.floor(at * step) == F.col("__place")) & (at < most)).drop("__place")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,14 +30,25 @@ def shingles(text: Column, width: int = WIDTH) -> Column:
     return X.bound(F.transform(X.words(text), F.lower), runs)
 
 
-def minhash(sets: Column, hashes: int = HASHES) -> Column:
-    """Minima of the set under so many hash functions; empty for an empty set."""
-
-    def mins(hashed: Column) -> Column:
-        low = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, i))))
-        return F.when(F.size(hashed) > 0, low).otherwise(F.array().cast("array<bigint>"))
-
-    return X.bound(F.transform(sets, lambda s: F.xxhash64(s)), mins)
+def minhash(sets: Column, hashes: int = HASHES, seed: int = 1) -> Column:
+    """Minima of the set under so many hash functions; empty for an empty set. Strings are hashed in expressions, and the
+    minima of a batch are worked out at once."""
+    rng = np.random.default_rng(seed)
+    xor, mul = rng.integers(0, 1 << 64, hashes, dtype=np.uint64), rng.integers(0, 1 << 64, hashes, dtype=np.uint64) | np.uint64(1)
+
+    def minima(hashed: pd.Series) -> pd.Series:
+        sizes = np.array([0 if x is None else len(x) for x in hashed], np.int64)
+        full = np.flatnonzero(sizes)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sizes)
+        if len(full):
+            every = np.concatenate([np.asarray(hashed.iloc[k], np.int64) for k in full]).view(np.uint64)
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            low = np.stack([np.minimum.reduceat((every ^ x) * m, starts) for x, m in zip(xor, mul)], axis=1).view(np.int64)
+            for k, row in zip(full, low):
+                out[k] = row
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(minima, "array<bigint>")(F.transform(sets, lambda s: F.xxhash64(s)))
 
 
 def signature_similarity(a: Column, b: Column) -> Column:

@@ -94,30 +94,69 @@ def adjusted_skew(v: Column) -> Column:
     return F.when((n > 2) & (F.stddev_samp(v) > 0), F.skewness(v) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+def placed_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n, before): how often each number occurs in each column, and how many of its numbers are smaller.
+
+    Counts are partly summed before the shuffle, and running sums are those of ranges, so that no task holds a column."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
+    counts = df.select(F.explode(cells).alias("c")).select("c.*").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    placed = running_total(counts, ["column", "value"], "n")
+    first = placed.groupBy("column").agg(F.min("before").alias("first"))  # a row per column
+    return placed.join(F.broadcast(first), "column").select("column", "value", "n", (F.col("before") - F.col("first")).alias("before"))
+
+
+def quantiles(placed: DataFrame, probabilities: list[float]) -> DataFrame:
+    """placed_values -> column, n, q: exact quantiles, between neighbours in proportion."""
+    sizes = placed.groupBy("column").agg(F.sum("n").alias("all"))
+    r = placed.join(F.broadcast(sizes), "column")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("value")))
+
+    found = []
+    for p in probabilities:
+        pos = F.lit(p) * (F.col("all") - 1)
+        found.append(F.struct(at(F.floor(pos)).alias("a"), at(F.ceil(pos)).alias("b"), F.max(pos - F.floor(pos)).alias("w")))
+    out = r.groupBy("column").agg(F.max("all").alias("n"), F.array(*found).alias("f"))
+    return out.select("column", "n", F.transform("f", lambda x: x["a"] + (x["b"] - x["a"]) * x["w"]).alias("q"))
+
+
+def quantile_values(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
+    """The same on the driver; columns without a number are left out."""
+    return {r["column"]: list(r["q"]) for r in quantiles(placed_values(df, columns), probabilities).collect()} if columns else {}
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row per numeric column with counts, moments and quartiles, from one pass and a second one for outliers."""
+    """A row per numeric column with counts, moments and quartiles; moments from one pass, the rest from counts per value."""
     first = []
     for c in columns:
         v = F.col(f"`{c}`").cast("double")
         first.append(F.struct(
-            F.lit(c).alias("column"), F.count("*").alias("rows"), (F.count("*") - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+            F.lit(c).alias("column"), F.count("*").alias("rows"), (F.count("*") - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
             F.max(v).alias("max"), adjusted_skew(v).alias("skew"), F.count_if(v < 0).alias("negatives"), F.count_if(v == 0).alias("zeros"),
         ).alias(c))
-    stats = df.agg(*first)
-    long = stats.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
-    # outliers: each value against its column's fences, aggregated per column
-    fences = F.broadcast(stats.select(*[F.col(f"`{c}`")["q"].alias(f"__q{k}") for k, c in enumerate(columns)]))
-    beyond = []
-    for k, c in enumerate(columns):
-        v, q1, q3 = F.col(f"`{c}`").cast("double"), F.col(f"__q{k}")[0], F.col(f"__q{k}")[2]
-        beyond.append(F.struct(F.lit(c).alias("column"), F.count_if((v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1))).alias("outliers_iqr")).alias(f"o{k}"))
-    out = df.select(*[F.col(f"`{c}`") for c in columns]).join(fences).agg(*beyond)
-    out = out.select(F.explode(F.array(*[F.col(f"o{k}") for k in range(len(columns))])).alias("o")).select("o.*")
-    unique = value_counts(df, columns).groupBy("column").agg(F.count("value").alias("unique"))
-    return long.join(F.broadcast(out), "column").join(F.broadcast(unique), "column").select(
-        "column", "rows", "missing", "unique", V.r4(F.col("mean")).alias("mean"), V.r4(F.col("std")).alias("std"), V.r4(F.col("min")).alias("min"),
+    moments = df.agg(*first)
+    long = moments.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
+    placed = placed_values(df, columns)
+    q = quantiles(placed, [0.25, 0.5, 0.75]).select("column", "q")
+    q1, q3 = F.col("q")[0], F.col("q")[2]
+    beyond = (F.col("value") < q1 - 1.5 * (q3 - q1)) | (F.col("value") > q3 + 1.5 * (q3 - q1))
+    # a row per column
+    told = placed.join(F.broadcast(q), "column").groupBy("column").agg(F.count("*").alias("unique"), F.sum(F.when(beyond, F.col("n")).otherwise(0)).alias("outliers_iqr"), F.first("q").alias("q"))
+    n = F.col("rows") - F.col("missing")
+    outliers = F.coalesce("outliers_iqr", F.lit(0))
+    return long.join(F.broadcast(told), "column", "left").select(
+        "column", "rows", "missing", F.coalesce("unique", F.lit(0)).alias("unique"), V.r4(F.col("mean")).alias("mean"), V.r4(F.col("std")).alias("std"), V.r4(F.col("min")).alias("min"),
         V.r4(F.col("q")[0]).alias("p25"), V.r4(F.col("q")[1]).alias("median"), V.r4(F.col("q")[2]).alias("p75"), V.r4(F.col("max")).alias("max"), V.r4(F.col("skew")).alias("skew"),
-        "outliers_iqr", V.r4(F.when(F.col("rows") > F.col("missing"), 100 * F.col("outliers_iqr") / (F.col("rows") - F.col("missing")))).alias("outliers_pct"), "negatives", "zeros",
+        outliers.alias("outliers_iqr"), V.r4(F.when(n > 0, 100 * outliers / n)).alias("outliers_pct"), "negatives", "zeros",
+    )
+
+
+def datetime_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row per column of dates written as text: values, least and greatest date, and values that are none."""
+    counts = value_counts(df, columns).withColumn("v", V.present(F.col("value"))).filter("v IS NOT NULL").withColumn("t", V.to_timestamp(F.col("v")))
+    return counts.groupBy("column").agg(
+        F.sum("n").alias("present"), F.date_format(F.min("t"), "yyyy-MM-dd").alias("min"), F.date_format(F.max("t"), "yyyy-MM-dd").alias("max"), F.sum(F.when(F.col("t").isNull(), F.col("n")).otherwise(0)).alias("unparseable"),
     )
 
 
@@ -177,17 +216,32 @@ def average_ranks(df: DataFrame, value: Column, name: str) -> DataFrame:
     return running_total(counts, "value", "c").select("value", (F.col("before") + (F.col("c") + 1) / 2).alias(name))
 
 
-def running_total(df: DataFrame, order: str, amount: str, parts: int = 0) -> DataFrame:
-    """df and before: the sum of amount over rows with smaller order; by ranges, each of which is one task's work."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
+def ranged(df: DataFrame, order: list[str], parts: int = 0) -> DataFrame:
+    """df in ranges of the order, with the number of its range in __part; written, so that ranges stay as they are."""
     from siltwork.session import cut_lineage
 
-    ranged = cut_lineage(ranged)
-    sums = ranged.groupBy("__part").agg(F.sum(amount).alias("__sum"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+
+
+def running_total(df: DataFrame, order: str | list[str], amount: str, parts: int = 0) -> DataFrame:
+    """df and before: the sum of amount over rows with smaller order; by ranges, each of which is one task's work."""
+    keys = [order] if isinstance(order, str) else order
+    held = ranged(df, keys, parts)
+    sums = held.groupBy("__part").agg(F.sum(amount).alias("__sum"))
     offset = sums.select("__part", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    inner = F.coalesce(F.sum(amount).over(W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return ranged.withColumn("before", inner).join(F.broadcast(offset), "__part").withColumn("before", F.col("before") + F.col("__offset")).drop("__part", "__offset")
+    inner = F.coalesce(F.sum(amount).over(W.partitionBy("__part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("before", inner).join(F.broadcast(offset), "__part").withColumn("before", F.col("before") + F.col("__offset")).drop("__part", "__offset")
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df and the place of each row in the order of the key, from 0."""
+    return running_total(df.withColumn("__one", F.lit(1).cast("long")), key, "__one").withColumnRenamed("before", name).drop("__one")
+
+
+def strong_correlations(df: DataFrame, columns: list[str], least: float = 0.5) -> DataFrame:
+    """Pairs of columns whose Pearson coefficient is at least so far from 0, the farthest first."""
+    return correlations(df, columns).filter(F.abs("r") >= least).orderBy(F.desc(F.abs("r")), "a", "b")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -270,11 +324,11 @@ def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """Bins by the rule of Freedman and Diaconis, between 6 and 40; logarithmic where the values call for it."""
     v = F.col(f"`{column}`").cast("double")
-    s = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(v, F.array(*map(F.lit, (0.01, 0.25, 0.5, 0.75, 0.99)))).alias("q")).first()
+    s = df.agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")).first()
     empty = df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
     if not s["n"]:
         return empty
-    lo, hi, (p1, q1, q2, q3, p99) = s["lo"], s["hi"], s["q"]
+    lo, hi, (p1, q1, q2, q3, p99) = s["lo"], s["hi"], quantile_values(df, [column], [0.01, 0.25, 0.5, 0.75, 0.99])[column]
     x, own = v, v.isNotNull()
     if lo > 0 and p99 > 20 * q2:
         x = F.log10(v)
@@ -290,15 +344,23 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.filter(own).groupBy(k.alias("bin")).agg(F.count("*").alias("n")).select("bin", (lo + F.col("bin") * step).alias("lo"), (lo + (F.col("bin") + 1) * step).alias("hi"), "n")
 
 
-def quality_score(missing_pct: float, duplicate_pct: float, type_issues: int, dead_columns: int, hidden_columns: int) -> float:
-    """100 less what missing values, duplicates, columns of mixed types, dead columns and hidden missing values cost."""
-    lost = min(30, 0.6 * missing_pct) + min(15, 1.5 * duplicate_pct) + min(20, 4 * type_issues) + min(10, 3 * dead_columns) + min(10, 2 * hidden_columns)
-    return round(100 - lost, 1)
+def unparseable(df: DataFrame, kinds: dict[str, Kind]) -> DataFrame:
+    """(column, unparseable): present values of columns of numbers and dates that are none."""
+    cols = [c for c, k in kinds.items() if k.kind in NUMERIC or k.kind == "datetime"]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, unparseable long")
+    v = value_counts(df, cols).withColumn("v", V.present(F.col("value"))).filter("v IS NOT NULL")
+    dates = F.col("column").isin(*[c for c in cols if kinds[c].kind == "datetime"])
+    bad = F.when(dates, V.to_timestamp(F.col("v")).isNull()).otherwise(V.to_number(F.col("v")).isNull())
+    return v.groupBy("column").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("unparseable"))
 
 
-def table_quality(df: DataFrame) -> float:
+def table_shares(df: DataFrame) -> DataFrame:
+    """df of strings -> part, amount for scores.deductions(..., 'table')."""
     kinds = detect_kinds(df)
-    cols = column_profile(df).agg(F.avg("missing_pct").alias("m"), F.count_if(F.col("hidden_missing") > 0).alias("h")).first()
-    dup = table_overview(df).first()["duplicate_pct"]
-    issues = sum(k.parse_rate < 1 or k.kind in ("currency", "percent", "datetime") for k in kinds.values())
-    return quality_score(cols["m"] or 0, dup, issues, sum(k.kind in ("empty", "constant") for k in kinds.values()), cols["h"])
+    cols = column_profile(df).agg(F.coalesce(F.avg("missing_pct"), F.lit(0.0)).alias("missing"), F.count_if(F.col("hidden_missing") > 0).alias("hidden"))
+    issues = unparseable(df, kinds).agg(F.count_if(F.col("unparseable") > 0).alias("issues"))
+    dead = sum(k.kind in ("empty", "constant") for k in kinds.values())
+    row = cols.join(issues).join(table_overview(df).select("duplicate_pct"))
+    parts = {"missing": F.col("missing"), "duplicates": F.col("duplicate_pct"), "type_issues": F.col("issues"), "empty_or_constant": F.lit(dead), "hidden_missing": F.col("hidden")}
+    return row.select(F.explode(F.array(*[F.struct(F.lit(p).alias("part"), c.cast("double").alias("amount")) for p, c in parts.items()])).alias("s")).select("s.*")

@@ -110,12 +110,10 @@ def with_rid(df: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, key, order: str = RID) -> DataFrame:
     """The first row of each key.
 
-    Only key and order are grouped, with partial aggregation, so that a hot key costs no sort of its rows.
+    Only key and order are grouped, with partial aggregation, so that a hot key costs no sort of its rows and no text
+    goes through the aggregation; order tells rows apart.
     """
     if order not in df.columns:
         return df.withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
-    keyed = df.withColumn("__key", key)
-    rest = [c for c in df.columns if c != order]
-    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(order)) if rest else F.lit(None)
-    out = keyed.groupBy("__key").agg(F.min(order).alias("__first"), first.alias("__row"))
-    return out.select(*[F.col("__first").alias(c) if c == order else F.col("__row")[c].alias(c) for c in df.columns])
+    first = df.select(F.xxhash64(key).alias("h"), F.md5(key.cast("string")).alias("m"), F.col(order)).groupBy("h", "m").agg(F.min(order).alias(order))
+    return df.join(first.select(order), order, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

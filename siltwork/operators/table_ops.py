@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import texts as X
 from siltwork.functions import values as V
+from siltwork.operators.profile import quantile_values
 from siltwork.operators.registry import RID, Param, op
 
 MAYBE = (bool, type(None))
@@ -128,8 +129,8 @@ def drop_rows_missing_in(df, columns):
 
 @op("table", "impute_median", "lossy", "null becomes the median", needs_columns=True)
 def impute_median(df, columns):
-    row = df.agg(*[F.percentile(F.col(f"`{c}`"), 0.5).alias(str(k)) for k, c in enumerate(columns)]).first()
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(row[str(k)])) for k, c in enumerate(columns)})
+    known = quantile_values(df, columns, [0.5])
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(q[0])) for c, q in known.items()})
 
 
 def most_frequent(df: DataFrame, c: str):
@@ -161,12 +162,10 @@ def add_missing_indicator(df, columns):
 
 @op("table", "winsorize", "lossy", "values beyond two quantiles move there", needs_columns=True, params={"lower": Param(float, 0.01, 0, 0.25), "upper": Param(float, 0.99, 0.75, 1)})
 def winsorize(df, columns, lower, upper):
-    row = df.agg(*[F.percentile(F.col(f"`{c}`"), F.array(F.lit(lower), F.lit(upper))).alias(str(k)) for k, c in enumerate(columns)]).first()
     out = {}
-    for k, c in enumerate(columns):
-        if row[str(k)] is not None:
-            v = F.col(f"`{c}`")
-            out[c] = F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(row[str(k)][1])), F.lit(row[str(k)][0])))
+    for c, (low, high) in quantile_values(df, columns, [lower, upper]).items():
+        v = F.col(f"`{c}`")
+        out[c] = F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(high)), F.lit(low)))
     return df.withColumns(out) if out else df
 
 
@@ -176,13 +175,12 @@ def iqr_fences(q1: Column, q3: Column, k: float = 1.5) -> tuple[Column, Column]:
 
 @op("table", "flag_outliers", "safe", "a column tells which values lie beyond 1.5 quartile distances", needs_columns=True)
 def flag_outliers(df, columns):
-    row = df.agg(*[F.percentile(F.col(f"`{c}`"), F.array(F.lit(0.25), F.lit(0.75))).alias(str(k)) for k, c in enumerate(columns)]).first()
-    out = {}
-    for k, c in enumerate(columns):
-        if row[str(k)] is None:
+    known, out = quantile_values(df, columns, [0.25, 0.75]), {}
+    for c in columns:
+        if c not in known:
             out[f"{c}_outlier"] = F.lit(False)
         else:
-            q1, q3 = row[str(k)]
+            q1, q3 = known[c]
             v = F.col(f"`{c}`")
             out[f"{c}_outlier"] = F.coalesce((v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1)), F.lit(False))
     return df.withColumns(out)

@@ -56,7 +56,7 @@ def strip_boilerplate(df, columns, min_share):
     if not lines:
         return df
     kept = F.filter(F.split("text", r"\R"), lambda x: ~F.regexp_replace(x, r"(?U)^\s+|\s+$", "").isin(*lines))
-    return df.withColumn("text", F.array_join(kept, "\n"))
+    return df.withColumn("text", F.regexp_replace(F.array_join(kept, "\n"), r"(?U)^\s+|\s+$", ""))
 
 
 @op("text", "mask_pii", "lossy", "private data is masked")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltwork.functions import fixed as X
+from siltwork.operators.profile import placed_values, quantiles
 
 
 def log_format(lines: DataFrame, first: int = 500) -> str:
@@ -66,7 +67,7 @@ def gaps(df: DataFrame, ts: str, order: str, min_seconds: float = 300, factor: f
     from siltwork.session import cut_lineage
 
     s = cut_lineage(steps(df, ts, order).filter("previous IS NOT NULL").select("previous", "ts", ((F.unix_micros("ts") - F.unix_micros("previous")) / 1e6).alias("seconds")))
-    median = s.agg(F.percentile("seconds", 0.5).alias("median"), F.count("*").alias("n"))
+    median = quantiles(placed_values(s, ["seconds"]), [0.5]).select(F.col("q")[0].alias("median"), F.col("n"))  # one row
     out = s.join(F.broadcast(median), (F.col("seconds") >= min_seconds) & (F.col("seconds") >= factor * F.col("median")) & (F.col("n") >= 9))
     out = out.select(F.col("previous").alias("start"), F.col("ts").alias("end"), "seconds").orderBy(F.desc("seconds"), "start")
     return out.limit(most) if most else out

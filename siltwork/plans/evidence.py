@@ -10,10 +10,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltwork.functions import fixed as V
 from siltwork.functions import texts as X
 
 SCHEMA = "artifact_id string, kind string, tool string, key string, value_double double, value_string string, summary string"
-CAUSAL = re.compile(r"\b(causes?|caused|leads? to|led to|because of|due to|results? in|drives?|driven by)\b", re.I)
+CAUSAL = re.compile(V.CAUSAL)
 
 
 def flatten(data: Any, prefix: str = "") -> dict[str, Any]:
@@ -76,6 +77,24 @@ def lookup(evidence: DataFrame, claims: DataFrame) -> DataFrame:
     return claims.select("claim_id").join(one, "claim_id", "left").select("claim_id", F.col("v.value").alias("value"), F.col("v.text").alias("text"))
 
 
+def lookup_all(evidence: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims (claim_id, artifact_ids, key) -> claim_id, artifact_id, value: one value for each cited artifact that has the
+    key, by the rules of lookup, and each item of a list of numbers that stands under it."""
+    one = claims.select("claim_id", "key", F.explode("artifact_ids").alias("artifact_id")).distinct()
+    one = one.withColumn("own_id", F.concat_ws("\x00", "claim_id", "artifact_id"))
+    key = F.trim("key")
+    named = F.lower(key).startswith(F.concat(F.lower("artifact_id"), F.lit(".")))
+    one = one.withColumn("key", F.when(named, F.substring(key, F.length("artifact_id") + 2, F.length(key))).otherwise(key))
+    place = F.regexp_extract("key", r"^(.*)\.\d+$", 1)
+    flat = F.coalesce(F.col("value_double").isNotNull(), F.lit(False))
+    lists = evidence.filter(place != "").groupBy("artifact_id", place.alias("key")).agg(F.bool_and(flat).alias("numbers"), F.array_sort(F.collect_list(F.struct(F.regexp_extract("key", r"(\d+)$", 1).cast("int").alias("k"), "value_double"))).alias("items"))
+    items = one.join(lists.filter("numbers"), ["artifact_id", "key"]).select("own_id", "claim_id", "artifact_id", F.explode("items.value_double").alias("value"))
+    rest = one.join(items.select("own_id").distinct(), "own_id", "left_anti")
+    single = lookup(evidence, rest.select(F.col("own_id").alias("claim_id"), F.array("artifact_id").alias("artifact_ids"), "key")).filter("text IS NOT NULL")
+    found = rest.join(single.select(F.col("claim_id").alias("own_id"), "value"), "own_id").select("claim_id", "artifact_id", "value")
+    return items.select("claim_id", "artifact_id", "value").union(found)
+
+
 def matches(a, b):
     return F.abs(a - b) <= F.greatest(F.abs(a) * 0.01, F.lit(0.06))
 
@@ -90,27 +109,24 @@ def find_value(evidence: DataFrame, numbers: DataFrame, most: int = 3) -> DataFr
         return F.when(F.abs(c) < 10, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.abs(c)) / F.lit(math.log(1.02))).cast("long"))
 
     n = numbers.select("number").distinct().withColumn("b", F.explode(F.array(bucket(F.col("number")) - 1, bucket(F.col("number")), bucket(F.col("number")) + 1, F.lit(0).cast("long")))).distinct()
-    hit = n.join(e.withColumn("b", bucket(F.col("value_double"))), "b").filter(matches(F.col("number"), F.col("value_double")))
+    hit = n.join(e.withColumn("b", bucket(F.col("value_double"))), "b").filter(matches(F.col("value_double"), F.col("number")))
+    # a number that is itself a key, as in rates.16000; from 1000 on, so that places in lists don't count
+    last = e.withColumn("last", F.regexp_extract("key", r"\.(\d+)$", 1)).filter("last <> ''").withColumn("number", F.col("last").cast("double")).filter("number >= 1000")
+    named = numbers.select("number").distinct().join(last, "number").select("number", "artifact_id", F.regexp_replace("key", r"\.\d+$", "").alias("key"))
+    hit = hit.select("number", "artifact_id", "key").union(named)
     rank = F.row_number().over(W.partitionBy("number").orderBy("artifact_id", "key"))
-    return hit.select("number", "artifact_id", "key").distinct().withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    return hit.distinct().withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
 
-_NUMBER = re.compile(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?%?(?![\w])")
+_NUMBER, _SCALE, _NAME = re.compile(V.CLAIMED_NUMBER), re.compile(V.SCALE), re.compile(r"(?=[\w.-]*[A-Za-z])(?=[\w.-]*\d)\w[\w.]*(?:[-_][\w.]+)+")
 
 
 def prose_numbers(text: str) -> list[float]:
-    """Numbers that a text claims: no scales such as /100, no whole numbers under 10, no years."""
-    out = []
-    for m in _NUMBER.finditer(text):
-        if text[: m.start()].endswith("/"):
-            continue
-        raw = m[0].rstrip("%").replace(",", "")
-        value = float(raw)
-        whole = "." not in raw and not m[0].endswith("%")
-        if whole and (abs(value) < 10 or 1900 <= value <= 2100):
-            continue
-        out.append(value)
-    return out
+    """Numbers that a text claims: no parts of names such as tbl_01 or model-3.5-x, no scales, no whole numbers under 10,
+    no years."""
+    bare = _SCALE.sub(" ", _NAME.sub(" ", text))
+    claims = [(m[0].endswith("%") or "." in m[0], float(m[0].rstrip("%").replace(",", ""))) for m in _NUMBER.finditer(bare)]
+    return [value for exact, value in claims if exact or not (abs(value) < 10 or 1900 <= value <= 2100)]
 
 
 def fact_check(spark: SparkSession, findings: list[dict], evidence: DataFrame, least: int = 3) -> list[str]:

@@ -116,25 +116,32 @@ def execute_plan(plan: CleaningPlan, df: DataFrame, known_evidence: set[str] | N
             if known_evidence is not None and (unknown := set(o.evidence) - known_evidence):
                 raise PlanError(f"unknown evidence {', '.join(sorted(unknown))}")
             touched = [c for c in o.columns if c in now.columns]
-            before = _missing(now, touched)
             if o.op.startswith("impute"):
-                for c in touched:
-                    if rows and before[c][1] > MOST_IMPUTED * rows:
-                        raise PlanError(f"{c}: {before[c][1]} of {rows} values are missing, too many to fill in")
-            new = apply_op(now, plan.media, o.op, list(o.columns), o.params)
-            left = [c for c in touched if c in new.columns]
-            after = _missing(new, left)
-            more = {c: after[c][0] - before[c][1] for c in left if after[c][0] > before[c][1]} if spec.converts else {}
-            for c, n in more.items():
-                had = rows - before[c][1]
-                if had and n > MOST_NEW_MISSING * had:
-                    examples = _unparsed(now, new, c)
-                    raise PlanError(f"{c}: {n} of {had} values would be lost, such as {', '.join(map(repr, examples))}")
+                for c, (_, n) in _missing(now, touched).items():
+                    if c and rows and n > MOST_IMPUTED * rows:
+                        raise PlanError(f"{c}: {n} of {rows} values are missing, too many to fill in")
+            more, new_rows = {}, rows
+            if spec.converts:
+                # rows stay, so that values before and after stand side by side, and one pass counts both
+                kept = {f"__was_{k}": F.col(f"`{c}`") for k, c in enumerate(touched)}
+                both = apply_op(now.withColumns(kept), plan.media, o.op, list(o.columns), o.params)
+                counts = _missing(both, [*kept, *touched])
+                lost = {c: (counts[c][0] - counts[w][1], rows - counts[w][1]) for c, w in zip(touched, kept)}
+                more = {c: n for c, (n, _) in lost.items() if n > 0}
+                new = both.drop(*kept)
+                for c, n in more.items():
+                    if lost[c][1] and n > MOST_NEW_MISSING * lost[c][1]:
+                        examples = _unparsed(now, new, c)
+                        raise PlanError(f"{c}: {n} of {lost[c][1]} values would be lost, such as {', '.join(map(repr, examples))}")
+            else:
+                new = apply_op(now, plan.media, o.op, list(o.columns), o.params)
+                if spec.risk == "destructive":
+                    new_rows = new.count()
         except PlanError as e:
             errors.append(f"{where}: {e}")
             continue
-        steps.append(StepResult(o.op, o.columns, rows, after[""][0], len(now.columns) - 1, len(new.columns) - 1, more, describe(now, new, rows, after[""][0])))
-        now, rows = new, after[""][0]
+        steps.append(StepResult(o.op, o.columns, rows, new_rows, len(now.columns) - 1, len(new.columns) - 1, more, describe(now, new, rows, new_rows)))
+        now, rows = new, new_rows
         if (k + 1) % cut_every == 0:
             now = cut_lineage(now)
     if total and total - rows > MOST_ROW_LOSS * total:
@@ -165,6 +172,18 @@ def describe(before: DataFrame, after: DataFrame, rows_before: int, rows_after:
     return "; ".join(parts) or "changed values"
 
 
+def change_notes(before: DataFrame, after: DataFrame, columns: list[str], unit: str = "rows", most: int = 6) -> list[str]:
+    """What a step changed, in words, with examples; of values, the columns with most changes."""
+    n, m = before.count(), after.count()
+    notes = [f"removed {n - m:,} {unit}"] if m < n else [f"added {m - n:,} {unit}"] if m > n else []
+    notes += [describe(before, after, m, m)] if before.columns != after.columns or before.dtypes != after.dtypes else []
+    shared = [c for c in columns if c in before.columns and c in after.columns]
+    for r in changed_values(before, after, shared).filter("changed > 0").orderBy(F.desc("changed"), "column").limit(most).collect() if shared else []:
+        gone = "" if not r["emptied"] else ", all now missing" if r["emptied"] == r["changed"] else f", {r['emptied']:,} of them now missing"
+        notes.append(f"changed {r['changed']:,} values in '{r['column']}'{gone} (e.g. {'; '.join(r['examples'])})")
+    return notes or ["nothing needed changing"]
+
+
 def changed_values(before: DataFrame, after: DataFrame, columns: list[str], examples: int = 3) -> DataFrame:
     """Per column: values that differ between rows of one rid, values that only changed type, and some examples."""
     both = align(before.select(RID, *columns), after.select(RID, *columns)).filter("before IS NOT NULL AND after IS NOT NULL")
@@ -173,17 +192,17 @@ def changed_values(before: DataFrame, after: DataFrame, columns: list[str], exam
         b, a = F.col("before")[c].cast("string"), F.col("after")[c].cast("string")
         differs = ~b.eqNullSafe(a)
         same_number = F.coalesce(b.try_cast("double") == a.try_cast("double"), F.lit(False))
-        pieces.append(F.struct(F.lit(c).alias("column"), (differs & ~same_number).alias("changed"), (differs & same_number).alias("retyped"), F.concat_ws(" -> ", F.coalesce(b, F.lit("null")), F.coalesce(a, F.lit("null"))).alias("example")))
+        pieces.append(F.struct(F.lit(c).alias("column"), (differs & ~same_number).alias("changed"), (differs & a.isNull()).alias("emptied"), (differs & same_number).alias("retyped"), F.concat_ws(" -> ", F.coalesce(b, F.lit("null")), F.coalesce(a, F.lit("null"))).alias("example")))
     long = both.select("k", F.explode(F.array(*pieces)).alias("p")).select("k", "p.*").filter("changed OR retyped")
-    kinds = long.groupBy("column", "changed", "example").agg(F.count("*").alias("n"), F.min("k").alias("first"))
+    kinds = long.groupBy("column", "changed", "emptied", "example").agg(F.count("*").alias("n"), F.min("k").alias("first"))
     some = F.slice(F.array_sort(F.collect_list(F.when(F.col("changed") & (F.col("first") <= F.lit(2**62)), F.struct("first", "example")))), 1, examples)
     # few examples only: those of the first rows
     from pyspark.sql import Window as W
 
     rank = F.row_number().over(W.partitionBy("column", "changed").orderBy("first"))
-    totals = kinds.groupBy("column").agg(F.sum(F.when(F.col("changed"), F.col("n")).otherwise(0)).alias("changed"), F.sum(F.when(~F.col("changed"), F.col("n")).otherwise(0)).alias("retyped"))
+    totals = kinds.groupBy("column").agg(F.sum(F.when(F.col("changed"), F.col("n")).otherwise(0)).alias("changed"), F.sum(F.when(~F.col("changed"), F.col("n")).otherwise(0)).alias("retyped"), F.sum(F.when(F.col("emptied"), F.col("n")).otherwise(0)).alias("emptied"))
     shown = kinds.filter("changed").withColumn("rank", rank).filter(F.col("rank") <= examples).groupBy("column").agg(some.alias("e"))
-    return totals.join(shown, "column", "left").select("column", "changed", "retyped", F.transform("e", lambda x: x["example"]).alias("examples"))
+    return totals.join(shown, "column", "left").select("column", "changed", "retyped", "emptied", F.transform("e", lambda x: x["example"]).alias("examples"))
 
 
 def distribution_shifts(before: DataFrame, after: DataFrame, columns: list[str]) -> list[tuple[str, float]]:
