@@ -120,6 +120,8 @@ def evenly_spaced(df: DataFrame, most: int, key: str = "rid") -> DataFrame:
     n = placed.agg(F.max("__place")).first()[0]
     if n is None or n + 1 <= most:
         return placed.drop("__place")
-    step = F.lit(float(n) / (most - 1)) if most > 1 else F.lit(float(n + 1))
-    at = F.round(F.col("__place") / step)
-    return placed.filter((F.floor(at * step) == F.col("__place")) & (at < most)).drop("__place")
+    if most == 1:
+        return placed.filter("__place = 0").drop("__place")
+    # the i-th of them is at i * n // (most - 1), in whole numbers
+    at = F.expr(f"(__place * {most - 1} + {n} - 1) DIV {n}")
+    return placed.filter((at * n - at * n % (most - 1)) / (most - 1) == F.col("__place")).drop("__place")

@@ -82,7 +82,6 @@ _table("cast_numeric", "SELECT rid, try_cast(order_id AS DOUBLE) AS order_id FRO
 _table("parse_percent", "SELECT rid, try_cast(replace(discount, '%', '') AS DOUBLE) / 100 AS discount FROM m", ["discount"], ["rid", "discount"], as_fraction=True)
 _table("parse_dates", "SELECT rid, strptime(placed, '%m/%d/%Y') AS placed FROM m", ["placed"], ["rid", "placed"])
 _table("parse_boolean", "SELECT rid, CASE urgent WHEN 'Yes' THEN true WHEN 'n' THEN false END AS urgent FROM m", ["urgent"], ["rid", "urgent"])
-_table("mark_as_id", "SELECT rid, order_id FROM m", ["order_id"], ["rid", "order_id"])
 _table("drop_empty_columns", "SELECT * EXCLUDE (notes) FROM m")
 _table("drop_constant_columns", "SELECT * EXCLUDE (notes, currency) FROM m")
 _table("drop_columns", "SELECT * EXCLUDE (notes, placed) FROM m", ["notes", "placed"])
@@ -94,7 +93,6 @@ _table("add_missing_indicator", "SELECT rid, priority, priority IS NULL AS prior
 _table("winsorize", "SELECT rid, round(greatest(least(amount, (SELECT quantile_cont(amount, 0.95) FROM m)), (SELECT quantile_cont(amount, 0.05) FROM m)), 2) AS amount FROM m WHERE true", ["amount"], None, lower=0.05, upper=0.95)
 _table("flag_outliers", """, q AS (SELECT quantile_cont(amount, 0.25) AS a, quantile_cont(amount, 0.75) AS b FROM m)
 SELECT rid, coalesce(amount < a - 1.5 * (b - a) OR amount > b + 1.5 * (b - a), false) AS amount_outlier FROM m, q""", ["amount"], ["rid", "amount_outlier"])
-_table("mask_injection_text", "SELECT rid, status FROM m", ["status"], ["rid", "status"])
 
 
 def _rounded(name: str, digits: int) -> None:
@@ -253,14 +251,7 @@ def text_drop_short_documents(spark, d):
 
 
 _text("normalize_whitespace", r"SELECT doc_id AS rid, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\x{A0}]+', ' ', 'g'), '\s*\n\s*(\n\s*)+', E'\n\n', 'g'), '^[\s\x{A0}\x{2028}\x{3000}]+|[\s\x{A0}\x{2028}\x{3000}]+$', '', 'g') AS text FROM documents")
-_text("fix_encoding", None)
-_text("normalize_unicode", None)
-_text("mask_pii", None)
-_text("mask_injection_text", None)
 _text("truncate_long_documents", f"SELECT doc_id AS rid, CASE WHEN len({WORDS}) > 60 THEN regexp_extract(text, '(?s)^((?:.*?{W}){{60}})', 1) ELSE text END AS text FROM documents", max_words=60)
-_text("strip_boilerplate", None, min_share=0.1)
-_text("drop_near_duplicates", None)
-_text("drop_cross_label_duplicates", None)
 
 
 @query("SELECT doc_id AS rid FROM documents WHERE doc_id NOT IN (0, 1)")
@@ -345,44 +336,10 @@ def tfidf_documents(spark, d):
     return textprof.tfidf(read_table(spark, d, "documents"), "doc_id").withColumn("weight", F.round("weight", 4))
 
 
-@query()
-def label_check_documents(spark, d):
-    return textprof.label_check(read_table(spark, d, "documents"), "lang", "doc_id")
-
-
-@query()
-def categories_documents(spark, d):
-    return textprof.categories(corpus(spark, d)).groupBy("category").agg(F.count("*").alias("n"))
-
-
-@query()
-def corpus_overview_documents(spark, d):
-    return textprof.corpus_overview(corpus(spark, d))
-
-
-@query()
-def pii_counts_documents(spark, d):
-    return textprof.pii_counts(corpus(spark, d))
-
-
 @query(r"""SELECT count(*) FILTER (regexp_matches(text, 'https?://\S+|www\.\S+')) AS urls, count(*) FILTER (regexp_matches(text, '(^|\W)@\w{2,}')) AS mentions,
 count(*) FILTER (regexp_matches(text, '(^|\W)#[A-Za-z]\w+')) AS hashtags, count(*) FILTER (regexp_matches(text, '(?i)[$€£¥]\s?\d[\d,.]*|\b\d[\d,.]*\s?(?:USD|EUR|GBP|dollars|euros)\b')) AS money FROM conversations""")
 def entities_conversations(spark, d):
-    return textprof.entities(read_table(spark, d, "conversations"))
-
-
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?i)<br\s*/?>|</p>|</div>|</li>', E'\n', 'g') AS t FROM pages)
-SELECT page_id, length(regexp_replace(t, '<[^>]+>', ' ', 'g')) AS chars FROM a""")
-def html_stripped_length_pages(spark, d):
-    t = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</p>|</div>|</li>", "\n")
-    return read_table(spark, d, "pages").select("page_id", F.length(F.regexp_replace(t, r"<[^>]+>", " ")).cast("long").alias("chars"))
-
-
-@query()
-def text_strip_html(spark, d):
-    pages = read_table(spark, d, "pages").select(F.col("page_id").alias("rid"), F.col("html").alias("text"))
-    return apply_op(pages, "text", "strip_html")
+    return textprof.entities(read_table(spark, d, "conversations")).drop("names")
 
 
 SHINGLES_SQL = f"""w AS (SELECT doc_id, list_transform({WORDS}, lambda x: lower(x)) AS w FROM documents),
@@ -461,50 +418,6 @@ def label_disagreements_nation(spark, d):
     return links.label_disagreements(rows, "file", "label", files).select("rid")
 
 
-@query("""SELECT rank AS n, c_mktsegment AS segment FROM (SELECT c_mktsegment, count(*) AS rank FROM customer GROUP BY 1)""")
-def class_counts_customer(spark, d):
-    return read_table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
-
-
-def images(spark, d):
-    p = read_table(spark, d, "part")
-    return p.select(
-        F.col("p_partkey").alias("rid"), F.col("p_name").alias("path"), F.col("p_brand").alias("class"), F.md5(F.concat_ws("|", "p_type", "p_size")).alias("sha256"), (F.col("p_size") == 50).alias("corrupt"),
-        (F.col("p_size") * 4).alias("width"), (F.col("p_size") * 3).alias("height"), (F.col("p_retailprice") / 8).alias("brightness"), (F.col("p_size") / 4.0).alias("contrast"), F.when(F.col("p_size") > 3, F.col("p_retailprice") / 10).alias("blur"),
-    )
-
-
-@query("""SELECT min(p_partkey) AS rid FROM part WHERE p_size <> 50 AND least(p_size * 4, p_size * 3) >= 32 AND coalesce(CASE WHEN p_size > 3 THEN p_retailprice / 10 END, 0) >= 95
-AND p_retailprice / 8 > 20 AND p_retailprice / 8 < 240 AND p_size / 4.0 >= 4 GROUP BY p_type, p_size""")
-def image_ops(spark, d):
-    df = images(spark, d)
-    for name, params in (("remove_corrupt", {}), ("drop_too_small", {}), ("drop_blurry", {"min_blur": 95.0}), ("drop_too_dark", {}), ("drop_too_bright", {}), ("drop_near_blank", {}), ("drop_exact_duplicates", {})):
-        df = apply_op(df, "image", name, None, params)
-    for name in ("fix_exif_orientation", "convert_to_rgb", "strip_exif", "resize_max_side"):
-        df = apply_op(df, "image", name)
-    return df.select("rid")
-
-
-@query("""SELECT min(p_partkey) AS rid FROM part WHERE p_size / 50.0 < 0.97 AND p_size / 20.0 >= 0.3 AND p_size / 40000.0 <= 0.001 AND p_retailprice / 50 >= 10 GROUP BY p_type, p_size""")
-def audio_ops(spark, d):
-    p = read_table(spark, d, "part")
-    df = p.select(F.col("p_partkey").alias("rid"), F.col("p_name").alias("path"), F.md5(F.concat_ws("|", "p_type", "p_size")).alias("sha256"), F.lit(False).alias("corrupt"), (F.col("p_size") / 50.0).alias("silence_ratio"),
-                  (F.col("p_size") / 20.0).alias("duration"), (F.col("p_size") / 40000.0).alias("clipping"), (F.col("p_retailprice") / 50).alias("snr_db"))
-    for name in ("remove_corrupt", "drop_silent", "drop_too_short", "drop_clipped", "drop_noisy", "drop_exact_duplicates", "to_mono", "trim_silence", "convert_to_wav", "resample", "normalize_loudness"):
-        df = apply_op(df, "audio", name)
-    return df.select("rid")
-
-
-@query("""SELECT min(p_partkey) AS rid FROM part WHERE p_size / 10.0 >= 1 AND p_retailprice / 20 >= 16 AND p_size / 5.0 >= 1 AND p_size > 5 GROUP BY p_type, p_size""")
-def video_ops(spark, d):
-    p = read_table(spark, d, "part")
-    df = p.select(F.col("p_partkey").alias("rid"), F.col("p_name").alias("path"), F.md5(F.concat_ws("|", "p_type", "p_size")).alias("sha256"), F.lit(False).alias("corrupt"), (F.col("p_size") / 10.0).alias("duration"),
-                  (F.col("p_retailprice") / 20).alias("brightness"), (F.col("p_size") / 5.0).alias("motion"), (F.col("p_size") > 5).alias("has_audio"), F.lit(0).alias("rotation"))
-    for name in ("remove_corrupt", "drop_too_short", "drop_black", "drop_frozen", "drop_without_audio", "drop_exact_duplicates", "fix_rotation", "downscale", "trim", "strip_audio", "extract_audio", "sample_frames"):
-        df = apply_op(df, "video", name)
-    return df.select("rid")
-
-
 @query("""WITH v AS (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda k: CASE WHEN embedding[k + 1] > 0 THEN (1::BIGINT << (k - 1)) ELSE 0 END))::BIGINT AS h FROM embeddings), h AS (SELECT * FROM v UNION ALL SELECT vec_id + 1000000000, xor(h, 5) FROM v)
 SELECT x.vec_id AS a, y.vec_id AS b FROM h x JOIN h y ON x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= 3""")
 def hamming_pairs_embeddings(spark, d):
@@ -553,12 +466,9 @@ def changed_values_orders(spark, d):
     return plans.changed_values(m, after, ["status", "order_id"]).select("column", "changed", "retyped")
 
 
-@query("SELECT c_mktsegment AS segment, cast(least(count(*), 1000000) AS BIGINT) AS n FROM customer GROUP BY 1")
-def stratified_sample_customer(spark, d):
-    c = read_table(spark, d, "customer")
-    return links.stratified_sample(c, "c_mktsegment", 1_000_000, "c_custkey").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return numeric_profile_lineitem(spark, d)
 
+
+
+from siltwork.plans import corpus_queries, media_queries  # noqa: E402, F401  they register more
