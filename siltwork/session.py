@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark deletes the shuffle files of a write once it is done
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: bytes of a row group of written tables: small, as each task that writes holds one
+ROW_GROUP = 16 << 20
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -52,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
