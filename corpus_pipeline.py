@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; a runner may write it as Parquet and read it again before
 the next stage. All but the last give the columns of documents. ORACLE_SQL is None: the classifier, the forest and the
 models of secrets aren't expressible in SQL; tests/llm compares run() with a plain version on a small fixture.
+
+Defined cases, of every stage: null ids, texts, languages and sources are values like others (a null text has no words,
+is kept and takes no part in the mix); rows that repeat id and text become one in the n-gram stage; ties are broken by
+id, then by the hash of the text; texts are read whole, however long; without labels, benchmark items or documents a
+stage changes nothing; columns beyond those of documents stay as they are, whatever their names.
 """
 
 from __future__ import annotations
