@@ -12,6 +12,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: rows of a batch that are Python objects at one time
+SLICE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few texts at a time are held twice."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def map_texts(
     docs: DataFrame,
     keep: list[str],
@@ -29,7 +40,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in slices(batches):
             rows = [f(t) for t in b.column(first).to_pylist()]
             made = [pa.array([r[k] for r in rows], kinds.field(first + k).type) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays([*(b.column(k).cast(kinds.field(k).type) for k in range(first)), *made], schema=kinds)

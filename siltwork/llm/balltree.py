@@ -11,8 +11,9 @@ query has to meet every vector; neither side is broadcast.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, neither do rows with a null id;
 only vectors of equal length meet; scores are exact integers, computed in doubles where these are exact, else in 64-bit
-or longer integers, and cut off at the range of a long; ties go to the smaller id; equal ids are different rows, and a
-query meets none of the rows of its own id; an empty table gives no rows.
+or longer integers, and cut off at the range of a long; ties go to the smaller id; rows that repeat an id are vectors of
+their own, a query meets none of the rows of its own id, and query rows of one id share one ranking; vectors may be long;
+an empty table gives no rows; columns beyond vec_id and embedding are not read.
 """
 
 from __future__ import annotations

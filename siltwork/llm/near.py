@@ -31,11 +31,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from siltwork.operators.graph import components
+from siltwork.llm.arrow import slices
 from siltwork.llm.text import MinHash, fold, many_set_keys, many_shingles, shingle_set, word_hashes
 from siltwork.session import cut_lineage, free
 
 #: shingles in a block; with more than MOST_BLOCKS of that size, blocks grow up to LARGE_BLOCK; classes in a block
 SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK, BLOCK_CLASSES = 1 << 16, 24, 1 << 20, 1 << 11
+#: classes of a block that are compared with another block at once
+ROWS = 256
 #: bytes of text that are hashed at once, and shingles of small components that are compared in one group of rows
 PIECE, BUNDLE = 1 << 17, 1 << 15
 _U = np.uint64
@@ -121,7 +124,7 @@ def units_of(docs: DataFrame, near: Near) -> DataFrame:
 
     def run(batches):
         sign = MinHash(near.groups * near.deepest, near.seed)
-        for b in batches:
+        for b in slices(batches):
             held, size = [], 0
             for i, t, h in zip(*(b.column(k).to_pylist() for k in range(3))):
                 for part, text in near.units(t):
@@ -158,7 +161,8 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: n
         a[pos_l[rows[k]], which[k]] = 1
         k = pos_r[rows] >= 0
         b[pos_r[rows[k]], which[k]] = 1
-        same += np.rint(a @ b.T).astype(np.int32)
+        for r in range(0, len(left), ROWS):
+            same[r : r + ROWS] += np.rint(a[r : r + ROWS] @ b.T).astype(np.int32)
     # rare ones as pairs of places, by distance in the list of owners
     rare = (count > 1) & (count <= 24)
     label = np.repeat(np.where(rare, np.arange(len(count)), -1), count)
@@ -175,8 +179,12 @@ def _links(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: n
                 code = pos_l[p[ok]] * len(right) + pos_r[q[ok]]
                 got, n = np.unique(code, return_counts=True)
                 same.ravel()[got] += n.astype(np.int32)
-    n_l, n_r = sizes[left][:, None], sizes[right][None, :]
-    i, j = np.nonzero(same >= threshold * (n_l + n_r - same) - 1e-9)
+    found = []
+    for r in range(0, len(left), ROWS):
+        part = same[r : r + ROWS]
+        i, j = np.nonzero(part >= threshold * (sizes[left[r : r + ROWS]][:, None] + sizes[right][None, :] - part) - 1e-9)
+        found.append((i + r, j))
+    i, j = (np.concatenate([x[k] for x in found]) for k in (0, 1))
     keep = left[i] != right[j]
     i, j = i[keep], j[keep]
     shared = same[i, j]
@@ -256,7 +264,7 @@ def _sets_of(docs: DataFrame, near: Near, members: DataFrame) -> DataFrame:
     row = T.StructType([T.StructField("cid", T.LongType()), T.StructField("s", T.BinaryType())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 parts = dict(near.units(t))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from siltwork.llm.arrow import slices
 from siltwork.llm.near import Near, near_classes, place, recall_at, row_key
 from siltwork.llm.text import fold, mixed, word_hashes, word_spans
 from siltwork.session import cut_lineage, free
@@ -101,7 +102,7 @@ def pieces_of(docs: DataFrame) -> DataFrame:
     kinds = to_arrow_schema(PIECES)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             columns = [[] for _ in PIECES]
             for i, t, h in zip(*(b.column(k).to_pylist() for k in range(3))):
                 words = word_hashes(fold(t))
@@ -222,7 +223,7 @@ def dedup(docs: DataFrame, near: Near | None = None, least_words: int = LEAST_WO
     kinds = to_arrow_schema(schema)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [cut_text(t, m, least_words) for t, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(kinds.field(0).type), *(pa.array([r[k] for r in rows], kinds.field(k + 1).type) for k in range(len(CUT)))], schema=kinds

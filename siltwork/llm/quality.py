@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siltwork.llm.arrow import share_of
+from siltwork.llm.arrow import share_of, slices
 from siltwork.llm.text import fold, mixed, word_hashes
 from siltwork.session import cut_lineage, free
 
@@ -205,12 +205,15 @@ def _viewed(docs: DataFrame) -> dict[int, tuple]:
     kinds = to_arrow_schema(_RAW)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [(x.tobytes(), [float(f) for f in y], z.tobytes()) for x, y, z in _rows(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kinds.field(1 + k).type) for k in range(3))], schema=kinds)
 
     found = sorted(((r["id"], r["view"], r["figures"], r["names"]) for r in docs.mapInArrow(run, _RAW).toLocalIterator()), key=lambda r: (r[0], bytes(r[1]), bytes(r[3])))
-    return {i: (np.frombuffer(v, np.float32), f, np.frombuffer(n, np.float32)) for i, v, f, n in reversed(found)}
+    out: dict[int, tuple] = {}
+    for i, v, f, n in found:
+        out.setdefault(i, (np.frombuffer(v, np.float32), f, np.frombuffer(n, np.float32)))
+    return out
 
 
 def train(
@@ -233,7 +236,7 @@ def train(
         held = spark.sparkContext.broadcast(model)
 
         def run(batches, held=held):
-            for b in batches:
+            for b in slices(batches):
                 z = [held.value.logits(r) for r in _rows(b, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[v] for x in z], pa.float64()) for v in (0, 1))], schema=to_arrow_schema(schema))
 
@@ -268,7 +271,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     kinds = to_arrow_schema(schema)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = _judged(held.value, b, 1)
             made = [pa.array([r[k] for r in rows], kinds.field(1 + k).type) for k in range(len(SCORES))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(kinds.field(0).type), *made], schema=kinds)
@@ -283,7 +286,7 @@ def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
     n = len(docs.columns)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = pa.array([not r[3] for r in _judged(held.value, b, n)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(n)], names=b.schema.names[:n]).filter(keep)
 
