@@ -118,14 +118,25 @@ def hex_distance(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == F.length(b)) & (F.length(a) > 0), d / (F.length(a) / 2))
 
 
+def _first_of_equal(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first row of those with equal values, and ties (a, b) of the first to the others: copies meet no pairs.
+
+    Rows with a null among the values have no signature and take no part."""
+    own = df.select(F.col(RID).alias("id"), *columns).na.drop("any", subset=columns)
+    first = own.groupBy(*columns).agg(F.min("id").alias("a"))
+    copies = own.join(first, columns).filter("a <> id").select("a", F.col("id").alias("b"))
+    return first.withColumnRenamed("a", RID), copies
+
+
 def near_image_groups(df: DataFrame, max_distance: int = 6, max_thumb: float = 8.0) -> DataFrame:
     """By perceptual hash (16 hex digits in phash) and thumbnail (hex in thumb)."""
+    df, copies = _first_of_equal(df, ["phash", "thumb"])
     # halves, as a hash with its highest bit set is beyond a signed long
     h = df.withColumn("__h", F.shiftleft(F.conv(F.substring("phash", 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring("phash", 9, 8), 16, 10).cast("long")))
     pairs = hamming_pairs(h.filter(F.length("phash") == 16), "__h", max_distance)
     thumbs = df.select(F.col(RID).alias("id"), "thumb")
     told = pairs.join(thumbs.select(F.col("id").alias("a"), F.col("thumb").alias("ta")), "a").join(thumbs.select(F.col("id").alias("b"), F.col("thumb").alias("tb")), "b")
-    return components(told.filter(hex_distance(F.col("ta"), F.col("tb")) <= max_thumb).select("a", "b"))
+    return components(told.filter(hex_distance(F.col("ta"), F.col("tb")) <= max_thumb).select("a", "b").union(copies))
 
 
 def banded_pairs(df: DataFrame, signature: str, max_distance: float, tolerance: float) -> DataFrame:
@@ -140,8 +151,13 @@ def banded_pairs(df: DataFrame, signature: str, max_distance: float, tolerance:
 
 
 def near_audio_groups(df: DataFrame, max_distance: float = 3.0) -> DataFrame:
-    return components(banded_pairs(df, "signature", max_distance, 0.02))
+    return _banded_groups(df, max_distance, 0.02)
 
 
 def near_video_groups(df: DataFrame, max_distance: float = 6.0) -> DataFrame:
-    return components(banded_pairs(df, "signature", max_distance, 0.05))
+    return _banded_groups(df, max_distance, 0.05)
+
+
+def _banded_groups(df: DataFrame, max_distance: float, tolerance: float) -> DataFrame:
+    first, copies = _first_of_equal(df.filter((F.col("duration") > 0) & (F.length("signature") > 0)), ["duration", "signature"])
+    return components(banded_pairs(first, "signature", max_distance, tolerance).union(copies))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltwork.functions import texts as X
 from siltwork.functions import values as V
 from siltwork.operators.registry import RID
+from siltwork.session import cut_lineage
 
 TOO_SHORT = 5
 
@@ -118,7 +119,8 @@ def distinctive_words(df: DataFrame, label: str = "class", k: int = 6) -> DataFr
 def tfidf(df: DataFrame, key: str = RID, vocabulary: int = 2000) -> DataFrame:
     """(key, term, weight): 1 + ln tf, times ln((1 + n) / (1 + df)) + 1, of unit length per document."""
     n = df.count()
-    tf = df.select(F.col(key), F.explode(_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # words are cut and counted once, for frequencies, weights and lengths
+    tf = cut_lineage(df.select(F.col(key), F.explode(_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
     freq = tf.groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= 2) & (F.col("df") <= (0.5 * n if n >= 10 else n)))
     freq = freq.orderBy(F.desc("df"), "term").limit(vocabulary)
     w = (1 + F.log("tf")) * (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1)
@@ -152,26 +154,46 @@ def label_check(df: DataFrame, label: str = "class", key: str = RID, margin: flo
     return best.select(key, F.col("own").alias("label"), "nearest", V.r4(gap).alias("margin"), ((F.col("own") != F.col("nearest")) & (gap >= margin)).alias("suspected"))
 
 
+def factors(m: np.ndarray, k: int, rounds: int = 300, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative (left, right) with left @ right near m in the sense of least squares.
+
+    Each entry is scaled by the ratio of the part of the gradient that asks for more of it to the part that asks for less;
+    at a ratio of 1 the gradient is 0."""
+    draw = np.random.default_rng(seed).random
+    left, right = draw((m.shape[0], k)) + 0.01, draw((k, m.shape[1])) + 0.01
+    for _ in range(rounds):
+        for own, other, target in ((right.T, left, m.T), (left, right.T, m)):
+            more, less = target @ other, own @ (other.T @ other)
+            own *= more / np.maximum(less, 1e-9)
+    return left, right
+
+
 def topics(df: DataFrame, k: int | None = None, labels: int = 0, rounds: int = 300, seed: int = 0, key: str = RID, words: int = 6, sample: int = 2000) -> list[dict]:
-    """Topics by non-negative factorisation of the weights of at most `sample` documents and 2,000 terms, in numpy."""
+    """Topics by non-negative factorisation of the weights of words.
+
+    Weights are those of all documents. The factors are fitted on the `sample` documents with the least hashes; every
+    document then belongs to the topic whose words its own are most like, and shares are those of all documents."""
+    from pyspark.sql import Window as W
+
     n = df.count()
     k = k or min(6, max(2, labels or n // 25))
-    part = df if n <= sample else df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    rows = tfidf(part, key).collect()
-    if not rows:
+    weights = cut_lineage(tfidf(df, key))
+    few = weights.select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
+    rows = weights.join(F.broadcast(few), key).toPandas()
+    if not len(rows):
         return []
-    docs, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-    d, t = {x: i for i, x in enumerate(docs)}, {x: i for i, x in enumerate(terms)}
+    (doc, docs), (term, terms) = (np.unique(rows[c].to_numpy(), return_inverse=True)[::-1] for c in (key, "term"))
     m = np.zeros((len(docs), len(terms)))
-    for r in rows:
-        m[d[r[0]], t[r[1]]] = r[2]
-    rng = np.random.default_rng(seed)
-    a, b = rng.random((len(docs), k)) + 0.01, rng.random((k, len(terms))) + 0.01
-    for _ in range(rounds):
-        b *= (a.T @ m) / (a.T @ a @ b + 1e-9)
-        a *= (m @ b.T) / (a @ (b @ b.T) + 1e-9)
-    own = a.argmax(axis=1)
-    return [{"topic": j, "words": [terms[i] for i in np.argsort(-b[j])[:words]], "share": round(float((own == j).mean()), 4)} for j in range(k)]
+    m[doc, term] = rows["weight"]
+    right = factors(m, k, rounds, seed)[1]
+    length = np.linalg.norm(right, axis=1, keepdims=True)
+    unit = right / np.maximum(length, 1e-12)
+    table = df.sparkSession.createDataFrame([(str(t), j, float(unit[j, i])) for i, t in enumerate(terms) for j in range(k)], "term string, topic int, value double")  # 2,000 terms at most
+    like = weights.join(F.broadcast(table), "term").groupBy(key, "topic").agg(F.sum(F.col("weight") * F.col("value")).alias("like"))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("like"), "topic"))
+    own = {r["topic"]: r["n"] for r in like.withColumn("rank", rank).filter("rank = 1").groupBy("topic").agg(F.count("*").alias("n")).collect()}
+    total = max(1, sum(own.values()))
+    return [{"topic": j, "words": [str(terms[i]) for i in np.argsort(-right[j], kind="stable")[:words]], "share": round(own.get(j, 0) / total, 4)} for j in range(k)]
 
 
 def entities(df: DataFrame) -> DataFrame:
