@@ -21,24 +21,25 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     hub are split among tasks. It ends with a round that changes nothing; then each id has one edge, to a root.
     """
     e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = e.count()
+    small = n <= few
     written: list[DataFrame] = []
 
     def minima(df: DataFrame) -> DataFrame:
         if small:
             return F.broadcast(df)
-        written.append(cut_lineage(df))
+        written.append(cut_lineage(df, 2 * n))
         return written[-1]
 
-    small = e.count() <= few
     for _ in range(MOST_ROUNDS):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = minima(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
         moved = e.select("u", "v").join(low, "v").groupBy("u", "m").agg(F.max(F.col("m") < F.col("v")).alias("moved"))
-        star = cut_lineage(moved.select("u", F.col("m").alias("v"), "moved"))
+        star = cut_lineage(moved.select("u", F.col("m").alias("v"), "moved"), n)
         least = minima(star.groupBy("u").agg(F.min("v").alias("m")))
         # an edge that is the least of its id stays, any other joins its smaller end to the least
         moved = star.join(least, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), "m", (F.col("moved") | (F.col("v") > F.col("m"))).alias("moved"))
-        after = cut_lineage(moved.groupBy("u", F.col("m").alias("v")).agg(F.max("moved").alias("moved")))
+        after = cut_lineage(moved.groupBy("u", F.col("m").alias("v")).agg(F.max("moved").alias("moved")), n)
         free(e, star, *written)
         written.clear()
         e = after

@@ -22,7 +22,7 @@ def deductions(shares: DataFrame, media: str) -> DataFrame:
     rates = spark.createDataFrame([(k, p, float(r), float(m)) for k, (p, r, m) in enumerate(X.DEDUCTIONS[media])], "place int, part string, rate double, most double")
     held = rates.join(shares, "part", "left")
     amount = F.when(F.col("part").endswith("_imbalance"), F.greatest(F.lit(0.0), F.coalesce("amount", F.lit(1.0)) - 1.5)).otherwise(F.coalesce("amount", F.lit(0.0)))
-    return held.select("place", "part", F.round(-F.least(F.col("most"), amount * F.col("rate")), 1).alias("deduction"))
+    return held.select("place", "part", (0.0 - F.round(F.least(F.col("most"), amount * F.col("rate")), 1)).alias("deduction"))
 
 
 def score(parts: DataFrame) -> DataFrame:

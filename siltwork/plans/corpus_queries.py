@@ -203,8 +203,8 @@ def names_conversations(spark, d):
 
 @query(f"""{_CATEGORY}, n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (category IN ('empty', 'encoding_damage', 'html_markup', 'too_short')) AS low, count(*) FILTER (category = 'other_language') AS other FROM k),
 c AS (SELECT source, count(*) AS c FROM documents GROUP BY 1)
-SELECT 'low_quality' AS part, round(-least(25, 100 * low / n * 1.5), 1) AS deduction FROM n UNION ALL SELECT 'other_language', round(-least(10, 100 * other / n), 1) FROM n
-UNION ALL SELECT 'label_imbalance', round(-least(10, greatest(0, max(c) / min(c)::DOUBLE - 1.5) * 3), 1) FROM c""")
+SELECT 'low_quality' AS part, 0.0 - round(least(25, 100 * low / n * 1.5), 1) AS deduction FROM n UNION ALL SELECT 'other_language', 0.0 - round(least(10, 100 * other / n), 1) FROM n
+UNION ALL SELECT 'label_imbalance', 0.0 - round(least(10, greatest(0, max(c) / min(c)::DOUBLE - 1.5) * 3), 1) FROM c""")
 def text_deductions_documents(spark, d):
     made = scores.deductions(scores.text_shares(corpus(spark, d)), "text")
     return made.filter(F.col("part").isin("low_quality", "other_language", "label_imbalance")).select("part", "deduction")

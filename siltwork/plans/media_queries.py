@@ -195,8 +195,8 @@ def image_overview(spark, d):
 
 @query(f"""WITH f AS (SELECT {AUDIO} FROM part), n AS (SELECT count(*)::DOUBLE AS n FROM f), c AS (SELECT class, count(*) AS c FROM f GROUP BY 1),
 b AS (SELECT count(*) FILTER (NOT corrupt AND (silence_ratio >= 0.97 OR duration < 0.3 OR clipping > 0.001 OR snr_db < 10 OR rms_db < -40)) AS low, count(*) FILTER (corrupt) AS bad FROM f)
-SELECT 'corrupt' AS part, round(-least(20, 100 * bad / n * 2), 1) AS deduction FROM b, n UNION ALL SELECT 'low_quality', round(-least(25, 100 * low / n * 1.5), 1) FROM b, n
-UNION ALL SELECT 'duplicates', -0.0 UNION ALL SELECT 'class_imbalance', round(-least(15, greatest(0, (SELECT max(c) / min(c)::DOUBLE FROM c) - 1.5) * 3), 1)""")
+SELECT 'corrupt' AS part, 0.0 - round(least(20, 100 * bad / n * 2), 1) AS deduction FROM b, n UNION ALL SELECT 'low_quality', 0.0 - round(least(25, 100 * low / n * 1.5), 1) FROM b, n
+UNION ALL SELECT 'duplicates', 0.0 UNION ALL SELECT 'class_imbalance', 0.0 - round(least(15, greatest(0, (SELECT max(c) / min(c)::DOUBLE FROM c) - 1.5) * 3), 1)""")
 def audio_deductions(spark, d):
     # signatures all of other lengths, so that none are near each other
     f = files(spark, d, "audio").withColumn("signature", F.lpad(F.hex(F.col("rid")), 16, "0")).withColumn("duration", F.col("duration")).withColumn("signature", F.md5("path"))
