@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.llm.near import Near, near_classes, recall_at, row_key
-from siltwork.session import cut_lineage, free
+from siltwork.session import cut_lineage
 
 TREES, DEEPEST, RECALL = 24, 8, 0.9999
 
@@ -66,10 +66,9 @@ def keep_one(docs: DataFrame, near: Near | None = None) -> DataFrame:
     told = cut_lineage(join_with_report(docs, near)[0])
     lost = told.filter(~F.col("stays")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
     again = told.filter(F.col("stays") & (F.col("n_links") > 0)).groupBy("doc_id", "h").count().filter("count > 1")
-    again = cut_lineage(again.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
+    again = again.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
     key = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (row_key() == F.col("__h"))
     if again.isEmpty():
-        free(again)
         return docs.join(lost, key, "left_anti")
     once = docs.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(lost.union(again), key, "left_anti").unionByName(once)

@@ -323,18 +323,19 @@ def near_classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, dic
     ties = cut_lineage(_ties(classes, near, near.shortest))
     members = ties.select(F.col("a").alias("cid")).union(ties.select(F.col("b").alias("cid"))).distinct()
     sets = cut_lineage(_sets_of(docs, near, classes.select("cid", "rep").join(members, "cid")))
+    most = 2 * ties.count()  # classes in components
     inside = linked = None
     depth, report = near.deepest, {}
     while True:
         own = ties if depth == near.shortest else cut_lineage(_ties(classes, near, depth))
         label = components(own)
-        now = cut_lineage(classes.select("cid", "n", "copies").join(label.withColumnRenamed("id", "cid"), "cid"))
+        now = cut_lineage(classes.select("cid", "n", "copies").join(label.withColumnRenamed("id", "cid"), "cid"), most)
         if inside is None:
             made = cut_lineage(_compared(now, sets, near))
         else:  # components that are as they were keep their links
             was = now.join(inside.select("cid", F.col("label").alias("was")), "cid", "left")
             grown = was.groupBy("label").agg(F.min("was").alias("x"), F.max("was").alias("y"), F.count_if(F.col("was").isNull()).alias("new")).filter("new > 0 OR x <> y")
-            again = cut_lineage(now.join(grown.select("label"), "label", "left_semi"))
+            again = cut_lineage(now.join(grown.select("label"), "label", "left_semi"), most)
             made = _compared(again, sets, near).union(linked.join(again.select("cid"), "cid", "left_anti"))
             old, made = linked, cut_lineage(made)
             free(inside, old, again)
