@@ -234,3 +234,9 @@ count(DISTINCT CASE WHEN p_size % 3 = 0 THEN p_partkey END) AS scenes_with_speec
 def video_timeline_facts(spark, d):
     v, said = _videos(spark, d)
     return scores.timeline_facts(scores.scenes_with_speech(v, said))
+
+
+@query(f"WITH RECURSIVE {_TWICE_SQL}, g AS (WITH RECURSIVE {_groups_sql(f'SELECT x.rid AS a, y.rid AS b FROM w x JOIN w y ON x.rid < y.rid AND x.rid % 7 = y.rid % 7 AND {_DISTANCE} <= 6.0')}) SELECT rid FROM w WHERE rid NOT IN (SELECT id FROM g WHERE id <> label)")
+def video_drop_near_duplicates(spark, d):
+    t = _twice(spark, d).select("rid", F.pow(F.lit(2.0), F.col("rid") % 7).alias("duration"), F.col("s").alias("signature"))
+    return apply_op(t, "video", "drop_near_duplicates").select("rid")

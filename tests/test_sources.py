@@ -86,3 +86,24 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).first()["text"] == "'=x"
     sinks.write_corpus(df, str(tmp_path / "corpus"))
     assert spark.read.json(str(tmp_path / "corpus" / "documents")).first()["label"] == "c"
+
+
+def test_documents_in_any_encoding(spark, tmp_path):
+    files = {"all/b/2.txt": "Straße – café".encode("cp1252"), "all/a/1.txt": "﻿Über".encode(), "all/a/3.txt": b"caf\xe9 \x81", "all/a/10.txt": "plain, Größe".encode(), "all/README.txt": b"no document", "all/b/readme_too.txt": b"nor this"}
+    for name, raw in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    rows = readers.read_documents(spark, str(tmp_path)).orderBy("rid").collect()
+    assert [r.path for r in rows] == sorted(n for n in files if "readme" not in n.lower())
+    assert {r.path: r.text for r in rows} == {n: sniff.decode(raw) for n, raw in files.items() if "readme" not in n.lower()}
+    assert {r["class"] for r in rows if r.path.startswith("all/a/")} == {"a"} and {r["class"] for r in rows if r.path.startswith("all/b/")} == {"b"}
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1252", "latin-1"])
+def test_tables_in_any_encoding(spark, tmp_path, encoding):
+    cells = {"latin-1": "caf\xe9 \x81", "cp1252": "Straße – “x”"}.get(encoding, "Größe – 東京")
+    (tmp_path / "t.csv").write_bytes(f'Näme;b\n{cells};"two\nlines"\nx;y\n'.encode(encoding))
+    df, meta = readers.read_table(spark, str(tmp_path / "t.csv"), ";")
+    assert meta.encoding == encoding.removesuffix("-sig") and [tuple(r)[1:] for r in df.orderBy("rid").collect()] == [(cells, "two\nlines"), ("x", "y")] and df.columns[1:] == ["Näme", "b"]
+    (tmp_path / "one.csv").write_bytes(f"Näme;b\n{cells};1\nx;y\n".encode(encoding))
+    assert [tuple(r)[1:] for r in readers.read_table(spark, str(tmp_path / "one.csv"))[0].orderBy("rid").collect()] == [(cells, "1"), ("x", "y")]
