@@ -30,9 +30,11 @@ def link(rows: DataFrame, column: str, files: DataFrame, row_id: str = "rid") ->
         F.struct(F.lit(2).alias("rank"), F.regexp_replace(name, r"\.[^.]*$", "").alias("key")),
     ]))).select(row_id, "value", "t.rank", "t.key")
     single = tries.join(unique.filter("n = 1"), ["rank", "key"]).select(row_id, "rank", F.col("one").alias("path"))
-    many = tries.join(unique.filter("n > 1").select("rank", "key"), ["rank", "key"]).join(index, ["rank", "key"])
-    suffix = many.filter(F.concat(F.lit("/"), V.file_key(F.col("path"))).endswith(F.concat(F.lit("/"), F.col("value"))))
-    decided = suffix.groupBy(row_id, "rank").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path")).filter("n = 1").select(row_id, "rank", "path")
+    # of files with one name, the one whose path ends with the value; each end of a path is a key, so that no row meets all of them
+    parts = F.split(V.file_key(F.col("path")), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    ending = files.select("path", F.explode(ends).alias("value")).distinct().groupBy("value").agg(F.count("*").alias("n"), F.min("path").alias("path")).filter("n = 1")
+    decided = asked.join(ending, "value").select(row_id, F.lit(1).alias("rank"), "path")
     return single.union(decided).groupBy(row_id).agg(F.min_by("path", "rank").alias("path"))
 
 
