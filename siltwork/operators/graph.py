@@ -12,15 +12,15 @@ MOST_ROUNDS = 60
 FEW_EDGES = 1 << 19
 
 
-def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW_EDGES, most: int | None = None) -> DataFrame:
     """edges (a, b) -> (id, label) for all ids in them; label is the least id of the component.
 
     An edge is held once, as (u, v) with u > v. A round moves v to the least neighbour of v (large star), then all
     smaller neighbours of u, and u, onto the least of them (small star). The minima come from partial aggregation; they
     are broadcast while edges are few, else written, so that the joins with them are plain ones and the many edges of a
-    hub are split among tasks. It ends with a round that changes nothing; then each id has one edge, to a root.
+    hub are split among tasks. There are at most `most` edges, if that is known. It ends with a round that changes nothing; then each id has one edge, to a root.
     """
-    e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), most)
     n = e.count()
     small = n <= few
     written: list[DataFrame] = []

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: bytes of a row group of written tables: small, as each task that writes holds one
 ROW_GROUP = 16 << 20
-FILE_ROWS = 1 << 16
+#: rows of a file of a written table, and documents whose texts a task reads for one
+FILE_ROWS, FILE_DOCS = 1 << 16, 1 << 12
 _written: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -43,11 +44,11 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "siltwork-checkpoints")
 
 
-def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut_lineage(df: DataFrame, rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it from there.
 
-    Where it is known that there are at most so many rows, they go to as many files as they fill, so that small tables
-    make few files and tasks.
+    Where it is known that there are at most so many rows (or documents that the rows come from), they go to as many files
+    as they fill, so that small tables make few files and tasks.
 
     Lost executors then cost no recomputing, columns that aren't asked for aren't read again, and the planner knows the
     table's size. The shuffle files of the write go at its end. `free` deletes the table; one that a result still reads
@@ -56,7 +57,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/siltwork-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = df.coalesce(max(1, -(-rows // per_file)))
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
