@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltwork.session import cut_lineage
+from siltwork.session import FILE_DOCS, cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LEVELS = 8
@@ -74,7 +74,7 @@ def _lead(n: int) -> Column:
 
 def thresholds(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
     """Per source: how often each document is taken, and up to which hash once more. One row per source."""
-    base = cut_lineage(_sized(docs.select("doc_id", "text", "source"), seed).select("source", "size", "h"))
+    base = cut_lineage(_sized(docs.select("doc_id", "text", "source"), seed).select("source", "size", "h"), docs.count(), FILE_DOCS)
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
     # whole rounds of the source, then a rest below one round

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from siltwork.operators.graph import components
 from siltwork.llm.arrow import slices
 from siltwork.llm.text import MinHash, fold, many_set_keys, many_shingles, shingle_set, word_hashes
-from siltwork.session import cut_lineage, free
+from siltwork.session import FILE_DOCS, cut_lineage, free
 
 #: shingles in a block; with more than MOST_BLOCKS of that size, blocks grow up to LARGE_BLOCK; classes in a block
 SMALL_BLOCK, MOST_BLOCKS, LARGE_BLOCK, BLOCK_CLASSES = 1 << 16, 24, 1 << 20, 1 << 11
@@ -317,18 +317,20 @@ def near_classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, dic
     group, links the number of units of other classes that are linked, others the number of those classes. report: the
     length of prefixes that was reached, links between classes that were found, and the recall estimated from them."""
     docs = docs.select("doc_id", "text")
-    units = cut_lineage(units_of(docs, near))
+    docs_n = docs.count()
+    units = cut_lineage(units_of(docs, near), docs_n, FILE_DOCS)
+    units_n = units.count()
     classes = units.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(place()).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
-    ties = cut_lineage(_ties(classes, near, near.shortest))
+    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()), units_n)
+    ties = cut_lineage(_ties(classes, near, near.shortest), units_n * near.groups)
     members = ties.select(F.col("a").alias("cid")).union(ties.select(F.col("b").alias("cid"))).distinct()
-    sets = cut_lineage(_sets_of(docs, near, classes.select("cid", "rep").join(members, "cid")))
+    sets = cut_lineage(_sets_of(docs, near, classes.select("cid", "rep").join(members, "cid")), docs_n, FILE_DOCS)
     most = 2 * ties.count()  # classes in components
     inside = linked = None
     depth, report = near.deepest, {}
     while True:
-        own = ties if depth == near.shortest else cut_lineage(_ties(classes, near, depth))
-        label = components(own)
+        own = ties if depth == near.shortest else cut_lineage(_ties(classes, near, depth), most * near.groups)
+        label = components(own, most=most * near.groups)
         now = cut_lineage(classes.select("cid", "n", "copies").join(label.withColumnRenamed("id", "cid"), "cid"), most)
         if inside is None:
             made = cut_lineage(_compared(now, sets, near))
@@ -350,12 +352,12 @@ def near_classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, dic
         # as long as the links found so far let it reach the target
         depth = next((d for d in range(depth - 1, near.shortest, -1) if expected_recall(links, near, depth, d) >= near.target), near.shortest)
     free(ties, sets, inside)
-    groups = components(linked.filter("cid <> tie").select(F.col("cid").alias("a"), F.col("tie").alias("b")))
+    groups = components(linked.filter("cid <> tie").select(F.col("cid").alias("a"), F.col("tie").alias("b")), most=linked.count())
     counts = linked.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
     out = (
         classes.select("cid", "k1", "k2", "copies", "rep").join(counts, "cid", "left").join(groups.withColumnRenamed("id", "cid"), "cid", "left")
         .select("cid", "k1", "k2", "copies", "rep", F.coalesce("label", "cid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("others", F.lit(0)).alias("others"))
     )
-    whole = cut_lineage(out)
+    whole = cut_lineage(out, units_n)
     free(classes, linked)
     return units, whole, report

@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from siltwork.llm.arrow import slices
 from siltwork.llm.near import Near, near_classes, place, recall_at, row_key
 from siltwork.llm.text import fold, mixed, word_hashes, word_spans
-from siltwork.session import cut_lineage, free
+from siltwork.session import FILE_DOCS, cut_lineage, free
 
 LEAST_WORDS, RECALL, FALSE, REACH, SHORTEST = 20, 0.995, 0.25, 6, 5
 _U = np.uint64
@@ -122,10 +122,10 @@ def pieces_of(docs: DataFrame) -> DataFrame:
 
 def repeated_pieces(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, h, part, first: the pieces that several documents hold, and the first of these."""
-    pieces = cut_lineage(pieces_of(docs))
+    pieces = cut_lineage(pieces_of(docs), docs.count(), FILE_DOCS)
     ends = pieces.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = ends.filter("first < last").select("k1", "k2", "first")
-    found = cut_lineage(pieces.join(shared, ["k1", "k2"]).select("doc_id", "h", "part", "first"))
+    found = cut_lineage(pieces.join(shared, ["k1", "k2"]).select("doc_id", "h", "part", "first"), pieces.count())
     free(pieces)
     null = F.lit(None).cast("long")
     own, first = (F.when(F.col(c) < _LAST, F.col(c)).otherwise(null) for c in ("doc_id", "first"))
@@ -138,7 +138,7 @@ def repeated_lines(docs: DataFrame, near: Near) -> DataFrame:
     first = classes.groupBy("label").agg(F.min("rep").alias("first"), F.sum("copies").alias("all")).filter("all > 1")
     known = classes.join(first.select("label", "first"), "label").select("k1", "k2", "first")
     held = units.select("doc_id", "h", "part", "k1", "k2").join(known, ["k1", "k2"])
-    out = cut_lineage(held.select("doc_id", "h", "part", F.col("first.doc_id").alias("first"), (~place().eqNullSafe(F.col("first"))).alias("again")))
+    out = cut_lineage(held.select("doc_id", "h", "part", F.col("first.doc_id").alias("first"), (~place().eqNullSafe(F.col("first"))).alias("again")), units.count())
     free(units, classes)
     return out
 

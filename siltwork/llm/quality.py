@@ -240,7 +240,7 @@ def train(
                 z = [held.value.logits(r) for r in _rows(b, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[v] for x in z], pa.float64()) for v in (0, 1))], schema=to_arrow_schema(schema))
 
-        scored = cut_lineage(own.mapInArrow(run, schema).join(known.select("id"), "id", "left_anti").dropDuplicates(["id"]))
+        scored = cut_lineage(own.mapInArrow(run, schema).join(known.select("id"), "id", "left_anti").dropDuplicates(["id"]), own.count())
         few = max(1, round(exchanged * model.bad_share))
         told: list[dict[int, float]] = [{}, {}]
         for v in (0, 1):
