@@ -35,7 +35,9 @@ def components(edges: DataFrame, few: int = FEW_EDGES, most: int | None = None)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = minima(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
         moved = e.select("u", "v").join(low, "v").groupBy("u", "m").agg(F.max(F.col("m") < F.col("v")).alias("moved"))
-        star = cut_lineage(moved.select("u", F.col("m").alias("v"), "moved"), n)
+        star = moved.select("u", F.col("m").alias("v"), "moved")
+        if not small:  # few edges are joined again sooner than written and read
+            star = cut_lineage(star, n)
         least = minima(star.groupBy("u").agg(F.min("v").alias("m")))
         # an edge that is the least of its id stays, any other joins its smaller end to the least
         moved = star.join(least, "u").select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), "m", (F.col("moved") | (F.col("v") > F.col("m"))).alias("moved"))

@@ -61,7 +61,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None, per_file: int = FILE_ROW
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+        df.write.options(**{"parquet.block.size": str(ROW_GROUP), "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
