@@ -16,7 +16,8 @@ repeat, of either kind, join into runs, and runs of `least_words` words and more
 repeats go, single short lines as well; the default leaves alone what repeats by chance or custom (a heading, a licence
 line of a dozen words), while of a passage of over 50 words the pieces found make up 20 words or more, save where the
 cuts fall badly. In a table of 10,000 documents 2,116 share a run of 50 words with another one; 0.955 of them are told by
-n_repeated, and the others repeat one to four words over and over, which make no piece.
+n_repeated. By pieces alone 154 are missed; 136 of these share only runs of at most four different words, which make no
+piece.
 
 Defined cases: null texts stay null, empty ones empty; units without a word stay; rows that repeat both id and text keep
 the same text; pieces take a null id for the greatest, and rows that share an id for one document; very long texts are
