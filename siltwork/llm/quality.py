@@ -88,18 +88,19 @@ class Logistic:
         self.w = np.zeros(1)
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, steps: int = 12) -> Logistic:
-        x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
         s = np.ones(len(y)) if weight is None else weight
-        w = np.zeros(x.shape[1])
-        ridge = np.full(x.shape[1], self.penalty)
+        w = np.zeros(x.shape[1] + 1)
+        ridge = np.full(len(w), self.penalty)
         ridge[-1] = 1e-3
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (s * (p - y)) + ridge * w
-            h = (x * (s * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x
-            h[np.diag_indices_from(h)] += ridge
+            g, h = ridge * w, np.diag(ridge)
+            for r in range(0, len(x), 512):  # in parts, so that few rows are held in full precision
+                part = np.hstack([x[r : r + 512], np.ones((len(x[r : r + 512]), 1))]).astype(np.float64)
+                p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+                g += part.T @ (s[r : r + 512] * (p - y[r : r + 512]))
+                h += (part * (s[r : r + 512] * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ part
             d = np.linalg.solve(h, g)
-            w -= d * min(1.0, 4.0 / max(1e-9, float(np.abs(x @ d).max())))
+            w -= d * min(1.0, 4.0 / max(1e-9, float(np.abs(x @ d[:-1] + d[-1]).max())))
             if np.abs(d).max() < 1e-4:
                 break
         self.w = w
@@ -231,6 +232,7 @@ def train(
 
     rows = rows_of(sorted(bad))
     model = CoTrained().start(list(rows.values()), [bad[i] for i in rows], seed)
+    del rows
     schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(f"z{v}", T.DoubleType()) for v in (0, 1))])
     for _ in range(rounds if model.ready else 0):
         held = spark.sparkContext.broadcast(model)
