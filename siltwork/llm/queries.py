@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltwork.llm import balltree, decontaminate, html_text, langid, lshforest, mixing, paragraphs, pii, quality, secrets
+from siltwork.llm import balltree, bitslice, decontaminate, html_text, impacts, langid, lshforest, mixing, paragraphs, pii, projections, quality, secrets
 from siltwork.session import read_table
 
 WORD_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,6 +128,54 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return bitslice.mine(moved, moved.filter("vec_id % 100 = 0"), positives=5, negatives=10, low=30, high=90)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT DISTINCT vec_id AS anchor_id, label AS al, x AS ax FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT anchor_id, al, ax, vec_id, label = al AS same, cast(list_sum(list_transform(range(1, len(x) + 1), lambda k: ax[k] * x[k])) AS BIGINT) AS score
+      FROM a JOIN v ON vec_id <> anchor_id AND len(x) = len(ax)),
+p AS (SELECT anchor_id, al, ax, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id, al, ax ORDER BY score DESC, vec_id) AS place
+      FROM s WHERE same QUALIFY place <= 5),
+r AS (SELECT p.*, vec_id AS negative_id, score AS negative_score,
+             cast(row_number() OVER (PARTITION BY p.anchor_id, p.al, p.ax, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.al = p.al AND s.ax = p.ax AND NOT same
+      WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return projections.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD_RE}') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD_RE}') AS w FROM benchmark WHERE text IS NOT NULL),
+c AS (SELECT count(*)::HUGEINT AS n_docs, sum(len(w))::HUGEINT AS total FROM d WHERE len(w) > 0),
+q AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+t AS (SELECT r, doc_id, n, term, count(*)::HUGEINT AS tf FROM (SELECT r, doc_id, len(w)::HUGEINT AS n, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, count(*)::HUGEINT AS df FROM t GROUP BY term),
+w AS (SELECT term, cast(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS HUGEINT) AS w FROM f, c),
+s AS (SELECT item, item_id, r, doc_id, cast(sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // total)))) AS BIGINT) AS score
+      FROM q JOIN t USING (term) JOIN w USING (term), c GROUP BY item, item_id, r, doc_id)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s
+WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_decontaminate": op2_decontaminate,
@@ -138,10 +187,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op3_ngram_join": OP3_SQL,
     "op6_top_k": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
