@@ -201,6 +201,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
             far = np.maximum(far, 0)
             new = (far > inside[a][:, None]) & (far <= outer[a][:, None]) & (ids[rows][None, :] != q_ids[a][:, None])
             score = q[a] @ x[rows].T
+            if len(rows) >= k:  # k rows of one leaf may already raise what is to be reached
+                kth[a] = np.maximum(kth[a], np.partition(np.where(new, score, -np.inf), len(rows) - k, axis=1)[:, len(rows) - k] - slack[a])
             with np.errstate(invalid="ignore"):
                 new &= ~(score < (kth[a] - slack[a])[:, None])
             r, c = np.nonzero(new)
