@@ -1,10 +1,17 @@
-"""Near-duplicate pairs and groups by equi-joins: texts, images, audio, video.
+"""Near-duplicate groups of texts, images, audio and video.
 
-Each works on rid, the long that orders the rows, and gives groups as (id, label) where label is the least rid.
+Each works on rid, the long that orders the rows, and gives groups as (id, label) where label is the least rid. Copies are
+collapsed first, candidates share a key, and links are verified exactly; `linkage` makes groups of them without a list of
+pairs, however many rows share a key.
+
+Keys of texts are bands of MinHash signatures. Keys of the others are exact: two hashes of 64 bits that differ in d places
+agree in one of d + 1 pieces; signatures whose bytes differ by R in sum have sums of bytes, under any signs, that differ by
+R at most, so that they share a cell of a grid of such sums, in which each row stands in its own cell and the next one.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -13,26 +20,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.functions import texts as X
-from siltwork.operators.graph import components
+from siltwork.operators import linkage
 from siltwork.operators.registry import RID
 from siltwork.session import cut_lineage
 
 WIDTH, HASHES, BANDS = 3, 64, 16
+#: sums of bytes under signs that make the grid
+SUMS = 3
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
-    """Distinct runs of lower-case words; a shorter text is one run."""
+    """Hashes of the distinct runs of lower-case words, sorted; a shorter text is one run."""
 
     def runs(w: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, width), " "))
-        return F.when(F.size(w) > 0, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, width)))
+        return F.when(F.size(w) > 0, F.sort_array(F.array_distinct(made))).otherwise(F.array().cast("array<bigint>"))
 
     return X.bound(F.transform(X.words(text), F.lower), runs)
 
 
 def minhash(sets: Column, hashes: int = HASHES, seed: int = 1) -> Column:
-    """Minima of the set under so many hash functions; empty for an empty set. Strings are hashed in expressions, and the
-    minima of a batch are worked out at once."""
+    """Minima of a set of hashes under so many hash functions; empty for an empty set. Those of a batch are worked out at
+    once."""
     rng = np.random.default_rng(seed)
     xor, mul = rng.integers(0, 1 << 64, hashes, dtype=np.uint64), rng.integers(0, 1 << 64, hashes, dtype=np.uint64) | np.uint64(1)
 
@@ -48,7 +57,7 @@ def minhash(sets: Column, hashes: int = HASHES, seed: int = 1) -> Column:
                 out[k] = row
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(minima, "array<bigint>")(F.transform(sets, lambda s: F.xxhash64(s)))
+    return F.pandas_udf(minima, "array<bigint>")(sets)
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -71,26 +80,50 @@ def jaccard(a: Column, b: Column) -> Column:
     return n / (F.size(a) + F.size(b) - n)
 
 
-def near_text_pairs(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
-    """docs (rid, text) -> pairs a < b of representatives of equal texts, with their exact Jaccard similarity.
+def _text_classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """docs (rid, text) -> (id, weight, s) of the first of equal texts, and (a, b) of it and the others."""
+    every = cut_lineage(docs.select(F.col(RID).alias("id"), shingles(F.col("text"), width).alias("s")))
+    keyed = every.filter(F.size("s") > 0).select("id", F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("m"))
+    heads = keyed.groupBy("k", "m").agg(F.min("id").alias("head"))
+    copies = keyed.join(heads, ["k", "m"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    first = every.join(heads.select(F.col("head").alias("id")), "id", "left_semi").select("id", F.size("s").cast("long").alias("weight"), "s")
+    return first, copies
+
+
+def _text_keys(first: DataFrame) -> DataFrame:
+    return first.select("id", F.explode(band_keys(minhash(F.col("s")))).alias("key"))
 
-    Equal sets are collapsed first; candidates share a band; verification is exact.
-    """
-    sets = docs.select(F.col(RID).alias("id"), F.array_sort(shingles(F.col("text"), width)).alias("s")).filter(F.size("s") > 0)
-    reps = cut_lineage(sets.groupBy(F.xxhash64("s").alias("k"), F.md5(F.array_join("s", "\x00")).alias("m")).agg(F.min("id").alias("id"), F.first("s").alias("s")))
-    placed = reps.select("id", F.explode(band_keys(minhash(F.col("s")))).alias("band"))
-    pairs = placed.alias("x").join(placed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    told = pairs.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return told.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+def _text_similarity(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    a, b = left["s"].tolist(), right["s"].tolist()
+    same = linkage.shared_elements(a, b)
+    return same / (np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - same)
+
+
+def near_text_pairs(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
+    """docs (rid, text) -> pairs a < b of the first ones of equal texts, with their exact Jaccard similarity."""
+    first, _ = _text_classes(docs, width)
+    return linkage.pairs(_text_keys(first), first, _text_similarity, threshold)
 
 
 def near_text_groups(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """(id, label) of all documents in groups of two and more."""
-    sets = docs.select(F.col(RID).alias("id"), F.array_sort(shingles(F.col("text"), width)).alias("s")).filter(F.size("s") > 0)
-    keyed = sets.select("id", F.xxhash64("s").alias("k"), F.md5(F.array_join("s", "\x00")).alias("m"))
-    heads = keyed.groupBy("k", "m").agg(F.min("id").alias("head"))
-    copies = keyed.join(heads, ["k", "m"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    return components(copies.union(near_text_pairs(docs, threshold, width).select("a", "b")))
+    first, copies = _text_classes(docs, width)
+    near = linkage.groups(_text_keys(first), first, lambda a, b: jaccard(F.col(f"{a}.s"), F.col(f"{b}.s")) >= threshold, lambda x, y: _text_similarity(x, y) >= threshold)
+    return with_copies(near, copies)
+
+
+def with_copies(near: DataFrame, copies: DataFrame) -> DataFrame:
+    """Groups (id, label), and copies (a, b) of rows a that may stand in one: the groups of all."""
+    of_head = copies.join(near.withColumnRenamed("id", "a"), "a", "left").select("a", "b", F.coalesce("label", "a").alias("label"))
+    alone = of_head.filter("a = label").select(F.col("a").alias("id"), "label").distinct()  # heads of groups are their own label
+    return near.filter("id <> label").union(of_head.select(F.col("b").alias("id"), "label")).union(alone.union(near.filter("id = label")).distinct())
+
+
+def _pieces(h: Column, n: int) -> Column:
+    """A 64-bit hash in so many pieces, each as one number that tells its place too."""
+    edges = [round(64 * k / n) for k in range(n + 1)]
+    return F.array(*[F.xxhash64(F.lit(k), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long"))) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
 
 
 def hamming_pairs(df: DataFrame, bits: str, max_distance: int) -> DataFrame:
@@ -98,11 +131,8 @@ def hamming_pairs(df: DataFrame, bits: str, max_distance: int) -> DataFrame:
 
     By the pigeonhole principle such hashes agree in one of max_distance + 1 pieces; pieces are joined, then counted.
     """
-    n = max_distance + 1
-    edges = [round(64 * k / n) for k in range(n + 1)]
     h = df.select(F.col(RID).alias("id"), F.col(bits).alias("h")).filter("h IS NOT NULL")
-    pieces = F.array(*[F.xxhash64(F.lit(k), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long"))) for k, (a, b) in enumerate(zip(edges, edges[1:]))])
-    placed = h.select("id", "h", F.explode(pieces).alias("piece"))
+    placed = h.select("id", "h", F.explode(_pieces(F.col("h"), max_distance + 1)).alias("piece"))
     x, y = placed.alias("x"), placed.alias("y")
     near = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))) <= max_distance
     return x.join(y, (F.col("x.piece") == F.col("y.piece")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -128,26 +158,58 @@ def _first_of_equal(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataF
     return first.withColumnRenamed("a", RID), copies
 
 
+def _bytes(column: pd.Series) -> np.ndarray:
+    return np.stack([np.frombuffer(bytes.fromhex(x), np.uint8) for x in column]).astype(np.int16)
+
+
+def _byte_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of differences of the bytes of each row of a and each of b."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    for j in range(a.shape[1]):
+        out += np.abs(a[:, j][:, None] - b[:, j][None, :])
+    return out
+
+
+def _hash64(c: Column) -> Column:
+    """16 hex digits as a long; in halves, as a hash with its highest bit set is beyond a signed one."""
+    return F.shiftleft(F.conv(F.substring(c, 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(c, 9, 8), 16, 10).cast("long"))
+
+
 def near_image_groups(df: DataFrame, max_distance: int = 6, max_thumb: float = 8.0) -> DataFrame:
     """By perceptual hash (16 hex digits in phash) and thumbnail (hex in thumb)."""
-    df, copies = _first_of_equal(df, ["phash", "thumb"])
-    # halves, as a hash with its highest bit set is beyond a signed long
-    h = df.withColumn("__h", F.shiftleft(F.conv(F.substring("phash", 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring("phash", 9, 8), 16, 10).cast("long")))
-    pairs = hamming_pairs(h.filter(F.length("phash") == 16), "__h", max_distance)
-    thumbs = df.select(F.col(RID).alias("id"), "thumb")
-    told = pairs.join(thumbs.select(F.col("id").alias("a"), F.col("thumb").alias("ta")), "a").join(thumbs.select(F.col("id").alias("b"), F.col("thumb").alias("tb")), "b")
-    return components(told.filter(hex_distance(F.col("ta"), F.col("tb")) <= max_thumb).select("a", "b").union(copies))
-
-
-def banded_pairs(df: DataFrame, signature: str, max_distance: float, tolerance: float) -> DataFrame:
-    """Pairs of rid whose durations differ by at most a share and whose signatures are near; durations in log buckets."""
-    d = df.filter((F.col("duration") > 0) & (F.length(signature) > 0)).select(F.col(RID).alias("id"), F.col("duration").alias("d"), F.col(signature).alias("s"))
-    bucket = F.floor(F.log("d") / F.lit(-math.log(1 - tolerance))).cast("long")
-    left = d.withColumn("bucket", bucket).alias("x")
-    right = d.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).alias("y")
-    close = F.abs(F.col("x.d") - F.col("y.d")) <= tolerance * F.greatest("x.d", "y.d")
-    found = left.join(right, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & close)
-    return found.filter(hex_distance(F.col("x.s"), F.col("y.s")) <= max_distance).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    first, copies = _first_of_equal(cut_lineage(df.select(RID, "phash", "thumb")), ["phash", "thumb"])
+    own = first.filter((F.length("phash") == 16) & F.unhex("phash").isNotNull() & F.unhex("thumb").isNotNull() & (F.length("thumb") > 0) & (F.length("thumb") % 2 == 0))
+    payload = own.select(F.col(RID).alias("id"), F.lit(1).cast("long").alias("weight"), _hash64(F.col("phash")).alias("h"), "thumb")
+    # hashes agree in a piece, and thumbnails are as long
+    placed = payload.select("id", F.explode(_pieces(F.col("h"), max_distance + 1)).alias("piece"), F.length("thumb").alias("n")).select("id", F.xxhash64("piece", "n").alias("key"))
+
+    def linked(a: str, b: str) -> Column:
+        return (F.bit_count(F.col(f"{a}.h").bitwiseXOR(F.col(f"{b}.h"))) <= max_distance) & (hex_distance(F.col(f"{a}.thumb"), F.col(f"{b}.thumb")) <= max_thumb)
+
+    def matrix(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        h = left["h"].to_numpy(np.int64).view(np.uint64)[:, None] ^ right["h"].to_numpy(np.int64).view(np.uint64)[None, :]
+        a, b = _bytes(left["thumb"]), _bytes(right["thumb"])
+        return (np.bitwise_count(h) <= max_distance) & (_byte_sums(a, b) <= max_thumb * a.shape[1])
+
+    return with_copies(linkage.groups(placed, payload, linked, matrix), copies)
+
+
+def signature_cells(duration: Column, signature: Column, max_distance: float, tolerance: float) -> Column:
+    """Keys, of which two rows share one if their durations differ by the share tolerance at most and their signatures by
+    max_distance a byte: length, and steps of log duration and of sums of bytes under signs, each with the step above."""
+
+    def keys(d: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for length, raw in zip(d, s):
+            b = np.frombuffer(raw, np.uint8).astype(np.int64)
+            at = np.arange(len(b))
+            radius = max(1.0, max_distance * len(b))
+            steps = [math.floor(math.log(length) / -math.log(1 - tolerance))]
+            steps += [math.floor(int((b * (1 - 2 * ((at >> k) & 1))).sum() if k >= 0 else b.sum()) / radius) for k in range(-1, SUMS - 1)]
+            out.append([f"{len(b)}|" + ",".join(map(str, x)) for x in itertools.product(*((v, v + 1) for v in steps))])
+        return pd.Series(out, dtype=object)
+
+    return F.transform(F.pandas_udf(keys, "array<string>")(duration, signature), lambda k: F.xxhash64(k))
 
 
 def near_audio_groups(df: DataFrame, max_distance: float = 3.0) -> DataFrame:
@@ -159,5 +221,19 @@ def near_video_groups(df: DataFrame, max_distance: float = 6.0) -> DataFrame:
 
 
 def _banded_groups(df: DataFrame, max_distance: float, tolerance: float) -> DataFrame:
-    first, copies = _first_of_equal(df.filter((F.col("duration") > 0) & (F.length("signature") > 0)), ["duration", "signature"])
-    return components(banded_pairs(first, "signature", max_distance, tolerance).union(copies))
+    """Rows whose durations differ by at most a share, and whose signatures (hex) by max_distance a byte in the mean."""
+    fits = (F.col("duration") > 0) & (F.length("signature") > 0) & (F.length("signature") % 2 == 0) & F.unhex("signature").isNotNull()
+    first, copies = _first_of_equal(cut_lineage(df.select(RID, "duration", "signature")).filter(fits), ["duration", "signature"])
+    payload = cut_lineage(first.select(F.col(RID).alias("id"), F.lit(1).cast("long").alias("weight"), F.col("duration").cast("double").alias("d"), F.col("signature").alias("s")))
+    placed = payload.select("id", F.explode(signature_cells(F.col("d"), F.unhex("s"), max_distance, tolerance)).alias("key"))
+
+    def linked(a: str, b: str) -> Column:
+        x, y = F.col(f"{a}.d"), F.col(f"{b}.d")
+        return (F.abs(x - y) <= tolerance * F.greatest(x, y)) & (hex_distance(F.col(f"{a}.s"), F.col(f"{b}.s")) <= max_distance)
+
+    def matrix(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        x, y = left["d"].to_numpy()[:, None], right["d"].to_numpy()[None, :]
+        a, b = _bytes(left["s"]), _bytes(right["s"])
+        return (np.abs(x - y) <= tolerance * np.maximum(x, y)) & (_byte_sums(a, b) / a.shape[1] <= max_distance)
+
+    return with_copies(linkage.groups(placed, payload, linked, matrix), copies)

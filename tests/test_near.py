@@ -33,6 +33,89 @@ def test_media_groups(spark):
     assert clips.filter(F.col("rid") > 9).transform(lambda d: near_audio_groups(d)).count() == 0
 
 
+def plain_groups(ids, linked):
+    """Least ids of the components of all linked pairs, of two rows and more."""
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if root(a) != root(b) and linked(a, b):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    label = {i: root(i) for i in ids}
+    often = {v for v in label.values() if sum(w == v for w in label.values()) > 1}
+    return {i: v for i, v in label.items() if v in often}
+
+
+def test_groups_of_a_hot_band_in_cells(spark, monkeypatch):
+    """Near copies that all share bands, of which the head is linked to few only, so that cells have to find the ties."""
+    import random
+
+    from siltwork.operators import linkage
+
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    rng = random.Random(5)
+    base = [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(90)]
+    texts = {}
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 9])):
+            w[rng.randrange(90)] = f"y{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"
+        texts[k] = " ".join(w)
+    texts |= {150 + k: " ".join(rng.sample(base, 60)) for k in range(20)} | {200: texts[3], 201: texts[9].upper(), 202: "", 203: None}
+    sets = {k: {tuple(w[a : a + 3]) for w in [t.lower().split()] for a in range(max(1, len(w) - 2))} for k, t in texts.items() if t}
+    df = spark.createDataFrame(list(texts.items()), "rid long, text string").repartition(3)
+    got = {r.id: r.label for r in near_text_groups(df).collect()}
+    assert got == plain_groups(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    pairs = {(r.a, r.b) for r in near_text_pairs(df).collect()}
+    own = [k for k in sorted(sets) if not any(sets[k] == sets[j] for j in sets if j < k)]
+    assert pairs == {(a, b) for a in own for b in own if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_one_band_of_many_near_copies_needs_no_cells(spark):
+    from siltwork.operators import linkage
+
+    base = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(80))
+    n = 20000
+    df = spark.range(n).select(F.col("id").alias("rid"), F.concat(F.lit(base + " z"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
+    first = near_text_groups(df)
+    assert first.count() == n and first.filter("label <> 0").isEmpty()
+    plan = first._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and linkage.BLOCK < n
+
+
+def test_media_groups_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    from siltwork.operators import linkage
+    from siltwork.operators.near import near_video_groups
+
+    monkeypatch.setattr(linkage, "BLOCK", 8)
+    rng = random.Random(9)
+    clips = {}
+    for k in range(160):
+        if k % 3 and k > 5:
+            d, s = clips[rng.randrange(k)]
+            clips[k] = (d * rng.choice([1, 1.01, 1.019, 0.97]), bytes(min(255, max(0, b + rng.randint(-4, 4))) for b in s))
+        else:
+            clips[k] = (rng.choice([2.0, 2.0, 3.1, 50.0]), bytes(rng.randrange(256) for _ in range(rng.choice([8, 8, 8, 12]))))
+    df = spark.createDataFrame([(k, d, s.hex()) for k, (d, s) in clips.items()] + [(900, None, "00"), (901, 2.0, None), (902, 0.0, "00"), (903, 2.0, "zz"), (904, 2.0, "")], "rid long, duration double, signature string")
+
+    def linked(most, tolerance):
+        def one(a, b):
+            (x, s), (y, t) = clips[a], clips[b]
+            return len(s) == len(t) and abs(x - y) <= tolerance * max(x, y) and sum(abs(p - q) for p, q in zip(s, t)) / len(s) <= most
+        return one
+
+    assert {r.id: r.label for r in near_audio_groups(df).collect()} == plain_groups(list(clips), linked(3.0, 0.02))
+    assert {r.id: r.label for r in near_video_groups(df).collect()} == plain_groups(list(clips), linked(6.0, 0.05))
+
+
 def test_topics_share_all_documents(spark):
     import random
 
