@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import fixed as X
 from siltwork.operators.profile import placed_values, quantiles
+from siltwork.operators.scan import running_sum
 
 
 def log_format(lines: DataFrame, first: int = 500) -> str:
@@ -20,16 +21,15 @@ def log_format(lines: DataFrame, first: int = 500) -> str:
 def parse_log(lines: DataFrame, name: str | None = None, by: list[str] | None = None) -> DataFrame:
     """lines (line_no, value, and columns `by` that part files) -> a record per line of the form, with those that follow.
 
-    Lines that don't have the form belong to the record before them; those before the first record are left out. Each
-    file is put in order by itself.
+    Lines that don't have the form belong to the record before them; those before the first record are left out. Lines are
+    numbered by record in ranges, so that one large file is the work of many tasks, and a record may go on over a border.
     """
     name = name or log_format(lines)
     pattern, groups = X.LOG_FORMATS[name]
     by = by or []
     value = F.regexp_replace("value", r"\r$", "")
     kept = lines.filter(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn("value", value).withColumn("hit", F.col("value").rlike(pattern))
-    record = F.sum(F.col("hit").cast("int")).over(W.partitionBy(*by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    stitched = kept.withColumn("record", record).filter("record > 0").groupBy(*by, "record").agg(
+    stitched = running_sum(kept, F.col("hit"), "record", ["line_no"], by).filter("record > 0").groupBy(*by, "record").agg(
         F.min("line_no").alias("line_no"), F.min_by("value", "line_no").alias("head"),
         F.array_sort(F.collect_list(F.when(~F.col("hit"), F.struct("line_no", F.trim("value").alias("v"))))).alias("rest"),
     )

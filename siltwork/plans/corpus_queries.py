@@ -376,12 +376,28 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/siltwork-{uuid.uuid4().hex}-{name}"
 
 
+def _with_heads(rows, heads: list[tuple], key, files: int = 4):
+    """A writer of rows to so many files by a key, each of which starts with the same first rows."""
+    spark = rows.sparkSession
+    first = spark.createDataFrame([(*h, n, -len(heads) + k) for n in range(files) for k, h in enumerate(heads)], ", ".join([*(f"{c} string" for c in rows.columns), "file int", "place int"]))
+    every = first.union(rows.withColumns({"file": key % files, "place": F.lit(1)}))
+    return every.repartition("file").sortWithinPartitions("file", "place").drop("place").write.partitionBy("file")
+
+
 @query("SELECT c_name AS \"Name\", 'Straße ' || c_custkey || ' – café' AS \"Address\", cast(c_nationkey AS VARCHAR) AS \"Nation\" FROM customer")
 def source_delimited_cp1252(spark, d):
     at = _folder(spark, "csv")
     c = read_table(spark, d, "customer").select("c_name", F.concat(F.lit("Straße "), F.col("c_custkey").cast("string"), F.lit(" \x96 café")).alias("address"), F.col("c_nationkey").cast("string").alias("nation"))
-    head = spark.createDataFrame([("A title", "", ""), ("Name", "Address", "Nation")], "a string, b string, c string")
-    head.union(c).coalesce(1).write.options(sep=";", encoding="ISO-8859-1", emptyValue="").csv(at)
+    _with_heads(c, [("A title", "", ""), ("Name", "Address", "Nation")], F.col("nation").cast("int")).options(sep=";", encoding="ISO-8859-1", emptyValue="").csv(at)
+    return readers.read_table(spark, at)[0].drop("rid")
+
+
+@query("SELECT c_custkey::VARCHAR AS key, c_name || E'\\n' || CASE WHEN c_custkey % 3 = 0 THEN '\"quoted\", ' ELSE '' END || c_mktsegment AS note FROM customer")
+def source_delimited_multiline(spark, d):
+    at = _folder(spark, "csv")
+    note = F.concat("c_name", F.lit("\n"), F.when(F.col("c_custkey") % 3 == 0, '"quoted", ').otherwise(""), "c_mktsegment")
+    rows = read_table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), note.alias("note"))
+    _with_heads(rows, [("key", "note")], F.col("key").cast("int")).options(escape='"').csv(at)
     return readers.read_table(spark, at)[0].drop("rid")
 
 
@@ -396,7 +412,7 @@ def source_jsonl(spark, d):
 def source_log(spark, d):
     at = _folder(spark, "log")
     e = read_table(spark, d, "events")
-    e.orderBy("event_id").select(F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("INFO"), "event_type").alias("value")).coalesce(1).write.text(at)
+    e.orderBy("event_id").select(F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("INFO"), "event_type").alias("value")).write.text(at)
     return readers.read_log(spark, at)[0].select("timestamp", "level", "message")
 
 
