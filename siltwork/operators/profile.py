@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from siltwork.functions import fixed as X
 from siltwork.functions import values as V
 from siltwork.operators.registry import RID
+from siltwork.session import cut_lineage
 
 NUMERIC = ("numeric", "currency", "percent")
 
@@ -218,8 +221,6 @@ def average_ranks(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 def ranged(df: DataFrame, order: list[str], parts: int = 0) -> DataFrame:
     """df in ranges of the order, with the number of its range in __part; written, so that ranges stay as they are."""
-    from siltwork.session import cut_lineage
-
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut_lineage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
 
@@ -252,6 +253,81 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.join(rx, "x").join(ry, "y").agg(V.r4(F.corr("rx", "ry")).alias("rho"), F.count("*").alias("n"))
 
 
+def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Spearman coefficients of all pairs of columns, each over the rows with both values, in a number of jobs that doesn't
+    grow with the columns.
+
+    Ranks of a column are among the rows where the other one has a value, so that a column has one list of ranks for each
+    column with missing values, and one for all others. All lists are ranked together, as counts per value in ranges; ranks
+    go back to the rows and are multiplied there, list by list.
+    """
+    none = df.agg(*[F.count_if(F.col(f"`{c}`").cast("double").isNull()).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    masks = [-1, *[k for k in range(len(columns)) if none[f"c{k}"]]]
+    lists = {(k, m): n for n, (k, m) in enumerate((k, m) for k in range(len(columns)) for m in masks if k != m)}
+    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
+    cells = F.array(*[
+        F.struct(F.lit(n).alias("list"), numbers[k].alias("value")) if m < 0 else F.struct(F.lit(n).alias("list"), F.when(numbers[m].isNotNull(), numbers[k]).alias("value")) for (k, m), n in lists.items()
+    ])
+    whole = df.select(F.monotonically_increasing_id().alias("row"), cells.alias("c"))
+    rows = cut_lineage(whole.select("row", F.explode("c").alias("c")).select("row", "c.*").filter("value IS NOT NULL"))
+    counts = rows.groupBy("list", "value").agg(F.count("*").alias("n"))
+    placed = running_total(counts, ["list", "value"], "n")
+    first = placed.groupBy("list").agg(F.min("before").alias("first"), F.sum("n").alias("all"))  # a row per list
+    # ranks less their mean, so that sums of products are all that is needed
+    rank = F.col("before") - F.col("first") + (F.col("n") + 1) / 2 - (F.col("all") + 1) / 2
+    ranks = placed.join(F.broadcast(first), "list").select("list", "value", rank.alias("rank"))
+    by_row = rows.join(ranks, ["list", "value"]).groupBy("row").agg(F.collect_list("list").alias("l"), F.collect_list("rank").alias("r"))
+    size = len(lists)
+
+    def products(batches):
+        total, both = np.zeros((size, size)), np.zeros((size, size))
+        for b in batches:
+            x, own = np.zeros((len(b), size)), np.zeros((len(b), size))
+            at = np.repeat(np.arange(len(b)), b["l"].map(len).to_numpy())
+            if len(at):
+                place = np.concatenate(b["l"].to_numpy())
+                x[at, place], own[at, place] = np.concatenate(b["r"].to_numpy()), 1
+            total += x.T @ x
+            both += own.T @ own
+        i, j = np.triu_indices(size)
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "s": total[i, j], "n": both[i, j].astype(np.int64)})
+
+    summed = by_row.mapInPandas(products, "i int, j int, s double, n long").groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    squares = summed.filter("i = j").select("i", F.col("s").alias("q"))
+    pairs = []
+    for a in range(len(columns)):
+        for b in range(a + 1, len(columns)):
+            x, y = lists[a, b if none[f"c{b}"] else -1], lists[b, a if none[f"c{a}"] else -1]
+            pairs.append((columns[a], columns[b], min(x, y), max(x, y)))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, rho double, n long")
+    asked = df.sparkSession.createDataFrame(pairs, "a string, b string, i int, j int")
+    told = asked.join(summed, ["i", "j"], "left").join(squares.withColumnRenamed("q", "qi"), "i", "left").join(squares.select(F.col("i").alias("j"), F.col("q").alias("qj")), "j", "left")
+    return told.select("a", "b", V.r4(F.when((F.col("qi") > 0) & (F.col("qj") > 0), F.col("s") / F.sqrt(F.col("qi") * F.col("qj")))).alias("rho"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def aucs(df: DataFrame, features: list[str], positive: Column) -> DataFrame:
+    """(column, auc, n): the area under the curve of every feature for one binary target, as `auc` does one; all features
+    are ranked together."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in features])
+    long = df.select(positive.cast("boolean").alias("p"), F.explode(cells).alias("c")).select("p", "c.*").na.drop()
+    counts = long.groupBy("column", "v").agg(F.count("*").alias("c"), F.count_if("p").alias("pos"))
+    placed = running_total(counts, ["column", "v"], "c")
+    first = placed.groupBy("column").agg(F.min("before").alias("first"))  # a row per column
+    ranked = placed.join(F.broadcast(first), "column").withColumn("rank", F.col("before") - F.col("first") + (F.col("c") + 1) / 2)
+    n, n1 = F.sum("c"), F.sum("pos")
+    value = (F.sum(F.col("rank") * F.col("pos")) - n1 * (n1 + 1) / 2) / (n1 * (n - n1))
+    return ranked.groupBy("column").agg(V.r4(F.when((n1 > 0) & (n1 < n), value)).alias("auc"), n.cast("long").alias("n"))
+
+
+def purities(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(column, values, min_purity, n): what `purity` says of each column, from one table of counts."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])
+    long = df.select(F.col(f"`{target}`").alias("t"), F.explode(cells).alias("c")).select("t", "c.*").na.drop()
+    per = long.groupBy("column", "v", "t").agg(F.count("*").alias("n")).groupBy("column", "v").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
+    return per.groupBy("column").agg(F.count("*").alias("values"), V.r4(F.min(F.col("top") / F.col("all"))).alias("min_purity"), F.sum("all").alias("n"))
+
+
 def auc(df: DataFrame, feature: str, positive: Column) -> DataFrame:
     """Area under the curve of one feature for a binary target, with ties at half; from counts per value."""
     v = df.select(F.col(f"`{feature}`").cast("double").alias("v"), positive.cast("boolean").alias("p")).na.drop()
@@ -270,26 +346,28 @@ def purity(df: DataFrame, column: str, target: str) -> DataFrame:
 
 
 def leaks(df: DataFrame, target: str, numeric: list[str], categories: list[str]) -> list[tuple[str, str, float]]:
-    """Columns that give the target away: (column, how, value)."""
+    """Columns that give the target away: (column, how, value); all columns in the same few jobs."""
     t = F.col(f"`{target}`")
     facts = df.agg(F.count(t).alias("n"), F.countDistinct(t).alias("k"), F.max(t).alias("top")).first()
     out: list[tuple[str, str, float]] = []
     if facts["n"] < 20:
         return out
     as_number = df.schema[target].dataType.typeName() not in ("string", "boolean")
+    number = t.cast("double") if as_number else F.lit(None).cast("double")
+    r = df.agg(*[F.corr(F.col(f"`{c}`").cast("double"), number).alias(f"c{k}") for k, c in enumerate(numeric)]).first() if numeric and as_number else {}
+    close = {c: r[f"c{k}"] for k, c in enumerate(numeric) if r and r[f"c{k}"] is not None and abs(r[f"c{k}"]) >= 0.95}
+    ranked = [c for c in numeric if c not in close] if facts["k"] == 2 else []
+    areas = {x["column"]: x["auc"] for x in aucs(df, ranked, t == F.lit(facts["top"])).collect()} if ranked else {}
     for c in numeric:
-        if as_number:
-            r = df.agg(F.corr(F.col(f"`{c}`").cast("double"), t.cast("double"))).first()[0]
-            if r is not None and abs(r) >= 0.95:
-                out.append((c, "correlation", round(r, 4)))
-                continue
-        if facts["k"] == 2:
-            a = auc(df, c, t == F.lit(facts["top"])).first()["auc"]
-            if a is not None and max(a, 1 - a) >= 0.97:
-                out.append((c, "auc", max(a, 1 - a)))
+        a = areas.get(c)
+        if c in close:
+            out.append((c, "correlation", round(close[c], 4)))
+        elif a is not None and max(a, 1 - a) >= 0.97:
+            out.append((c, "auc", max(a, 1 - a)))
+    pure = {x["column"]: x for x in purities(df, categories, target).collect()} if categories else {}
     for c in categories:
-        p = purity(df, c, target).first()
-        if p["n"] and p["n"] >= 20 and p["values"] >= 2 and p["values"] < 0.5 * p["n"] and p["min_purity"] >= 0.999:
+        p = pure.get(c)
+        if p is not None and p["n"] >= 20 and p["values"] >= 2 and p["values"] < 0.5 * p["n"] and p["min_purity"] >= 0.999:
             out.append((c, "purity", p["min_purity"]))
     return out
 

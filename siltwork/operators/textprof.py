@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.functions import texts as X
 from siltwork.functions import values as V
 from siltwork.operators.registry import RID
-from siltwork.session import cut_lineage
+from siltwork.session import cut_lineage, free
 
 TOO_SHORT = 5
 
@@ -154,46 +155,113 @@ def label_check(df: DataFrame, label: str = "class", key: str = RID, margin: flo
     return best.select(key, F.col("own").alias("label"), "nearest", V.r4(gap).alias("margin"), ((F.col("own") != F.col("nearest")) & (gap >= margin)).alias("suspected"))
 
 
-def factors(m: np.ndarray, k: int, rounds: int = 300, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative (left, right) with left @ right near m in the sense of least squares.
-
-    Each entry is scaled by the ratio of the part of the gradient that asks for more of it to the part that asks for less;
-    at a ratio of 1 the gradient is 0."""
-    draw = np.random.default_rng(seed).random
-    left, right = draw((m.shape[0], k)) + 0.01, draw((k, m.shape[1])) + 0.01
+def nonnegative(gram: np.ndarray, cross: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Rows w >= 0 of least squares, from gram = h h' and cross = v h': each coordinate in turn goes to where its gradient
+    is 0, until nothing moves."""
+    w = np.zeros(cross.shape)
+    scale = np.maximum(np.diag(gram), 1e-12)
     for _ in range(rounds):
-        for own, other, target in ((right.T, left, m.T), (left, right.T, m)):
-            more, less = target @ other, own @ (other.T @ other)
-            own *= more / np.maximum(less, 1e-9)
-    return left, right
-
-
-def topics(df: DataFrame, k: int | None = None, labels: int = 0, rounds: int = 300, seed: int = 0, key: str = RID, words: int = 6, sample: int = 2000) -> list[dict]:
-    """Topics by non-negative factorisation of the weights of words.
-
-    Weights are those of all documents. The factors are fitted on the `sample` documents with the least hashes; every
-    document then belongs to the topic whose words its own are most like, and shares are those of all documents."""
-    from pyspark.sql import Window as W
-
-    n = df.count()
-    k = k or min(6, max(2, labels or n // 25))
+        moved = 0.0
+        for j in range(len(gram)):
+            new = np.maximum(0.0, w[:, j] + (cross[:, j] - w @ gram[:, j]) / scale[j])
+            moved = max(moved, float(np.abs(new - w[:, j]).max(initial=0.0)))
+            w[:, j] = new
+        if moved < 1e-9:
+            break
+    return w
+
+
+class SparseRows:
+    """Documents as rows of (place of a word, weight), in Spark; their factors are worked out where the rows are."""
+
+    def __init__(self, weights: DataFrame, key: str, places: DataFrame):
+        row = F.collect_list(F.struct("place", "weight"))
+        held = weights.join(F.broadcast(places), "term").groupBy(key).agg(row.alias("r"))
+        self.rows = cut_lineage(held.select(key, F.transform("r", lambda x: x["place"]).alias("p"), F.transform("r", lambda x: x["weight"]).alias("v")))
+        self.key = key
+
+    @staticmethod
+    def _solved(b: pd.DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = b["p"].map(len).to_numpy()
+        doc, place = np.repeat(np.arange(len(b)), sizes), np.concatenate(b["p"].to_numpy())
+        value = np.concatenate(b["v"].to_numpy())
+        cross = np.zeros((len(b), len(h)))
+        np.add.at(cross, doc, h.T[place] * value[:, None])
+        return nonnegative(h @ h.T, cross), cross, doc, place, value
+
+    def sums(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """w'w, w'v and the squared residual for the best w of each document; one pass, of which a task gives its sums."""
+
+        def run(batches):
+            k, t = h.shape
+            ww, wv, left = np.zeros((k, k)), np.zeros((k, t)), 0.0
+            for b in batches:
+                if not len(b):
+                    continue
+                w, cross, doc, place, value = SparseRows._solved(b, h)
+                ww += w.T @ w
+                for j in range(k):
+                    wv[j] += np.bincount(place, weights=w[doc, j] * value, minlength=t)
+                left += float((value * value).sum() - 2 * (w * cross).sum() + (w @ (h @ h.T) * w).sum())
+            flat = np.concatenate([ww.ravel(), wv.ravel(), [left]])
+            yield pd.DataFrame({"at": np.arange(len(flat)), "x": flat})
+
+        got = self.rows.mapInPandas(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+        flat = np.zeros(h.shape[0] * (h.shape[0] + h.shape[1]) + 1)
+        for r in got:
+            flat[r["at"]] = r["x"]
+        k = h.shape[0]
+        return flat[: k * k].reshape(k, k), flat[k * k : -1].reshape(k, -1), float(flat[-1])
+
+    def topic(self, h: np.ndarray) -> DataFrame:
+        """(key, topic, share): the topic with the largest factor of each document, and its part of all of them."""
+        kind = self.rows.schema[self.key].dataType.simpleString()
+        key = self.key
+
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    w = SparseRows._solved(b, h)[0]
+                    total = w.sum(axis=1)
+                    yield pd.DataFrame({key: b[key], "topic": w.argmax(axis=1).astype("int32"), "share": w.max(axis=1) / np.maximum(total, 1e-12)})
+
+        return self.rows.mapInPandas(run, f"`{key}` {kind}, topic int, share double")
+
+
+def factorise(rows: SparseRows, k: int, terms: int, rounds: int = 60, seed: int = 0, enough: float = 1e-5) -> tuple[np.ndarray, float]:
+    """(h, squared residual): h of unit rows, so that the rows are near non-negative sums of those of h.
+
+    A round is one pass over the rows. With h given, the best factors of a document depend on that document alone and are
+    worked out anew, so that none are kept; what comes back are two small matrices, from which h follows."""
+    h = np.random.default_rng(seed).random((k, terms)) + 0.01
+    h /= np.linalg.norm(h, axis=1, keepdims=True)
+    last = float("inf")
+    for _ in range(rounds):
+        ww, wv, left = rows.sums(h)
+        if last - left <= enough * left:
+            break
+        last = left
+        new = nonnegative(ww + 1e-12 * np.eye(k), wv.T).T
+        length = np.linalg.norm(new, axis=1, keepdims=True)
+        h = np.where(length > 0, new / np.maximum(length, 1e-12), h)
+    return h, left
+
+
+def topics(df: DataFrame, k: int | None = None, labels: int = 0, rounds: int = 60, seed: int = 0, key: str = RID, words: int = 6) -> list[dict]:
+    """Topics by non-negative factorisation of the weights of words over all documents; a document belongs to the topic
+    with its largest factor. Documents without a weighted word have none."""
+    k = k or min(6, max(2, labels or df.count() // 25))
     weights = cut_lineage(tfidf(df, key))
-    few = weights.select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
-    rows = weights.join(F.broadcast(few), key).toPandas()
-    if not len(rows):
+    terms = sorted(r["term"] for r in weights.select("term").distinct().collect())  # 2,000 at most
+    if not terms:
         return []
-    (doc, docs), (term, terms) = (np.unique(rows[c].to_numpy(), return_inverse=True)[::-1] for c in (key, "term"))
-    m = np.zeros((len(docs), len(terms)))
-    m[doc, term] = rows["weight"]
-    right = factors(m, k, rounds, seed)[1]
-    length = np.linalg.norm(right, axis=1, keepdims=True)
-    unit = right / np.maximum(length, 1e-12)
-    table = df.sparkSession.createDataFrame([(str(t), j, float(unit[j, i])) for i, t in enumerate(terms) for j in range(k)], "term string, topic int, value double")  # 2,000 terms at most
-    like = weights.join(F.broadcast(table), "term").groupBy(key, "topic").agg(F.sum(F.col("weight") * F.col("value")).alias("like"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("like"), "topic"))
-    own = {r["topic"]: r["n"] for r in like.withColumn("rank", rank).filter("rank = 1").groupBy("topic").agg(F.count("*").alias("n")).collect()}
+    places = df.sparkSession.createDataFrame([(t, n) for n, t in enumerate(terms)], "term string, place int")
+    rows = SparseRows(weights, key, places)
+    h, _ = factorise(rows, k, len(terms), rounds, seed)
+    own = {r["topic"]: r["n"] for r in rows.topic(h).groupBy("topic").agg(F.count("*").alias("n")).collect()}
+    free(weights, rows.rows)
     total = max(1, sum(own.values()))
-    return [{"topic": j, "words": [str(terms[i]) for i in np.argsort(-right[j], kind="stable")[:words]], "share": round(own.get(j, 0) / total, 4)} for j in range(k)]
+    return [{"topic": j, "words": [terms[i] for i in np.argsort(-h[j], kind="stable")[:words]], "share": round(own.get(j, 0) / total, 4)} for j in range(k)]
 
 
 def entities(df: DataFrame) -> DataFrame:

@@ -174,6 +174,35 @@ def spearman_lineitem(spark, d):
     return profile.spearman(read_table(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
 
 
+_RANKED = {"q": "l_quantity", "e": "CASE WHEN l_linenumber <> 3 THEN l_extendedprice END", "d": "CASE WHEN l_linenumber <> 5 THEN l_discount END", "t": "l_tax"}
+_RANK = "SELECT '{a}' AS a, '{b}' AS b, round(corr(x, y), 4) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y FROM r WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+
+
+@query(f"WITH r AS (SELECT {', '.join(f'{x} AS {n}' for n, x in _RANKED.items())} FROM lineitem) " + " UNION ALL ".join(_RANK.format(a=a, b=b) for a, b in ("qe", "qd", "qt", "ed", "et", "dt")))
+def rank_correlations_lineitem(spark, d):
+    return profile.rank_correlations(read_table(spark, d, "lineitem").selectExpr(*[f"{x} AS {n}" for n, x in _RANKED.items()]), list(_RANKED))
+
+
+_AREA = """SELECT '{c}' AS "column", 'auc' AS how, greatest(a, 1 - a) AS value FROM (SELECT round((sum(k) FILTER (p) - count(*) FILTER (p) * (count(*) FILTER (p) + 1) / 2.0) / (count(*) FILTER (p) * count(*) FILTER (NOT p)), 4) AS a
+FROM (SELECT p, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS k FROM x)) WHERE greatest(a, 1 - a) >= 0.97"""
+
+
+@query(f"""WITH x AS (SELECT l_linestatus = 'O' AS p, l_linestatus AS s, l_shipdate - DATE '1992-01-01' AS day, l_quantity AS quantity, l_tax AS tax, l_returnflag AS flag, lower(l_linestatus) AS state FROM (SELECT * REPLACE (cast(l_shipdate AS DATE) AS l_shipdate) FROM lineitem)),
+u AS (SELECT 'flag' AS "column", flag AS v, s, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'state', state, s, count(*) FROM x GROUP BY ALL),
+v AS (SELECT "column", v, max(n)::DOUBLE / sum(n) AS share FROM u GROUP BY ALL), m AS (SELECT "column", round(min(share), 4) AS value FROM v GROUP BY 1)
+{' UNION ALL '.join(_AREA.format(c=c) for c in ('day', 'quantity', 'tax'))} UNION ALL SELECT "column", 'purity', value FROM m WHERE value >= 0.999""")
+def leaks_lineitem(spark, d):
+    x = read_table(spark, d, "lineitem").selectExpr("l_linestatus AS s", "datediff(cast(l_shipdate AS date), DATE'1992-01-01') AS day", "l_quantity AS quantity", "l_tax AS tax", "l_returnflag AS flag", "lower(l_linestatus) AS state")
+    found = profile.leaks(x, "s", ["day", "quantity", "tax"], ["flag", "state"])
+    return spark.createDataFrame(found, "column string, how string, value double")
+
+
+@query()
+def topics_documents(spark, d):
+    found = textprof.topics(read_table(spark, d, "documents"), key="doc_id")
+    return spark.createDataFrame([(t["topic"], t["words"], t["share"]) for t in found], "topic int, words array<string>, share double")
+
+
 @query("""WITH v AS (SELECT n_chars::DOUBLE AS v, quality = 1 AS p FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL),
 r AS (SELECT p, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS rk FROM v)
 SELECT round((sum(rk) FILTER (p) - count(*) FILTER (p) * (count(*) FILTER (p) + 1) / 2.0) / (count(*) FILTER (p) * count(*) FILTER (NOT p)), 4) AS auc, count(*) AS n FROM r""")

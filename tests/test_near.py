@@ -114,27 +114,3 @@ def test_media_groups_are_those_of_all_pairs(spark, monkeypatch):
 
     assert {r.id: r.label for r in near_audio_groups(df).collect()} == plain_groups(list(clips), linked(3.0, 0.02))
     assert {r.id: r.label for r in near_video_groups(df).collect()} == plain_groups(list(clips), linked(6.0, 0.05))
-
-
-def test_topics_share_all_documents(spark):
-    import random
-
-    from siltwork.operators import textprof
-
-    rng = random.Random(1)
-    words = {"a": "ship sail harbour wind wave anchor", "b": "bread flour oven yeast crust dough", "c": "goal team score match field player"}
-    rows = [(k, " ".join(rng.choice(words["aabc"[k % 4]].split()) for _ in range(12))) for k in range(120)]
-    found = textprof.topics(spark.createDataFrame(rows, "rid long, text string"), k=3, sample=40)
-    assert sorted(t["share"] for t in found) == [0.25, 0.25, 0.5]
-    assert sorted(sorted(t["words"]) for t in found) == sorted(sorted(w.split()) for w in words.values())
-
-
-def test_factors_come_near():
-    import numpy as np
-
-    from siltwork.operators.textprof import factors
-
-    rng = np.random.default_rng(2)
-    m = rng.random((30, 3)) @ rng.random((3, 20))
-    left, right = factors(m, 3, 600)
-    assert (left >= 0).all() and (right >= 0).all() and np.abs(left @ right - m).max() < 0.15
