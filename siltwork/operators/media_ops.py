@@ -119,14 +119,14 @@ def drop_without_audio(df, columns):
 
 
 @op("image audio video", "drop_files", "destructive", "named files go", params=FILES)
-def drop_files(df, columns, files):
-    existing(df, files)
+def drop_files(df, columns, files, known=None):
+    existing(df, files, known)
     return df.filter(~F.col("path").isin(*files))
 
 
 @op("image audio video", "flag_suspected_mislabels", "safe", "named files are flagged", params=FILES)
-def flag_file_mislabels(df, columns, files):
-    existing(df, files)
+def flag_file_mislabels(df, columns, files, known=None):
+    existing(df, files, known)
     return flag_paths(df, files)
 
 

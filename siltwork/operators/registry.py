@@ -55,6 +55,7 @@ class OpSpec:
     needs_columns: bool = False
     all_columns_ok: bool = False
     converts: bool = False  # values that don't parse become null
+    names_rows: bool = False  # takes known, a table of all rows that may be named
 
     def values(self, given: dict[str, Any] | None) -> dict[str, Any]:
         given = dict(given or {})
@@ -85,8 +86,8 @@ def op(media: str, name: str, risk: str, about: str, **more) -> Callable:
     return put
 
 
-def apply_op(df: DataFrame, media: str, name: str, columns: list[str] | None = None, params: dict | None = None) -> DataFrame:
-    """Validate and apply one operation of the catalogue."""
+def apply_op(df: DataFrame, media: str, name: str, columns: list[str] | None = None, params: dict | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Validate and apply one operation of the catalogue; known: a table with the rows that operations before it removed."""
     spec = CATALOG[media].get(name)
     if spec is None:
         raise PlanError(f"unknown operation {name}")
@@ -99,7 +100,8 @@ def apply_op(df: DataFrame, media: str, name: str, columns: list[str] | None = N
         columns = [c for c in df.columns if c != RID]
     if not spec.needs_columns and columns and media == "table":
         raise PlanError(f"{name}: takes no columns")
-    return spec.run(df, columns, **spec.values(params))
+    more = {"known": known} if spec.names_rows else {}
+    return spec.run(df, columns, **spec.values(params), **more)
 
 
 def with_rid(df: DataFrame) -> DataFrame:

@@ -109,15 +109,15 @@ def existing(df: DataFrame, paths: list[str], known: DataFrame | None = None) ->
         raise PlanError(f"no such path: {', '.join(sorted(missing)[:5])}")
 
 
-@op("text", "drop_documents", "destructive", "named documents go", params={"documents": Param(list, most=500)})
-def drop_documents(df, columns, documents):
-    existing(df, documents)
+@op("text", "drop_documents", "destructive", "named documents go", params={"documents": Param(list, most=500)}, names_rows=True)
+def drop_documents(df, columns, documents, known=None):
+    existing(df, documents, known)
     return df.filter(~F.col("path").isin(*documents))
 
 
-@op("text", "flag_suspected_mislabels", "safe", "named documents are flagged", params={"documents": Param(list, most=500)})
-def flag_text_mislabels(df, columns, documents):
-    existing(df, documents)
+@op("text", "flag_suspected_mislabels", "safe", "named documents are flagged", params={"documents": Param(list, most=500)}, names_rows=True)
+def flag_text_mislabels(df, columns, documents, known=None):
+    existing(df, documents, known)
     return flag_paths(df, documents)
 
 

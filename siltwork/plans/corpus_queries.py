@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from siltwork.operators.near import near_text_groups
 from siltwork.operators.registry import apply_op
 from siltwork.plans import plan as plans
 from siltwork.plans.evidence import Evidence, brief, fact_check, find_value, lookup_all
-from siltwork.plans.queries import MESSY_SQL, SHINGLES_SQL, TFIDF_SQL, WORDS, _language_sql, corpus, messy, query
+from siltwork.plans.queries import KEY, MESSY_SQL, SHINGLES_SQL, TFIDF_SQL, WORDS, _language_sql, corpus, messy, query
 from siltwork.session import read_table, shared_folder
 from siltwork.sources import readers, sinks
 
@@ -20,11 +21,11 @@ LINES = r"regexp_split_to_array(text, '\r\n|\n|\r|\x0b|\x0c|\x{85}|\x{2028}|\x{2
 
 # ---------------------------------------------------------------- repairs of texts
 
-_PLAIN_SQL = "translate(substr(text, 1, 200), 'ßÉÈÊÇÀÁÖÜÄÑÓÍÚÎÂÛÔË', 'sEEECAAOUANOIUIAUOE')"
+_PLAIN_SQL = "translate(text, 'ßÉÈÊÇÀÁÖÜÄÑÓÍÚÎÂÛÔË', 'sEEECAAOUANOIUIAUOE')"
 
 
 def _plain():
-    return F.translate(F.substring("text", 1, 200), "ßÉÈÊÇÀÁÖÜÄÑÓÍÚÎÂÛÔË", "sEEECAAOUANOIUIAUOE")
+    return F.translate("text", "ßÉÈÊÇÀÁÖÜÄÑÓÍÚÎÂÛÔË", "sEEECAAOUANOIUIAUOE")
 
 
 def _repaired(name, made):
@@ -36,8 +37,8 @@ def _repaired(name, made):
 
 
 query(f"SELECT doc_id AS rid, {_PLAIN_SQL} AS text FROM documents", "text_fix_encoding")(_repaired("fix_encoding", lambda: F.decode(F.encode(_plain(), "UTF-8"), "ISO-8859-1")))
-query("SELECT doc_id AS rid, substr(text, 1, 200) AS text FROM documents", "text_normalize_unicode")(
-    _repaired("normalize_unicode", lambda: F.translate(F.substring("text", 1, 200), "aeiAEI1", "ａｅｉＡＥＩ１"))
+query("SELECT doc_id AS rid, text FROM documents", "text_normalize_unicode")(
+    _repaired("normalize_unicode", lambda: F.translate("text", "aeiAEI1", "ａｅｉＡＥＩ１"))
 )
 
 PRIVATE_SQL = """'Mail u' || c_custkey || '@example.com, card 4111 1111 1111 1111, not 4111 1111 1111 1112, from 10.0.' || c_custkey % 300 || '.7, number 123-45-6789 or +1 (483) 555-1712.'"""
@@ -309,17 +310,35 @@ def class_loss_orders(spark, d):
     return links.class_loss(o, o.filter(~(F.col("class").startswith("1") & (F.col("o_orderkey") % 3 != 0))))
 
 
-@query("SELECT 1 AS step, 'refused' AS told UNION ALL SELECT 2, 'done'")
+@query(f"""WITH m AS ({MESSY_SQL}), f AS (SELECT count(*) AS n, count(*) FILTER (status <> 'N/A') AS words, count(*) FILTER (lower(urgent) NOT IN ('yes', 'n')) AS blank FROM m)
+SELECT 1 AS step, 'refused' AS told, words AS n, words AS of FROM f UNION ALL SELECT 2, 'done', n, n FROM f
+UNION ALL SELECT 3, CASE WHEN blank > 0.4 * n THEN 'refused' ELSE 'done' END, CASE WHEN blank > 0.4 * n THEN blank ELSE n END, n FROM f UNION ALL SELECT 4, 'done', n, n FROM f""")
 def plan_guards_orders(spark, d):
     op = plans.CleaningOp
-    run = plans.execute_plan(plans.CleaningPlan((op("cast_numeric", ("status",)), op("trim_whitespace", ("status",)))), messy(spark, d))
-    return spark.createDataFrame([(1, "refused" if any("step 1" in e for e in run.errors) else "done"), (2, "done" if len(run.steps) == 1 else "refused")], "step int, told string")
+    ops = (op("cast_numeric", ("status",)), op("trim_whitespace", ("status",)), op("impute_constant", ("urgent",), {"value": "no"}), op("parse_dates", ("placed",)))
+    run = plans.execute_plan(plans.CleaningPlan(ops), messy(spark, d))
+    refused = {int(m[1]): (int(m[2]), int(m[3])) for m in (re.match(r"step (\d+) .*?(\d+) of (\d+) values", e) for e in run.errors) if m}
+    done = iter(run.steps)
+    rows = [(k, "refused", *refused[k]) if k in refused else (k, "done", (s := next(done)).rows_after, s.rows_before) for k in range(1, 5)]
+    return spark.createDataFrame(rows, "step int, told string, n long, of long")
+
+
+@query("SELECT doc_id AS rid FROM documents WHERE doc_id NOT IN (0, 1) AND doc_id IN (SELECT min(doc_id) FROM documents GROUP BY " + KEY + ")")
+def plan_names_gone_documents(spark, d):
+    """Documents that an earlier step has removed may still be named."""
+    op = plans.CleaningOp
+    docs = corpus(spark, d).select("rid", "path", "text")
+    gone = docs.join(apply_op(docs, "text", "drop_exact_duplicates").select("rid"), "rid", "left_anti").orderBy("rid").select("path").limit(2)
+    named = [r["path"] for r in gone.collect()] + ["0", "1"]
+    plan = plans.CleaningPlan((op("drop_exact_duplicates", evidence=("txt_001",)), op("drop_documents", (), {"documents": named}, "", ("txt_001",))), media="text")
+    run = plans.execute_plan(plan, docs)
+    if any("step" in e for e in run.errors):
+        raise plans.PlanError("; ".join(run.errors))
+    return run.df.select("rid")
 
 
 @query("SELECT 'Removed' AS what, count(*) FILTER (o_orderstatus = 'P') AS n FROM orders UNION ALL SELECT 'Changed', count(*) FILTER (o_orderstatus = 'F') FROM orders")
 def change_notes_orders(spark, d):
-    import re
-
     m = messy(spark, d).select("rid", "status", "placed").join(read_table(spark, d, "orders").select(F.col("o_orderkey").alias("rid"), "o_orderstatus"), "rid")
     after = apply_op(m.filter("o_orderstatus <> 'P'"), "table", "trim_whitespace", ["status"])
     notes = plans.change_notes(m, after, ["status", "placed"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltwork.functions import values as V
@@ -13,7 +13,7 @@ from siltwork.operators import media_ops, table_ops, text_ops  # noqa: F401  the
 from siltwork.operators.links import align, class_loss
 from siltwork.operators.profile import ks_statistic
 from siltwork.operators.registry import CATALOG, RID, PlanError, apply_op, with_rid
-from siltwork.session import cut_lineage
+from siltwork.session import cut_lineage, free
 
 # Limits of what a plan may do.
 MOST_ROW_LOSS, MOST_NEW_MISSING, MOST_IMPUTED, MOST_SHIFT, LEAST_FOR_SHIFT, MOST_CLASS_LOSS = 0.30, 0.10, 0.40, 0.20, 20, 0.50
@@ -85,71 +85,153 @@ class PlanRun:
         return not self.errors
 
 
-def _missing(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int]]:
-    """(missing, missing with words for it) of columns, and rows under ''; one pass."""
-    aggs = [F.count("*").alias("n")]
-    for k, c in enumerate(columns):
-        v = F.col(f"`{c}`")
-        aggs += [F.count_if(v.isNull()).alias(f"a{k}"), F.count_if(V.is_missing(v)).alias(f"b{k}")]
-    row = df.agg(*aggs).first()
-    return {"": (row["n"], row["n"])} | {c: (row[f"a{k}"], row[f"b{k}"]) for k, c in enumerate(columns)}
+class _Run:
+    """Steps that change values only, applied one after the other and written in one pass over the data.
+
+    Columns that a guard asks about are carried along, as they were before and after its step, so that the metrics of all
+    guards are observed in the pass that writes the table."""
+
+    def __init__(self, base: DataFrame, media: str, known: DataFrame):
+        self.base, self.media, self.known = base, media, known
+        self.steps: list[tuple[int, CleaningOp]] = []
+
+    def takes(self, spec) -> bool:
+        return spec.risk != "destructive" and (spec.needs_columns or self.media != "table")
+
+    def build(self) -> tuple[DataFrame, list[str], dict, list[tuple], dict[int, str]]:
+        """The table with what is carried, the names of that, metrics, what was done by step, and steps that can't be."""
+        frame, carried, metrics, done, wrong = self.base, [], {}, [], {}
+        for k, o in self.steps:
+            spec = CATALOG[self.media][o.op]
+            touched = [c for c in o.columns if c in frame.columns]
+            guarded = touched if spec.converts or o.op.startswith("impute") else []
+            columns = list(o.columns) or ([c for c in frame.columns if c != RID and c not in carried] if spec.needs_columns and spec.all_columns_ok else [])
+            was = {f"__was_{k}_{n}": F.col(f"`{c}`") for n, c in enumerate(guarded)}
+            try:
+                new = apply_op(frame.withColumns(was) if was else frame, self.media, o.op, columns, o.params, self.known)
+            except PlanError as e:
+                wrong[k] = str(e)
+                continue
+            now = {f"__now_{k}_{n}": F.col(f"`{c}`") for n, c in enumerate(guarded)} if spec.converts else {}
+            done.append((k, o, spec, guarded, frame.drop(*carried), new.drop(*carried, *was)))
+            for c in was:
+                metrics[f"m{c}"] = F.count_if(V.is_missing(F.col(c)))
+            for c in now:
+                metrics[f"m{c}"] = F.count_if(F.col(c).isNull())
+            frame, carried = new.withColumns(now) if now else new, [*carried, *was, *now]
+        return frame, carried, metrics, done, wrong
+
+
+def _refused(k: int, o: CleaningOp, spec, guarded: list[str], before: DataFrame, after: DataFrame, m: dict) -> tuple[str | None, dict[str, int]]:
+    """Why a step is refused, if it is, and values that it loses by column."""
+    rows, more = m["rows"], {}
+    for n, c in enumerate(guarded):
+        missing = m[f"m__was_{k}_{n}"]
+        if not spec.converts:
+            if rows and missing > MOST_IMPUTED * rows:
+                return f"{c}: {missing} of {rows} values are missing, too many to fill in", {}
+            continue
+        lost, all_ = m[f"m__now_{k}_{n}"] - missing, rows - missing
+        if lost > 0:
+            more[c] = lost
+        if lost > 0 and all_ and lost > MOST_NEW_MISSING * all_:
+            return f"{c}: {lost} of {all_} values would be lost, such as {', '.join(map(repr, _unparsed(before, after, c)))}", {}
+    return None, more
+
+
+def _observed(df: DataFrame, metrics: dict, drop: list[str]) -> tuple[DataFrame, dict]:
+    """df written without some columns, and its metrics, observed while it is written."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, F.count("*").alias("rows"), *[c.alias(n) for n, c in metrics.items()]).drop(*drop))
+    return out, seen.get
 
 
-def execute_plan(plan: CleaningPlan, df: DataFrame, known_evidence: set[str] | None = None, cut_every: int = 4) -> PlanRun:
-    """Run a plan on df (a row number is added as rid where there is none). Steps that fail a guard are skipped and told."""
+def execute_plan(plan: CleaningPlan, df: DataFrame, known_evidence: set[str] | None = None) -> PlanRun:
+    """Run a plan on df (a row number is added as rid where there is none). Steps that fail a guard are skipped and told.
+
+    Steps that only change values are run together and written once; what their guards ask is observed in that pass, which
+    is repeated without a step that a guard refuses. Steps that remove rows, or that look at all columns, start from the
+    written table."""
     catalog = CATALOG[plan.media]
-    df = with_rid(df)
-    start = now = df
-    total = df.count()
-    steps: list[StepResult] = []
-    errors: list[str] = []
-    rows = total
+    start = now = with_rid(df)
+    total = rows = None
+    steps: list[tuple[int, StepResult]] = []
+    errors: list[tuple[int, str]] = []
+
+    def told(k: int, o: CleaningOp, before: DataFrame, after: DataFrame, n: int, m: int, more: dict) -> None:
+        steps.append((k, StepResult(o.op, o.columns, n, m, len(before.columns) - 1, len(after.columns) - 1, more, describe(before, after, n, m))))
+
+    def replace(new: DataFrame) -> None:
+        nonlocal now
+        if now is not start:
+            free(now)
+        now = new
+
+    def settle(run: _Run, last: bool = False) -> DataFrame:
+        """The table after a run; written where guards ask, or where its rows aren't counted yet."""
+        nonlocal total, rows
+        while run.steps:
+            frame, carried, metrics, done, wrong = run.build()
+            errors.extend(wrong.items())
+            run.steps = [s for s in run.steps if s[0] not in wrong]
+            if not run.steps:
+                break
+            if not metrics and rows is not None:
+                for k, o, _, _, before, after in done:
+                    told(k, o, before, after, rows, rows, {})
+                return frame
+            out, m = _observed(frame, metrics, carried)
+            total, rows = m["rows"] if total is None else total, m["rows"]
+            verdicts = [(k, *_refused(k, o, spec, guarded, before, after, m)) for k, o, spec, guarded, before, after in done]
+            if bad := [(k, why) for k, why, _ in verdicts if why]:
+                errors.append(bad[0])  # later steps are judged again without it
+                run.steps = [s for s in run.steps if s[0] != bad[0][0]]
+                free(out)
+                continue
+            for (k, o, _, _, before, after), (_, _, more) in zip(done, verdicts):
+                told(k, o, before, after, rows, rows, more)
+            replace(out)
+            return out
+        return run.base
+
+    run = _Run(now, plan.media, start)
     for k, o in enumerate(plan.ops):
-        where = f"step {k + 1} ({o.op})"
         spec = catalog.get(o.op)
-        if spec is None:
-            errors.append(f"{where}: unknown operation")
-            continue
         try:
+            if spec is None:
+                raise PlanError("unknown operation")
             if spec.risk == "destructive" and not o.evidence:
                 raise PlanError("destructive operations need evidence")
             if known_evidence is not None and (unknown := set(o.evidence) - known_evidence):
                 raise PlanError(f"unknown evidence {', '.join(sorted(unknown))}")
-            touched = [c for c in o.columns if c in now.columns]
-            if o.op.startswith("impute"):
-                for c, (_, n) in _missing(now, touched).items():
-                    if c and rows and n > MOST_IMPUTED * rows:
-                        raise PlanError(f"{c}: {n} of {rows} values are missing, too many to fill in")
-            more, new_rows = {}, rows
-            if spec.converts:
-                # rows stay, so that values before and after stand side by side, and one pass counts both
-                kept = {f"__was_{k}": F.col(f"`{c}`") for k, c in enumerate(touched)}
-                both = apply_op(now.withColumns(kept), plan.media, o.op, list(o.columns), o.params)
-                counts = _missing(both, [*kept, *touched])
-                lost = {c: (counts[c][0] - counts[w][1], rows - counts[w][1]) for c, w in zip(touched, kept)}
-                more = {c: n for c, (n, _) in lost.items() if n > 0}
-                new = both.drop(*kept)
-                for c, n in more.items():
-                    if lost[c][1] and n > MOST_NEW_MISSING * lost[c][1]:
-                        examples = _unparsed(now, new, c)
-                        raise PlanError(f"{c}: {n} of {lost[c][1]} values would be lost, such as {', '.join(map(repr, examples))}")
-            else:
-                new = apply_op(now, plan.media, o.op, list(o.columns), o.params)
-                if spec.risk == "destructive":
-                    new_rows = new.count()
+            if run.takes(spec):
+                run.steps.append((k, o))
+                continue
+            before = settle(run)
+            run = _Run(before, plan.media, start)
+            after = apply_op(before, plan.media, o.op, list(o.columns), o.params, start)
+            if spec.risk != "destructive" and rows is not None:
+                told(k, o, before, after, rows, rows, {})
+                run = _Run(after, plan.media, start)
+                continue
+            if rows is None:
+                total = rows = before.count()
+            out, m = _observed(after, {}, []) if spec.risk == "destructive" else (after, {"rows": rows})
+            told(k, o, before, after, rows, m["rows"], {})
+            rows = m["rows"]
+            if out is not after:
+                replace(out)
+            run = _Run(out, plan.media, start)
         except PlanError as e:
-            errors.append(f"{where}: {e}")
-            continue
-        steps.append(StepResult(o.op, o.columns, rows, new_rows, len(now.columns) - 1, len(new.columns) - 1, more, describe(now, new, rows, new_rows)))
-        now, rows = new, new_rows
-        if (k + 1) % cut_every == 0:
-            now = cut_lineage(now)
+            errors.append((k, str(e)))
+    now_ = settle(run)
+    out = [f"step {k + 1} ({plan.ops[k].op}): {why}" for k, why in sorted(errors, key=lambda e: e[0])]
     if total and total - rows > MOST_ROW_LOSS * total:
-        errors.append(f"the plan removes {total - rows} of {total} rows")
-    if "class" in start.columns and "class" in now.columns:
-        for r in class_loss(start, now).collect():
-            errors.append(f"class {r['class']!r} falls from {r['before']} to {r['after']}")
-    return PlanRun(now, steps, errors)
+        out.append(f"the plan removes {total - rows} of {total} rows")
+    if "class" in start.columns and "class" in now_.columns:
+        for r in class_loss(start, now_).collect():
+            out.append(f"class {r['class']!r} falls from {r['before']} to {r['after']}")
+    return PlanRun(now_, [s for _, s in sorted(steps, key=lambda s: s[0])], out)
 
 
 def _unparsed(before: DataFrame, after: DataFrame, column: str, k: int = 5) -> list[str]:
