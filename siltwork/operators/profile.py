@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from siltwork.functions import fixed as X
 from siltwork.functions import values as V
 from siltwork.operators.registry import RID
-from siltwork.session import cut_lineage
+from siltwork.session import cut_lineage, free
 
+#: counts of values that one task puts in order
+FEW = 1 << 19
 NUMERIC = ("numeric", "currency", "percent")
 
 
@@ -129,6 +131,11 @@ def quantile_values(df: DataFrame, columns: list[str], probabilities: list[float
     return {r["column"]: list(r["q"]) for r in quantiles(placed_values(df, columns), probabilities).collect()} if columns else {}
 
 
+def median(df: DataFrame, value: Column) -> float | None:
+    """The exact median of an expression, from counts per value; null if there is none."""
+    return quantile_values(df.select(value.cast("double").alias("v")), ["v"], [0.5]).get("v", [None])[0]
+
+
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per numeric column with counts, moments and quartiles; moments from one pass, the rest from counts per value."""
     first = []
@@ -226,9 +233,14 @@ def ranged(df: DataFrame, order: list[str], parts: int = 0) -> DataFrame:
 
 
 def running_total(df: DataFrame, order: str | list[str], amount: str, parts: int = 0) -> DataFrame:
-    """df and before: the sum of amount over rows with smaller order; by ranges, each of which is one task's work."""
+    """df and before: the sum of amount over rows with smaller order; by ranges, each of which is one task's work, or in one
+    task if there are FEW rows at most."""
     keys = [order] if isinstance(order, str) else order
-    held = ranged(df, keys, parts)
+    counted = cut_lineage(df)
+    if counted.count() <= FEW:
+        return counted.withColumn("before", F.coalesce(F.sum(amount).over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    held = ranged(counted, keys, parts)
+    free(counted)
     sums = held.groupBy("__part").agg(F.sum(amount).alias("__sum"))
     offset = sums.select("__part", F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
     inner = F.coalesce(F.sum(amount).over(W.partitionBy("__part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -392,8 +404,10 @@ def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     v = F.col(f"`{column}`").cast("double")
     both = a.select(v.alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select(v.alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))).filter("v IS NOT NULL")
     per = both.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ra = running_total(per, "v", "a").select("v", "a", "b", F.col("before").alias("ba"))
-    rb = running_total(ra, "v", "b").withColumn("bb", F.col("before"))
+    # both sums in one scan: the counts of a table are below 2^40, those of the other stand above them
+    one = running_total(per.withColumn("both", F.col("a").cast("decimal(38,0)") * (1 << 40) + F.col("b")), "v", "both")
+    low = F.col("before").cast("decimal(38,0)") % F.lit(1 << 40).cast("decimal(38,0)")
+    rb = one.select("v", "a", "b", ((F.col("before") - low) / F.lit(1 << 40).cast("decimal(38,0)")).cast("long").alias("ba"), low.cast("long").alias("bb"))
     total = rb.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     gap = F.abs((F.col("ba") + F.col("a")) / F.col("na") - (F.col("bb") + F.col("b")) / F.col("nb"))
     return rb.join(F.broadcast(total)).agg(V.r4(F.max(gap)).alias("ks"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))

@@ -9,6 +9,7 @@ from siltwork.functions import fixed as X
 from siltwork.functions import texts as T
 from siltwork.functions import values as V
 from siltwork.operators.near import near_audio_groups, near_image_groups, near_text_groups, near_video_groups
+from siltwork.operators.profile import median, quantile_values
 from siltwork.operators.registry import RID
 from siltwork.operators.textprof import categories, label_check, media_category, scene_rows
 
@@ -83,9 +84,10 @@ def media_overview(files: DataFrame, figures: list[str], flags: list[str], kinds
     occurs, of the files that can be read."""
     ok = files.filter(~F.coalesce(F.col("corrupt"), F.lit(False)))
     facts = [F.struct(F.lit("files").alias("fact"), F.lit("all").alias("value"), F.count("*").cast("double").alias("number"))]
+    middle = {c: F.lit(q[0]) for c, q in quantile_values(ok, figures, [0.5]).items()}
     for c in figures:
         v = F.col(c).cast("double")
-        facts += [F.struct(F.lit(c).alias("fact"), F.lit(name).alias("value"), V.r4(x).alias("number")) for name, x in (("min", F.min(v)), ("median", F.percentile(v, 0.5)), ("max", F.max(v)), ("total", F.sum(v)))]
+        facts += [F.struct(F.lit(c).alias("fact"), F.lit(name).alias("value"), V.r4(x).alias("number")) for name, x in (("min", F.min(v)), ("median", middle.get(c, F.lit(None).cast("double"))), ("max", F.max(v)), ("total", F.sum(v)))]
     facts += [F.struct(F.lit(c).alias("fact"), F.lit("true").alias("value"), F.count_if(F.col(c).cast("boolean")).cast("double").alias("number")) for c in flags]
     out = ok.agg(F.array(*facts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
     for c in kinds:
@@ -142,7 +144,8 @@ def scenes_with_speech(videos: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 def timeline_facts(scenes: DataFrame) -> DataFrame:
     """One row on the scenes of scenes_with_speech."""
+    middle = median(scenes, F.col("end") - F.col("start"))
     return scenes.agg(
-        F.count("*").alias("scenes"), V.r4(F.coalesce(F.percentile(F.col("end") - F.col("start"), 0.5), F.lit(0.0))).alias("median_scene_seconds"),
+        F.count("*").alias("scenes"), V.r4(F.lit(middle or 0.0)).alias("median_scene_seconds"),
         F.count_distinct(F.when(F.col("words") > 0, F.col("path"))).alias("videos_with_speech"), F.count_if(F.col("words") > 0).alias("scenes_with_speech"),
     )

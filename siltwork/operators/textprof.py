@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import texts as X
 from siltwork.functions import values as V
+from siltwork.operators.profile import median, quantile_values
 from siltwork.operators.registry import RID
 from siltwork.session import cut_lineage, free
 
@@ -26,9 +27,11 @@ def doc_metrics(df: DataFrame) -> DataFrame:
 
 def corpus_overview(df: DataFrame) -> DataFrame:
     m = df.select(X.word_count(F.col("text")).alias("words"), X.sentence_count(F.col("text")).alias("sentences"), X.flesch(F.col("text")).alias("flesch"), X.language(F.col("text")).alias("language"))
+    m = cut_lineage(m.select("words", "sentences", F.when(F.col("language") == "en", F.col("flesch")).alias("flesch")))
+    medians = {c: F.lit(q.get(c, [None])[0]).cast("double") for q in [quantile_values(m, ["words", "flesch"], [0.5])] for c in ("words", "flesch")}
     facts = m.agg(
-        F.count("*").alias("documents"), F.min("words").alias("words_min"), V.r4(F.percentile("words", 0.5)).alias("words_median"), F.max("words").alias("words_max"),
-        F.sum("words").alias("words_total"), F.sum("sentences").alias("sentences"), V.r4(F.percentile(F.when(F.col("language") == "en", F.col("flesch")), 0.5)).alias("flesch_median"),
+        F.count("*").alias("documents"), F.min("words").alias("words_min"), V.r4(medians["words"]).alias("words_median"), F.max("words").alias("words_max"),
+        F.sum("words").alias("words_total"), F.sum("sentences").alias("sentences"), V.r4(medians["flesch"]).alias("flesch_median"),
     )
     vocabulary = df.select(F.explode(F.transform(X.words(F.col("text")), F.lower)).alias("w")).groupBy("w").count().agg(F.count("*").alias("vocabulary"))
     return facts.join(F.broadcast(vocabulary)).withColumn("type_token_ratio", V.r4(F.col("vocabulary") / F.nullif(F.col("words_total"), F.lit(0))))
@@ -47,13 +50,13 @@ def categories(df: DataFrame, main_language: str | None = None) -> DataFrame:
     if main_language is None:
         row = language_mix(df).filter("language <> 'unknown'").orderBy(F.desc("n"), "language").first()
         main_language = row["language"] if row else "unknown"
-    limit = m.agg(F.greatest(F.lit(1000.0), 10 * F.coalesce(F.percentile("words", 0.5), F.lit(0.0))).alias("__limit"))
+    limit = max(1000.0, 10 * (median(df, X.word_count(F.col("text"))) or 0.0))
     other = (F.col("language") != main_language) & (F.col("language") != "unknown") if main_language != "unknown" else F.lit(False)
     rule = (
         F.when(F.col("words") == 0, "empty").when(F.col("mojibake"), "encoding_damage").when(F.col("html"), "html_markup")
-        .when(F.col("words") < TOO_SHORT, "too_short").when(other, "other_language").when(F.col("words") > F.col("__limit"), "very_long").otherwise("ok")
+        .when(F.col("words") < TOO_SHORT, "too_short").when(other, "other_language").when(F.col("words") > limit, "very_long").otherwise("ok")
     )
-    return m.join(F.broadcast(limit)).withColumn("category", rule).drop("__limit")
+    return m.withColumn("category", rule)
 
 
 def media_category(df: DataFrame, media: str) -> DataFrame:
@@ -63,12 +66,13 @@ def media_category(df: DataFrame, media: str) -> DataFrame:
 
     bad = F.coalesce(F.col("corrupt"), F.lit(False))
     if media == "image":
-        blur = df.filter(~bad).agg((0.25 * F.percentile("blur", 0.5)).alias("__blur"))
+        least = median(df.filter(~bad), F.col("blur"))
+        blurry = F.coalesce(F.col("blur") < 0.25 * least, F.lit(False)) if least is not None else F.lit(False)
         rule = (
             F.when(bad, "corrupt").when(F.least("width", "height") < 32, "tiny").when(low("brightness", 25), "too_dark").when(F.coalesce(F.col("brightness") > 235, F.lit(False)), "too_bright")
-            .when(low("contrast", 4), "near_blank").when(F.coalesce(F.col("blur") < F.col("__blur"), F.lit(False)), "blurry").otherwise("ok")
+            .when(low("contrast", 4), "near_blank").when(blurry, "blurry").otherwise("ok")
         )
-        return df.join(F.broadcast(blur)).withColumn("category", rule).drop("__blur")
+        return df.withColumn("category", rule)
     if media == "audio":
         rule = (
             F.when(bad, "corrupt").when(F.coalesce(F.col("silence_ratio") >= 0.97, F.lit(False)), "silent").when(low("duration", 0.3), "too_short")

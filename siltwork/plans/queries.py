@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltwork.functions import fixed as X
 from siltwork.functions import texts
-from siltwork.operators import links, near, profile, textprof, timeline
+from siltwork.operators import links, near, profile, sketches, textprof, timeline
 from siltwork.operators.registry import apply_op
 from siltwork.plans import plan as plans
 from siltwork.plans.evidence import Evidence, find_value, lookup
@@ -197,6 +197,24 @@ def leaks_lineitem(spark, d):
     return spark.createDataFrame(found, "column string, how string, value double")
 
 
+_SKETCHED = """SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest, true AS distinct_within, true AS median_within FROM lineitem"""
+
+
+@query(" UNION ALL ".join(_SKETCHED.format(c=c) for c in LINE))
+def sketches_lineitem(spark, d):
+    """Sketches of each day, merged and held against exact figures: exact ones, and whether the others are within bounds."""
+    t = read_table(spark, d, "lineitem")
+    merged = sketches.told(sketches.merge(sketches.sketch(t, LINE, ["l_shipdate"])), [0.5])
+    exact = profile.placed_values(t, LINE).join(merged.select("column", F.col("quantiles")[0].alias("q")), "column").groupBy("column").agg(
+        F.count("*").alias("values"), F.sum("n").alias("all"), F.sum(F.when(F.col("value") < F.col("q"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("value") <= F.col("q"), F.col("n")).otherwise(0)).alias("upto")
+    )
+    slack = sketches.RANK_ERROR * F.col("all")
+    return merged.join(exact, "column").select(
+        "column", "rows", "missing", "least", "greatest", (F.abs(F.col("distinct") - F.col("values")) <= sketches.DISTINCT_ERROR * F.col("values")).alias("distinct_within"),
+        ((F.col("below") - slack <= F.col("all") / 2) & (F.col("all") / 2 <= F.col("upto") + slack)).alias("median_within"),
+    )
+
+
 @query()
 def topics_documents(spark, d):
     found = textprof.topics(read_table(spark, d, "documents"), key="doc_id")
