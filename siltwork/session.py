@@ -48,7 +48,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None, per_file: int = FILE_ROW
     """Write df as a Parquet table in the shared folder and read it from there.
 
     Where it is known that there are at most so many rows (or documents that the rows come from), they go to as many files
-    as they fill, so that small tables make few files and tasks.
+    as they fill, but no fewer than there are cores, so that small tables make few files and every core has work.
 
     Lost executors then cost no recomputing, columns that aren't asked for aren't read again, and the planner knows the
     table's size. The shuffle files of the write go at its end. `free` deletes the table; one that a result still reads
@@ -57,7 +57,7 @@ def cut_lineage(df: DataFrame, rows: int | None = None, per_file: int = FILE_ROW
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/siltwork-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // per_file)))
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // per_file)))
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
