@@ -4,14 +4,16 @@ Four patterns give the base spans (email, ip, card, phone). The field labels the
 other tokens are clamped to "none" and only serve as context. Its potentials are: a linear model of each token's shape
 and neighbours; a potential between tokens that follow each other; and a potential between distant tokens that repeat
 each other or are similar: the same letters and digits in another form, or the same seven digits at the end or the start
-(skip edges). Each repetition is linked to the one before it only, so that the edges grow in proportion to the tokens. Loopy belief propagation over the document's graph carries a label from where it is
-certain to where the same number or address stands in another form, and makes the labels of one string consistent.
+(skip edges). Each repetition is linked to the one before it only, so that the edges grow in proportion to the tokens.
+Loopy belief propagation over the document's graph carries a label from where it is certain to where the same number or
+address stands in another form, and makes the labels of one string consistent.
 
 The weights are learned piecewise in numpy, from the labels that the patterns give on a bounded sample (`sample_rows`
 documents that hold a digit or an @): the unary model by gradient descent, both edge potentials as log ratios of label
 pairs counted on the edges. Tokens whose marginal for one kind is at least `least` give further spans; base ones stay.
 
-Defined cases: a null text is empty and has no spans; very long texts are labelled whole; of kinds with equal marginals
+Defined cases: a null text is empty and has no spans; very long texts, tokens and runs of digits are labelled whole, in time
+proportional to them; of kinds with equal marginals
 the first one listed counts; repeated rows give equal rows; with no sample nothing is added; an
 empty table gives none; further columns are not read.
 """
@@ -35,7 +37,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+TOKEN = re.compile(r"\S+")
+MARKED = re.compile(r"[0-9@]")
 SAMPLE_ROWS = 3000
 BITS = 14
 NONE = len(KINDS)
@@ -68,7 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(number of the kind, start, end), sorted."""
     out = [(0, a, b) for a, b in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m[0].split("."))]
+        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p) < 4 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in CARD.finditer(text):
             if 16 <= m.end() - m.start():
                 d = m[0].replace(" ", "").replace("-", "")
@@ -87,6 +90,8 @@ def _tokens(text: str) -> list[tuple[int, int]]:
     out = []
     for m in TOKEN.finditer(text):
         a, b = m.span()
+        if not MARKED.search(text, a, b):
+            continue
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:

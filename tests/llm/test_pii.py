@@ -1,3 +1,4 @@
+import random
 import re
 
 from siltwork.llm import pii as P
@@ -48,3 +49,36 @@ def test_repeats_share_what_is_known():
     p = field.marginals(text, spans)[-1, 3]
     field.skip[:] = 0
     assert p > field.marginals(text, spans)[-1, 3] + 0.05
+
+
+def test_long_runs_are_read_in_time(spark):
+    import time
+
+    assert P.base_spans("0" * 5000 + ".1.1.1 and " + "9" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+    docs = spark.createDataFrame([(1, "0" * 5000 + ".1.1.1"), (2, "9" * 5000 + ".1.1.1"), (3, "1." * 5000)], "doc_id long, text string")
+    assert [r.n_ip for r in P.digest(P.find(docs, P.train(docs))).orderBy("doc_id").collect()] == [1, 0, 1250]
+    field = P.SkipChainField().fit(["mail a@b.org or +49 170 1234567 now"] * 20)
+    for text in ("a" * 1_000_000, "7" * 1_000_000, "word " * 200_000 + "x@y.org", "a1" * 500_000):
+        began = time.time()
+        P.all_spans(text, field)
+        assert time.time() - began < 20
+
+
+def test_repeats_in_other_forms_are_added():
+    """Numbers that the patterns find once and that stand again without the plus, or with other signs."""
+    rng = random.Random(12)
+    number = lambda: [f"{rng.randrange(100, 999)}" for _ in range(3)]
+    written = lambda a, b, c: f"+49 {a} {b} {c}0"
+    texts = []
+    for k in range(400):
+        n = number()
+        texts.append(f"Item {k} of {rng.randrange(9000)}, call {written(*n)} today. Later on page {k} call {written(*n)} again or 20{rng.randrange(10, 24)}.")
+    field = P.SkipChainField().fit(texts)
+    hit = total = 0
+    for k in range(60):
+        n = number()
+        text = f"Item {k}, call {written(*n)} today. Later call 49{''.join(n)}0 again, year 2019."
+        base, every = P.all_spans(text, field)
+        total += 1
+        hit += any(kind == 3 and "49" + "".join(n) + "0" in text[a:b] for kind, a, b in every if (kind, a, b) not in base)
+    assert hit >= 0.8 * total
