@@ -18,7 +18,6 @@ gives no rows; columns beyond doc_id, text and (for training) lang are not read.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,7 +32,6 @@ BITS = 15
 SIZES = (3, 4, 5)
 UND = "und"
 SAMPLE_ROWS = 3000
-LETTER = re.compile(r"[^\W\d_]")
 _ONLY = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _U = np.uint64
 _STEP = tuple(_U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1) for k in range(max(SIZES)))
@@ -128,7 +126,7 @@ class LanguageModel:
         self.least = float(p.max(axis=1)[order][ok[-1]]) if len(ok) else 1.0
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return UND, 0.0, True
         total, n = np.zeros(len(self.languages)), 0
         for piece in pieces(text):

@@ -45,6 +45,13 @@ def test_language_prediction_is_that_of_the_mean():
         assert lang == model.languages[int(p.argmax())] and abs(score - p.max()) < 1e-4 and rejected == (score < model.least)
 
 
+def test_texts_without_letters_are_undetermined():
+    model = langid.LanguageModel(["de", "en"]).fit([(x, *langid.bag(t)) for x, t in [("de", "der und nicht"), ("en", "the of and")] * 20])
+    for text in ("½ ² Ⅷ ① ٣", "12 _ -", "", None):
+        assert model.predict(text)[0] == langid.UND
+    assert model.predict("½ the of")[0] == "en"
+
+
 def test_language_learning_does_not_depend_on_layout(spark):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice("the of and house der und nicht haus".split()) for _ in range(9)), "en" if k % 3 else "de", "s", 1) for k in range(200)] + [(900, "rare words here", "xx", "s", 1)]
