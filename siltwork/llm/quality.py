@@ -12,7 +12,8 @@ there, and the documents whose probability of bad quality is above a threshold a
 at most `false_rejects` of the good documents held back go, and lies between 0.5 and 0.9.
 
 Fitted on a bounded sample of labelled documents, `labelled_rows` with the least hashes; pseudo-labels are searched for
-among all documents, and all are scored.
+among all documents, and all are scored. The views of the sample and of the pseudo-labelled documents are written, and an
+executor's task fits both models from them; to the driver come weights, ids and labels, never views or texts.
 
 Defined cases: a null text counts as empty; null source, language or n_chars are values of their own; documents labelled
 more than once count by the mean of their labels; null labels and labels of unknown documents are left out; without
@@ -23,9 +24,11 @@ are carried along.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,7 +127,7 @@ class CoTrained:
             row[k, np.searchsorted(cut, figures[k], side="right")] = 1
         return np.concatenate([row.ravel(), names])
 
-    def start(self, labelled: list[tuple], bad: list[float], seed: int = 9) -> CoTrained:
+    def start(self, labelled: list[tuple], bad: list[float], seed: int = 9, fit: bool = True) -> CoTrained:
         """First fit, on three quarters of the labelled documents; the others are held back."""
         y = np.array(bad)
         if len(set(bad)) < 2:
@@ -140,7 +143,8 @@ class CoTrained:
         self.known = [(v[train], y[train], np.ones(len(train))) for v in views]
         self.bad_share = float(y[train].mean())
         self.ready = True
-        self._fit()
+        if fit:
+            self._fit()
         return self
 
     def _views(self, rows: list[tuple]) -> list[np.ndarray]:
@@ -149,7 +153,7 @@ class CoTrained:
     def _fit(self) -> None:
         self.models = [Logistic(p).fit(*k) for p, k in zip((0.3, 0.3), self.known)]
 
-    def exchange(self, rows: list[tuple], told: list[dict[int, float]]) -> None:
+    def exchange(self, rows: list[tuple], told: list[dict[int, float]], fit: bool = True) -> None:
         """Learn from pseudo-labels: told[v] maps places in rows to the label that view v gives for the other view."""
         views = self._views(rows) if rows else []
         for v in (0, 1):
@@ -157,7 +161,8 @@ class CoTrained:
             if ks:
                 x, y, w = self.known[v]
                 self.known[v] = (np.concatenate([x, views[v][ks]]), np.concatenate([y, [told[1 - v][k] for k in ks]]), np.concatenate([w, np.full(len(ks), 0.5)]))
-        self._fit()
+        if fit:
+            self._fit()
 
     def finish(self, false_rejects: float = 0.005) -> CoTrained:
         """Calibrate both views and their sum on what was held back."""
@@ -169,7 +174,6 @@ class CoTrained:
         p = 1 / (1 + np.exp(-np.clip(self.joint.logit(both), -30, 30)))
         self.threshold = float(np.clip(np.quantile(p[y == 0], 1 - false_rejects), 0.5, 0.9))
         self.accuracy = {"text": float(((z[:, 0] > 0) == y).mean()), "metadata": float(((z[:, 1] > 0) == y).mean()), "joint": float(((p > self.threshold) == y).mean())}
-        del self.held, self.known
         return self
 
     def logits(self, row: tuple) -> tuple[float, float]:
@@ -201,8 +205,8 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source", n.alias("n_chars"))
 
 
-def _viewed(docs: DataFrame) -> dict[int, tuple]:
-    """The rows of a bounded table by id, in the order of the ids; of several with one id, one."""
+def _viewed(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The views of the documents that told (id, turn, bad, by_text, by_meta) names, written with what it says of them."""
     kinds = to_arrow_schema(_RAW)
 
     def run(batches):
@@ -210,11 +214,43 @@ def _viewed(docs: DataFrame) -> dict[int, tuple]:
             rows = [(x.tobytes(), [float(f) for f in y], z.tobytes()) for x, y, z in _rows(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kinds.field(1 + k).type) for k in range(3))], schema=kinds)
 
-    found = sorted(((r["id"], r["view"], r["figures"], r["names"]) for r in docs.mapInArrow(run, _RAW).toLocalIterator()), key=lambda r: (r[0], bytes(r[1]), bytes(r[3])))
-    out: dict[int, tuple] = {}
-    for i, v, f, n in found:
-        out.setdefault(i, (np.frombuffer(v, np.float32), f, np.frombuffer(n, np.float32)))
-    return out
+    few = docs.join(F.broadcast(told.select("id")), "id")
+    return cut_lineage(few.mapInArrow(run, _RAW).join(F.broadcast(told), "id"))
+
+
+_TOLD = "id long, turn int, bad double, by_text double, by_meta double"
+
+
+def _learned(rows: pd.DataFrame, seed: int, finish: bool) -> CoTrained:
+    """The model from the rows of all turns so far: labelled documents (turn 0) and pseudo-labelled ones; of several rows
+    with one id in a turn, one."""
+    rows = rows.sort_values(["turn", "id", "view", "names"]).drop_duplicates(["turn", "id"])
+    read = lambda own: [(np.frombuffer(v, np.float32), list(f), np.frombuffer(n, np.float32)) for v, f, n in zip(own["view"], own["figures"], own["names"])]
+    turns = sorted(set(rows["turn"]) - {0})
+    first = rows[rows["turn"] == 0]
+    model = CoTrained().start(read(first), first["bad"].tolist(), seed, fit=not turns)
+    for k in turns if model.ready else []:
+        own = rows[rows["turn"] == k]
+        told = [{n: y for n, y in enumerate(own[c]) if not np.isnan(y)} for c in ("by_text", "by_meta")]
+        model.exchange(read(own), told, fit=k == turns[-1])
+    if model.ready and finish:
+        model.finish()
+    for held in ("held", "known"):
+        model.__dict__.pop(held, None)
+    return model
+
+
+def _fitted(tables: list[DataFrame], seed: int, finish: bool = False) -> CoTrained:
+    """The model, fitted in a task: the rows are bounded by the sample and the pseudo-labels exchanged."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"model": [pickle.dumps(_learned(rows, seed, finish))]})
+
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = rows.union(more)
+    got = rows.withColumn("together", F.lit(0)).groupBy("together").applyInPandas(run, "model binary").first()
+    return pickle.loads(got["model"]) if got else CoTrained()
 
 
 def train(
@@ -223,18 +259,13 @@ def train(
     """docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality: 0 is bad)."""
     own = _read(docs).filter("id IS NOT NULL")
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") < 0.5).cast("double").alias("bad"))
-    taken = known.orderBy(share_of(seed, "id"), "id").limit(labelled_rows).toPandas()
-    bad = dict(zip(taken["id"].tolist(), taken["bad"].tolist()))
+    none = F.lit(None).cast("double")
+    sample = known.orderBy(share_of(seed, "id"), "id").limit(labelled_rows).select("id", F.lit(0).alias("turn"), "bad", none.alias("by_text"), none.alias("by_meta"))
     spark = docs.sparkSession
-
-    def rows_of(ids: list[int]) -> dict[int, tuple]:
-        return _viewed(own.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "id long")), "id")) if ids else {}
-
-    rows = rows_of(sorted(bad))
-    model = CoTrained().start(list(rows.values()), [bad[i] for i in rows], seed)
-    del rows
+    tables = [_viewed(own, cut_lineage(sample))]
+    model = _fitted(tables, seed)
     schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(f"z{v}", T.DoubleType()) for v in (0, 1))])
-    for _ in range(rounds if model.ready else 0):
+    for turn in range(1, rounds + 1 if model.ready else 1):
         held = spark.sparkContext.broadcast(model)
 
         def run(batches, held=held):
@@ -244,18 +275,22 @@ def train(
 
         scored = cut_lineage(own.mapInArrow(run, schema).join(known.select("id"), "id", "left_anti").dropDuplicates(["id"]), own.count())
         few = max(1, round(exchanged * model.bad_share))
-        told: list[dict[int, float]] = [{}, {}]
+        told: dict[int, list] = {}
         for v in (0, 1):
             z = F.col(f"z{v}")
             for label, order, ok, most in ((1.0, z.desc(), z > sure, few), (0.0, z.asc(), z < -sure, max(1, exchanged - few))):
                 for r in scored.filter(ok).orderBy(order, share_of(seed, "id"), "id").limit(most).select("id").collect():
-                    told[v][r["id"]] = label
+                    told.setdefault(r["id"], [None, None])[v] = label
         free(scored)
         held.unpersist()
-        new = rows_of(sorted({*told[0], *told[1]}))
-        places = {i: k for k, i in enumerate(new)}
-        model.exchange(list(new.values()), [{places[i]: y for i, y in t.items() if i in places} for t in told])
-    return model.finish() if model.ready else model
+        if told:
+            new = spark.createDataFrame([(i, turn, None, *y) for i, y in sorted(told.items())], _TOLD)
+            tables.append(_viewed(own, new))
+        model = _fitted(tables, seed, finish=turn == rounds)
+    if model.ready and rounds == 0:
+        model = _fitted(tables, seed, finish=True)
+    free(*tables)
+    return model
 
 
 SCORES = [T.StructField(x, T.DoubleType()) for x in ("text_score", "meta_score", "score")] + [T.StructField("rejected", T.BooleanType())]
