@@ -41,7 +41,7 @@ def _shares(total: DataFrame, parts: dict[str, Column]) -> DataFrame:
     return total.select(F.explode(F.array(*[F.struct(F.lit(p).alias("part"), c.cast("double").alias("amount")) for p, c in parts.items()])).alias("s")).select("s.*")
 
 
-def _extra(groups: DataFrame) -> DataFrame:
+def extra_copies(groups: DataFrame) -> DataFrame:
     """One row: copies beyond the first of each group."""
     return groups.agg((F.count("*") - F.count_distinct("label")).alias("extra"))
 
@@ -53,7 +53,7 @@ def text_shares(docs: DataFrame, label: str = "class") -> DataFrame:
     c = told.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(low, F.col("c"))), F.lit(0)).alias("low"), F.coalesce(F.sum(F.when(F.col("category") == "other_language", F.col("c"))), F.lit(0)).alias("other"))
     private = docs.agg(F.count_if(F.size(T.pii(F.col("text"))) > 0).alias("private"))
     wrong = label_check(docs.filter(F.coalesce(F.col(label), F.lit("")) != ""), label).agg(F.count_if("suspected").alias("wrong"))
-    row = c.join(private).join(_extra(near_text_groups(docs))).join(wrong).join(imbalance(docs, label))
+    row = c.join(private).join(extra_copies(near_text_groups(docs))).join(wrong).join(imbalance(docs, label))
     n = F.greatest("all", F.lit(1))
     return _shares(row, {
         "low_quality": 100 * F.col("low") / n, "duplicates": 100 * F.col("extra") / n, "privacy": 100 * F.col("private") / n,
@@ -66,7 +66,7 @@ def media_shares(files: DataFrame, media: str, label: str = "class") -> DataFram
     told = media_category(files, media)
     c = told.agg(F.count("*").alias("all"), F.count_if(F.col("category") == "corrupt").alias("corrupt"), F.count_if(~F.col("category").isin("corrupt", "ok")).alias("low"))
     groups = {"image": near_image_groups, "audio": near_audio_groups, "video": near_video_groups}[media](files)
-    row = c.join(_extra(groups)).join(imbalance(files, label))
+    row = c.join(extra_copies(groups)).join(imbalance(files, label))
     n = F.greatest("all", F.lit(1))
     parts = {"corrupt": 100 * F.col("corrupt") / n, "duplicates": 100 * F.col("extra") / n, "unusable" if media == "video" else "low_quality": 100 * F.col("low") / n, "class_imbalance": F.coalesce("ratio", F.lit(1.0))}
     if media == "image":

@@ -9,7 +9,10 @@ from siltwork.functions import fixed
 from siltwork.functions import texts as X
 from siltwork.operators.near import near_text_groups
 from siltwork.operators.registry import RID, Param, PlanError, keep_first, op
+from siltwork.session import cut_lineage
 
+#: bytes of repeated lines that go to every task; more are joined
+LINES_BYTES = 1 << 20
 THRESHOLD = Param(float, 0.8, 0.5, 1)
 
 
@@ -51,12 +54,19 @@ def repeated_lines(df: DataFrame, min_share: float = 0.3, min_docs: int = 3) ->
 
 @op("text", "strip_boilerplate", "lossy", "lines that many documents share go", params={"min_share": Param(float, 0.3, 0.1, 1)})
 def strip_boilerplate(df, columns, min_share):
-    # at most 1 / min_share of a document's length in lines can be as frequent as that, so the list is short
-    lines = [r["line"] for r in repeated_lines(df, min_share).select("line").toLocalIterator()]
-    if not lines:
+    lines = cut_lineage(repeated_lines(df, min_share).select("line"))
+    size = lines.agg(F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("bytes")).first()
+    if not size["n"]:
         return df
-    kept = F.filter(F.split("text", r"\R"), lambda x: ~F.regexp_replace(x, r"(?U)^\s+|\s+$", "").isin(*lines))
-    return df.withColumn("text", F.regexp_replace(F.array_join(kept, "\n"), r"(?U)^\s+|\s+$", ""))
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    if size["bytes"] <= LINES_BYTES:  # one row with all of them goes to every task
+        every = lines.agg(F.collect_set("line").alias("__lines"))
+        kept = F.filter(F.split("text", r"\R"), lambda x: ~F.array_contains("__lines", bare(x)))
+        return df.join(F.broadcast(every)).withColumn("text", bare(F.array_join(kept, "\n"))).drop("__lines")
+    cut = df.select(RID, F.posexplode(F.split("text", r"\R")).alias("k", "x")).join(lines.withColumnRenamed("line", "b"), bare(F.col("x")) == F.col("b"), "left_anti")
+    joined = cut.groupBy(RID).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]), "\n").alias("__text"))
+    text = F.when(F.col("text").isNotNull(), bare(F.coalesce("__text", F.lit(""))))
+    return df.join(joined, RID, "left").withColumn("text", text).drop("__text")
 
 
 @op("text", "mask_pii", "lossy", "private data is masked")

@@ -142,15 +142,16 @@ def numeric_profile_lineitem(spark, d):
 
 def _columns_sql(columns: list[str]) -> str:
     one = """SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER ({c} IS NULL OR lower(trim({c})) IN ({t})) AS missing,
-count(*) FILTER (lower(trim({c})) IN ({t}) AND trim({c}) <> '') AS hidden_missing, count(DISTINCT CASE WHEN lower(trim({c})) NOT IN ({t}) THEN trim({c}) END) AS "unique" FROM m"""
+count(*) FILTER (lower(trim({c})) IN ({t}) AND trim({c}) <> '') AS hidden_missing, count(DISTINCT CASE WHEN lower(trim({c})) NOT IN ({t}) THEN trim({c}) END) AS "unique",
+round(avg(CASE WHEN lower(trim({c})) NOT IN ({t}) THEN length(trim({c})) END), 4) AS avg_length, max(CASE WHEN lower(trim({c})) NOT IN ({t}) THEN length(trim({c})) END) AS max_length FROM m"""
     parts = " UNION ALL ".join(one.format(c=c, t=_TOKENS) for c in columns)
-    return f"""WITH m AS ({MESSY_SQL}) SELECT "column", rows, missing, round(100.0 * missing / rows, 4) AS missing_pct, hidden_missing, "unique", round(100.0 * "unique" / rows, 4) AS unique_pct FROM ({parts})"""
+    return f"""WITH m AS ({MESSY_SQL}) SELECT "column", rows, missing, round(100.0 * missing / rows, 4) AS missing_pct, hidden_missing, "unique", round(100.0 * "unique" / rows, 4) AS unique_pct, avg_length, max_length FROM ({parts})"""
 
 
 @query(_columns_sql(["order_id", "status", "price", "urgent", "priority", "notes"]))
 def column_profile_orders(spark, d):
     m = messy(spark, d).select("order_id", "status", "price", "urgent", "priority", "notes")
-    return profile.column_profile(m).drop("avg_length", "max_length")
+    return profile.column_profile(m)
 
 
 @query("""SELECT * FROM (VALUES ('order_id', 'id'), ('status', 'category'), ('price', 'currency'), ('discount', 'percent'), ('placed', 'datetime'), ('urgent', 'boolean'), ('priority', 'category'), ('currency', 'constant'), ('notes', 'empty')) AS t("column", kind)""")
@@ -262,9 +263,10 @@ def top_values_part(spark, d):
 
 @query("""WITH s AS (SELECT count(l_extendedprice) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem),
 b AS (SELECT lo, hi, cast(least(40, greatest(6, ceil((hi - lo) / (2 * (q3 - q1) / pow(n, 1 / 3.0))))) AS INTEGER) AS k FROM s)
-SELECT cast(least(floor((l_extendedprice - lo) / ((hi - lo) / k)), k - 1) AS INTEGER) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1""")
+SELECT bin, n, round(lo + bin * ((hi - lo) / k), 4) AS lo, round(lo + (bin + 1) * ((hi - lo) / k), 4) AS hi FROM (SELECT cast(least(floor((l_extendedprice - lo) / ((hi - lo) / k)), k - 1) AS INTEGER) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1), b""")
 def histogram_lineitem(spark, d):
-    return profile.histogram(read_table(spark, d, "lineitem"), "l_extendedprice").select("bin", "n")
+    bins = profile.histogram(read_table(spark, d, "lineitem"), "l_extendedprice")
+    return bins.select("bin", "n", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 # ---------------------------------------------------------------- documents
@@ -406,6 +408,24 @@ def split_lines_conversations(spark, d):
     return split_documents(read_table(spark, d, "conversations").select("conv_id", "turn", "text"), "lines").drop("part")
 
 
+@query(r"""SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS part, regexp_replace(p, '^[ \t\n\f\r\x0b]+|[ \t\n\f\r\x0b]+$', '', 'g') AS text
+FROM (SELECT doc_id, unnest(p) AS p, unnest(range(len(p))) AS k FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t\n\f\r\x0b]*\n') AS p FROM (SELECT doc_id, replace(text, '. ', E'.\n \n') AS text FROM documents) WHERE text IS NOT NULL)) WHERE trim(p) <> ''""")
+def split_paragraphs_documents(spark, d):
+    apart = F.replace(F.col("text"), F.lit(". "), F.lit(".\n \n"))  # a paragraph to each sentence
+    return split_documents(read_table(spark, d, "documents").select("doc_id", apart.alias("text")), "paragraphs")
+
+
+@query(r"""SELECT conv_id, cast(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS part, upper(left(role, 1)) || substr(role, 2) AS speaker,
+upper(left(role, 1)) || substr(role, 2) || ': turn ' || turn || ' of ' || conv_id || CASE WHEN length(text) % 3 = 0 THEN E'\n... and ' || length(text) || ' more' ELSE '' END AS text FROM conversations WHERE text IS NOT NULL""")
+def split_turns_conversations(spark, d):
+    c = read_table(spark, d, "conversations").filter("text IS NOT NULL")
+    role = F.concat(F.upper(F.substring("role", 1, 1)), F.expr("substring(role, 2)"))
+    more = F.when(F.length("text") % 3 == 0, F.concat(F.lit("\n   ... and "), F.length("text").cast("string"), F.lit(" more "))).otherwise("")
+    line = F.concat(role, F.lit(": turn "), F.col("turn").cast("string"), F.lit(" of "), F.col("conv_id").cast("string"), more)
+    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return split_documents(whole, "transcript")
+
+
 # ---------------------------------------------------------------- logs: events
 
 GAPS = {"min_seconds": 60.0, "factor": 8.0, "most": 3}
