@@ -115,7 +115,7 @@ def distinctive_words(df: DataFrame, label: str = "class", k: int = 6) -> DataFr
     totals = cells.groupBy("term").agg(F.sum("c").alias("df"))
     members = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("members"))
     n = df.agg(F.count("*").alias("n"))
-    told = cells.join(totals, "term").join(F.broadcast(members), "label").join(F.broadcast(n)).filter((F.col("c") >= 2) & (F.col("c") >= 0.1 * F.col("members")))
+    told = cells.join(totals, "term").join(members, "label").join(F.broadcast(n)).filter((F.col("c") >= 2) & (F.col("c") >= 0.1 * F.col("members")))
     told = told.withColumn("score", (F.col("c") / F.col("members")) / ((F.col("df") + 1) / F.col("n")))
     rank = F.row_number().over(W.partitionBy("label").orderBy(F.desc("score"), "term"))
     return told.withColumn("rank", rank).filter(F.col("rank") <= k).select("label", "term", V.r4(F.col("score")).alias("score"), "rank")
@@ -139,19 +139,44 @@ def label_check(df: DataFrame, label: str = "class", key: str = RID, margin: flo
 
     Similarity to a class: the document's weights times the class sums, less its own part, over the length of that sum;
     lengths without a document follow from the length with it, so that no vector is built again for each document.
+
+    A document doesn't meet every class. Its similarity to its own class, and to one that holds its foremost term most, is
+    a bound to be reached. Terms go in the order of the most that they can add for any class; once those left can't reach
+    the bound together, a class with none of the terms before them can't be the nearest. Classes with one are met on these
+    terms first, and in full only where that and what is left reach the bound.
     """
     from pyspark.sql import Window as W
 
-    w = tfidf(df, key).join(df.select(key, F.col(label).alias("label")), key)
-    sums = w.groupBy("label", "term").agg(F.sum("weight").alias("s"))
+    w = cut_lineage(tfidf(df, key).join(df.select(key, F.col(label).alias("own")), key).select(key, "own", "term", "weight"))
+    sums = w.groupBy("own", "term").agg(F.sum("weight").alias("s")).withColumnRenamed("own", "label")
     length = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("len2"))
-    dots = w.select(key, "term", "weight", F.col("label").alias("own")).join(sums, "term").groupBy(key, "own", "label").agg(F.sum(F.col("weight") * F.col("s")).alias("dot"))
-    scored = dots.join(F.broadcast(length), "label")
-    mine = F.col("own") == F.col("label")
-    left2 = F.greatest(F.when(mine, F.col("len2") - 2 * F.col("dot") + 1).otherwise(F.col("len2")), F.lit(0.0))
-    cosine = F.when(left2 > 1e-12, F.when(mine, F.col("dot") - 1).otherwise(F.col("dot")) / F.sqrt(left2)).otherwise(F.lit(0.0))
-    scored = scored.select(key, "own", "label", cosine.alias("cosine"))
+    # of a class without one of its documents, no more than the sum is left, and the length less one
+    unit = cut_lineage(sums.join(length, "label").withColumn("most", F.col("s") / F.sqrt(F.greatest("len2", F.lit(1e-12)))))
+    most = unit.groupBy("term").agg(F.max("most").alias("most"), F.max_by("label", F.struct("most", "label")).alias("holder"))
+    held = cut_lineage(w.join(most, "term").withColumn("gain", F.col("weight") * F.col("most")))
+
+    def cosines(pairs: DataFrame) -> DataFrame:
+        """pairs (key, label) -> key, own, label, cosine, of classes that share a term with the document."""
+        met = pairs.join(w, key).join(sums, ["label", "term"]).groupBy(key, "own", "label").agg(F.sum(F.col("weight") * F.col("s")).alias("dot")).join(length, "label")
+        mine = F.col("own").eqNullSafe(F.col("label"))
+        left2 = F.greatest(F.when(mine, F.col("len2") - 2 * F.col("dot") + 1).otherwise(F.col("len2")), F.lit(0.0))
+        cosine = F.when(left2 > 1e-12, F.when(mine, F.col("dot") - 1).otherwise(F.col("dot")) / F.sqrt(left2)).otherwise(F.lit(0.0))
+        return met.select(key, "own", "label", cosine.alias("cosine"))
+
+    first = held.groupBy(key).agg(F.max_by("holder", F.struct("gain", "term")).alias("label"))
+    own = w.select(key, F.col("own").alias("label")).distinct()
+    begun = cut_lineage(cosines(first.union(own).filter("label IS NOT NULL").distinct()))
+    reach = begun.groupBy(key).agg(F.max("cosine").alias("bound"))
+    order = W.partitionBy(key).orderBy(F.asc("gain"), "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = held.join(reach, key, "left").withColumn("upto", F.sum("gain").over(order))  # what this term and those after it can add
+    ahead = cut_lineage(placed.filter(F.col("upto") >= F.coalesce("bound", F.lit(0.0)) - 1e-9).select(key, "own", "term", "weight", "bound", (F.col("upto") - F.col("gain")).alias("left")))
+    # classes met on the foremost terms; all others can add `left` at most
+    partly = ahead.join(unit.select("label", "term", "most"), "term").groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("most")).alias("dot"), F.first("bound").alias("bound"))
+    rest = ahead.groupBy(key).agg(F.min("left").alias("left"))
+    open_ = partly.join(rest, key).filter(F.col("dot") + F.col("left") >= F.coalesce("bound", F.lit(0.0)) - 1e-9).select(key, "label")
+    scored = begun.union(cosines(open_.join(begun, [key, "label"], "left_anti")))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("cosine"), "label"))
+    mine = F.col("own").eqNullSafe(F.col("label"))
     best = scored.withColumn("rank", rank).groupBy(key, "own").agg(
         F.min_by("label", "rank").alias("nearest"), F.max("cosine").alias("best"), F.max(F.when(mine, F.col("cosine"))).alias("own_cosine")
     )
