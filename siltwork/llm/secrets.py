@@ -40,6 +40,7 @@ NAMES = (
     "time date day month year hour minute second start end begin range interval timeout retry limit offset buffer cache queue stack tree node edge graph "
     "config option setting parameter argument default version release build debug info warning error message log trace report summary result status state "
     "server client request response header body session connection socket host port address network message event handler listener callback thread process "
+    "http https www com org net edu html htm php css img src ref example home about contact login search site web link url uri api rest json xml "
     "international national public private local global internal external temporary permanent maximum minimum quick brown fox house garden water music"
 ).split()
 #: long words of the four languages
@@ -121,6 +122,36 @@ def rules_and_repeats() -> list[str]:
     return [s for s in out if len(s) >= 16]
 
 
+def numbers_and_rows(n: int, seed: int = 11) -> list[str]:
+    """Numbers, dates and times, runs of the alphabet and of a keyboard's rows: no keys, however rare their letters are."""
+    rng = np.random.default_rng(seed)
+    digits = "0123456789"
+    rows = ["abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm", "qwertzuiopasdfghjklyxcvbnm", "azertyuiopqsdfghjklmwxcvbn"]
+    out = []
+    for k in range(n):
+        size = int(rng.integers(16, 40))
+        kind = k % 8
+        if kind == 0:
+            s = "".join(rng.choice(list(digits), size))
+        elif kind == 1:
+            s = (digits[int(rng.integers(10)) :] + digits * 5)[:size]
+        elif kind == 2:
+            s = "0" * int(rng.integers(4, 16)) + "".join(rng.choice(list(digits), size))
+        elif kind in (3, 4):
+            sign = "-_/"[int(rng.integers(3))]
+            fields = [str(rng.integers(1970, 2040)), *(f"{rng.integers(1, 60):02d}" for _ in range(int(rng.integers(4, 7))))]
+            s = sign.join(fields) if kind == 3 else "".join(fields)
+        elif kind == 5:
+            s = "-".join("".join(rng.choice(list(digits), int(rng.integers(2, 5)))) for _ in range(int(rng.integers(5, 9))))
+        else:
+            row = rows[int(rng.integers(4))]
+            s = (row[int(rng.integers(20)) :] + row * 2)[:size]
+            s = s.upper() if kind == 6 else s
+        if len(s) >= 16:
+            out.append(s)
+    return out
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> MarkovPair:
     """Models from at most sample_rows documents; whole texts of the sample are read, one after the other."""
     texts = bounded_sample(docs.select("doc_id", "text"), sample_rows, seed).filter("text is not null").select("text")
@@ -148,7 +179,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> Ma
             first = parts[0].lower() if style == 5 else parts[0].upper() if style == 6 else parts[0].capitalize()
             s = first + "".join(p.lower() if style == 7 else p.capitalize() for p in parts[1:])
         made.append(s)
-    ordinary = [*words, *made, *rules_and_repeats()]
+    ordinary = [*words, *made, *rules_and_repeats(), *numbers_and_rows(8000, seed)]
     random = [*drawn_strings(6000, seed), *secrets]
     model = MarkovPair(random[::2], ordinary[::2])
     model.calibrate([s for s in random[1::2]], [s for s in ordinary[1::2] if len(s) >= 16])

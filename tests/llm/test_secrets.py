@@ -67,3 +67,22 @@ def test_keys_without_digits(spark):
     assert got == {k: (1, f"markov:7:{7 + len(x)}") if k < len(keys) else (0, "") for k, x in enumerate(keys + plain)}
     masked = {r.doc_id: r.text for r in S.redact(docs, model).collect()}
     assert masked == {k: f"before {S.MASK if k < len(keys) else x} after" for k, x in enumerate(keys + plain)}
+
+
+def test_numbers_dates_and_names_are_left_alone(spark):
+    import random
+
+    from siltwork.llm import secrets
+
+    words = "harbour bread window letter garden yellow thing over under house station market".split()
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(30))) for k in range(200)], "doc_id long, text string")
+    model = secrets.train(docs)
+    plain = "0000000000000000 1234567890123456 4785380592391139 2024-11-28-12-30-00 20241128123000123 ABCDEFGHIJKLMNOPQRSTUVWXYZ QWERTYUIOPASDFGH https-example-com-path-index gardenWindowMarket"
+    assert secrets.redact_text(plain, model) == plain
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for alphabet in ("0123456789abcdef", letters[26:], letters):
+        hit = sum(model.score("".join(rng.choice(alphabet) for _ in range(20))) > model.threshold for _ in range(200))
+        assert hit >= 180
+    long = "ordinary words " * 40_000 + "Qx7Zp9Lk2Vw8Rt4Ym6Ns" + " and more" * 40_000
+    assert [long[a:b] for a, _, b in secrets.all_spans(long, model)[1]] == ["Qx7Zp9Lk2Vw8Rt4Ym6Ns"]
