@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 A page becomes a list of lines, one for each block of its markup (paragraph, heading, list item, cell ...). Lines in
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments are blank, as are scripts and styles:
-they keep their place, so that they part what stands around them. Over this list the summed text length of a sliding
-window of lines is taken. Where it rises above a threshold a surge begins, and the text runs on until the sum dives to
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out, as are scripts and styles.
+Lines of which more than half is the text of links count as blank, so that a column of links parts what stands around it,
+whatever it is called. Over this list the summed text length of a sliding window of lines is taken. Where it rises above a threshold a surge begins, and the text runs on until the sum dives to
 zero; the text between is main text. The surge with the longest text tells where the article is: if it lies in an
 article or main element, and the surges hold most of the element's text, the element as a whole is taken, with its short
 first and last lines, else all runs between surge and dive are.
@@ -44,20 +44,26 @@ MAIN = frozenset(("article", "main"))
 #: names that tell a part of the page that is no article: by themselves, as first word, as last word of a class or id
 ALONE = frozenset("header aside related search notice consent alert respond replies share banner respond toolbar pager login signup subscribe".split())
 FIRST = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored sponsors promo promos promotion cookie cookies gdpr popup modal nav navbar navigation menu "
+    "ad ads adbox adsbygoogle advert adverts advertisement adsense sponsor sponsored sponsors promo promos promotion cookie cookies gdpr popup modal nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar footer masthead comment comments disqus sharing social recommended recommendations newsletter pagination "
     "complementary contentinfo".split()
 )
-LAST = FIRST | frozenset("banner notice consent alert widget toolbar".split())
+#: words that may follow one of FIRST; with others the name tells what a text is about
+TAILS = FIRST | frozenset(
+    "area aside bar bars block blocks body bottom box boxes button buttons column container content desktop elements field footer form group header holder icon icons inline inner item items "
+    "label left link links list main mobile modal outer overlay panel primary right row secondary section side slot slots small sticky strip tab tabs template text title toggle top unit units "
+    "wrap wrapper zone consent banner notice policy message stories story social share global site page sub top article thread reply replies respond count meta nav".split()
+)
+LAST = FIRST | frozenset("banner notice consent alert widget toolbar discussion responses".split())
 #: pairs that tell a part, and first words that turn a name into a statement about something else
 PAIRS = frozenset(
     "side-bar skip-link site-header page-header global-header top-header main-header search-form search-box search-bar related-posts related-articles related-links "
     "related-stories related-content related-news related-items share-buttons share-bar share-links login-form signup-form subscribe-form subscribe-box "
-    "reader-comments comment-list comment-form user-comments".split()
+    "notice-box feedback-list reader-comments comment-list comment-form user-comments".split()
 )
 STATES = frozenset("has have no not with without is are hide hides show shows if when".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)", re.S
 )
 ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _RAW_ENDS = {name: re.compile(rf"</{name}\s*[^>]*>", re.I) for name in RAW}
@@ -71,12 +77,12 @@ FAR_LONGER = 10
 
 def tells_part(name: str) -> bool:
     """Whether one name in class, id or role says that its element is no part of the article."""
-    words = [x for x in re.split(r"[-_]+", name.lower()) if x]
+    words = [x for x in re.split(r"[-_]+", name.lower()) if x and not x.isdigit()]
     if not words or words[0] in STATES:
         return False
     if len(words) == 1:
         return words[0] in ALONE or words[0] in LAST
-    return words[0] in FIRST and words[-1] not in ("layout", "open", "closed", "enabled", "disabled") or words[-1] in LAST or "-".join(words[-2:]) in PAIRS or "-".join(words[:2]) in PAIRS
+    return words[0] in FIRST and TAILS.issuperset(words[1:]) or words[-1] in LAST or "-".join(words[-2:]) in PAIRS or "-".join(words[:2]) in PAIRS
 
 
 def _away(name: str, attrs: str, in_main: bool) -> int:
@@ -102,11 +108,13 @@ class PageLines:
         self.texts: list[str] = []
         self.mains: list[int] = []
         self.inside: list[int] = []
+        self.linked: list[bool] = []
         self.parents, self.kinds = [0], [0]
         self._read(page)
 
     def _read(self, page: str) -> None:
         buf: list[str] = []
+        links: list[str] = []  # of what buf holds, that in links
         stack: list[tuple[str, int, int]] = []  # name, part, main element
         opened: Counter[str] = Counter()
         part, main, mains, at, n = 0, 0, 0, 0, len(page)
@@ -114,8 +122,11 @@ class PageLines:
         def flush() -> None:
             if buf:
                 text = " ".join(html.unescape("".join(buf)).split())
+                of_links = len(" ".join(html.unescape("".join(links)).split()))
                 buf.clear()
+                links.clear()
                 if text:
+                    self.linked.append(2 * of_links > len(text))
                     self.texts.append(text)
                     self.mains.append(main)
                     self.inside.append(part)
@@ -132,6 +143,8 @@ class PageLines:
                 break
             if j > at:
                 buf.append(page[at:j])
+                if opened["a"]:
+                    links.append(page[at:j])
             m = TOKEN.match(page, j)
             if m is None:  # a sign, no tag
                 buf.append("<")
@@ -205,6 +218,13 @@ class PageLines:
         return best, int(own[best]) if best else 0
 
 
+def runs_of(lines: PageLines, lengths: np.ndarray, window: int, surge: int) -> list[tuple[int, int]]:
+    """Runs over the lines that no part holds, as [from, to) of all lines."""
+    kept = np.flatnonzero(lengths)
+    weights = np.where(np.array(lines.linked, bool)[kept], 0, lengths[kept]) if len(kept) else lengths[kept]
+    return [(int(kept[a]), int(kept[b - 1]) + 1) for a, b in runs_between(weights, window, surge)]
+
+
 def runs_between(lengths: np.ndarray, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
     """[from, to) of the lines from each surge of the windowed length to its dive."""
     n = len(lengths)
@@ -229,15 +249,15 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     texts, mains = lines.texts, lines.mains
     back: set[int] = set()
     lengths = lines.lengths(back)
-    runs = runs_between(lengths, window, surge)
+    runs = runs_of(lines, lengths, window, surge)
     while not runs and len(back) < MOST_BACK and not any(m and n for m, n in zip(mains, lengths)):
         part, size = lines.longest(back)
         if size < FAR_LONGER * max(1, int(lengths.sum())):
             break
         back.add(part)
         lengths = lines.lengths(back)
-        runs = runs_between(lengths, window, surge)
-    runs = runs or runs_between(lengths, window, 1)
+        runs = runs_of(lines, lengths, window, surge)
+    runs = runs or runs_of(lines, lengths, window, 1)
     if not runs:
         return ""
     best = max(runs, key=lambda r: (int(lengths[r[0] : r[1]].sum()), -r[0]))

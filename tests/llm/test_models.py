@@ -86,6 +86,33 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "word " * 40
+
+
+@pytest.mark.parametrize(
+    "page, last",
+    [
+        (f"<h1>Head line</h1><p>{LONG}</p><div class=ad><p>a</p><p>b</p><p>c</p><p>d</p></div><p>Short end.</p>", "Short end."),
+        (f"<p>{LONG}</p><aside><ul><li>x<li>y<li>z<li>w</ul></aside><p>Short end.</p>", "Short end."),
+        *[(f"<p>{LONG}</p><div {x}><p>{LONG} of a reader</p></div>", LONG.strip()) for x in ("class='discussion'", "class=reader-responses", "class=feedback-list", "class=adbox", "id=google_ads_1", "class=notice-box")],
+        (f"<p>{LONG}</p><section id='menu-recipes'><p>{LONG}recipes</p></section>", LONG + "recipes"),
+        (f"<p>{LONG}</p><div id='comments-on-budget'><p>{LONG}budget</p></div>", LONG + "budget"),
+        (f"<p>{LONG}</p>" + "".join(f"<div><a href={k}>Link of some length {k}</a></div>" for k in range(5)), LONG.strip()),
+    ],
+)
+def test_parts_and_links_part_the_text(page, last):
+    assert html_text.main_text(page).split("\n")[-1] == last
+
+
+def test_pages_are_read_in_time():
+    import time
+
+    for page in ("<!-" * 200_000, "<p>" * 100_000 + "x", "<div>" * 100_000 + "x", "a" * 3_000_000):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 20
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", ARTICLE, 3), (1, "u", ARTICLE, 3), (2, None, None, None)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(1, WANT, len(WANT)), (1, WANT, len(WANT)), (2, "", 0)]

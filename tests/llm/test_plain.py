@@ -252,8 +252,10 @@ def test_deep_nesting_takes_linear_time():
 
 
 def plain_main_text(page):
-    """Surge and dive over a list of lines told by hand: (text, part of the page)."""
-    lengths = [0 if part else len(t) for t, part in page]
+    """Surge and dive over a list of lines told by hand: (text, part of the page); parts are no lines of the article, so
+    that what follows one isn't lost for being short."""
+    page = [(t, part) for t, part in page if not part]
+    lengths = [len(t) for t, _ in page]
     out, k = [], 0
     while k < len(page):
         if lengths[k] and sum(lengths[k : k + html_text.WINDOW]) >= html_text.SURGE:
