@@ -24,7 +24,7 @@ FAN_IN = 64
 def sketch(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """(by..., column, rows, missing, least, greatest, distinct_sketch, quantile_sketch): a row per part and column."""
     by = by or []
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), (F.col(f"`{c}`").cast("double") + F.lit(0.0)).alias("value")) for c in columns])  # no negative zeros
     long = df.select(*[F.col(f"`{c}`") for c in by], F.explode(cells).alias("c")).select(*[F.col(f"`{c}`") for c in by], "c.*")
     v = F.col("value")
     return long.groupBy(*[F.col(f"`{c}`") for c in by], "column").agg(

@@ -145,13 +145,13 @@ def _columns_sql(columns: list[str]) -> str:
 count(*) FILTER (lower(trim({c})) IN ({t}) AND trim({c}) <> '') AS hidden_missing, count(DISTINCT CASE WHEN lower(trim({c})) NOT IN ({t}) THEN trim({c}) END) AS "unique",
 round(avg(CASE WHEN lower(trim({c})) NOT IN ({t}) THEN length(trim({c})) END), 4) AS avg_length, max(CASE WHEN lower(trim({c})) NOT IN ({t}) THEN length(trim({c})) END) AS max_length FROM m"""
     parts = " UNION ALL ".join(one.format(c=c, t=_TOKENS) for c in columns)
-    return f"""WITH m AS ({MESSY_SQL}) SELECT "column", rows, missing, round(100.0 * missing / rows, 4) AS missing_pct, hidden_missing, "unique", round(100.0 * "unique" / rows, 4) AS unique_pct, avg_length, max_length FROM ({parts})"""
+    return f"""WITH m AS ({MESSY_SQL}) SELECT "column", rows, missing, round(100.0 * missing / rows, 4) AS missing_pct, hidden_missing, "unique", round(100.0 * "unique" / rows, 4) AS unique_pct, coalesce(avg_length, 0.0) AS avg_length, coalesce(max_length, 0) AS max_length FROM ({parts})"""
 
 
 @query(_columns_sql(["order_id", "status", "price", "urgent", "priority", "notes"]))
 def column_profile_orders(spark, d):
     m = messy(spark, d).select("order_id", "status", "price", "urgent", "priority", "notes")
-    return profile.column_profile(m)
+    return profile.column_profile(m).fillna(0, ["avg_length", "max_length"])
 
 
 @query("""SELECT * FROM (VALUES ('order_id', 'id'), ('status', 'category'), ('price', 'currency'), ('discount', 'percent'), ('placed', 'datetime'), ('urgent', 'boolean'), ('priority', 'category'), ('currency', 'constant'), ('notes', 'empty')) AS t("column", kind)""")
@@ -198,7 +198,7 @@ def leaks_lineitem(spark, d):
     return spark.createDataFrame(found, "column string, how string, value double")
 
 
-_SKETCHED = """SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, min({c})::DOUBLE AS least, max({c})::DOUBLE AS greatest, true AS distinct_within, true AS median_within FROM lineitem"""
+_SKETCHED = """SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, min({c})::DOUBLE + 0.0 AS least, max({c})::DOUBLE + 0.0 AS greatest, true AS distinct_within, true AS median_within FROM lineitem"""
 
 
 @query(" UNION ALL ".join(_SKETCHED.format(c=c) for c in LINE))
