@@ -6,9 +6,10 @@ hit; an item shorter than the window is one window as a whole. Spans of hit word
 more than a limit is hit are dropped.
 
 The automaton lives in each Python worker. Its size follows the test items, not the corpus, and is bounded by parts of
-at most `part_words` item words: larger benchmarks are split into parts, one pass over the (marked) documents each. The
-spans of all parts are put together before the limit is applied and anything is cut, and texts that were cut are scanned
-for all parts again, so that results do not depend on the number of parts.
+at most `part_words` item words: larger benchmarks are split into parts, one pass over the documents each. Passes are
+branches of a union and hand on what they hit only, so that no task holds more than one automaton, however many parts
+there are. What all parts hit is put together by text before the limit is applied and anything is cut, and texts that
+were cut are scanned for all parts again, so that results do not depend on the number of parts.
 
 Defined cases: null or wordless texts have no words and are never contaminated; null or wordless items match nothing; a
 null item_id counts as an item whose id is the empty string; repeated documents each get their own row; an empty
@@ -182,43 +183,47 @@ SPANS = T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType())))
 MARKS = [T.StructField("n_words", T.LongType()), SPANS, T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def _joined(a: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(a):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return out
+#: columns that tell texts apart
+KEYS = ["__k1", "__k2"]
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, spans of hit words, ids of the items that occur."""
-    parts = item_parts(benchmark, part_words)
-    docs = docs.select("doc_id", "text")
-    for k, part in enumerate(parts):
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEYS: marks depend on the text only, and copies share them."""
+    return docs.withColumns(dict(zip(KEYS, (F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))))
+
+
+def _scanned(docs: DataFrame, keep: list[str], part: _Part, window: int) -> DataFrame:
+    def make():
+        auto, ids = _automaton(part, window)
+
+        def one(text: str | None) -> tuple:
+            ws = words(text)
+            spans, found = auto.scan(ws)
+            return len(ws), spans, [ids[k] for k in found]
+
+        return one
 
-        def make(part=part):
-            auto, ids = _automaton(part, window)
+    return map_texts(docs, keep, MARKS, make)
 
-            def one(text: str | None) -> tuple:
-                ws = words(text)
-                spans, found = auto.scan(ws)
-                return len(ws), spans, [ids[k] for k in found]
 
-            return one
+def _hits(keyed: DataFrame, parts: list[_Part], window: int) -> DataFrame:
+    """keyed (KEYS, text) -> KEYS, spans (not merged), items for each text that one of the parts hits."""
+    found = (_scanned(keyed, KEYS, part, window).filter(F.size("spans") > 0).withColumn("part", F.lit(k)) for k, part in enumerate(parts))
+    once = reduce(DataFrame.union, found).dropDuplicates([*KEYS, "part"])
+    return once.groupBy(*KEYS).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
-        if len(parts) == 1:
-            return map_texts(docs, ["doc_id"], MARKS, make)
-        found = map_texts(docs, docs.columns, MARKS, make)
-        docs = found.select(
-            *docs.columns, F.col("spans").alias(f"spans_{k}"), F.col("items").alias(f"items_{k}"),
-            *(["n_words"] if k == len(parts) - 1 else []),
-        )
-    every = range(len(parts))
-    spans = F.array_sort(F.flatten(F.array(*[F.col(f"spans_{k}") for k in every])))
-    items = F.flatten(F.array(*[F.col(f"items_{k}") for k in every]))
-    return docs.select("doc_id", "n_words", _merged(spans).alias("spans"), items.alias("items"))
+
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_words, spans of hit words, ids of the items that occur."""
+    first, *rest = item_parts(benchmark, part_words)
+    docs = docs.select("doc_id", "text")
+    if not rest:
+        return _scanned(docs, ["doc_id"], first, window)
+    keyed = _keyed(docs)
+    more = _hits(keyed, rest, window).select(*KEYS, F.col("spans").alias("more_spans"), F.col("items").alias("more_items"))
+    both = _scanned(keyed, ["doc_id", *KEYS], first, window).join(more, KEYS, "left")
+    spans, items = (F.concat(c, F.coalesce(f"more_{c}", F.array())) for c in ("spans", "items"))
+    return both.select("doc_id", "n_words", _merged(F.array_sort(spans)).alias("spans"), items.alias("items"))
 
 
 def _merged(spans: Column) -> Column:
@@ -262,23 +267,13 @@ def strip_text(text: str | None, auto: SuffixAutomaton, max_coverage: float) ->
     return text
 
 
-def _with_spans(part: _Part, window: int):
-    """A column function of texts and spans found so far, as pairs of 32-bit numbers, that adds those of a part."""
-
-    def run(texts: pd.Series, held: pd.Series) -> pd.Series:
-        auto = _automaton(part, window)[0]
-        return pd.Series([bytes(b) + np.array(auto.scan(words(t))[0], np.int32).tobytes() for t, b in zip(texts, held)], dtype=object)
-
-    return F.pandas_udf(run, "binary").asNondeterministic()
-
-
 def _without_spans(max_coverage: float | None):
-    """A column function that cuts the spans of all parts out of texts; null where they cover more than max_coverage."""
+    """A column function that cuts merged spans, as a list of ends, out of texts; null where they cover more than max_coverage."""
 
     def run(texts: pd.Series, held: pd.Series) -> pd.Series:
         out = []
-        for text, pairs in zip(texts, held):
-            spans = _joined(np.frombuffer(pairs, np.int32).reshape(-1, 2).tolist())
+        for text, ends in zip(texts, held):
+            spans = np.asarray(ends).reshape(-1, 2).tolist()
             s, e = word_spans(fold(text))
             over = max_coverage is not None and _covered(spans, len(s), max_coverage)
             out.append(None if over else _cut(text, spans, s, e))
@@ -291,15 +286,14 @@ def _strip_in_parts(docs: DataFrame, parts: list[_Part], window: int, max_covera
     """What strip_text gives with one automaton of all parts: a round for each time a text is cut, of those texts only."""
     done, rest, limit = [], docs, max_coverage
     while True:
-        rest = rest.withColumn("__spans", F.lit(b""))
-        for part in parts:
-            rest = rest.withColumn("__spans", _with_spans(part, window)(F.col("text"), F.col("__spans")))
-        marked = cut_lineage(rest)
-        done.append(marked.filter(F.length("__spans") == 0).drop("__spans"))
-        hit = marked.filter(F.length("__spans") > 0)
-        if hit.isEmpty():
+        keyed = _keyed(rest)
+        spans = F.flatten(_merged(F.array_sort("spans"))).alias("__spans")
+        hits = cut_lineage(_hits(keyed, parts, window).select(*KEYS, spans))
+        done.append(keyed.join(hits, KEYS, "left_anti").select(rest.columns))
+        if hits.isEmpty():
             return reduce(DataFrame.union, done)
-        rest, limit = replace_text(hit, _without_spans(limit)(F.col("text"), F.col("__spans"))).drop("__spans"), None
+        hit = keyed.join(hits, KEYS).select(*rest.columns, "__spans")
+        rest, limit = cut_lineage(replace_text(hit, _without_spans(limit)(F.col("text"), F.col("__spans"))).drop("__spans")), None
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, part_words: int = PART_WORDS) -> DataFrame:

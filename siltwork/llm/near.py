@@ -10,9 +10,9 @@ pairs. Components of the linked classes are the groups.
 
 Prefixes start at their longest and are shortened adaptively: the similarities of the links found tell how likely such
 links are found with prefixes of that length, so that the links found estimate those missed. While the estimated recall
-is below the target, prefixes are shortened to the length that these links ask for, and only components that grow by it
-are compared again. The shortest length is the one that reaches the target at the threshold itself. With one length
-(banding) there is a single round.
+is below the target, or no link tells of it, prefixes are shortened to the length that the links ask for, and only
+components that grow by it are compared again. The shortest length is the one that reaches the target at the threshold
+itself. With one length (banding) there is a single round.
 
 Only classes that share a prefix of the shortest length are read a second time, for their sets.
 """
@@ -306,10 +306,10 @@ def _compared(inside: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
 def expected_recall(links: np.ndarray, near: Near, found_with: int, depth: int) -> float:
     """The share of all links that prefixes of a length find, from those found with another length, counted by similarity.
 
-    Bins count as their lower ends, so that the estimate is on the safe side."""
+    Bins count as their lower ends, so that the estimate is on the safe side; without a link nothing is known, and it is 0."""
     low = near.threshold + (1 - near.threshold) / ALIKE * np.arange(ALIKE)
     every = links / recall_at(low, near.groups, found_with)
-    return float((every * recall_at(low, near.groups, depth)).sum() / every.sum()) if every.sum() else 1.0
+    return float((every * recall_at(low, near.groups, depth)).sum() / every.sum()) if every.sum() else 0.0
 
 
 def near_classes(docs: DataFrame, near: Near) -> tuple[DataFrame, DataFrame, dict]:

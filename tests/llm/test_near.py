@@ -113,6 +113,13 @@ def test_forest_shortens_until_its_recall(spark):
     assert abs(report["links"] / report["recall"] - (pairs - copies)) <= 0.25 * (pairs - copies) and got == report["links"] + copies
 
 
+def test_no_link_is_no_evidence(spark):
+    df = spark.createDataFrame([(k, " ".join(f"n{k}w{j}" for j in range(30))) for k in range(3)], SCHEMA)
+    found, report = lshforest.join_with_report(df)
+    assert report == {"depth": lshforest.shortest(0.8), "links": 0, "recall": 0.0}
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in found.collect()) == [(k, k, 0) for k in range(3)]
+
+
 def test_bounds_of_recall():
     assert near.recall_at(0.8, 24, lshforest.shortest(0.8)) >= 0.9999
     bands, rows = paragraphs.tuned(0.8)
