@@ -12,6 +12,7 @@ from siltwork.operators.near import near_audio_groups, near_image_groups, near_t
 from siltwork.operators.profile import median, quantile_values
 from siltwork.operators.registry import RID
 from siltwork.operators.textprof import categories, label_check, media_category, scene_rows
+from siltwork.session import cut_lineage
 
 
 def deductions(shares: DataFrame, media: str) -> DataFrame:
@@ -26,6 +27,12 @@ def deductions(shares: DataFrame, media: str) -> DataFrame:
     return held.select("place", "part", (0.0 - F.round(F.least(F.col("most"), amount * F.col("rate")), 1)).alias("deduction"))
 
 
+def told(shares: DataFrame, media: str) -> DataFrame:
+    """shares (part, amount) -> part, amount, deduction, of which the amounts are worked out once."""
+    held = cut_lineage(shares)
+    return deductions(held, media).join(held, "part", "left").select("part", V.r4(F.col("amount")).alias("amount"), "deduction")
+
+
 def score(parts: DataFrame) -> DataFrame:
     """One row: 100 less all deductions, none below 0."""
     return parts.agg(F.round(F.greatest(F.lit(0.0), 100 + F.coalesce(F.sum("deduction"), F.lit(0.0))), 1).alias("score"))

@@ -13,7 +13,7 @@ from siltwork.operators.near import near_text_groups
 from siltwork.operators.registry import apply_op
 from siltwork.plans import plan as plans
 from siltwork.plans.evidence import Evidence, brief, check_target, fact_check, find_value, lookup_all
-from siltwork.plans.queries import KEY, MESSY_SQL, SHINGLES_SQL, TFIDF_SQL, WORDS, _language_sql, corpus, messy, query
+from siltwork.plans.queries import KEY, MESSY_SQL, SHINGLES_SQL, TFIDF_SQL, WORDS, _language_sql, corpus, deducted_sql, messy, query
 from siltwork.session import read_table, shared_folder
 from siltwork.sources import readers, sinks
 
@@ -186,13 +186,17 @@ def corpus_overview_documents(spark, d):
     return textprof.corpus_overview(corpus(spark, d))
 
 
-@query(f"""WITH {TFIDF_SQL}, wt AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x), t AS (SELECT wt.*, lang AS own FROM wt JOIN documents USING (doc_id)),
+def _label_sql(label: str) -> str:
+    return f"""WITH {TFIDF_SQL}, wt AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM x), t AS (SELECT wt.*, {label} AS own FROM wt JOIN documents USING (doc_id)),
 s AS (SELECT own AS label, term, sum(weight) AS s FROM t GROUP BY ALL), l AS (SELECT label, sum(s * s) AS len2 FROM s GROUP BY 1),
 dots AS (SELECT doc_id, own, label, sum(weight * s) AS dot FROM t JOIN s USING (term) GROUP BY ALL),
 c AS (SELECT doc_id, own, label, CASE WHEN own = label THEN greatest(len2 - 2 * dot + 1, 0) ELSE len2 END AS left2, CASE WHEN own = label THEN dot - 1 ELSE dot END AS top FROM dots JOIN l USING (label)),
 k AS (SELECT doc_id, own, label, CASE WHEN left2 > 1e-12 THEN top / sqrt(left2) ELSE 0 END AS cosine FROM c),
 b AS (SELECT doc_id, own AS label, arg_max(label, cosine) AS nearest, max(cosine) AS best, max(cosine) FILTER (own = label) AS mine FROM k GROUP BY ALL)
-SELECT doc_id, label, nearest, round(best - coalesce(mine, 0), 3) AS margin, label <> nearest AND best - coalesce(mine, 0) >= 0.05 AS suspected FROM b""")
+SELECT doc_id, label, nearest, round(best - coalesce(mine, 0), 3) AS margin, label <> nearest AND best - coalesce(mine, 0) >= 0.05 AS suspected FROM b"""
+
+
+@query(_label_sql("lang"))
 def label_check_documents(spark, d):
     return textprof.label_check(read_table(spark, d, "documents"), "lang", "doc_id").withColumn("margin", F.round("margin", 3))
 
@@ -204,13 +208,25 @@ def names_conversations(spark, d):
 
 # ---------------------------------------------------------------- scores and tables behind charts
 
-@query(f"""{_CATEGORY}, n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (category IN ('empty', 'encoding_damage', 'html_markup', 'too_short')) AS low, count(*) FILTER (category = 'other_language') AS other FROM k),
-c AS (SELECT source, count(*) AS c FROM documents GROUP BY 1)
-SELECT 'low_quality' AS part, 0.0 - round(least(25, 100 * low / n * 1.5), 1) AS deduction FROM n UNION ALL SELECT 'other_language', 0.0 - round(least(10, 100 * other / n), 1) FROM n
-UNION ALL SELECT 'label_imbalance', 0.0 - round(least(10, greatest(0, max(c) / min(c)::DOUBLE - 1.5) * 3), 1) FROM c""")
+_LETTER = r"[\p{L}\p{N}_]"
+#: whether a text holds personal data of any kind; what stands before and after a number is asked for without looking back
+_PRIVATE = rf"""regexp_matches(text, '{_LETTER}[\p{{L}}\p{{N}}_.+-]*@[\p{{L}}\p{{N}}_-]+\.[\p{{L}}\p{{N}}_.-]*{_LETTER}')
+OR regexp_matches(text, '\b\d{{3}}-\d{{2}}-\d{{4}}\b') OR regexp_matches(text, '(?:^|[^\p{{L}}\p{{N}}_+( .-]|(?:^|\D)[ .-])(?:\+?\d{{1,3}}[ .-])?\(?\d{{2,4}}\)?[ .-]\d{{3,4}}[ .-]\d{{3,4}}(?:$|[ .-]$|[^\p{{L}}\p{{N}}_ .-]|[ .-]\D)')
+OR len(list_filter(regexp_extract_all(text, '\b(?:\d{{1,3}}\.){{3}}\d{{1,3}}\b'), lambda a: list_bool_and(list_transform(string_split(a, '.'), lambda x: x::INT <= 255)))) > 0
+OR len(list_filter(list_transform(regexp_extract_all(text, '\b(?:\d[ -]?){{12,18}}\d\b'), lambda h: reverse(regexp_replace(h, '[ -]', '', 'g'))),
+lambda h: list_sum(list_transform(range(1, length(h) + 1), lambda k: CASE WHEN k % 2 = 1 THEN substr(h, k, 1)::INT WHEN substr(h, k, 1)::INT > 4 THEN 2 * substr(h, k, 1)::INT - 9 ELSE 2 * substr(h, k, 1)::INT END)) % 10 = 0)) > 0"""
+_TEXT_PARTS = {
+    "low_quality": ("100 * low / n", 25, 1.5), "duplicates": ("100 * extra / n", 15, 1.5), "privacy": ("100 * private / n", 10, 0.5),
+    "other_language": ("100 * other / n", 10, 1), "label_noise": ("100 * wrong / n", 10, 1.5), "label_imbalance": ("ratio", 10, 3),
+}
+
+
+@query(f"""WITH q AS ({_CATEGORY} SELECT count(*)::DOUBLE AS n, count(*) FILTER (category IN ('empty', 'encoding_damage', 'html_markup', 'too_short')) AS low, count(*) FILTER (category = 'other_language') AS other FROM k),
+t AS (SELECT *, (WITH RECURSIVE {_NEAR} SELECT count(*) - count(DISTINCT label) FROM g) AS extra, (SELECT count(*) FROM documents WHERE {_PRIVATE}) AS private,
+(SELECT count(*) FILTER (suspected) FROM ({_label_sql("source")})) AS wrong, (SELECT max(c) / min(c)::DOUBLE FROM (SELECT count(*) AS c FROM documents GROUP BY source)) AS ratio FROM q)
+{deducted_sql(_TEXT_PARTS)}""")
 def text_deductions_documents(spark, d):
-    made = scores.deductions(scores.text_shares(corpus(spark, d)), "text")
-    return made.filter(F.col("part").isin("low_quality", "other_language", "label_imbalance")).select("part", "deduction")
+    return scores.told(scores.text_shares(corpus(spark, d)), "text")
 
 
 @query(f"""WITH m AS ({MESSY_SQL}), c AS (SELECT count(*)::DOUBLE AS n, avg(CASE WHEN status IS NULL OR lower(trim(status)) IN ('n/a') THEN 100.0 ELSE 0 END) AS a, avg(CASE WHEN price = '-' THEN 100.0 ELSE 0 END) AS b,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltwork.operators import near, scores
 from siltwork.operators.registry import apply_op
-from siltwork.plans.queries import query
+from siltwork.plans.queries import deducted_sql, query
 from siltwork.session import read_table
 
 #: the tables made of parts, as select lists that Spark and DuckDB read alike
@@ -203,6 +203,42 @@ def audio_deductions(spark, d):
     return scores.deductions(scores.media_shares(f, "audio"), "audio").select("part", "deduction")
 
 
+#: near copies of few vectors only, some of another class, so that no deduction reaches its most by them alone
+_SOME_SQL = f"""{_TWICE_SQL}, i AS (SELECT rid, CASE WHEN rid % 1000 <> 0 AND rid >= 1000000000 THEN label - 1 ELSE label END AS label, s FROM w WHERE rid < 1000000000 OR rid % 50 = 0)"""
+_SHOWN = """rid % 29 = 0 AS corrupt, 30 + rid % 60 AS width, 40 AS height, cast(20 + rid % 218 AS DOUBLE) AS brightness, cast(rid % 200 AS DOUBLE) AS contrast,
+cast(CASE WHEN rid % 41 = 0 THEN 5 ELSE 50 + rid % 97 END AS DOUBLE) AS blur, CASE WHEN label = 3 AND rid % 3 > 0 THEN 4 ELSE label END AS own"""
+_PLAYED = """rid % 31 = 0 AS corrupt, cast(35 + rid % 60 AS DOUBLE) AS brightness, cast(rid % 43 AS DOUBLE) AS motion, cast(rid % 37 AS DOUBLE) / 38 AS black_ratio, rid % 12 <> 0 AS has_audio,
+CASE WHEN label = 3 AND rid % 3 > 0 THEN 4 ELSE label END AS own"""
+
+
+def _some(spark, d, metrics: str):
+    t = _twice(spark, d).filter("rid < 1000000000 OR rid % 50 = 0")
+    label = F.when((F.col("rid") % 1000 != 0) & (F.col("rid") >= 1_000_000_000), F.col("label") - 1).otherwise(F.col("label"))
+    return t.withColumn("label", label).selectExpr("rid", "s", *_parts(metrics)).withColumn("class", F.col("own").cast("string"))
+
+
+@query(f"""WITH RECURSIVE {_SOME_SQL}, f AS (SELECT rid, {_SHOWN} FROM i), g AS (WITH RECURSIVE {_groups_sql(_IMAGE_PAIRS.replace("w x", "i x").replace("w y", "i y"))}),
+b AS (SELECT 0.25 * quantile_cont(blur, 0.5) AS b FROM f WHERE NOT corrupt), c AS (SELECT own, count(*) AS c FROM f WHERE own IS NOT NULL GROUP BY 1),
+t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (corrupt) AS bad, count(*) FILTER (NOT corrupt AND (least(width, height) < 32 OR brightness < 25 OR brightness > 235 OR contrast < 4 OR blur < b)) AS low,
+(SELECT count(*) - count(DISTINCT label) FROM g) AS extra, (SELECT max(c) / min(c)::DOUBLE FROM c) AS ratio,
+(SELECT count(*) FROM (SELECT g.label FROM g JOIN f ON f.rid = g.id GROUP BY 1 HAVING count(DISTINCT f.own) > 1)) AS crossing FROM f, b)
+{deducted_sql({"corrupt": ("100 * bad / n", 20, 2), "duplicates": ("100 * extra / n", 20, 1.5), "low_quality": ("100 * low / n", 25, 1.5), "class_imbalance": ("ratio", 15, 3), "cross_class": ("crossing::DOUBLE", 10, 2)})}""")
+def image_deductions(spark, d):
+    f = _some(spark, d, _SHOWN).withColumns({"phash": F.substring("s", 1, 16), "thumb": F.col("s")})
+    return scores.told(scores.media_shares(f, "image"), "image")
+
+
+@query(f"""WITH RECURSIVE {_SOME_SQL}, f AS (SELECT rid, {_PLAYED} FROM i),
+g AS (WITH RECURSIVE {_groups_sql(f'SELECT x.rid AS a, y.rid AS b FROM i x JOIN i y ON x.rid < y.rid AND x.rid % 1000000000 % 7 = y.rid % 1000000000 % 7 AND {_DISTANCE} <= 6.0')}),
+c AS (SELECT own, count(*) AS c FROM f WHERE own IS NOT NULL GROUP BY 1),
+t AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (corrupt) AS bad, count(*) FILTER (NOT corrupt AND (black_ratio >= 0.9 OR motion < 1 OR brightness < 40)) AS low,
+count(*) FILTER (NOT corrupt AND NOT has_audio) AS silent, (SELECT count(*) - count(DISTINCT label) FROM g) AS extra, (SELECT max(c) / min(c)::DOUBLE FROM c) AS ratio FROM f)
+{deducted_sql({"corrupt": ("100 * bad / n", 20, 2), "duplicates": ("100 * extra / n", 15, 1.5), "unusable": ("100 * low / n", 25, 1.5), "silent_audio": ("100 * silent / n", 5, 0.5), "class_imbalance": ("ratio", 15, 3)})}""")
+def video_deductions(spark, d):
+    f = _some(spark, d, _PLAYED).withColumns({"duration": F.pow(F.lit(2.0), F.col("rid") % 1_000_000_000 % 7), "signature": F.col("s")})
+    return scores.told(scores.media_shares(f, "video"), "video")
+
+
 @query("""WITH p AS (SELECT p_brand AS m, round(avg(p_size), 4) AS b, round(avg(p_size) * 1.37, 4) AS a, count(*) AS ib, count(*) FILTER (p_size > 10) AS ia FROM part WHERE p_brand NOT LIKE '%1' GROUP BY 1)
 SELECT count(*) AS types, round(avg(b), 1) AS quality_before, round(avg(a), 1) AS quality_after, cast(sum(ib) AS BIGINT) AS items_before, cast(sum(ia) AS BIGINT) AS items_after,
 arg_min(m, (-round(a - b, 1), m)) AS helped_most, max(round(a - b, 1)) AS gain FROM p""")

@@ -13,7 +13,7 @@ from siltwork.operators import links, near, profile, sketches, textprof, timelin
 from siltwork.operators.registry import apply_op
 from siltwork.plans import plan as plans
 from siltwork.plans.evidence import Evidence, find_value, lookup
-from siltwork.session import read_table
+from siltwork.session import cut_lineage, read_table
 from siltwork.sources.readers import split_documents
 from siltwork.sources.sinks import neutralized
 
@@ -403,6 +403,19 @@ def near_duplicate_pairs_documents(spark, d):
     return near.near_text_pairs(corpus(spark, d), 0.8).withColumn("similarity", F.round("similarity", 4))
 
 
+@query(f"""WITH {SHINGLES_SQL} SELECT a, b, round(c::DOUBLE / (x.n + y.n - c), 4) AS similarity, true AS estimated FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+WHERE c::DOUBLE / (x.n + y.n - c) >= 0.8 AND a IN (SELECT doc_id FROM r) AND b IN (SELECT doc_id FROM r)""")
+def signature_similarity_documents(spark, d):
+    # 64 minima estimate a similarity of 0.8 with a deviation of 0.05
+    docs = corpus(spark, d)
+    sets = cut_lineage(docs.select(F.col("rid").alias("id"), near.shingles(F.col("text")).alias("s")))
+    signed = sets.select("id", near.minhash(F.col("s")).alias("sig"))
+    pairs = near.near_text_pairs(docs, 0.8)
+    pairs = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("s")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("t")), "b")
+    near_enough = F.abs(near.signature_similarity(F.col("s"), F.col("t")) - F.col("similarity")) <= 0.25
+    return pairs.select("a", "b", F.round("similarity", 4).alias("similarity"), near_enough.alias("estimated"))
+
+
 @query("SELECT conv_id, turn, regexp_replace(unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\\r\\n|\\n|\\r|\\x0b|\\x0c|\\x{85}|\\x{2028}|\\x{2029}'), lambda x: trim(x) <> '')), '^ +| +$', '', 'g') AS text FROM conversations")
 def split_lines_conversations(spark, d):
     return split_documents(read_table(spark, d, "conversations").select("conv_id", "turn", "text"), "lines").drop("part")
@@ -533,9 +546,13 @@ def changed_values_orders(spark, d):
     return plans.changed_values(m, after, ["status", "order_id"]).select("column", "changed", "retyped")
 
 
+def deducted_sql(parts: dict[str, tuple[str, int, float]]) -> str:
+    """What each part takes: its amount in the one row of t, at a rate, and up to its most."""
+    return " UNION ALL ".join(f"SELECT '{p}' AS part, round({amount}, 4) AS amount, 0.0 - round(least({most}, {f'greatest(0, {amount} - 1.5)' if amount == 'ratio' else amount} * {rate}), 1) AS deduction FROM t" for p, (amount, most, rate) in parts.items())
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return numeric_profile_lineitem(spark, d)
 
 
-
 from siltwork.plans import corpus_queries, media_queries  # noqa: E402, F401  they register more

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from siltwork.operators import near
 from siltwork.operators.graph import components
 from siltwork.operators.near import near_audio_groups, near_image_groups, near_text_groups, near_text_pairs
 from siltwork.operators.registry import apply_op
@@ -114,3 +115,14 @@ def test_media_groups_are_those_of_all_pairs(spark, monkeypatch):
 
     assert {r.id: r.label for r in near_audio_groups(df).collect()} == plain_groups(list(clips), linked(3.0, 0.02))
     assert {r.id: r.label for r in near_video_groups(df).collect()} == plain_groups(list(clips), linked(6.0, 0.05))
+
+
+def test_signatures_estimate_similarity(spark):
+    sets = [(k, list(range(1000 * k, 1000 * k + 200)), list(range(1000 * k + d, 1000 * k + 200 + d))) for k, d in enumerate((0, 20, 100, 200))]
+    df = spark.createDataFrame(sets + [(9, [], [])], "k int, a array<bigint>, b array<bigint>")
+    hashed = df.select("k", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("a", "b")])
+    signed = hashed.select("k", *[near.minhash(F.col(c), 256).alias(c) for c in ("a", "b")])
+    got = {r.k: r.s for r in signed.select("k", near.signature_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    assert got[0] == 1.0 and got[9] == 0.0
+    for k, d in enumerate((0, 20, 100, 200)):
+        assert abs(got[k] - (200 - d) / (200 + d)) <= 0.15
