@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltwork.operators.graph import components
-from siltwork.session import cut_lineage, free
+from siltwork.session import cut_lineage, free, is_written
 
 #: rows of a block; weight (such as elements of sets) of a block; weight of small keys that are compared in one group
 BLOCK, BLOCK_WEIGHT, BUNDLE = 512, 1 << 20, 1 << 16
@@ -31,10 +31,11 @@ def groups(placed: DataFrame, payload: DataFrame, linked: Callable[[str, str], C
     """placed (key, id), payload (id, weight, columns to compare) -> (id, label) of rows in groups of two and more.
 
     linked(a, b) says of two rows, as structs named a and b of the payload's columns, whether they are linked; matrix says
-    the same of all pairs of two blocks.
+    the same of all pairs of two blocks. A payload that is a written table isn't written again, and is freed at the end.
     """
-    held, placed = cut_lineage(payload), cut_lineage(placed)
+    held, placed = payload if is_written(payload) else cut_lineage(payload), cut_lineage(placed)
     members = cut_lineage(_shared(placed))
+    free(placed)
     stars = cut_lineage(_stars(members, held, linked))
     first = cut_lineage(components(stars.select("a", "b")))
     ties = cut_lineage(_ties(members, held, first, matrix, block))
@@ -43,14 +44,14 @@ def groups(placed: DataFrame, payload: DataFrame, linked: Callable[[str, str], C
     else:
         out = cut_lineage(components(stars.select("a", "b").union(ties.select("a", "b"))))
         free(first)
-    free(held, placed, members, stars, ties)
+    free(held, members, stars, ties)
     return out
 
 
 def pairs(placed: DataFrame, payload: DataFrame, similarity: Similarity, least: float, block: int = 0) -> DataFrame:
     """The same candidates -> (a, b, similarity) of all pairs a < b with that similarity or more, where a list of pairs is
     what is asked for; only such pairs leave the cells."""
-    held, placed = cut_lineage(payload), cut_lineage(placed)
+    held, placed = payload if is_written(payload) else cut_lineage(payload), cut_lineage(placed)
     rest = _shared(placed).select("key", "id").join(held.select("id", "weight"), "id")
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> list[tuple]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from siltwork.functions import texts as X
 from siltwork.operators import linkage
 from siltwork.operators.registry import RID
-from siltwork.session import cut_lineage
+from siltwork.session import cut_lineage, free
 
 WIDTH, HASHES, BANDS = 3, 64, 16
 #: sums of bytes under signs that make the grid
@@ -80,18 +80,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return n / (F.size(a) + F.size(b) - n)
 
 
-def _text_classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """docs (rid, text) -> (id, weight, s) of the first of equal texts, and (a, b) of it and the others."""
-    every = cut_lineage(docs.select(F.col(RID).alias("id"), shingles(F.col("text"), width).alias("s")))
-    keyed = every.filter(F.size("s") > 0).select("id", F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("m"))
-    heads = keyed.groupBy("k", "m").agg(F.min("id").alias("head"))
-    copies = keyed.join(heads, ["k", "m"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    first = every.join(heads.select(F.col("head").alias("id")), "id", "left_semi").select("id", F.size("s").cast("long").alias("weight"), "s")
-    return first, copies
+def _text_classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (rid, text) -> (id, weight, s) of all, (id) of the first of equal texts, and (a, b) of it and the others.
 
+    Sets are as large as the texts, so they are written once, and only ids and hashes are joined here."""
+    every = cut_lineage(docs.select(F.col(RID).alias("id"), shingles(F.col("text"), width).alias("s")).select("id", F.size("s").cast("long").alias("weight"), "s"))
+    keyed = cut_lineage(every.filter("weight > 0").select("id", F.xxhash64("s").alias("k"), F.xxhash64(F.lit(1), "s").alias("m")))
+    heads = cut_lineage(keyed.groupBy("k", "m").agg(F.min("id").alias("head")))
+    copies = cut_lineage(keyed.join(heads, ["k", "m"]).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    free(keyed)
+    return every, heads.select(F.col("head").alias("id")), copies
 
-def _text_keys(first: DataFrame) -> DataFrame:
-    return first.select("id", F.explode(band_keys(minhash(F.col("s")))).alias("key"))
+
+def _text_keys(every: DataFrame, first: DataFrame) -> DataFrame:
+    keys = every.select("id", band_keys(minhash(F.col("s"))).alias("keys"))
+    return keys.join(first, "id").select("id", F.explode("keys").alias("key"))
 
 
 def _text_similarity(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
@@ -102,14 +105,14 @@ def _text_similarity(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
 
 def near_text_pairs(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """docs (rid, text) -> pairs a < b of the first ones of equal texts, with their exact Jaccard similarity."""
-    first, _ = _text_classes(docs, width)
-    return linkage.pairs(_text_keys(first), first, _text_similarity, threshold)
+    every, first, _ = _text_classes(docs, width)
+    return linkage.pairs(_text_keys(every, first), every, _text_similarity, threshold)
 
 
 def near_text_groups(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """(id, label) of all documents in groups of two and more."""
-    first, copies = _text_classes(docs, width)
-    near = linkage.groups(_text_keys(first), first, lambda a, b: jaccard(F.col(f"{a}.s"), F.col(f"{b}.s")) >= threshold, lambda x, y: _text_similarity(x, y) >= threshold)
+    every, first, copies = _text_classes(docs, width)
+    near = linkage.groups(_text_keys(every, first), every, lambda a, b: jaccard(F.col(f"{a}.s"), F.col(f"{b}.s")) >= threshold, lambda x, y: _text_similarity(x, y) >= threshold)
     return with_copies(near, copies)
 
 

@@ -14,6 +14,8 @@ from siltwork.operators.registry import RID
 from siltwork.session import cut_lineage, free
 
 TOO_SHORT = 5
+#: with so many sums of classes by term or fewer, they are broadcast
+FEW_SUMS = 1 << 19
 
 
 def doc_metrics(df: DataFrame) -> DataFrame:
@@ -123,6 +125,11 @@ def distinctive_words(df: DataFrame, label: str = "class", k: int = 6) -> DataFr
 
 def tfidf(df: DataFrame, key: str = RID, vocabulary: int = 2000) -> DataFrame:
     """(key, term, weight): 1 + ln tf, times ln((1 + n) / (1 + df)) + 1, of unit length per document."""
+    return _weights(df, key, vocabulary)[0]
+
+
+def _weights(df: DataFrame, key: str, vocabulary: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Those weights, and the table of counts that they are worked out from."""
     n = df.count()
     # words are cut and counted once, for frequencies, weights and lengths
     tf = cut_lineage(df.select(F.col(key), F.explode(_tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
@@ -131,7 +138,7 @@ def tfidf(df: DataFrame, key: str = RID, vocabulary: int = 2000) -> DataFrame:
     w = (1 + F.log("tf")) * (F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1)
     weights = tf.join(F.broadcast(freq), "term").select(key, "term", w.alias("w"))
     norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return weights.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight")), tf
 
 
 def label_check(df: DataFrame, label: str = "class", key: str = RID, margin: float = 0.05) -> DataFrame:
@@ -147,17 +154,21 @@ def label_check(df: DataFrame, label: str = "class", key: str = RID, margin: flo
     """
     from pyspark.sql import Window as W
 
-    w = cut_lineage(tfidf(df, key).join(df.select(key, F.col(label).alias("own")), key).select(key, "own", "term", "weight"))
+    weights, counts = _weights(df, key)
+    w = cut_lineage(weights.join(df.select(key, F.col(label).alias("own")), key).select(key, "own", "term", "weight"))
+    free(counts)
     sums = w.groupBy("own", "term").agg(F.sum("weight").alias("s")).withColumnRenamed("own", "label")
     length = sums.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("len2"))
     # of a class without one of its documents, no more than the sum is left, and the length less one
     unit = cut_lineage(sums.join(length, "label").withColumn("most", F.col("s") / F.sqrt(F.greatest("len2", F.lit(1e-12)))))
+    # weights of few sums meet them where they are; those of many classes are dealt by class and term
+    totals = F.broadcast(unit) if unit.count() <= FEW_SUMS else unit
     most = unit.groupBy("term").agg(F.max("most").alias("most"), F.max_by("label", F.struct("most", "label")).alias("holder"))
-    held = cut_lineage(w.join(most, "term").withColumn("gain", F.col("weight") * F.col("most")))
+    held = cut_lineage(w.join(F.broadcast(most), "term").withColumn("gain", F.col("weight") * F.col("most")))
 
     def cosines(pairs: DataFrame) -> DataFrame:
         """pairs (key, label) -> key, own, label, cosine, of classes that share a term with the document."""
-        met = pairs.join(w, key).join(sums, ["label", "term"]).groupBy(key, "own", "label").agg(F.sum(F.col("weight") * F.col("s")).alias("dot")).join(length, "label")
+        met = pairs.join(w, key).join(totals.drop("most"), ["label", "term"]).groupBy(key, "own", "label").agg(F.sum(F.col("weight") * F.col("s")).alias("dot"), F.max("len2").alias("len2"))
         mine = F.col("own").eqNullSafe(F.col("label"))
         left2 = F.greatest(F.when(mine, F.col("len2") - 2 * F.col("dot") + 1).otherwise(F.col("len2")), F.lit(0.0))
         cosine = F.when(left2 > 1e-12, F.when(mine, F.col("dot") - 1).otherwise(F.col("dot")) / F.sqrt(left2)).otherwise(F.lit(0.0))
@@ -171,7 +182,7 @@ def label_check(df: DataFrame, label: str = "class", key: str = RID, margin: flo
     placed = held.join(reach, key, "left").withColumn("upto", F.sum("gain").over(order))  # what this term and those after it can add
     ahead = cut_lineage(placed.filter(F.col("upto") >= F.coalesce("bound", F.lit(0.0)) - 1e-9).select(key, "own", "term", "weight", "bound", (F.col("upto") - F.col("gain")).alias("left")))
     # classes met on the foremost terms; all others can add `left` at most
-    partly = ahead.join(unit.select("label", "term", "most"), "term").groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("most")).alias("dot"), F.first("bound").alias("bound"))
+    partly = ahead.join(totals.select("label", "term", "most"), "term").groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("most")).alias("dot"), F.first("bound").alias("bound"))
     rest = ahead.groupBy(key).agg(F.min("left").alias("left"))
     open_ = partly.join(rest, key).filter(F.col("dot") + F.col("left") >= F.coalesce("bound", F.lit(0.0)) - 1e-9).select(key, "label")
     scored = begun.union(cosines(open_.join(begun, [key, "label"], "left_anti")))
@@ -181,7 +192,10 @@ def label_check(df: DataFrame, label: str = "class", key: str = RID, margin: flo
         F.min_by("label", "rank").alias("nearest"), F.max("cosine").alias("best"), F.max(F.when(mine, F.col("cosine"))).alias("own_cosine")
     )
     gap = F.col("best") - F.coalesce("own_cosine", F.lit(0.0))
-    return best.select(key, F.col("own").alias("label"), "nearest", V.r4(gap).alias("margin"), ((F.col("own") != F.col("nearest")) & (gap >= margin)).alias("suspected"))
+    # a row per document is all that stays on disk
+    out = cut_lineage(best.select(key, F.col("own").alias("label"), "nearest", V.r4(gap).alias("margin"), ((F.col("own") != F.col("nearest")) & (gap >= margin)).alias("suspected")))
+    free(w, unit, held, begun, ahead)
+    return out
 
 
 def nonnegative(gram: np.ndarray, cross: np.ndarray, rounds: int = 200) -> np.ndarray:

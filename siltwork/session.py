@@ -69,6 +69,11 @@ def cut_lineage(df: DataFrame, rows: int | None = None, per_file: int = FILE_ROW
     return out
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether cut_lineage has written df, and it is still there."""
+    return df in _written
+
+
 def free(*tables: DataFrame) -> None:
     """Delete tables that cut_lineage has written; nothing may read them later."""
     for df in tables:

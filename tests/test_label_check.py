@@ -44,3 +44,19 @@ def test_nearest_classes_are_those_of_all(spark):
     assert set(got) == set(want)
     for d, (nearest, gap, suspected) in want.items():
         assert got[d][0] == nearest and abs(got[d][1] - gap) < 2e-3 and got[d][2] == suspected
+
+
+def test_only_the_result_stays_on_disk_and_sums_may_be_many(spark, monkeypatch):
+    import os
+
+    from siltwork.session import shared_folder
+
+    words = ["red", "green", "blue", "round", "square", "flat"]
+    rows = [(k, "ab"[k % 2], " ".join(words[(k + j * (1 + k % 3)) % 6] for j in range(5))) for k in range(40)]
+    df = spark.createDataFrame(rows, "rid long, class string, text string")
+    at = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    few = sorted(map(tuple, textprof.label_check(df).collect()))
+    assert few and len(set(os.listdir(at)) - before) == 1
+    monkeypatch.setattr(textprof, "FEW_SUMS", 0)
+    assert sorted(map(tuple, textprof.label_check(df).collect())) == few
