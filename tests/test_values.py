@@ -52,3 +52,10 @@ def test_texts(spark):
     assert made(df, X.word_count(F.col("v")))[4] == 0
     assert made(df, X.language(F.col("v")))[4] == "unknown"
     assert made(column(spark, ["the cat and the dog are in it", "Привет как дела сегодня"]), X.language(F.col("v"))) == ["en", "ru"]
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    df = spark.createDataFrame([(1, -0.3), (2, -0.5), (3, 0.3), (4, -12.44), (5, None)], "rid long, v double")
+    assert [str(r.x) for r in df.orderBy("rid").select(X.rounded(F.col("v"), 0).alias("x")).collect()] == ["-0.0", "-1.0", "0.0", "-12.0", "None"]
+    words = " ".join(["bana"] * 42 + ["ban"] * 7)  # 206.835 - 1.015 * 49 - 84.6 * 91 / 49 is -0.014
+    assert [str(r.x) for r in spark.createDataFrame([(words,)], "v string").select(X.flesch(F.col("v")).alias("x")).collect()] == ["-0.0"]
