@@ -30,9 +30,9 @@ def normalize_unicode(df, columns):
     return _text(df, X.nfkc)
 
 
-@op("text", "strip_html", "safe", "markup goes")
-def strip_html(df, columns):
-    return _text(df, X.strip_html)
+@op("text", "strip_html", "safe", "markup goes", params={"unclosed": Param(bool, True)})
+def strip_html(df, columns, unclosed):
+    return _text(df, lambda c: X.strip_html(c, unclosed))
 
 
 @op("text", "normalize_whitespace", "safe", "one space, one blank line")

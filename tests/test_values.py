@@ -59,3 +59,9 @@ def test_rounding_keeps_the_sign_of_zero(spark):
     assert [str(r.x) for r in df.orderBy("rid").select(X.rounded(F.col("v"), 0).alias("x")).collect()] == ["-0.0", "-1.0", "0.0", "-12.0", "None"]
     words = " ".join(["bana"] * 42 + ["ban"] * 7)  # 206.835 - 1.015 * 49 - 84.6 * 91 / 49 is -0.014
     assert [str(r.x) for r in spark.createDataFrame([(words,)], "v string").select(X.flesch(F.col("v")).alias("x")).collect()] == ["-0.0"]
+
+
+def test_references_that_a_cut_left_open(spark):
+    df = column(spark, ["<p>a &amp;amp; b&amp</p>&nosuch; &#65; &#x42; &copy=1 &notit; &copy;"])
+    assert made(df, X.strip_html(F.col("v"))) == ["a &amp; b&\n&nosuch; A B ©=1 ¬it; ©"]
+    assert made(df, X.strip_html(F.col("v"), unclosed=False)) == ["a &amp; b&amp\n&nosuch; A B &copy=1 &notit; ©"]
