@@ -21,6 +21,8 @@ from siltwork.session import cut_lineage, free, is_written
 
 #: rows of a block; weight (such as elements of sets) of a block; weight of small keys that are compared in one group
 BLOCK, BLOCK_WEIGHT, BUNDLE = 512, 1 << 20, 1 << 16
+#: pairs of rows that a task compares at a time
+AT_A_TIME = 1 << 22
 
 #: (payload of the left block, payload of the right block) -> boolean matrix
 Matrix = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
@@ -116,9 +118,13 @@ def tie_blocks(left: pd.DataFrame, right: pd.DataFrame, matrix: Matrix) -> list[
     la, lb = left["label"].to_numpy(), right["label"].to_numpy()
     if len(la) == 0 or len(lb) == 0 or (la[0] == la).all() and (la[0] == lb).all():
         return []
-    hit = matrix(left, right)
-    hit &= la[:, None] != lb[None, :]
-    i, j = np.nonzero(hit)
+    rows, found = max(1, AT_A_TIME // len(lb)), []
+    for at in range(0, len(la), rows):
+        hit = matrix(left.iloc[at : at + rows], right)
+        hit &= la[at : at + rows, None] != lb[None, :]
+        x, y = np.nonzero(hit)
+        found.append((x + at, y))
+    i, j = (np.concatenate(x) for x in zip(*found))
     if not len(i):
         return []
     names, code = np.unique(np.concatenate([la, lb]), return_inverse=True)

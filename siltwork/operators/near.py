@@ -6,7 +6,8 @@ pairs, however many rows share a key.
 
 Keys of texts are bands of MinHash signatures. Keys of the others are exact: two hashes of 64 bits that differ in d places
 agree in one of d + 1 pieces; signatures whose bytes differ by R in sum have sums of bytes, under any signs, that differ by
-R at most, so that they share a cell of a grid of such sums, in which each row stands in its own cell and the next one.
+R at most, so that they share a cell of a grid of such sums, in which each row stands in its own cell and, less than R
+below its upper border, in the next one.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from siltwork.operators.registry import RID
 from siltwork.session import cut_lineage, free
 
 WIDTH, HASHES, BANDS = 3, 64, 16
-#: sums of bytes under signs that make the grid
-SUMS = 3
+#: sums of bytes under signs that make the grid, and the width of its cells in radii
+SUMS, STEPS = 3, 3
+#: signatures are short: their blocks have so many times the rows of others, and rows are copied to fewer blocks
+SHORT = 32
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
@@ -199,7 +202,8 @@ def near_image_groups(df: DataFrame, max_distance: int = 6, max_thumb: float = 8
 
 def signature_cells(duration: Column, signature: Column, max_distance: float, tolerance: float) -> Column:
     """Keys, of which two rows share one if their durations differ by the share tolerance at most and their signatures by
-    max_distance a byte: length, and steps of log duration and of sums of bytes under signs, each with the step above."""
+    max_distance a byte: length, and cells of log duration and of sums of bytes under signs, each with the cell above if its
+    border is within the radius."""
 
     def keys(d: pd.Series, s: pd.Series) -> pd.Series:
         out = []
@@ -207,9 +211,10 @@ def signature_cells(duration: Column, signature: Column, max_distance: float, to
             b = np.frombuffer(raw, np.uint8).astype(np.int64)
             at = np.arange(len(b))
             radius = max(1.0, max_distance * len(b))
-            steps = [math.floor(math.log(length) / -math.log(1 - tolerance))]
-            steps += [math.floor(int((b * (1 - 2 * ((at >> k) & 1))).sum() if k >= 0 else b.sum()) / radius) for k in range(-1, SUMS - 1)]
-            out.append([f"{len(b)}|" + ",".join(map(str, x)) for x in itertools.product(*((v, v + 1) for v in steps))])
+            steps = [(math.log(length) / -math.log(1 - tolerance), 1 + 1e-6)]  # what rounding does to a logarithm
+            steps += [(int((b * (1 - 2 * ((at >> k) & 1))).sum() if k >= 0 else b.sum()), radius) for k in range(-1, SUMS - 1)]
+            cells = [sorted({math.floor(v / (STEPS * r)), math.floor((v + r) / (STEPS * r))}) for v, r in steps]
+            out.append([f"{len(b)}|" + ",".join(map(str, x)) for x in itertools.product(*cells)])
         return pd.Series(out, dtype=object)
 
     return F.transform(F.pandas_udf(keys, "array<string>")(duration, signature), lambda k: F.xxhash64(k))
@@ -226,7 +231,7 @@ def near_video_groups(df: DataFrame, max_distance: float = 6.0) -> DataFrame:
 def _banded_groups(df: DataFrame, max_distance: float, tolerance: float) -> DataFrame:
     """Rows whose durations differ by at most a share, and whose signatures (hex) by max_distance a byte in the mean."""
     fits = (F.col("duration") > 0) & (F.length("signature") > 0) & (F.length("signature") % 2 == 0) & F.unhex("signature").isNotNull()
-    first, copies = _first_of_equal(cut_lineage(df.select(RID, "duration", "signature")).filter(fits), ["duration", "signature"])
+    first, copies = _first_of_equal(cut_lineage(df.select(RID, "duration", "signature").filter(fits)), ["duration", "signature"])
     payload = cut_lineage(first.select(F.col(RID).alias("id"), F.lit(1).cast("long").alias("weight"), F.col("duration").cast("double").alias("d"), F.col("signature").alias("s")))
     placed = payload.select("id", F.explode(signature_cells(F.col("d"), F.unhex("s"), max_distance, tolerance)).alias("key"))
 
@@ -239,4 +244,4 @@ def _banded_groups(df: DataFrame, max_distance: float, tolerance: float) -> Data
         a, b = _bytes(left["s"]), _bytes(right["s"])
         return (np.abs(x - y) <= tolerance * np.maximum(x, y)) & (_byte_sums(a, b) / a.shape[1] <= max_distance)
 
-    return with_copies(linkage.groups(placed, payload, linked, matrix), copies)
+    return with_copies(linkage.groups(placed, payload, linked, matrix, SHORT * linkage.BLOCK), copies)

@@ -126,3 +126,21 @@ def test_signatures_estimate_similarity(spark):
     assert got[0] == 1.0 and got[9] == 0.0
     for k, d in enumerate((0, 20, 100, 200)):
         assert abs(got[k] - (200 - d) / (200 + d)) <= 0.15
+
+
+def test_signatures_stand_in_few_cells_and_are_compared_in_parts(spark, monkeypatch):
+    import random
+
+    from siltwork.operators import linkage
+
+    rng = random.Random(3)
+    clips = {k: bytes(rng.randrange(100, 140) for _ in range(16)) for k in range(120)}
+    clips |= {200 + k: bytes(b + rng.randint(-3, 3) for b in clips[k]) for k in range(120)}
+    df = spark.createDataFrame([(k, 2.0, s.hex()) for k, s in clips.items()], "rid long, duration double, signature string")
+    keys = df.select(F.size(near.signature_cells(F.col("duration"), F.unhex("signature"), 3.0, 0.02)).alias("n"))
+    assert keys.agg(F.avg("n")).first()[0] < 6  # 16 of them made a table many times the input
+    monkeypatch.setattr(linkage, "AT_A_TIME", 50)
+    monkeypatch.setattr(near, "SHORT", 1)
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    got = {r.id: r.label for r in near_audio_groups(df).collect()}
+    assert got == plain_groups(sorted(clips), lambda a, b: sum(abs(x - y) for x, y in zip(clips[a], clips[b])) <= 48)
