@@ -9,7 +9,7 @@ are the groups: those of all linked candidates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,24 +23,29 @@ from siltwork.session import cut_lineage, free, is_written
 BLOCK, BLOCK_WEIGHT, BUNDLE = 512, 1 << 20, 1 << 16
 #: pairs of rows that a task compares at a time
 AT_A_TIME = 1 << 22
+#: most blocks of a key whose blocks are fine
+SPREAD = 8
 
 #: (payload of the left block, payload of the right block) -> boolean matrix
 Matrix = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 Similarity = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+#: the same -> parts (i, j) of the pairs that may be linked, none left out that is, and what says of such pairs whether they are
+Sieve = Callable[[pd.DataFrame, pd.DataFrame], tuple[Iterator[tuple[np.ndarray, np.ndarray]], Callable[[np.ndarray, np.ndarray], np.ndarray]]]
 
 
-def groups(placed: DataFrame, payload: DataFrame, linked: Callable[[str, str], Column], matrix: Matrix, block: int = 0) -> DataFrame:
+def groups(placed: DataFrame, payload: DataFrame, linked: Callable[[str, str], Column], sieve: Sieve, block: int = 0, fine: int = 0) -> DataFrame:
     """placed (key, id), payload (id, weight, columns to compare) -> (id, label) of rows in groups of two and more.
 
-    linked(a, b) says of two rows, as structs named a and b of the payload's columns, whether they are linked; matrix says
-    the same of all pairs of two blocks. A payload that is a written table isn't written again, and is freed at the end.
+    linked(a, b) says of two rows, as structs named a and b of the payload's columns, whether they are linked; sieve says
+    the same of all pairs of two blocks (of a matrix: sifted). Blocks have so many rows, fine ones while there are few of
+    them, so that there is work for many tasks. A payload that is a written table isn't written again, and is freed at the end.
     """
     held, placed = payload if is_written(payload) else cut_lineage(payload), cut_lineage(placed)
     members = cut_lineage(_shared(placed))
     free(placed)
     stars = cut_lineage(_stars(members, held, linked))
     first = cut_lineage(components(stars.select("a", "b")))
-    ties = cut_lineage(_ties(members, held, first, matrix, block))
+    ties = cut_lineage(_ties(members, held, first, sieve, block, fine))
     if ties.isEmpty():
         out = first
     else:
@@ -81,18 +86,19 @@ def _stars(members: DataFrame, held: DataFrame, linked: Callable[[str, str], Col
     return pairs.join(b, "id").join(a, "head").filter(linked("a", "b")).select(F.col("head").alias("a"), F.col("id").alias("b"))
 
 
-def _ties(members: DataFrame, held: DataFrame, labels: DataFrame, matrix: Matrix, block: int) -> DataFrame:
+def _ties(members: DataFrame, held: DataFrame, labels: DataFrame, sieve: Sieve, block: int, fine: int) -> DataFrame:
     """(a, b): ties between rows of different components, from keys whose rows stand in more than one."""
     told = members.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     told = told.join(held.select("id", "weight"), "id")
     still = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    return _in_cells(told.join(still, "key"), held, lambda left, right: tie_blocks(left, right, matrix), "a long, b long", block)
+    return _in_cells(told.join(still, "key"), held, lambda left, right: tie_blocks(left, right, sieve), "a long, b long", block, fine)
 
 
-def _in_cells(rows: DataFrame, held: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], list[tuple]], schema: str, block: int) -> DataFrame:
+def _in_cells(rows: DataFrame, held: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame], list[tuple]], schema: str, block: int, fine: int = 0) -> DataFrame:
     """rows (key, id, weight, more) -> what compare says of the pairs of blocks of each key."""
     rows, block = cut_lineage(rows), block or BLOCK
-    sizes = rows.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("weight") / BLOCK_WEIGHT)).cast("int").alias("blocks"))
+    few = F.least(F.lit(SPREAD), F.ceil(F.count("*") / (fine or block)))
+    sizes = rows.groupBy("key").agg(F.greatest(few, F.ceil(F.count("*") / block), F.ceil(F.sum("weight") / BLOCK_WEIGHT)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int"))
     every = rows.agg(F.sum("weight")).first()[0] or 0
     # a block meets itself once, and each other block once; small keys are bundled
@@ -113,33 +119,53 @@ def _in_cells(rows: DataFrame, held: DataFrame, compare: Callable[[pd.DataFrame,
     return cells.groupBy("bundle", "lo", "hi").applyInPandas(one, schema)
 
 
-def tie_blocks(left: pd.DataFrame, right: pd.DataFrame, matrix: Matrix) -> list[tuple[int, int]]:
-    """Ties that join the components (column label) which links between the rows of two blocks join."""
+def sifted(matrix: Matrix) -> Sieve:
+    """A matrix as a sieve: its pairs are the linked ones, some rows at a time."""
+
+    def sieve(left: pd.DataFrame, right: pd.DataFrame):
+        def parts():
+            rows = max(1, AT_A_TIME // len(right))
+            for at in range(0, len(left), rows):
+                x, y = np.nonzero(matrix(left.iloc[at : at + rows], right))
+                yield x + at, y
+
+        return parts(), lambda i, j: np.ones(len(i), bool)
+
+    return sieve
+
+
+def tie_blocks(left: pd.DataFrame, right: pd.DataFrame, sieve: Sieve) -> list[tuple[int, int]]:
+    """Ties that join the components (column label) which links between the rows of two blocks join.
+
+    Pairs are taken in part by part; those of components that are joined by then aren't looked at."""
     la, lb = left["label"].to_numpy(), right["label"].to_numpy()
     if len(la) == 0 or len(lb) == 0 or (la[0] == la).all() and (la[0] == lb).all():
         return []
-    rows, found = max(1, AT_A_TIME // len(lb)), []
-    for at in range(0, len(la), rows):
-        hit = matrix(left.iloc[at : at + rows], right)
-        hit &= la[at : at + rows, None] != lb[None, :]
-        x, y = np.nonzero(hit)
-        found.append((x + at, y))
-    i, j = (np.concatenate(x) for x in zip(*found))
-    if not len(i):
-        return []
     names, code = np.unique(np.concatenate([la, lb]), return_inverse=True)
-    a, b = code[: len(la)][i], code[len(la) :][j]
+    a, b, least = code[: len(la)], code[len(la) :], np.arange(len(names))  # each component's least name
+    parts, check = sieve(left, right)
+    for i, j in parts:
+        open_ = least[a[i]] != least[b[j]]
+        i, j = i[open_], j[open_]
+        if len(i):
+            hit = check(i, j)
+            least = _joined(least, least[a[i[hit]]], least[b[j[hit]]])
+    return [(int(names[k]), int(names[v])) for k, v in enumerate(least) if k != v]
+
+
+def _joined(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """least, where each a and b are joined; they are least ones themselves."""
+    if not len(a):
+        return least
     a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    least = np.arange(len(names))
-    while True:  # each component's least name
+    while True:
         new = least.copy()
         np.minimum.at(new, a, least[b])
         np.minimum.at(new, b, least[a])
         new = new[new]
         if (new == least).all():
-            break
+            return least
         least = new
-    return [(int(names[k]), int(names[v])) for k, v in enumerate(least) if k != v]
 
 
 def shared_elements(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

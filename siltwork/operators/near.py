@@ -28,8 +28,11 @@ from siltwork.session import cut_lineage, free
 WIDTH, HASHES, BANDS = 3, 64, 16
 #: sums of bytes under signs that make the grid, and the width of its cells in radii
 SUMS, STEPS = 3, 3
-#: signatures are short: their blocks have so many times the rows of others, and rows are copied to fewer blocks
-SHORT = 32
+#: signatures are short: their blocks, and those of keys of few blocks, have so many times the rows of others, and rows are
+#: copied to fewer blocks
+SHORT, FINE = 256, 32
+#: most rows of a leaf, whose pairs with those of another leaf are worked out at a time
+LEAF = 512
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
@@ -115,7 +118,7 @@ def near_text_pairs(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH)
 def near_text_groups(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
     """(id, label) of all documents in groups of two and more."""
     every, first, copies = _text_classes(docs, width)
-    near = linkage.groups(_text_keys(every, first), every, lambda a, b: jaccard(F.col(f"{a}.s"), F.col(f"{b}.s")) >= threshold, lambda x, y: _text_similarity(x, y) >= threshold)
+    near = linkage.groups(_text_keys(every, first), every, lambda a, b: jaccard(F.col(f"{a}.s"), F.col(f"{b}.s")) >= threshold, linkage.sifted(lambda x, y: _text_similarity(x, y) >= threshold))
     return with_copies(near, copies)
 
 
@@ -197,7 +200,7 @@ def near_image_groups(df: DataFrame, max_distance: int = 6, max_thumb: float = 8
         a, b = _bytes(left["thumb"]), _bytes(right["thumb"])
         return (np.bitwise_count(h) <= max_distance) & (_byte_sums(a, b) <= max_thumb * a.shape[1])
 
-    return with_copies(linkage.groups(placed, payload, linked, matrix), copies)
+    return with_copies(linkage.groups(placed, payload, linked, linkage.sifted(matrix)), copies)
 
 
 def signature_cells(duration: Column, signature: Column, max_distance: float, tolerance: float) -> Column:
@@ -231,17 +234,79 @@ def near_video_groups(df: DataFrame, max_distance: float = 6.0) -> DataFrame:
 def _banded_groups(df: DataFrame, max_distance: float, tolerance: float) -> DataFrame:
     """Rows whose durations differ by at most a share, and whose signatures (hex) by max_distance a byte in the mean."""
     fits = (F.col("duration") > 0) & (F.length("signature") > 0) & (F.length("signature") % 2 == 0) & F.unhex("signature").isNotNull()
-    first, copies = _first_of_equal(cut_lineage(df.select(RID, "duration", "signature").filter(fits)), ["duration", "signature"])
-    payload = cut_lineage(first.select(F.col(RID).alias("id"), F.lit(1).cast("long").alias("weight"), F.col("duration").cast("double").alias("d"), F.col("signature").alias("s")))
-    placed = payload.select("id", F.explode(signature_cells(F.col("d"), F.unhex("s"), max_distance, tolerance)).alias("key"))
+    # written before it is filtered: else what makes the signatures stands in the filter too, many times
+    first, copies = _first_of_equal(cut_lineage(df.select(RID, "duration", "signature")).filter(fits), ["duration", "signature"])
+    payload = cut_lineage(first.select(F.col(RID).alias("id"), F.lit(1).cast("long").alias("weight"), F.col("duration").cast("double").alias("d"), F.unhex("signature").alias("s")))
+    placed = payload.select("id", F.explode(signature_cells(F.col("d"), F.col("s"), max_distance, tolerance)).alias("key"))
 
     def linked(a: str, b: str) -> Column:
         x, y = F.col(f"{a}.d"), F.col(f"{b}.d")
-        return (F.abs(x - y) <= tolerance * F.greatest(x, y)) & (hex_distance(F.col(f"{a}.s"), F.col(f"{b}.s")) <= max_distance)
+        return (F.abs(x - y) <= tolerance * F.greatest(x, y)) & (hex_distance(F.hex(F.col(f"{a}.s")), F.hex(F.col(f"{b}.s"))) <= max_distance)
+
+    def sieve(left: pd.DataFrame, right: pd.DataFrame):
+        return signature_sieve(left, right, max_distance, tolerance)
+
+    return with_copies(linkage.groups(placed, payload, linked, sieve, SHORT * linkage.BLOCK, FINE * linkage.BLOCK), copies)
+
+
+def _leaves(sums: np.ndarray) -> list[np.ndarray]:
+    """Rows in leaves, halved where they spread most."""
+    out, todo = [], [np.arange(len(sums))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            out.append(rows)
+            continue
+        own, half = sums[rows], len(rows) // 2
+        order = np.argpartition(own[:, int(np.argmax(own.std(axis=0)))], half)
+        todo += [rows[order[:half]], rows[order[half:]]]
+    return out
 
-    def matrix(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
-        x, y = left["d"].to_numpy()[:, None], right["d"].to_numpy()[None, :]
-        a, b = _bytes(left["s"]), _bytes(right["s"])
-        return (np.abs(x - y) <= tolerance * np.maximum(x, y)) & (_byte_sums(a, b) / a.shape[1] <= max_distance)
 
-    return with_copies(linkage.groups(placed, payload, linked, matrix, SHORT * linkage.BLOCK), copies)
+def signature_sieve(left: pd.DataFrame, right: pd.DataFrame, max_distance: float, tolerance: float):
+    """Pairs of rows (d, s: bytes of one length) that may be within max_distance a byte, and what tells them.
+
+    Rows stand in leaves by the sums of the two halves of their bytes: leaves whose sums are further apart than the radius
+    aren't compared. Of two others the squares of the distances of halves are matrix products of whole numbers; a distance
+    isn't less than the root of that, so most pairs are settled without their bytes."""
+    a, b = (np.frombuffer(b"".join(x["s"]), np.uint8).reshape(len(x), -1).astype(np.int16) for x in (left, right))
+    n = a.shape[1]
+    radius, kind = max_distance * n + 1e-6, np.float32 if n <= 256 else np.float64  # whole numbers of that size are exact
+    same = len(left) == len(right) and bool((left["id"].to_numpy() == right["id"].to_numpy()).all())
+    d, e = left["d"].to_numpy(), right["d"].to_numpy()
+
+    def halves(x: np.ndarray) -> list[np.ndarray]:
+        return [x[:, : n // 2], x[:, n // 2 :]]
+
+    def factors(x: np.ndarray, first: bool) -> np.ndarray:
+        x = x.astype(kind) - 128
+        square, one = (x * x).sum(axis=1, dtype=kind)[:, None], np.ones((len(x), 1), kind)
+        return np.hstack([x, square, one] if first else [-2 * x, one, square])
+
+    def parts():
+        (p, q), sums = ([halves(x) for x in (a, b)]), [np.stack([h.sum(axis=1, dtype=np.int64) for h in halves(x)], axis=1) for x in (a, b)]
+        p, q = [factors(x, True) for x in p], [factors(x, False) for x in q]
+        rows = [_leaves(s) for s in sums]
+        lo, hi = ([np.stack([f(s[x], axis=0) for x in r]) for s, r in zip(sums, rows)] for f in (np.min, np.max))
+        for k, i in enumerate(rows[0]):
+            gap = np.maximum(np.maximum(lo[0][k] - hi[1], lo[1] - hi[0][k]), 0).sum(axis=1)
+            for m in np.flatnonzero(gap <= radius):
+                if same and m < k:
+                    continue
+                j = rows[1][m]
+                first, both = p[0][i] @ q[0][j].T, p[1][i] @ q[1][j].T
+                both += first
+                at = np.flatnonzero(both <= radius * radius)
+                first, both = first.ravel()[at], both.ravel()[at]
+                at = at[np.sqrt(first) + np.sqrt(both - first) <= radius + 0.01]
+                if len(at):
+                    yield i[at // len(j)], j[at % len(j)]
+
+    def check(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, step = np.abs(d[i] - e[j]) <= tolerance * np.maximum(d[i], e[j]), max(1, linkage.AT_A_TIME // n)
+        for at in range(0, len(i), step):
+            x, y = i[at : at + step], j[at : at + step]
+            out[at : at + step] &= np.abs(a[x] - b[y]).sum(axis=1) / n <= max_distance
+        return out
+
+    return parts(), check

@@ -144,3 +144,32 @@ def test_signatures_stand_in_few_cells_and_are_compared_in_parts(spark, monkeypa
     monkeypatch.setattr(linkage, "BLOCK", 16)
     got = {r.id: r.label for r in near_audio_groups(df).collect()}
     assert got == plain_groups(sorted(clips), lambda a, b: sum(abs(x - y) for x, y in zip(clips[a], clips[b])) <= 48)
+
+
+def test_few_pairs_of_signatures_are_compared_byte_by_byte(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from siltwork.operators import linkage
+
+    monkeypatch.setattr(near, "LEAF", 64)
+    rng = np.random.default_rng(4)
+    for n, spread, most, share in ((16, 12, 3.0, 0.01), (16, 12, 6.0, 1), (1, 40, 3.0, 1), (5, 20, 3.0, 0.02), (300, 30, 3.0, 0.02)):
+        a = np.clip(np.rint(rng.normal(128, spread, (400, n))), 0, 255).astype(int)
+        b = np.clip(np.concatenate([a[:300] + rng.integers(-5, 6, (300, n)), rng.normal(128, spread, (200, n))]), 0, 255).astype(int)
+        left, right = (
+            pd.DataFrame({"id": at + np.arange(len(x)), "label": at + np.arange(len(x)), "d": rng.choice([2.0, 2.03, 2.2], len(x)), "s": [r.astype(np.uint8).tobytes() for r in x]})
+            for x, at in ((a, 0), (b, 1000))
+        )
+        d, e = left["d"].to_numpy()[:, None], right["d"].to_numpy()[None, :]
+        want = (np.abs(a[:, None] - b[None]).sum(2) / n <= most) & (np.abs(d - e) <= 0.02 * np.maximum(d, e))
+        assert want.any()
+        parts, check = near.signature_sieve(left, right, most, 0.02)
+        got, met = set(), 0
+        for i, j in parts:
+            met += len(i)
+            hit = check(i, j)
+            got |= set(zip(i[hit].tolist(), j[hit].tolist()))
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(want)))) and met <= share * want.size
+        ties = linkage.tie_blocks(left, right, lambda x, y: near.signature_sieve(x, y, most, 0.02))
+        assert sorted(ties) == sorted(linkage.tie_blocks(left, right, linkage.sifted(lambda x, y: want[x.index[0] : x.index[-1] + 1])))
