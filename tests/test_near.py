@@ -173,3 +173,21 @@ def test_few_pairs_of_signatures_are_compared_byte_by_byte(monkeypatch):
         assert got == set(zip(*(x.tolist() for x in np.nonzero(want)))) and met <= share * want.size
         ties = linkage.tie_blocks(left, right, lambda x, y: near.signature_sieve(x, y, most, 0.02))
         assert sorted(ties) == sorted(linkage.tie_blocks(left, right, linkage.sifted(lambda x, y: want[x.index[0] : x.index[-1] + 1])))
+
+
+def test_audio_drop_in_small_leaves_and_blocks_agrees_with_all_pairs(spark, monkeypatch):
+    import random
+
+    from siltwork.operators import linkage
+
+    rng = random.Random(5)
+    clips = {k: bytes(rng.randrange(90, 166) for _ in range(16)) for k in range(150)}
+    clips |= {200 + k: bytes(b + rng.randint(-4, 4) for b in clips[k]) for k in range(100)}
+    for name, value in (("LEAF", 8), ("SHORT", 4), ("FINE", 1)):
+        monkeypatch.setattr(near, name, value)
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    df = spark.createDataFrame([(k, 2.0, s.hex()) for k, s in clips.items()], "rid long, duration double, signature string")
+    groups = plain_groups(sorted(clips), lambda a, b: sum(abs(x - y) for x, y in zip(clips[a], clips[b])) <= 48)
+    assert len(groups) > 150
+    got = {r.rid for r in apply_op(df, "audio", "drop_near_duplicates").select("rid").collect()}
+    assert got == {k for k in clips if groups.get(k, k) == k}
